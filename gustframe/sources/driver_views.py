@@ -8,6 +8,7 @@ text for DuckDB (``SQL_VIEWS``), which oracle queries inline as CTEs.
 * ``turbine``   ``hourly`` under sensor names (Rotor_speed, Pitch_angle, ...)
 * ``wide``      volume table from lineitem with three nullable channels
 * ``signed``    targets of both signs (customer)
+* ``quads``     exact sensor quadruples from lineitem (bounds checks)
 * ``direction`` angles 0..360 (orders)
 """
 
@@ -32,7 +33,11 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sig(spark, sf_dir)
-    agg = (s.groupBy(F.date_trunc("hour", "Date_time").alias("Date_time"), "MAC_CODE")
+    t = F.col("Date_time")
+    # hour start without a time-zone round trip (date_trunc would return a
+    # session-zone TIMESTAMP)
+    hour = F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.lit(0), F.lit(0))
+    agg = (s.groupBy(hour.alias("Date_time"), "MAC_CODE")
            .agg(F.avg("value").alias("value"), F.min("value").alias("value_min"),
                 F.max("value").alias("value_max"), F.stddev_samp("value").alias("value_std"),
                 F.avg("k").alias("k"), F.min("k").alias("k_min"), F.max("k").alias("k_max"),
@@ -52,8 +57,8 @@ def turbine(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise("WT5"))
     return h.select(
         "ID", "Date_time", unit.alias("MAC_CODE"),
-        (F.col("value") / 2).alias("Rotor_speed"), (F.col("value_min") / 2).alias("Rotor_speed_min"),
-        (F.col("value_max") / 2).alias("Rotor_speed_max"), (F.col("value_std") / 2).alias("Rotor_speed_std"),
+        (F.col("value") / 5).alias("Rotor_speed"), (F.col("value_min") / 5).alias("Rotor_speed_min"),
+        (F.col("value_max") / 5).alias("Rotor_speed_max"), (F.col("value_std") / 5).alias("Rotor_speed_std"),
         (F.col("k") - 50).alias("Pitch_angle"), (F.col("k_min") - 50).alias("Pitch_angle_min"),
         (F.col("k_max") - 50).alias("Pitch_angle_max"), F.col("k_std").alias("Pitch_angle_std"),
         (F.col("value_min") + 20).alias("Generator_stator_temperature_min"),
@@ -84,6 +89,17 @@ def wide_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("TARGET"))
 
 
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor quadruples with exact arithmetic (bounds sometimes violated)."""
+    li = table(spark, sf_dir, "lineitem")
+    q, n, d, t = F.col("l_quantity"), F.col("l_linenumber"), F.col("l_discount"), F.col("l_tax")
+    return li.select(
+        F.col("l_returnflag").alias("MAC_CODE"), q.alias("Rotor_speed"), (q - 4 + n).alias("Rotor_speed_min"),
+        (q + 4 - n).alias("Rotor_speed_max"), d.alias("Rotor_speed_std"), (t * 100).alias("Pitch_angle"),
+        (d * 100).alias("Pitch_angle_min"), (t * 100 + 2).alias("Pitch_angle_max"), t.alias("Pitch_angle_std"),
+        F.col("l_extendedprice").alias("TARGET"))
+
+
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("MAC_CODE"),
@@ -98,7 +114,7 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BUILDERS = {"sig": sig, "hourly": hourly, "turbine": turbine, "wide": wide, "wide_keyed": wide_keyed,
-            "signed": signed, "direction": direction}
+            "quads": quads, "signed": signed, "direction": direction}
 
 # --- DuckDB text of the same views --------------------------------------------------------
 SQL_VIEWS = {
@@ -112,8 +128,8 @@ SQL_VIEWS = {
               "group by date_trunc('hour', Date_time), MAC_CODE) t",
     "turbine": "select ID, Date_time, case MAC_CODE when 'click' then 'WT1' when 'error' then 'WT2' "
                "when 'purchase' then 'WT3' when 'signup' then 'WT4' else 'WT5' end as MAC_CODE, "
-               "value / 2 as Rotor_speed, value_min / 2 as Rotor_speed_min, value_max / 2 as Rotor_speed_max, "
-               "value_std / 2 as Rotor_speed_std, k - 50 as Pitch_angle, k_min - 50 as Pitch_angle_min, "
+               "value / 5 as Rotor_speed, value_min / 5 as Rotor_speed_min, value_max / 5 as Rotor_speed_max, "
+               "value_std / 5 as Rotor_speed_std, k - 50 as Pitch_angle, k_min - 50 as Pitch_angle_min, "
                "k_max - 50 as Pitch_angle_max, k_std as Pitch_angle_std, "
                "value_min + 20 as Generator_stator_temperature_min, value * n as TARGET from hourly",
     "wide": "select l_returnflag as MAC_CODE, l_suppkey as grp, "
@@ -124,6 +140,10 @@ SQL_VIEWS = {
                   "case when l_quantity = 50 then null else l_quantity end as Rotor_speed, "
                   "nullif(l_discount, 0.0) as Rotor_speed_std, nullif(l_tax, 0.0) as Grid_voltage, "
                   "l_tax - 0.04 as Pitch_angle, l_extendedprice as TARGET from lineitem",
+    "quads": "select l_returnflag as MAC_CODE, l_quantity as Rotor_speed, l_quantity - 4 + l_linenumber as Rotor_speed_min, "
+             "l_quantity + 4 - l_linenumber as Rotor_speed_max, l_discount as Rotor_speed_std, l_tax * 100 as Pitch_angle, "
+             "l_discount * 100 as Pitch_angle_min, l_tax * 100 + 2 as Pitch_angle_max, l_tax as Pitch_angle_std, "
+             "l_extendedprice as TARGET from lineitem",
     "signed": "select c_custkey as ID, c_mktsegment as MAC_CODE, c_acctbal as TARGET from customer",
     "direction": "select o_orderkey as ID, o_orderpriority as MAC_CODE, "
                  "cast(o_custkey % 361 as double) as Nacelle_angle, o_totalprice as TARGET from orders",
