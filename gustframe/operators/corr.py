@@ -31,8 +31,13 @@ def spearman_pairs(df: DataFrame, pairs, rows_per_bucket: int = pos.DEFAULT_ROWS
     """
     long = _pair_long(df, pairs)
     keys = ["col_a", "col_b"]
-    rx = pos.average_rank(long, "x", keys, out="rx", rows_per_bucket=rows_per_bucket).drop("_cnt")
-    ry = pos.average_rank(long, "y", keys, out="ry", rows_per_bucket=rows_per_bucket).drop("_cnt")
+    # rank both sides of every pair in one pass: (pair, side, value) -> rank
+    sides = long.select(*keys, F.explode(F.array(
+        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).select(*keys, "s.side", "s.v")
+    ranks = pos.average_rank(sides, "v", [*keys, "side"], out="r", rows_per_bucket=rows_per_bucket)
+    rx = ranks.filter(F.col("side") == "x").select(*keys, F.col("v").alias("x"), F.col("r").alias("rx"))
+    ry = ranks.filter(F.col("side") == "y").select(*keys, F.col("v").alias("y"), F.col("r").alias("ry"))
     ranked = long.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
     return ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 

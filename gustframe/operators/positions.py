@@ -57,6 +57,10 @@ def bucketize(df: DataFrame, key: str, n_rows: int, rows_per_bucket: int, out: s
     probs = [i / n_buckets for i in range(1, n_buckets)]
     accuracy = max(10_000, 20 * n_buckets)
     bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"] or []
+    return _apply_splits(df, key, bounds, out)
+
+
+def _apply_splits(df: DataFrame, key: str, bounds, out: str) -> tuple[DataFrame, int]:
     inner = sorted({float(b) for b in bounds if b is not None and math.isfinite(b)})
     if not inner:
         return df.withColumn(out, F.lit(0.0)), 1
@@ -65,6 +69,68 @@ def bucketize(df: DataFrame, key: str, n_rows: int, rows_per_bucket: int, out: s
     return bk.transform(df), len(splits) - 1
 
 
+# Number of quantile probes taken per group in the statistics pass; a group
+# gets at most this many buckets.
+PROBES = 1024
+# Per-group statistics are gathered on the driver only up to this many groups.
+MAX_STAT_GROUPS = 50_000
+
+
+def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None):
+    """One statistics pass (count, min, max, approximate quantiles per group),
+    then a bucket index that splits every group into about
+    ``n_group / rows_per_bucket`` ranges.  Returns (df, needs_buckets)."""
+    gcols = list(group_cols)
+    if n_rows is not None and n_rows <= rows_per_bucket:
+        return df.withColumn("_bkt", F.lit(0.0)), False
+    sizes = (df.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
+                                    F.max(key).alias("_kmax"))
+             .limit(MAX_STAT_GROUPS + 1).collect())
+    if len(sizes) > MAX_STAT_GROUPS:
+        raise ValueError(f"more than {MAX_STAT_GROUPS} groups: use a coarser grouping")
+    if all(r["_n"] <= rows_per_bucket for r in sizes):
+        return df.withColumn("_bkt", F.lit(0.0)), False
+    # second pass only when some group needs more than one bucket
+    probs = [i / PROBES for i in range(1, PROBES)]
+    accuracy = max(10_000, 4 * max(r["_n"] for r in sizes) // max(1, rows_per_bucket))
+    stats = (df.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
+                                    F.max(key).alias("_kmax"),
+                                    F.percentile_approx(key, probs, accuracy).alias("_q"))
+             .limit(MAX_STAT_GROUPS + 1).collect())
+    if not gcols:
+        r = stats[0]
+        m = max(1, math.ceil(r["_n"] / rows_per_bucket))
+        picks = [r["_q"][min(PROBES - 2, round(j * PROBES / m) - 1)] for j in range(1, m)]
+        out, _ = _apply_splits(df, key, picks, "_bkt")
+        return out, True
+    # Put group i on [i, i + 0.5] (order-preserving inside the group) so that
+    # one sorted split array serves all groups; the per-group table is small
+    # (checked above) and broadcast.
+    rows, bounds = [], []
+    for i, r in enumerate(stats):
+        lo, hi = r["_kmin"], r["_kmax"]
+        finite = lo is not None and hi is not None and math.isfinite(lo) and math.isfinite(hi)
+        span = (hi - lo) if finite and hi > lo else None
+        rows.append(tuple(r[g] for g in gcols) + (float(i), lo, span))
+        bounds.append(i - 0.25)
+        m = max(1, math.ceil(r["_n"] / rows_per_bucket))
+        if m > 1 and span:
+            for j in range(1, min(m, PROBES)):
+                qv = r["_q"][min(PROBES - 2, round(j * PROBES / m) - 1)]
+                bounds.append(i + 0.5 * (qv - lo) / span)
+    schema = df.select(*gcols).schema
+    from pyspark.sql import types as T
+    fields = list(schema.fields) + [T.StructField("_gi", T.DoubleType()), T.StructField("_gmin", T.DoubleType()),
+                                    T.StructField("_gspan", T.DoubleType())]
+    gdf = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    keyed = (df.join(F.broadcast(gdf), gcols, "left")
+             .withColumn("_gkey", F.col("_gi") + F.coalesce(0.5 * F.try_divide(F.col(key) - F.col("_gmin"),
+                                                                                F.col("_gspan")), F.lit(0.0)))
+             .drop("_gi", "_gmin", "_gspan"))
+    out, _ = _apply_splits(keyed, "_gkey", bounds, "_bkt")
+    return out.drop("_gkey"), True
+
+
 def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
                      out: str = "_pos", n_rows: int | None = None) -> DataFrame:
@@ -73,32 +139,28 @@ def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(),
 
     With a total order and unit weights this is ``row_number()``; with
     pre-aggregated (value, count) rows it is the last position of the value.
+    ``normalize=False`` makes all groups share the bucket bounds of the key
+    (right for hash keys, which spread evenly inside every group).
     """
     group_cols = list(group_cols)
     normalize = bool(group_cols) if normalize is None else normalize
     w = F.col(weight_col) if weight_col else F.lit(1)
-    key = _sort_key(F.col(order_col), _dtype(df, order_col))
-    base = df.withColumn("_key", key)
+    base = df.withColumn("_key", _sort_key(F.col(order_col), _dtype(df, order_col)))
     if normalize and group_cols:
-        # Put every group on [0, 1] so that one set of bounds serves all groups.
-        rng = base.groupBy(*group_cols).agg(F.min("_key").alias("_kmin"), F.max("_key").alias("_kmax"))
-        base = (base.join(rng, group_cols, "left")
-                .withColumn("_key", F.coalesce(F.try_divide(F.col("_key") - F.col("_kmin"),
-                                                            F.col("_kmax") - F.col("_kmin")), F.lit(0.0)))
-                .drop("_kmin", "_kmax"))
-    if n_rows is None:
-        n_rows = df.count()
-    b, n_buckets = bucketize(base, "_key", n_rows, rows_per_bucket)
-    counts = b.groupBy(*group_cols, "_bkt").agg(F.sum(w).alias("_bw"))
-    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*group_cols, "_bkt",
-                         F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"))
-    if not group_cols and n_buckets <= MAX_BROADCAST_OFFSETS:
-        offs = F.broadcast(offs)  # at most n_buckets rows
-    joined = b.join(offs, [*group_cols, "_bkt"], "inner")
+        b, bucketed = _bucket_by_group(base, "_key", group_cols, rows_per_bucket, n_rows)
+    else:
+        b, bucketed = _bucket_by_group(base, "_key", [], rows_per_bucket, n_rows)
     upto = (Window.partitionBy(*group_cols, "_bkt")
             .orderBy(F.col(order_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tie_cols])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not bucketed:
+        return b.withColumn(out, F.sum(w).over(upto).cast("long")).drop("_key", "_bkt")
+    counts = b.groupBy(*group_cols, "_bkt").agg(F.sum(w).alias("_bw"))
+    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"))
+    # groups x buckets rows; groups are bounded by MAX_STAT_GROUPS, buckets by PROBES
+    offs = F.broadcast(offs) if not group_cols else offs
+    joined = b.join(offs, [*group_cols, "_bkt"], "inner")
     return (joined.withColumn(out, (F.col("_off") + F.sum(w).over(upto)).cast("long"))
             .drop("_key", "_bkt", "_off"))
 

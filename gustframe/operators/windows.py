@@ -28,21 +28,20 @@ def lag_diff(df: DataFrame, cols, unit: str = "MAC_CODE", order=("Date_time", "I
     order = list(order)
     key = pos._sort_key(F.col(order[0]), pos._dtype(df, order[0]))
     base = df.withColumn("_lkey", key)
-    if n_rows is None:
-        n_rows = df.count()
-    b, n_buckets = pos.bucketize(base, "_lkey", n_rows, rows_per_bucket, out="_lbkt")
+    b, bucketed = pos._bucket_by_group(base, "_lkey", [], rows_per_bucket, n_rows)
+    b = b.withColumnRenamed("_bkt", "_lbkt")
     ordering = [F.col(c).asc_nulls_first() for c in order]
     inside = Window.partitionBy(unit, "_lbkt").orderBy(*ordering)
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
     b = b.withColumn("_prev", F.lag(payload).over(inside))
-    if n_buckets > 1:
+    if bucketed:
         # last row of every (unit, bucket): max of a struct ordered like the window
         last = b.groupBy(unit, "_lbkt").agg(
             F.max(F.struct(*[F.col(c) for c in order], payload.alias("_p"))).alias("_last"))
         carry = last.select(unit, "_lbkt", F.lag("_last._p").over(
             Window.partitionBy(unit).orderBy("_lbkt")).alias("_carry"))
         # carry has units x buckets rows, bounded by the bucket count
-        carry = F.broadcast(carry) if n_buckets <= 1_000_000 else carry
+        carry = F.broadcast(carry)  # units x buckets rows (buckets <= positions.PROBES)
         b = b.join(carry, [unit, "_lbkt"], "left").withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry")
     out = {names[c]: F.when(F.col(unit).isNotNull(), F.col(f"_prev.{c}") - F.col(c)) for c in cols}
     return b.withColumns(out).drop("_prev", "_lkey", "_lbkt")
