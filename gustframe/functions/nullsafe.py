@@ -30,6 +30,18 @@ def reject(cond: Column) -> Column:
     return ~keep(cond)
 
 
+def holds(cond: Column) -> Column:
+    """Filter form of ``keep``: ``filter`` already drops NULL, and the bare
+    predicate can be pushed into the Parquet scan (``coalesce`` cannot)."""
+    return cond
+
+
+def fails(cond: Column) -> Column:
+    """Filter form of ``reject``: ``NOT cond OR cond IS NULL``; Catalyst turns
+    ``NOT (x >= 15)`` into ``x < 15``, so the scan still gets the predicate."""
+    return (~cond) | cond.isNull()
+
+
 def any_of(*conds: Column) -> Column:
     """OR of null-safe conditions (never NULL)."""
     out = F.lit(False)
@@ -45,15 +57,19 @@ def all_of(*conds: Column) -> Column:
     return out
 
 
-def high_regime(speed="Rotor_speed", cut: float = HIGH_CUT, by_cube: bool = True) -> Column:
-    """Boolean regime flag; a NULL speed is in the *low* part.
+def high_condition(speed="Rotor_speed", cut: float = HIGH_CUT, by_cube: bool = True) -> Column:
+    """Raw (three-valued) high-regime predicate.
 
     ``by_cube`` compares ``speed**3 >= cut**3`` as the training scripts do;
     for real speeds it equals ``speed >= cut``.
     """
     s = col(speed)
-    cond = (s * s * s >= F.lit(float(cut) ** 3)) if by_cube else (s >= F.lit(float(cut)))
-    return keep(cond)
+    return (s * s * s >= F.lit(float(cut) ** 3)) if by_cube else (s >= F.lit(float(cut)))
+
+
+def high_regime(speed="Rotor_speed", cut: float = HIGH_CUT, by_cube: bool = True) -> Column:
+    """Boolean regime flag (never NULL); a NULL speed is in the *low* part."""
+    return keep(high_condition(speed, cut, by_cube))
 
 
 def regime2(speed="Rotor_speed", cut: float = HIGH_CUT, by_cube: bool = True) -> Column:

@@ -10,13 +10,17 @@ from gustframe.functions import scalars as sc
 
 
 def range_mask(x, lo=None, hi=None, lo_closed: bool = False, hi_closed: bool = True) -> Column:
+    """Range predicate; NULL x does not satisfy it (filter form, pushable)."""
     x = ns.col(x)
-    cond = F.lit(True)
+    parts = []
     if lo is not None:
-        cond = cond & ((x >= lo) if lo_closed else (x > lo))
+        parts.append((x >= lo) if lo_closed else (x > lo))
     if hi is not None:
-        cond = cond & ((x <= hi) if hi_closed else (x < hi))
-    return ns.keep(cond)
+        parts.append((x <= hi) if hi_closed else (x < hi))
+    cond = parts[0] if parts else F.lit(True)
+    for p in parts[1:]:
+        cond = cond & p
+    return cond
 
 
 def filter_range(df: DataFrame, x, lo=None, hi=None, lo_closed: bool = False, hi_closed: bool = True) -> DataFrame:
@@ -24,7 +28,7 @@ def filter_range(df: DataFrame, x, lo=None, hi=None, lo_closed: bool = False, hi
 
 
 def filter_in(df: DataFrame, x, values) -> DataFrame:
-    return df.filter(ns.keep(ns.col(x).isin(*values)))
+    return df.filter(ns.holds(ns.col(x).isin(*values)))
 
 
 def split_null(df: DataFrame, x) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +38,7 @@ def split_null(df: DataFrame, x) -> tuple[DataFrame, DataFrame]:
 
 def split_mask(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
     """(rows where cond holds, the null-safe complement)."""
-    return df.filter(ns.keep(cond)), df.filter(ns.reject(cond))
+    return df.filter(ns.holds(cond)), df.filter(ns.fails(cond))
 
 
 def with_regime(df: DataFrame, speed: str = "Rotor_speed", cut: float = ns.HIGH_CUT, by_cube: bool = True,
@@ -46,13 +50,13 @@ def with_regime(df: DataFrame, speed: str = "Rotor_speed", cut: float = ns.HIGH_
 def split_regime2(df: DataFrame, speed: str = "Rotor_speed", cut: float = ns.HIGH_CUT,
                   by_cube: bool = True) -> tuple[DataFrame, DataFrame]:
     """(high, low) with the same null-safe mask for every table it is applied to."""
-    return split_mask(df, ns.high_regime(speed, cut, by_cube))
+    return split_mask(df, ns.high_condition(speed, cut, by_cube))
 
 
 def keep_high_regime(df: DataFrame, keep_high: bool = True, speed: str = "Rotor_speed",
                      cut: float = ns.HIGH_CUT) -> DataFrame:
     cond = ns.col(speed) >= cut
-    return df.filter(ns.keep(cond) if keep_high else ns.reject(cond))
+    return df.filter(ns.holds(cond) if keep_high else ns.fails(cond))
 
 
 def with_regime3(df: DataFrame, speed: str = "Rotor_speed", out: str = "regime3") -> DataFrame:
@@ -63,8 +67,7 @@ def filter_band(df: DataFrame, x: str, y: str, intercept_lo: float = sc.AFFINE_B
                 intercept_hi: float = sc.AFFINE_BAND[1], slope: float = sc.AFFINE_SLOPE) -> DataFrame:
     """Rows with slope*x + lo <= y <= slope*x + hi (plain arithmetic, no UDF)."""
     yv = F.col(y)
-    return df.filter(ns.keep((yv >= sc.affine_curve(x, intercept_lo, slope)) &
-                             (yv <= sc.affine_curve(x, intercept_hi, slope))))
+    return df.filter((yv >= sc.affine_curve(x, intercept_lo, slope)) & (yv <= sc.affine_curve(x, intercept_hi, slope)))
 
 
 def drop_null_rows(df: DataFrame, subset=None) -> DataFrame:

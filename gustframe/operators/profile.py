@@ -58,7 +58,7 @@ def slice_level(df: DataFrame, **levels) -> DataFrame:
     cond = F.lit(True)
     for k, v in levels.items():
         cond = cond & (F.col(k) == F.lit(v))
-    return df.filter(ns.keep(cond))
+    return df.filter(cond)
 
 
 def share_where(df: DataFrame, cond: Column, out: str = "share") -> DataFrame:

@@ -81,7 +81,7 @@ class KeepHighRegime(Transformer, _Stage):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cond = F.col(self.get("speedCol")) >= self.get("cut")
-        return df.filter(ns.keep(cond) if self.get("keepHigh") else ns.reject(cond))
+        return df.filter(ns.holds(cond) if self.get("keepHigh") else ns.fails(cond))
 
 
 class RegimeColumn(Transformer, _Stage):
