@@ -50,7 +50,11 @@ def histogram_overlay(df: DataFrame, sensors, subset: str, n: int = 10, shared_e
     long = long.select("subset", "sv.sensor", "sv.v").filter(F.col("v").isNotNull())
     keys = ["sensor"] if shared_edges else ["subset", "sensor"]
     stats = long.groupBy(*keys).agg(F.min("v").alias("_min"), F.max("v").alias("_max"))
-    return (long.join(F.broadcast(stats) if len(sensors) * (1 if shared_edges else 64) < 100_000 else stats, keys)
+    from gustframe.operators.joins import attach_stats
+    # shared edges: one row per sensor (bounded by the schema); otherwise one
+    # row per (subset, sensor), broadcast only after a count check
+    joined = long.join(F.broadcast(stats), keys) if shared_edges else attach_stats(long, stats, keys)
+    return (joined
             .select("subset", "sensor", sc.hist_bin("v", n, F.col("_min"), F.col("_max")).alias("bin"))
             .groupBy("subset", "sensor", "bin").agg(F.count(F.lit(1)).alias("n")))
 
@@ -79,7 +83,8 @@ def box_stats(df: DataFrame, x: str, group: str) -> DataFrame:
     fences = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                             "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     inside = (F.col(x) >= F.col("_lo")) & (F.col(x) <= F.col("_hi"))
-    agg = src.join(fences, [group]).groupBy(group).agg(
+    from gustframe.operators.joins import attach_stats
+    agg = attach_stats(src, fences.select(group, "_lo", "_hi"), [group]).groupBy(group).agg(
         F.min(F.when(inside, F.col(x))).alias("whisker_lo"), F.max(F.when(inside, F.col(x))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
     return q.join(agg, [group])

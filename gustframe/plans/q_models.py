@@ -44,14 +44,14 @@ def _add_features_sql() -> str:
         "window w as (partition by MAC_CODE order by Date_time, ID)")
 
 
-@query("add_features", views=("turbine",), dbl={c: 6 for c in _AF_NEW}, sql=_add_features_sql())
+@query("AddFeatures", views=("turbine",), dbl={c: 6 for c in _AF_NEW}, sql=_add_features_sql())
 def add_features_q(spark, sf):
     t = V.turbine(spark, sf)
     out = fx.AddFeatures().fit(t).transform(t)
     return out.select("ID", *_AF_NEW, "WT13", "WT24", "eolCombi")
 
 
-@query("impute_median", views=("turbine",), dbl=["Rotor_speed_std", "Pitch_angle_std"],
+@query("ImputeMedian", views=("turbine",), dbl=["Rotor_speed_std", "Pitch_angle_std"],
        sql="select ID, coalesce(Rotor_speed_std, (select median(Rotor_speed_std) from turbine)) as Rotor_speed_std, "
            "coalesce(Pitch_angle_std, (select median(Pitch_angle_std) from turbine)) as Pitch_angle_std from turbine")
 def impute_median_q(spark, sf):
@@ -63,7 +63,7 @@ def impute_median_q(spark, sf):
 _REG_SQL = "case when coalesce(Rotor_speed * Rotor_speed * Rotor_speed >= 3375.0, false) then 'high' else 'low' end"
 
 
-@query("impute_median_by_regime", views=("turbine",), dbl=["Rotor_speed_std", "Pitch_angle_std"],
+@query("ImputeMedianByRegime", views=("turbine",), dbl=["Rotor_speed_std", "Pitch_angle_std"],
        sql=f"select ID, regime, coalesce(Rotor_speed_std, m.a) as Rotor_speed_std, coalesce(Pitch_angle_std, m.b) "
            f"as Pitch_angle_std from (select *, {_REG_SQL} as regime from turbine) t join (select {_REG_SQL} as regime, "
            "median(Rotor_speed_std) as a, median(Pitch_angle_std) as b from turbine group by 1) m using (regime)")
@@ -77,7 +77,7 @@ _IF = ["Rotor_speed", "Pitch_angle", "Generator_stator_temperature_min"]
 _IF_NAMES = [f"{a}^1" for a in _IF] + [f"{a}^1x{b}^1" for i, a in enumerate(_IF) for b in _IF[i + 1:]]
 
 
-@query("interaction_features", views=("turbine",), dbl=_IF_NAMES,
+@query("InteractionFeatures", views=("turbine",), dbl=_IF_NAMES,
        sql="select ID, " + ", ".join([f'{a} as "{a}^1"' for a in _IF] +
                                      [f'{a} * {b} as "{a}^1x{b}^1"' for i, a in enumerate(_IF) for b in _IF[i + 1:]])
            + " from turbine")
@@ -86,7 +86,7 @@ def interaction_features_q(spark, sf):
     return out.select("ID", *_IF_NAMES)
 
 
-@query("minmax_to", views=("turbine",), dbl={"Rotor_speed": 9, "Pitch_angle": 9},
+@query("MinMaxTo", views=("turbine",), dbl={"Rotor_speed": 9, "Pitch_angle": 9},
        sql="select ID, coalesce((Rotor_speed - s.a) / nullif(s.b - s.a, 0), 0.0) * 2 - 1 as Rotor_speed, "
            "coalesce((Pitch_angle - s.c) / nullif(s.e - s.c, 0), 0.0) * 2 - 1 as Pitch_angle from turbine, "
            "(select min(Rotor_speed) as a, max(Rotor_speed) as b, min(Pitch_angle) as c, max(Pitch_angle) as e "

@@ -72,7 +72,7 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("name", ["null_count_by_column", "flag_bounds", "check_constant", "spearman_matrix",
                                   "lag_diff", "kfold_shuffled", "quantiles_by_group", "histogram_overlay",
-                                  "density_2d", "kde", "regime_unit_medians", "add_features"])
+                                  "density_2d", "kde", "regime_unit_medians", "AddFeatures"])
 def test_no_python_udf_in_plans(spark, name):
     import __spark_entry__ as entry
     df = entry.queries()[name](spark, SF)
