@@ -78,16 +78,17 @@ def density_2d(df: DataFrame, pairs, target: str | None = None, nx: int = 10, ny
 
 def box_stats(df: DataFrame, x: str, group: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group."""
+    from gustframe.operators.joins import small_table
     src = df.filter(F.col(group).isNotNull() & F.col(x).isNotNull())
     q = pos.exact_quantiles_wide(src, x, [0.25, 0.5, 0.75], [group], names=["q1", "median", "q3"])
     fences = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                             "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
+    fences, small = small_table(fences)  # one row per group, computed once
     inside = (F.col(x) >= F.col("_lo")) & (F.col(x) <= F.col("_hi"))
-    from gustframe.operators.joins import attach_stats
-    agg = attach_stats(src, fences.select(group, "_lo", "_hi"), [group]).groupBy(group).agg(
+    joined = src.join(F.broadcast(fences) if small else fences, [group])
+    return joined.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(x))).alias("whisker_lo"), F.max(F.when(inside, F.col(x))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
-    return q.join(agg, [group])
 
 
 def kde(df: DataFrame, x: str, group: str | None = None, n_grid: int = 50) -> DataFrame:

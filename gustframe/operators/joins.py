@@ -27,14 +27,23 @@ def anti_keys(df: DataFrame, keys: DataFrame, key: str = "ID") -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> tuple[DataFrame, bool]:
+    """Materialise a per-group result once when it has at most ``max_rows``
+    rows (returned as a local DataFrame, safe to broadcast); otherwise return
+    it unchanged (lazy, joined by shuffle)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, group_cols=()) -> DataFrame:
     """Attach fitted statistics (one row, or one row per group) to every row."""
     group_cols = list(group_cols)
     if not group_cols:
         return df.crossJoin(F.broadcast(stats))
-    n = stats.count()
-    side = F.broadcast(stats) if n <= MAX_BROADCAST_GROUPS else stats
-    return df.join(side, group_cols, "left")
+    side, small = small_table(stats)
+    return df.join(F.broadcast(side) if small else side, group_cols, "left")
 
 
 def fill_from_stats(df: DataFrame, stats: DataFrame, columns, group_cols=(), suffix: str = "__fit") -> DataFrame:

@@ -76,12 +76,14 @@ PROBES = 1024
 MAX_STAT_GROUPS = 50_000
 
 
-def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None):
+def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None,
+                     max_group_rows: int | None = None):
     """One statistics pass (count, min, max, approximate quantiles per group),
     then a bucket index that splits every group into about
     ``n_group / rows_per_bucket`` ranges.  Returns (df, needs_buckets)."""
     gcols = list(group_cols)
-    if n_rows is not None and n_rows <= rows_per_bucket:
+    if (n_rows is not None and n_rows <= rows_per_bucket) or \
+            (gcols and max_group_rows is not None and max_group_rows <= rows_per_bucket):
         return df.withColumn("_bkt", F.lit(0.0)), False
     sizes = (df.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
                                     F.max(key).alias("_kmax"))
@@ -133,7 +135,8 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
 
 def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
-                     out: str = "_pos", n_rows: int | None = None) -> DataFrame:
+                     out: str = "_pos", n_rows: int | None = None,
+                     max_group_rows: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of the weight (1 per row by default)
     in order of (order_col, *tie_cols) within ``group_cols``.
 
@@ -147,7 +150,7 @@ def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(),
     w = F.col(weight_col) if weight_col else F.lit(1)
     base = df.withColumn("_key", _sort_key(F.col(order_col), _dtype(df, order_col)))
     if normalize and group_cols:
-        b, bucketed = _bucket_by_group(base, "_key", group_cols, rows_per_bucket, n_rows)
+        b, bucketed = _bucket_by_group(base, "_key", group_cols, rows_per_bucket, n_rows, max_group_rows)
     else:
         b, bucketed = _bucket_by_group(base, "_key", [], rows_per_bucket, n_rows)
     upto = (Window.partitionBy(*group_cols, "_bkt")
@@ -193,14 +196,28 @@ def ntile_from_rank(rn: Column, n: Column, k: int) -> Column:
     return F.when(rn <= r * big, first).otherwise(second).cast("int")
 
 
+def _source_sizes(df: DataFrame, group_cols) -> tuple[int, int]:
+    """(total rows, rows of the largest group) from one map-side aggregation of
+    the source; bounds the size of any de-duplicated table built from it."""
+    group_cols = list(group_cols)
+    if not group_cols:
+        n = df.count()
+        return n, n
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.sum("_n").alias("t"), F.max("_n").alias("m")).first()
+    return int(sizes["t"] or 0), int(sizes["m"] or 0)
+
+
 def average_rank(df: DataFrame, value_col: str, group_cols=(), out: str = "_rank",
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Distinct (group, value) -> average 1-based rank of the value (ties share
     the mean of their positions).  NULL values are not ranked."""
     group_cols = list(group_cols)
-    d = (df.filter(F.col(value_col).isNotNull())
-         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    p = running_position(d, value_col, group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket)
+    src = df.filter(F.col(value_col).isNotNull())
+    total, largest = _source_sizes(src, group_cols)
+    d = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    p = running_position(d, value_col, group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket,
+                         n_rows=total if not group_cols else None, max_group_rows=largest)
     return p.select(*group_cols, value_col, "_cnt",
                     (F.col("_pos") - (F.col("_cnt") - 1) / 2.0).alias(out))
 
@@ -218,8 +235,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: st
     probs = [float(p) for p in probs]
     v = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    total, largest = _source_sizes(v, group_cols)
     d = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    p = running_position(d, "_v", group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket)
+    p = running_position(d, "_v", group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket,
+                         n_rows=total if not group_cols else None, max_group_rows=largest)
     n = d.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
     # wanted 1-based positions per group: for each prob, floor and ceil of h
     wanted = []
