@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from gustframe.functions import scalars as sc
 from gustframe.operators import positions as pos
 
-# Broadcast a per-group grid only up to this many rows.
-MAX_GRID_ROWS = 5_000_000
-
-
 def _edges(stats: DataFrame, n: int, lo: str = "_min", hi: str = "_max") -> dict:
     const = F.col(hi) == F.col(lo)
     start = F.when(const, F.col(lo) - 0.5).otherwise(F.col(lo))
@@ -28,16 +24,19 @@ def _edges(stats: DataFrame, n: int, lo: str = "_min", hi: str = "_max") -> dict
 
 def histogram(df: DataFrame, x: str, n: int = 10) -> DataFrame:
     """Equal-width histogram over min..max: (bin, lo, hi, n), empty bins included."""
-    stats = df.agg(F.min(x).alias("_min"), F.max(x).alias("_max"))
-    counts = (df.crossJoin(F.broadcast(stats))
-              .select(sc.hist_bin(x, n, F.col("_min"), F.col("_max")).alias("bin"))
+    from gustframe.operators.joins import scalars
+    st = scalars(df.agg(F.min(x).alias("_min"), F.max(x).alias("_max")))
+    spark = df.sparkSession
+    if st["_min"] is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, n long")
+    edges = sc.hist_edges(n, float(st["_min"]), float(st["_max"]))
+    counts = (df.select(sc.hist_bin(x, n, st["_min"], st["_max"]).alias("bin"))
               .filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    e = _edges(stats, n)
-    bins = stats.filter(F.col("_min").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"), e["start"].alias("_s"), e["width"].alias("_w"))
-    return (bins.join(counts, "bin", "left")
-            .select(F.col("bin").cast("int").alias("bin"), (F.col("_s") + F.col("bin") * F.col("_w")).alias("lo"),
-                    (F.col("_s") + (F.col("bin") + 1) * F.col("_w")).alias("hi"),
+    start, width = edges[0], edges[1] - edges[0]
+    all_bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))  # n rows, a parameter
+    return (all_bins.join(counts, "bin", "left")
+            .select("bin", (F.lit(start) + F.col("bin") * F.lit(width)).alias("lo"),
+                    (F.lit(start) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
@@ -95,9 +94,11 @@ def kde(df: DataFrame, x: str, group: str | None = None, n_grid: int = 50) -> Da
     """Exact Gaussian kernel density (Scott bandwidth) on an evenly spaced grid
     spanning [min - range/2, max + range/2]: (group, i, g, density).
 
-    Values are pre-aggregated to (group, value, count); the grid (groups x
-    n_grid rows, size checked) is broadcast so no group is gathered in a task.
-    """
+    Values are pre-aggregated to (group, value, count); each distinct value
+    emits its ``n_grid`` kernel terms (a fixed fan-out, linear in the data) and
+    a partial aggregation sums them per grid point.  Per-group bandwidths come
+    from a small statistics table (size checked, broadcast)."""
+    from gustframe.operators.joins import attach_stats
     gcols = [group] if group else []
     src = df.filter(F.col(x).isNotNull())
     if group:
@@ -107,15 +108,12 @@ def kde(df: DataFrame, x: str, group: str | None = None, n_grid: int = 50) -> Da
                                      F.min(x).alias("_min"), F.max(x).alias("_max"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     span = F.col("_max") - F.col("_min")
-    grid = stats.select(*gcols, "_n", "_h", "_min", "_max",
-                        F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
-    grid = grid.withColumn("g", (F.col("_min") - 0.5 * span) + F.col("i") * (2.0 * span) / F.lit(float(n_grid - 1)))
-    grid = grid.select(*gcols, "i", "g", "_n", "_h").filter(F.col("_h") > 0)
-    n_groups = stats.count() if gcols else 1
-    g_side = F.broadcast(grid) if n_groups * n_grid <= MAX_GRID_ROWS else grid
-    joined = d.join(g_side, gcols, "inner") if gcols else d.crossJoin(g_side)
+    terms = (attach_stats(d, stats, gcols).filter(F.col("_h") > 0)
+             .select(*gcols, x, "_c", "_n", "_h", "_min", "_max",
+                     F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i")))
+    terms = terms.withColumn("g", (F.col("_min") - 0.5 * span) + F.col("i") * (2.0 * span) / F.lit(float(n_grid - 1)))
     u = (F.col("g") - F.col(x)) / F.col("_h")
-    return (joined.groupBy(*gcols, "i", "g", "_n", "_h")
+    return (terms.groupBy(*gcols, "i", "g", "_n", "_h")
             .agg(F.sum(F.col("_c") * F.exp(-0.5 * u * u)).alias("_s"))
             .select(*gcols, F.col("i").cast("int").alias("i"), "g",
                     (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density")))
@@ -124,10 +122,11 @@ def kde(df: DataFrame, x: str, group: str | None = None, n_grid: int = 50) -> Da
 def pivot_median_2d(df: DataFrame, x: str, y: str, target: str, nx: int = 10, ny: int = 10) -> DataFrame:
     """Bin x and y into equal right-closed bins over their observed ranges and
     pivot the median target per cell: one row per x bin, one column per y bin."""
-    stats = df.agg(F.min(x).alias("_xmin"), F.max(x).alias("_xmax"), F.min(y).alias("_ymin"), F.max(y).alias("_ymax"))
-    binned = df.crossJoin(F.broadcast(stats)).select(
-        sc.cut_equal(x, nx, F.col("_xmin"), F.col("_xmax")).alias("bx"),
-        sc.cut_equal(y, ny, F.col("_ymin"), F.col("_ymax")).alias("by"), target)
+    from gustframe.operators.joins import scalars
+    st = scalars(df.agg(F.min(x).alias("_xmin"), F.max(x).alias("_xmax"), F.min(y).alias("_ymin"),
+                        F.max(y).alias("_ymax")))
+    binned = df.select(sc.cut_equal(x, nx, st["_xmin"], st["_xmax"]).alias("bx"),
+                       sc.cut_equal(y, ny, st["_ymin"], st["_ymax"]).alias("by"), target)
     binned = binned.filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
     med = pos.exact_median(binned, target, ["bx", "by"])
     return med.groupBy("bx").pivot("by", list(range(ny))).agg(F.first("median"))

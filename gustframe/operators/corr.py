@@ -85,21 +85,19 @@ def confusion_accuracy(df: DataFrame, label: Column, pred: Column) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, score: str, label: Column, grid=None) -> DataFrame:
-    """Accuracy of ``score > t`` against ``label`` at every cut-off ``t``.
-
-    Rows are pre-aggregated to (score, label, count) and only that table meets
-    the broadcast grid (fixed size), so the sweep costs one pass.
-    """
+    """Accuracy of ``score > t`` against ``label`` at every cut-off ``t``: one
+    aggregation with two conditional counts per cut-off, then unpivoted."""
     grid = grid or threshold_grid()
-    pre = (df.select(F.col(score).alias("_s"), ns.keep(label).alias("_y"))
-           .groupBy("_s", "_y").agg(F.count(F.lit(1)).alias("_c")))
-    g = df.sparkSession.createDataFrame([(float(t),) for t in grid], "threshold double")
-    hit = ns.keep(F.col("_s") > F.col("threshold"))
-    return (pre.crossJoin(F.broadcast(g)).groupBy("threshold")
-            .agg(F.sum(F.when(hit & F.col("_y"), F.col("_c")).otherwise(0)).alias("tp"),
-                 F.sum(F.when(~hit & ~F.col("_y"), F.col("_c")).otherwise(0)).alias("tn"),
-                 F.sum("_c").alias("n"))
-            .withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("n")))
+    s, y = F.col(score), ns.keep(label)
+    aggs = []
+    for i, t in enumerate(grid):
+        hit = ns.keep(s > F.lit(float(t)))
+        aggs += [F.count_if(hit & y).alias(f"tp{i}"), F.count_if(~hit & ~y).alias(f"tn{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    out = row.select(F.explode(F.array(*[
+        F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"tn{i}").alias("tn"),
+                 F.col("n").alias("n")) for i, t in enumerate(grid)])).alias("r")).select("r.*")
+    return out.withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("n"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -27,6 +27,20 @@ def anti_keys(df: DataFrame, keys: DataFrame, key: str = "ID") -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def scalars(agg_row_df: DataFrame) -> dict:
+    """The single row of a global aggregate as a dict (a few numbers)."""
+    row = agg_row_df.first()
+    return row.asDict() if row is not None else {c: None for c in agg_row_df.columns}
+
+
+def with_scalars(df: DataFrame, agg_row_df: DataFrame) -> DataFrame:
+    """Attach the values of a one-row aggregate to every row as literals
+    (computed first, then inlined: no join)."""
+    vals = scalars(agg_row_df)
+    types = dict(agg_row_df.dtypes)
+    return df.withColumns({k: F.lit(v).cast(types[k]) for k, v in vals.items()})
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> tuple[DataFrame, bool]:
     """Materialise a per-group result once when it has at most ``max_rows``
     rows (returned as a local DataFrame, safe to broadcast); otherwise return
@@ -41,7 +55,7 @@ def attach_stats(df: DataFrame, stats: DataFrame, group_cols=()) -> DataFrame:
     """Attach fitted statistics (one row, or one row per group) to every row."""
     group_cols = list(group_cols)
     if not group_cols:
-        return df.crossJoin(F.broadcast(stats))
+        return with_scalars(df, stats)
     side, small = small_table(stats)
     return df.join(F.broadcast(side) if small else side, group_cols, "left")
 

@@ -27,6 +27,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 # Largest number of (group, bucket) offset rows broadcast without a check.
@@ -121,7 +122,6 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
                 qv = r["_q"][min(PROBES - 2, round(j * PROBES / m) - 1)]
                 bounds.append(i + 0.5 * (qv - lo) / span)
     schema = df.select(*gcols).schema
-    from pyspark.sql import types as T
     fields = list(schema.fields) + [T.StructField("_gi", T.DoubleType()), T.StructField("_gmin", T.DoubleType()),
                                     T.StructField("_gspan", T.DoubleType())]
     gdf = df.sparkSession.createDataFrame(rows, T.StructType(fields))
@@ -222,6 +222,23 @@ def average_rank(df: DataFrame, value_col: str, group_cols=(), out: str = "_rank
                     (F.col("_pos") - (F.col("_cnt") - 1) / 2.0).alias(out))
 
 
+def _group_sizes(df: DataFrame, group_cols):
+    """Row count per group (map-side aggregation of the source), or None when
+    there are more than MAX_STAT_GROUPS groups."""
+    rows = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+            .limit(MAX_STAT_GROUPS + 1).collect())
+    return None if len(rows) > MAX_STAT_GROUPS else rows
+
+
+def _wanted(n: int, probs) -> list[tuple[int, int, int]]:
+    """(prob index, side, 1-based position) of the values a quantile reads."""
+    out = []
+    for i, q in enumerate(probs):
+        lo = math.floor(q * (n - 1))
+        out += [(i, 0, lo + 1), (i, 1, min(lo + 2, n))]
+    return out
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: str = "value",
                     prob_col: str = "q", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile`` / ``quantile_cont``)
@@ -229,30 +246,45 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: st
 
     Nothing group-sized is gathered into one task: values are pre-aggregated,
     positioned with :func:`running_position`, and each quantile is read from
-    the one or two values whose position range covers it.
+    the one or two values whose position range covers it.  Group sizes come
+    from one map-side count of the source, so the wanted positions are known
+    on the driver and travel as literals (or a small broadcast table).
     """
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
     v = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    total, largest = _source_sizes(v, group_cols)
+    sizes = _group_sizes(v, group_cols)
+    largest = max((r["_n"] for r in sizes), default=0) if sizes is not None else None
     d = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     p = running_position(d, "_v", group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket,
-                         n_rows=total if not group_cols else None, max_group_rows=largest)
-    n = d.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-    # wanted 1-based positions per group: for each prob, floor and ceil of h
-    wanted = []
-    for i, q in enumerate(probs):
-        h = F.lit(q) * (F.col("_n") - 1)
-        lo = F.floor(h)
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), (lo + 1).alias("k")))
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"),
-                               F.least(lo + 2, F.col("_n")).alias("k")))
-    targets = n.select(*group_cols, "_n", F.array(*wanted).alias("_want"))
-    if not group_cols:
-        joined = p.crossJoin(F.broadcast(targets))  # one row
+                         n_rows=largest if not group_cols else None, max_group_rows=largest)
+    want_t = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("side", T.IntegerType()),
+                                       T.StructField("k", T.LongType())]))
+    if sizes is not None:
+        if not sizes or sizes[0]["_n"] == 0:
+            return df.sparkSession.createDataFrame([], v.select(*group_cols).schema.add(prob_col, T.DoubleType())
+                                                   .add(out, T.DoubleType()))
+        if not group_cols:
+            n = sizes[0]["_n"]
+            lit_want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sd).alias("side"), F.lit(k).cast("long").alias("k"))
+                                 for i, sd, k in _wanted(n, probs)])
+            joined = p.withColumns({"_n": F.lit(n).cast("long"), "_want": lit_want})
+        else:
+            rows = [tuple(r[g] for g in group_cols) + (int(r["_n"]), _wanted(int(r["_n"]), probs)) for r in sizes]
+            schema = d.select(*group_cols).schema.add("_n", T.LongType()).add("_want", want_t)
+            targets = df.sparkSession.createDataFrame(rows, schema)
+            joined = p.join(F.broadcast(targets), group_cols, "inner")  # one row per group, counted
     else:
-        joined = p.join(targets, group_cols, "inner")  # one row per group
+        n = d.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
+        wanted = []
+        for i, q in enumerate(probs):
+            lo = F.floor(F.lit(q) * (F.col("_n") - 1))
+            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), (lo + 1).cast("long").alias("k")))
+            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"),
+                                   F.least(lo + 2, F.col("_n")).cast("long").alias("k")))
+        targets = n.select(*group_cols, "_n", F.array(*wanted).alias("_want"))
+        joined = p.join(targets, group_cols, "inner")
     start = F.col("_pos") - F.col("_cnt") + 1
     hits = joined.select(
         *group_cols, "_n", "_v",

@@ -35,7 +35,8 @@ def describe(df: DataFrame, x: str, group_cols=()) -> DataFrame:
     qs = pos.exact_quantiles_wide(src, x, DESCRIBE_PROBS, group_cols, names=["q25", "q50", "q75"])
     if group_cols:
         return base.join(qs, group_cols, "left")
-    return base.crossJoin(qs)
+    from gustframe.operators.joins import with_scalars
+    return with_scalars(base, qs)
 
 
 def quantiles(df: DataFrame, x: str, probs=DEFAULT_QUANTILES, group_cols=()) -> DataFrame:
@@ -74,10 +75,9 @@ def value_counts(df: DataFrame, x: str) -> DataFrame:
 
 def value_counts_share(df: DataFrame, x: str) -> DataFrame:
     """Frequency per value as a share of *all* rows (the total is one row)."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.count()
     counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.crossJoin(F.broadcast(total))
-            .select(x, "n", (F.col("n") / F.col("_total")).alias("share")).orderBy(x))
+    return counts.select(x, "n", (F.col("n") / F.lit(float(total) if total else None)).alias("share")).orderBy(x)
 
 
 def null_count_by_column(df: DataFrame, columns=None) -> DataFrame:

@@ -329,9 +329,8 @@ def anti_keys_q(spark, sf):
 def broadcast_fit_stats_q(spark, sf):
     t = V.turbine(spark, sf)
     med = pos.exact_median(t, "Rotor_speed_std", out="Rotor_speed_std")
-    mins = t.agg(F.min("Rotor_speed").alias("_min_speed"))
-    stats = med.crossJoin(mins)
-    out = joins.fill_from_stats(joins.attach_stats(t, stats.select("_min_speed")), stats, ["Rotor_speed_std"])
+    out = joins.fill_from_stats(joins.attach_stats(t, t.agg(F.min("Rotor_speed").alias("_min_speed"))),
+                                med, ["Rotor_speed_std"])
     return out.select("ID", "Rotor_speed_std", (F.col("Rotor_speed") - F.col("_min_speed")).alias("speed_shift"))
 
 
