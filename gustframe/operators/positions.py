@@ -126,8 +126,9 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
                                     T.StructField("_gspan", T.DoubleType())]
     gdf = df.sparkSession.createDataFrame(rows, T.StructType(fields))
     keyed = (df.join(F.broadcast(gdf), gcols, "left")
-             .withColumn("_gkey", F.col("_gi") + F.coalesce(0.5 * F.try_divide(F.col(key) - F.col("_gmin"),
-                                                                                F.col("_gspan")), F.lit(0.0)))
+             # a NULL group key matches no statistics row: give it its own slot
+             .withColumn("_gkey", F.coalesce(F.col("_gi"), F.lit(-1.0)) +
+                         F.coalesce(0.5 * F.try_divide(F.col(key) - F.col("_gmin"), F.col("_gspan")), F.lit(0.0)))
              .drop("_gi", "_gmin", "_gspan"))
     out, _ = _apply_splits(keyed, "_gkey", bounds, "_bkt")
     return out.drop("_gkey"), True

@@ -40,8 +40,8 @@ def lag_diff(df: DataFrame, cols, unit: str = "MAC_CODE", order=("Date_time", "I
             F.max(F.struct(*[F.col(c) for c in order], payload.alias("_p"))).alias("_last"))
         carry = last.select(unit, "_lbkt", F.lag("_last._p").over(
             Window.partitionBy(unit).orderBy("_lbkt")).alias("_carry"))
-        # carry has units x buckets rows, bounded by the bucket count
-        carry = F.broadcast(carry)  # units x buckets rows (buckets <= positions.PROBES)
+        # carry has units x buckets rows: small, but the unit count is not
+        # bounded by construction, so AQE picks the join from its run-time size
         b = b.join(carry, [unit, "_lbkt"], "left").withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry")
     out = {names[c]: F.when(F.col(unit).isNotNull(), F.col(f"_prev.{c}") - F.col(c)) for c in cols}
     return b.withColumns(out).drop("_prev", "_lkey", "_lbkt")

@@ -1,0 +1 @@
+"""gustframe.plans"""

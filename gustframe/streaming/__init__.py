@@ -1,0 +1,8 @@
+"""Streaming entry points.
+
+The analysed workload reads, profiles and models static tables only: it has
+no stream source, event-time window, watermark or state.  Nothing is
+registered here on purpose.  Every operator in ``gustframe.operators`` is a
+plain DataFrame transformation, so the stateless ones (filters, scalar
+features, regime flags) also run unchanged on a ``readStream`` DataFrame.
+"""
