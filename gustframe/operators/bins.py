@@ -60,7 +60,7 @@ def histogram_overlay(df: DataFrame, sensors, subset: str, n: int = 10, shared_e
 
 def density_2d(df: DataFrame, pairs, target: str | None = None, nx: int = 10, ny: int = 10) -> DataFrame:
     """Joint 2-D bin counts (and mean target) for many column pairs at once:
-    (x_col, y_col, bx, by, n[, target_mean])."""
+    (x_col, y_col, bx, by, n[, target_mean, target_sum])."""
     rows = df.select(*([F.col(target).alias("_t")] if target else []), F.explode(F.array(*[
         F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), F.col(a).cast("double").alias("x"),
                  F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
@@ -71,7 +71,8 @@ def density_2d(df: DataFrame, pairs, target: str | None = None, nx: int = 10, ny
         "x_col", "y_col", *(["_t"] if target else []),
         sc.hist_bin("x", nx, F.col("_xmin"), F.col("_xmax")).alias("bx"),
         sc.hist_bin("y", ny, F.col("_ymin"), F.col("_ymax")).alias("by"))
-    aggs = [F.count(F.lit(1)).alias("n")] + ([F.avg("_t").alias("target_mean")] if target else [])
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.avg("_t").alias("target_mean"), F.sum("_t").alias("target_sum")]
+                                              if target else [])
     return binned.groupBy("x_col", "y_col", "bx", "by").agg(*aggs)
 
 

@@ -39,12 +39,22 @@ def describe(df: DataFrame, x: str, group_cols=()) -> DataFrame:
     return with_scalars(base, qs)
 
 
-def quantiles(df: DataFrame, x: str, probs=DEFAULT_QUANTILES, group_cols=()) -> DataFrame:
+def quantiles(df: DataFrame, x: str, probs=DEFAULT_QUANTILES, group_cols=(), approx: bool = False,
+              accuracy: int = 10_000) -> DataFrame:
+    """Long-form quantiles (group..., q, value): exact linear interpolation by
+    default; ``approx=True`` uses one ``percentile_approx`` pass (rank error
+    about n / accuracy) when exactness is not needed."""
     group_cols = list(group_cols)
     src = df
     for g in group_cols:
         src = src.filter(F.col(g).isNotNull())
-    return pos.exact_quantiles(src, x, probs, group_cols)
+    if not approx:
+        return pos.exact_quantiles(src, x, probs, group_cols)
+    probs = [float(p) for p in probs]
+    arr = src.groupBy(*group_cols).agg(F.percentile_approx(x, probs, accuracy).alias("_qs"))
+    return arr.select(*group_cols, F.posexplode("_qs").alias("_i", "value")).select(
+        *group_cols, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("q"),
+        F.col("value").cast("double").alias("value"))
 
 
 def median_by(df: DataFrame, x: str, group_cols, out: str = "median") -> DataFrame:

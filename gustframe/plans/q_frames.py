@@ -183,22 +183,22 @@ def filter_null_q(spark, sf):
     return nulls.select("okey", "line", "MAC_CODE", "TARGET")
 
 
-@query("filter_compound", views=("wide",), dbl={"mean_target": 4},
-       sql="select MAC_CODE, count(*) as n, avg(TARGET) as mean_target from wide where not coalesce("
+@query("filter_compound", views=("wide",), dbl={"sum_target": 2},
+       sql="select MAC_CODE, count(*) as n, sum(TARGET) as sum_target from wide where not coalesce("
            f"Pitch_angle < {d(-0.035)} or Rotor_speed_std > {d(0.09)} or Grid_voltage >= {d(0.07)}, false) "
            "group by MAC_CODE")
 def filter_compound_q(spark, sf):
     noise = ns.any_of(F.col("Pitch_angle") < -0.035, F.col("Rotor_speed_std") > 0.09, F.col("Grid_voltage") >= 0.07)
     _, clean = filters.split_mask(V.wide(spark, sf), noise)
-    return clean.groupBy("MAC_CODE").agg(F.count(F.lit(1)).alias("n"), F.avg("TARGET").alias("mean_target"))
+    return clean.groupBy("MAC_CODE").agg(F.count(F.lit(1)).alias("n"), F.sum("TARGET").alias("sum_target"))
 
 
-@query("split_regime2", views=("wide",), dbl={"mean_target": 4},
+@query("split_regime2", views=("wide",), dbl={"sum_target": 2},
        sql="select case when coalesce(Rotor_speed * Rotor_speed * Rotor_speed >= 3375.0, false) then 'high' else 'low' end "
-           "as regime, count(*) as n, avg(TARGET) as mean_target from wide group by 1")
+           "as regime, count(*) as n, sum(TARGET) as sum_target from wide group by 1")
 def split_regime2_q(spark, sf):
     w = filters.with_regime(V.wide(spark, sf))
-    return w.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("TARGET").alias("mean_target"))
+    return w.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.sum("TARGET").alias("sum_target"))
 
 
 @query("keep_high_regime", views=("wide_keyed",), dbl=["Rotor_speed", "TARGET"],

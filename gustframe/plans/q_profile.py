@@ -372,14 +372,17 @@ def _density_sql() -> str:
     longs = union_sql(f"select '{a}' as x_col, '{b}' as y_col, cast({a} as double) as x, cast({b} as double) as y, "
                       f"TARGET as _t from wide where {a} is not null and {b} is not null" for a, b in _D2_PAIRS)
     return ("select l.x_col, l.y_col, cast(least(floor((x - xmn) / ((xmx - xmn) / 10.0)), 9) as int) as bx, "
-            "cast(least(floor((y - ymn) / ((ymx - ymn) / 10.0)), 9) as int) as by, count(*) as n, avg(_t) as target_mean "
+            "cast(least(floor((y - ymn) / ((ymx - ymn) / 10.0)), 9) as int) as by, count(*) as n, sum(_t) as target_sum "
             f"from ({longs}) l join (select x_col, y_col, min(x) as xmn, max(x) as xmx, min(y) as ymn, max(y) as ymx "
             f"from ({longs}) t group by 1, 2) s on l.x_col = s.x_col and l.y_col = s.y_col group by 1, 2, 3, 4")
 
 
-@query("density_2d", views=("wide",), dbl={"target_mean": 2}, sql=_density_sql())
+@query("density_2d", views=("wide",), dbl={"target_sum": 2}, sql=_density_sql())
 def density_2d_q(spark, sf):
-    return bins.density_2d(V.wide(spark, sf), _D2_PAIRS, target="TARGET")
+    """Counts and target sums per cell (sums of cent values round exactly;
+    the mean is target_sum / n)."""
+    d2 = bins.density_2d(V.wide(spark, sf), _D2_PAIRS, target="TARGET")
+    return d2.drop("target_mean")
 
 
 @query("polar_profile", views=("direction",), dbl=["mid_deg", "mid_rad", "median"],

@@ -99,3 +99,11 @@ def test_null_safe_complement_still_pushes_down(spark):
     hi, lo = filters.split_mask(V.signed(spark, SF), F.col("TARGET") >= 0)
     pushed = _plan(lo.select("ID")).split("PushedFilters: ")[1].split("]")[0]
     assert "Or(" in pushed and "LessThan(c_acctbal,0.0)" in pushed and "IsNull(c_acctbal)" in pushed
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    w = V.wide(spark, SF)
+    exact = {r.q: r.value for r in profile.quantiles(w, "TARGET", [0.1, 0.5, 0.9]).collect()}
+    approx = {r.q: r.value for r in profile.quantiles(w, "TARGET", [0.1, 0.5, 0.9], approx=True).collect()}
+    for q, v in exact.items():
+        assert abs(approx[q] - v) <= 0.02 * abs(v)
