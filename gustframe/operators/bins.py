@@ -44,7 +44,8 @@ def histogram_overlay(df: DataFrame, sensors, subset: str, n: int = 10, shared_e
     """Histograms of many sensors for several row subsets in one job:
     (subset, sensor, bin, n).  ``shared_edges=False`` bins each subset over
     its own range."""
-    long = df.select(F.col(subset).alias("subset"), F.explode(F.array(*[
+    from gustframe.session import spread
+    long = spread(df).select(F.col(subset).alias("subset"), F.explode(F.array(*[
         F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in sensors])).alias("sv"))
     long = long.select("subset", "sv.sensor", "sv.v").filter(F.col("v").isNotNull())
     keys = ["sensor"] if shared_edges else ["subset", "sensor"]
@@ -61,7 +62,8 @@ def histogram_overlay(df: DataFrame, sensors, subset: str, n: int = 10, shared_e
 def density_2d(df: DataFrame, pairs, target: str | None = None, nx: int = 10, ny: int = 10) -> DataFrame:
     """Joint 2-D bin counts (and mean target) for many column pairs at once:
     (x_col, y_col, bx, by, n[, target_mean, target_sum])."""
-    rows = df.select(*([F.col(target).alias("_t")] if target else []), F.explode(F.array(*[
+    from gustframe.session import spread
+    rows = spread(df).select(*([F.col(target).alias("_t")] if target else []), F.explode(F.array(*[
         F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), F.col(a).cast("double").alias("x"),
                  F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
     rows = rows.select(*(["_t"] if target else []), "p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())

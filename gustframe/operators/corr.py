@@ -15,7 +15,8 @@ def threshold_grid(start: int = 10, stop: int = 95, step: int = 5) -> list[float
 
 
 def _pair_long(df: DataFrame, pairs) -> DataFrame:
-    rows = df.select(F.explode(F.array(*[
+    from gustframe.session import spread
+    rows = spread(df).select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"),
                  F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
     return rows.select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull()

@@ -35,6 +35,12 @@ def boosted(maxIter: int = 50, maxDepth: int = 4, stepSize: float = 0.1, subsamp
                         featureSubsetStrategy=featureSubsetStrategy, seed=seed, labelCol=label, featuresCol="features")
 
 
+def fit_input(df: DataFrame) -> DataFrame:
+    """Training input spread over all cores (small files have few splits)."""
+    from gustframe.session import spread
+    return spread(df)
+
+
 def regression_pipeline(features, estimator, impute: bool = True) -> Pipeline:
     """[median imputation] -> assembler -> estimator."""
     stages = [ImputeMedian(inputCols=list(features))] if impute else []
@@ -58,8 +64,9 @@ class RegimeModel:
     def fit(self, df: DataFrame) -> "RegimeModel":
         tagged = self._split(df)
         for regime, feats in self.features.items():
-            part = tagged.filter(F.col("regime") == regime)
+            part = fit_input(tagged.filter(F.col("regime") == regime)).cache()
             self.models[regime] = regression_pipeline(feats, self.estimators[regime]).fit(part)
+            part.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
     """k-fold MAE, train and test, one row per fold.  Folds come from the hash
     order of the key (reproducible); fits run in parallel driver threads, each
     a distributed job."""
-    folded = windows.kfold_shuffled(df, k, key, seed).cache()
+    folded = fit_input(windows.kfold_shuffled(df, k, key, seed)).cache()
 
     def one(fold: int):
         train = folded.filter(F.col("fold") != fold)

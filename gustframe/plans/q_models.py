@@ -112,7 +112,7 @@ def _featured(spark, sf):
 
 def _split(df, seed=345):
     s = windows.split_holdout(df, 0.2, "ID", seed=seed)
-    return s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
+    return M.fit_input(s.filter(~F.col("is_test"))), s.filter(F.col("is_test"))
 
 
 def _scored(model, train, test):

@@ -63,3 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Repartition a DataFrame that has fewer partitions than the cluster has
+    cores (a small file with few row groups); a no-op on large inputs, whose
+    scans already have many splits.  Use before fan-out stages (explode of
+    pairs / sensors) and iterative model fits."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
