@@ -110,6 +110,15 @@ def _featured(spark, sf):
     return fx.AddFeatures().fit(t).transform(t)
 
 
+def _featured_imputed(spark, sf, cols=None):
+    """Features added and NULLs filled once with the medians of the table,
+    before any validation loop (only column selection and the model are
+    validated)."""
+    f = _featured(spark, sf)
+    cols = cols or sorted(set(LOW_FEATS) | set(HIGH_FEATS) | set(BASE_FEATS))
+    return M.fit_input(fx.ImputeMedian(inputCols=cols).fit(f).transform(f))
+
+
 def _split(df, seed=345):
     s = windows.split_holdout(df, 0.2, "ID", seed=seed)
     return M.fit_input(s.filter(~F.col("is_test"))), s.filter(F.col("is_test"))
@@ -132,7 +141,7 @@ def forest_regressor_q(spark, sf):
 @query("boosted_regressor")
 def boosted_regressor_q(spark, sf):
     train, test = _split(V.turbine(spark, sf))
-    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=40, maxDepth=4, stepSize=0.1)).fit(train)
+    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=30, maxDepth=4, stepSize=0.1)).fit(train)
     return _scored(model, train, test)
 
 
@@ -248,29 +257,30 @@ def chain_of_stages_q(spark, sf):
 
 @query("cross_validate")
 def cross_validate_q(spark, sf):
-    df = _featured(spark, sf)
-    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=20, maxDepth=3)), df, k=5)
+    df = _featured_imputed(spark, sf)
+    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=20, maxDepth=3), impute=False),
+                            df, k=5, parallelism=4)
 
 
 @query("search_params")
 def search_params_q(spark, sf):
-    df = _featured(spark, sf)
+    df = _featured_imputed(spark, sf)
 
     def make(maxIter=20, maxDepth=3, subsamplingRate=1.0):
         return M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=int(maxIter), maxDepth=int(maxDepth),
-                                                          subsamplingRate=float(subsamplingRate)))
-    bounds = {"maxIter": (10, 30), "maxDepth": (3, 6), "subsamplingRate": (0.75, 1.0)}
-    given = [{"maxIter": 20, "maxDepth": 6, "subsamplingRate": 0.75}, {"maxIter": 10, "maxDepth": 3, "subsamplingRate": 0.75}]
-    return M.search_params(make, df, bounds, given, n_random=2, k=2)
+                                                          subsamplingRate=float(subsamplingRate)), impute=False)
+    bounds = {"maxIter": (5, 15), "maxDepth": (3, 6), "subsamplingRate": (0.75, 1.0)}
+    given = [{"maxIter": 10, "maxDepth": 6, "subsamplingRate": 0.75}, {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 0.75}]
+    return M.search_params(make, df, bounds, given, n_random=2, k=2, parallelism=4)
 
 
 @query("compare_models")
 def compare_models_q(spark, sf):
     """Two variants side by side with their residuals (no join: both models
     score the same rows in one plan)."""
-    train, test = _split(_featured(spark, sf))
-    a = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=10, maxDepth=3)).fit(train)
-    b = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=30, maxDepth=3)).fit(train)
+    train, test = _split(_featured_imputed(spark, sf))
+    a = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=10, maxDepth=3), impute=False).fit(train)
+    b = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=30, maxDepth=3), impute=False).fit(train)
     pa = a.transform(test).withColumnRenamed("prediction", "pred_a").drop("features")
     both = b.transform(pa).withColumnRenamed("prediction", "pred_b")
     return both.select("ID", "TARGET", "pred_a", "pred_b", (F.col("TARGET") - F.col("pred_a")).alias("residual_a"),
@@ -279,15 +289,15 @@ def compare_models_q(spark, sf):
 
 @query("importance_over_splits")
 def importance_over_splits_q(spark, sf):
-    df = _featured(spark, sf)
-    return M.importance_over_splits(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=15, maxDepth=3)),
-                                    df, LOW_FEATS)
+    df = _featured_imputed(spark, sf)
+    return M.importance_over_splits(
+        lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=15, maxDepth=3), impute=False), df, LOW_FEATS)
 
 
 @query("rank_importance")
 def rank_importance_q(spark, sf):
-    train, _ = _split(_featured(spark, sf))
-    model = M.regression_pipeline(LOW_FEATS, M.forest(30, 8)).fit(train)
+    train, _ = _split(_featured_imputed(spark, sf))
+    model = M.regression_pipeline(LOW_FEATS, M.forest(30, 8), impute=False).fit(train)
     return M.importance_table(spark, LOW_FEATS, model)
 
 
