@@ -77,6 +77,12 @@ PROBES = 1024
 MAX_STAT_GROUPS = 50_000
 
 
+def _probe_index(j: int, m: int) -> int:
+    """Index of the probe closest to the j-th of m equal-count cut points
+    (probes are at i / PROBES, i = 1 .. PROBES - 1)."""
+    return min(PROBES - 2, max(0, round(j * PROBES / m) - 1))
+
+
 def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None,
                      max_group_rows: int | None = None):
     """One statistics pass (count, min, max, approximate quantiles per group),
@@ -103,7 +109,7 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
     if not gcols:
         r = stats[0]
         m = max(1, math.ceil(r["_n"] / rows_per_bucket))
-        picks = [r["_q"][min(PROBES - 2, round(j * PROBES / m) - 1)] for j in range(1, m)]
+        picks = [r["_q"][_probe_index(j, m)] for j in range(1, m)]
         out, _ = _apply_splits(df, key, picks, "_bkt")
         return out, True
     # Put group i on [i, i + 0.5] (order-preserving inside the group) so that
@@ -119,7 +125,7 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
         m = max(1, math.ceil(r["_n"] / rows_per_bucket))
         if m > 1 and span:
             for j in range(1, min(m, PROBES)):
-                qv = r["_q"][min(PROBES - 2, round(j * PROBES / m) - 1)]
+                qv = r["_q"][_probe_index(j, m)]
                 bounds.append(i + 0.5 * (qv - lo) / span)
     schema = df.select(*gcols).schema
     fields = list(schema.fields) + [T.StructField("_gi", T.DoubleType()), T.StructField("_gmin", T.DoubleType()),
