@@ -70,5 +70,6 @@ def fill_from_stats(df: DataFrame, stats: DataFrame, columns, group_cols=(), suf
 
 
 def aggregates_side_by_side(df: DataFrame, group: str, aggs: dict) -> DataFrame:
-    """Per-group aggregates side by side: one ``groupBy().agg()``, no join."""
-    return df.groupBy(group).agg(*[expr.alias(name) for name, expr in aggs.items()])
+    """Per-group aggregates side by side: one ``groupBy().agg()``, no join.
+    NULL group keys are dropped, as a grouped frame would."""
+    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(*[expr.alias(name) for name, expr in aggs.items()])

@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
-# Largest number of (group, bucket) offset rows broadcast without a check.
-MAX_BROADCAST_OFFSETS = 2_000_000
 
 
 def _sort_key(c: Column, dtype: str) -> Column:
@@ -50,17 +48,6 @@ def _dtype(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
-def bucketize(df: DataFrame, key: str, n_rows: int, rows_per_bucket: int, out: str = "_bkt") -> tuple[DataFrame, int]:
-    """Add a range-bucket index on numeric ``key``; returns (df, n_buckets)."""
-    n_buckets = max(1, math.ceil(n_rows / max(1, rows_per_bucket)))
-    if n_buckets == 1:
-        return df.withColumn(out, F.lit(0.0)), 1
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(10_000, 20 * n_buckets)
-    bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"] or []
-    return _apply_splits(df, key, bounds, out)
-
-
 def _apply_splits(df: DataFrame, key: str, bounds, out: str) -> tuple[DataFrame, int]:
     inner = sorted({float(b) for b in bounds if b is not None and math.isfinite(b)})
     if not inner:
@@ -85,9 +72,10 @@ def _probe_index(j: int, m: int) -> int:
 
 def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None,
                      max_group_rows: int | None = None):
-    """One statistics pass (count, min, max, approximate quantiles per group),
-    then a bucket index that splits every group into about
-    ``n_group / rows_per_bucket`` ranges.  Returns (df, needs_buckets)."""
+    """Bucket index that splits every group into about ``n_group /
+    rows_per_bucket`` key ranges.  A count pass decides whether any group
+    needs more than one bucket; only then a second pass takes approximate
+    quantile probes per group.  Returns (df, needs_buckets)."""
     gcols = list(group_cols)
     if (n_rows is not None and n_rows <= rows_per_bucket) or \
             (gcols and max_group_rows is not None and max_group_rows <= rows_per_bucket):
