@@ -115,11 +115,15 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
     return spark.createDataFrame(rows, "fold int, train_mae double, test_mae double")
 
 
-def search_params(make_pipeline, df: DataFrame, bounds: dict, given: list[dict], n_random: int = 3,
-                  seed: int = 11, k: int = 2, key: str = "ID", label: str = "TARGET",
+def search_params(pipeline: Pipeline, estimator, df: DataFrame, bounds: dict, given: list[dict],
+                  n_random: int = 3, seed: int = 11, k: int = 2, key: str = "ID", label: str = "TARGET",
                   integer_params=("maxIter", "maxDepth"), parallelism: int = 2) -> DataFrame:
-    """Evaluate the given points plus seeded random draws inside the bounds by
-    k-fold test MAE; returns the trials table sorted best first."""
+    """Evaluate the given points plus seeded random draws inside the bounds
+    with Spark's ``CrossValidator`` (hash folds as ``foldCol``, fits in
+    parallel); returns the trials table, best (lowest MAE) first."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
     rng = random.Random(seed)
     points = [dict(p) for p in given]
     for _ in range(n_random):
@@ -127,13 +131,16 @@ def search_params(make_pipeline, df: DataFrame, bounds: dict, given: list[dict],
         for name, (lo, hi) in bounds.items():
             p[name] = rng.randint(int(lo), int(hi)) if name in integer_params else rng.uniform(lo, hi)
         points.append(p)
-    trials = []
-    for i, p in enumerate(points):
-        scores = cross_validate(lambda p=p: make_pipeline(**p), df, k, key, seed, label, parallelism,
-                                train_scores=False).agg(F.avg("test_mae")).first()[0]
-        trials.append((i, str(sorted(p.items())), float(scores)))
-    spark = df.sparkSession
-    return spark.createDataFrame(trials, "trial int, params string, cv_mae double").orderBy("cv_mae", "trial")
+    maps = [{getattr(estimator, name): (int(v) if name in integer_params else float(v)) for name, v in p.items()}
+            for p in points]
+    folded = fit_input(windows.kfold_shuffled(df, k, key, seed)).withColumn("fold", F.col("fold") - 1).cache()
+    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=k, foldCol="fold",
+                        evaluator=RegressionEvaluator(metricName="mae", labelCol=label), parallelism=parallelism,
+                        seed=seed)
+    metrics = cv.fit(folded).avgMetrics
+    folded.unpersist()
+    trials = [(i, str(sorted(p.items())), float(m)) for i, (p, m) in enumerate(zip(points, metrics))]
+    return df.sparkSession.createDataFrame(trials, "trial int, params string, cv_mae double").orderBy("cv_mae", "trial")
 
 
 def importance_table(spark: SparkSession, names, model) -> DataFrame:

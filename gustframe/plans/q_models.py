@@ -265,13 +265,11 @@ def cross_validate_q(spark, sf):
 @query("search_params")
 def search_params_q(spark, sf):
     df = _featured_imputed(spark, sf)
-
-    def make(maxIter=20, maxDepth=3, subsamplingRate=1.0):
-        return M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=int(maxIter), maxDepth=int(maxDepth),
-                                                          subsamplingRate=float(subsamplingRate)), impute=False)
+    gbt = M.boosted(maxIter=10, maxDepth=3)
+    pipe = M.regression_pipeline(LOW_FEATS, gbt, impute=False)
     bounds = {"maxIter": (5, 15), "maxDepth": (3, 6), "subsamplingRate": (0.75, 1.0)}
     given = [{"maxIter": 10, "maxDepth": 6, "subsamplingRate": 0.75}, {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 0.75}]
-    return M.search_params(make, df, bounds, given, n_random=2, k=2, parallelism=4)
+    return M.search_params(pipe, gbt, df, bounds, given, n_random=2, k=2, parallelism=4)
 
 
 @query("compare_models")

@@ -87,3 +87,12 @@ def test_cross_validate_and_feature_stage_persistence(spark, signal, tmp_path):
     model.write().overwrite().save(path)
     back = fx.ImputeMedianModel.load(path)
     assert back.getOrDefault(back.medians) == model.getOrDefault(model.medians)
+
+
+def test_search_params_with_cross_validator(spark, signal):
+    gbt = M.boosted(maxIter=3, maxDepth=2)
+    pipe = M.regression_pipeline(["Rotor_speed", "Pitch_angle"], gbt, impute=False)
+    trials = M.search_params(pipe, gbt, signal.limit(3000), {"maxIter": (2, 6), "maxDepth": (2, 4)},
+                             [{"maxIter": 3, "maxDepth": 2}], n_random=1, k=2).collect()
+    assert len(trials) == 2
+    assert trials[0].cv_mae <= trials[1].cv_mae and all(t.cv_mae > 0 for t in trials)
