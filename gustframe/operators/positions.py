@@ -84,7 +84,7 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
                                     F.max(key).alias("_kmax"))
              .limit(MAX_STAT_GROUPS + 1).collect())
     if len(sizes) > MAX_STAT_GROUPS:
-        raise ValueError(f"more than {MAX_STAT_GROUPS} groups: use a coarser grouping")
+        return _bucket_many_groups(df, key, gcols, rows_per_bucket), True
     if all(r["_n"] <= rows_per_bucket for r in sizes):
         return df.withColumn("_bkt", F.lit(0.0)), False
     # second pass only when some group needs more than one bucket
@@ -128,6 +128,27 @@ def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int,
     return out.drop("_gkey"), True
 
 
+def _bucket_many_groups(df: DataFrame, key: str, gcols, rows_per_bucket: int) -> DataFrame:
+    """Too many groups to gather their statistics on the driver: normalise the
+    key to [0, 1] inside each group (per-group min/max joined back by
+    shuffle) and cut it with one set of global quantile bounds, so a large
+    group is still split into about n_group / rows_per_bucket ranges."""
+    rng = df.groupBy(*gcols).agg(F.min(key).alias("_gmin"), F.max(key).alias("_gmax"),
+                                 F.count(F.lit(1)).alias("_gn"))
+    largest = rng.agg(F.max("_gn")).first()[0] or 0
+    m = min(PROBES, max(1, math.ceil(largest / max(1, rows_per_bucket))))
+    normed = (df.join(rng, gcols, "left")
+              .withColumn("_gkey", F.coalesce(F.try_divide(F.col(key) - F.col("_gmin"),
+                                                           F.col("_gmax") - F.col("_gmin")), F.lit(0.0)))
+              .drop("_gmin", "_gmax", "_gn"))
+    if m == 1:
+        return normed.drop("_gkey").withColumn("_bkt", F.lit(0.0))
+    probs = [j / m for j in range(1, m)]
+    bounds = normed.agg(F.percentile_approx("_gkey", probs, max(10_000, 20 * m))).first()[0] or []
+    out, _ = _apply_splits(normed, "_gkey", bounds, "_bkt")
+    return out.drop("_gkey")
+
+
 def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
                      out: str = "_pos", n_rows: int | None = None,

@@ -88,3 +88,18 @@ def test_kfold_blocks_matches_ntile(spark):
     sizes = [sum(1 for _, f in got if f == k) for k in range(1, 6)]
     assert sizes == [3, 3, 3, 2, 2]
     assert [f for _, f in got] == sorted(f for _, f in got)
+
+
+def test_many_groups_fallback(skewed, monkeypatch):
+    """More groups than the driver-side statistics limit: the distributed
+    normalisation path gives the same ranks and quantiles."""
+    pdf, df = skewed
+    monkeypatch.setattr(pos, "MAX_STAT_GROUPS", 2)
+    got = {(r.g, r.v): r._rank for r in pos.average_rank(df, "v", ["g"], rows_per_bucket=40).collect()}
+    for g, part in pdf.groupby("g"):
+        for v, rk in zip(part.v, part.v.rank(method="average")):
+            assert got[(g, v)] == pytest.approx(rk)
+    q = {(r.g, round(r.q, 2)): r.value for r in pos.exact_quantiles(df, "v", [0.25, 0.5], ["g"], rows_per_bucket=50).collect()}
+    for g, part in pdf.groupby("g"):
+        for p in (0.25, 0.5):
+            assert q[(g, p)] == pytest.approx(part.v.quantile(p))
