@@ -15,10 +15,12 @@ def threshold_grid(start: int = 10, stop: int = 95, step: int = 5) -> list[float
 
 
 def _pair_long(df: DataFrame, pairs) -> DataFrame:
+    """(pair index, x, y) for the rows where both sides are non-NULL; the
+    integer index keeps the shuffled rows narrow."""
     from gustframe.session import spread
     rows = spread(df).select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"),
-                 F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)])).alias("p"))
     return rows.select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull()
                                      & ~F.isnan("x") & ~F.isnan("y"))
 
@@ -30,17 +32,20 @@ def spearman_pairs(df: DataFrame, pairs, rows_per_bucket: int = pos.DEFAULT_ROWS
     Ranks are computed per pair on distinct values (see ``positions``), joined
     back, and the Pearson correlation of the ranks is a partial aggregate.
     """
+    pairs = list(pairs)
     long = _pair_long(df, pairs)
-    keys = ["col_a", "col_b"]
     # rank both sides of every pair in one pass: (pair, side, value) -> rank
-    sides = long.select(*keys, F.explode(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).select(*keys, "s.side", "s.v")
-    ranks = pos.average_rank(sides, "v", [*keys, "side"], out="r", rows_per_bucket=rows_per_bucket)
-    rx = ranks.filter(F.col("side") == "x").select(*keys, F.col("v").alias("x"), F.col("r").alias("rx"))
-    ry = ranks.filter(F.col("side") == "y").select(*keys, F.col("v").alias("y"), F.col("r").alias("ry"))
-    ranked = long.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
-    return ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    sides = long.select("pair", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("x").alias("v")),
+        F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "s.side", "s.v")
+    ranks = pos.average_rank(sides, "v", ["pair", "side"], out="r", rows_per_bucket=rows_per_bucket)
+    rx = ranks.filter(F.col("side") == 0).select("pair", F.col("v").alias("x"), F.col("r").alias("rx"))
+    ry = ranks.filter(F.col("side") == 1).select("pair", F.col("v").alias("y"), F.col("r").alias("ry"))
+    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+    out = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    nm = F.element_at(names, F.col("pair") + 1)
+    return out.select(nm["a"].alias("col_a"), nm["b"].alias("col_b"), "rho", "n")
 
 
 def spearman_matrix(df: DataFrame, columns, symmetric: bool = False,
