@@ -41,7 +41,7 @@ def sink(df) -> None:
 
 
 def model_input(spark, sf_dir):
-    w = V.wide(spark, sf_dir)
+    w = V.wide(spark, sf_dir, spread=True)
     filled = fx.ImputeMedian(inputCols=FEATS3).fit(w).transform(w)
     va = VectorAssembler(inputCols=FEATS3, outputCol="features")
     from gustframe.plans.models import fit_input
@@ -68,7 +68,8 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
         pos.column_medians(filled, ["Rotor_speed_std", "Grid_voltage", "TARGET"], ["regime", "MAC_CODE"]).collect()
 
     def q_spearman():
-        corr.spearman_matrix(wide(), ["Rotor_speed", "Rotor_speed_std", "Grid_voltage", "Pitch_angle", "TARGET"]).collect()
+        corr.spearman_matrix(V.wide(spark, sf_dir, spread=True),
+                             ["Rotor_speed", "Rotor_speed_std", "Grid_voltage", "Pitch_angle", "TARGET"]).collect()
 
     def q_lag_diff():
         sink(windows.lag_diff(sig(), ["value", "k"]))
@@ -78,7 +79,7 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
         sink(windows.split_stratified(sig(), "MAC_CODE"))
 
     def q_bins():
-        w = wide().withColumn("subset", ns.regime3("Rotor_speed"))
+        w = V.wide(spark, sf_dir, spread=True).withColumn("subset", ns.regime3("Rotor_speed"))
         bins.histogram_overlay(w, ["Rotor_speed", "Pitch_angle", "Rotor_speed_std", "TARGET"], "subset", 20).collect()
         bins.density_2d(w, [("Rotor_speed", "TARGET"), ("Pitch_angle", "TARGET")], target="TARGET").collect()
         bins.box_stats(w, "TARGET", "MAC_CODE").collect()

@@ -36,9 +36,10 @@ def boosted(maxIter: int = 50, maxDepth: int = 4, stepSize: float = 0.1, subsamp
 
 
 def fit_input(df: DataFrame) -> DataFrame:
-    """Training input spread over all cores (small files have few splits)."""
-    from gustframe.session import spread
-    return spread(df)
+    """Training input as given: sources are spread over the cores when read
+    (``session.spread``); no partition check here, because on a plan with
+    shuffles that check would run them."""
+    return df
 
 
 def regression_pipeline(features, estimator, impute: bool = True) -> Pipeline:

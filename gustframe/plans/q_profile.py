@@ -265,7 +265,7 @@ _SP_PAIRS = [(a, b) for i, a in enumerate(_SP_COLS) for b in _SP_COLS[i + 1:]]
 
 @query("spearman_matrix", views=("wide",), dbl={"rho": 9}, sql=spearman_sql("wide", _SP_PAIRS))
 def spearman_matrix_q(spark, sf):
-    return corr.spearman_matrix(V.wide(spark, sf), _SP_COLS)
+    return corr.spearman_matrix(V.wide(spark, sf, spread=True), _SP_COLS)
 
 
 _RES_SRC = ("(select w.*, w.TARGET - m.med as residual from wide w join "
@@ -273,7 +273,7 @@ _RES_SRC = ("(select w.*, w.TARGET - m.med as residual from wide w join "
 
 
 def _residual_wide(spark, sf):
-    w = V.wide(spark, sf)
+    w = V.wide(spark, sf, spread=True)
     med = pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med")
     return w.join(med, "MAC_CODE").withColumn("residual", F.col("TARGET") - F.col("_med"))
 
@@ -334,7 +334,7 @@ def _overlay_sql() -> str:
 
 @query("histogram_overlay", views=("wide",), sql=_overlay_sql())
 def histogram_overlay_q(spark, sf):
-    w = V.wide(spark, sf).withColumn("subset", F.when(F.col("TARGET") >= 30000, "high").otherwise("low"))
+    w = V.wide(spark, sf, spread=True).withColumn("subset", F.when(F.col("TARGET") >= 30000, "high").otherwise("low"))
     return bins.histogram_overlay(w, _OV, "subset", 10)
 
 
@@ -381,7 +381,7 @@ def _density_sql() -> str:
 def density_2d_q(spark, sf):
     """Counts and target sums per cell (sums of cent values round exactly;
     the mean is target_sum / n)."""
-    d2 = bins.density_2d(V.wide(spark, sf), _D2_PAIRS, target="TARGET")
+    d2 = bins.density_2d(V.wide(spark, sf, spread=True), _D2_PAIRS, target="TARGET")
     return d2.drop("target_mean")
 
 

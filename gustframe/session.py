@@ -66,9 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Repartition a DataFrame that has fewer partitions than the cluster has
-    cores (a small file with few row groups); a no-op on large inputs, whose
-    scans already have many splits.  Use before fan-out stages (explode of
-    pairs / sensors) and iterative model fits."""
+    """Repartition a freshly read table that has fewer splits than the
+    cluster has cores (a small file with few row groups); a no-op for large
+    inputs, whose scans already have many splits.
+
+    Call it on scans only: for a scan the partition count comes from the file
+    splits without running anything (on a plan with shuffles, adaptive
+    execution would have to run them to answer).  Filters and column pruning
+    still reach the scan through the repartition."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

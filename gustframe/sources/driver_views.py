@@ -20,12 +20,19 @@ from pyspark.sql import functions as F
 from gustframe.operators.positions import running_position
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table.  ``spread=True`` repartitions the scan over all cores
+    when its file has fewer splits than cores (for fan-out stages and model
+    fits on small files); the check is free on a bare scan."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        from gustframe.session import spread as spread_scan
+        df = spread_scan(df)
+    return df
+
+
+def sig(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    e = table(spark, sf_dir, "events", spread)
     return e.select(F.col("event_id").alias("ID"), F.col("event_type").alias("MAC_CODE"),
                     F.col("ts").alias("Date_time"), "value",
                     F.get_json_object("props", "$.k").cast("double").alias("k"))
@@ -65,8 +72,8 @@ def turbine(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") * F.col("n")).alias("TARGET"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+def wide(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem", spread)
     return li.select(
         F.col("l_returnflag").alias("MAC_CODE"), F.col("l_suppkey").alias("grp"),
         F.when(F.col("l_quantity") == 50, F.lit(None).cast("double")).otherwise(F.col("l_quantity")).alias("Rotor_speed"),
@@ -76,9 +83,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("TARGET"))
 
 
-def wide_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_keyed(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``wide`` plus the order key and line number, for row-level outputs."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread)
     return li.select(
         F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"),
         F.col("l_returnflag").alias("MAC_CODE"), F.col("l_suppkey").alias("grp"),
@@ -89,9 +96,9 @@ def wide_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("TARGET"))
 
 
-def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quads(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Sensor quadruples with exact arithmetic (bounds sometimes violated)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread)
     q, n, d, t = F.col("l_quantity"), F.col("l_linenumber"), F.col("l_discount"), F.col("l_tax")
     return li.select(
         F.col("l_returnflag").alias("MAC_CODE"), q.alias("Rotor_speed"), (q - 4 + n).alias("Rotor_speed_min"),
@@ -100,14 +107,14 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("TARGET"))
 
 
-def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+def signed(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    c = table(spark, sf_dir, "customer", spread)
     return c.select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("MAC_CODE"),
                     F.col("c_acctbal").alias("TARGET"))
 
 
-def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def direction(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    o = table(spark, sf_dir, "orders", spread)
     return o.select(F.col("o_orderkey").alias("ID"), F.col("o_orderpriority").alias("MAC_CODE"),
                     (F.col("o_custkey") % 361).cast("double").alias("Nacelle_angle"),
                     F.col("o_totalprice").alias("TARGET"))
