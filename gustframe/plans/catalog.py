@@ -38,7 +38,10 @@ def _rmap(dbl, digits: int) -> dict[str, int]:
     return {c: digits for c in dbl}
 
 
-def query(name: str, views=(), sql: str | None = None, dbl=None, digits: int = 6, ctes=(), note: str | None = None):
+def query(name: str, views=(), sql: str | None = None, dbl=None, digits: int = 6, ctes=(), note: str | None = None,
+          bigint=()):
+    """``bigint`` lists oracle columns to cast to BIGINT (DuckDB's
+    ``count_if`` returns HUGEINT; Spark's returns BIGINT)."""
     rmap = _rmap(dbl, digits)
 
     def deco(fn):
@@ -57,9 +60,10 @@ def query(name: str, views=(), sql: str | None = None, dbl=None, digits: int = 6
             NOTES[name] = note
         if sql is not None:
             inner = sql
-            if rmap:
-                repl = ", ".join(f'round(cast("{c}" as double), {d}) as "{c}"' for c, d in rmap.items())
-                inner = f"select * replace ({repl}) from ({sql}) _q"
+            repl = [f'round(cast("{c}" as double), {d}) as "{c}"' for c, d in rmap.items()]
+            repl += [f'cast("{c}" as bigint) as "{c}"' for c in bigint]
+            if repl:
+                inner = f"select * replace ({', '.join(repl)}) from ({sql}) _q"
             all_ctes = view_ctes(views) + list(ctes)
             ORACLE[name] = ("with " + ",\n".join(f"{n} as ({t})" for n, t in all_ctes) + "\n" + inner
                             if all_ctes else inner)

@@ -245,7 +245,7 @@ REGIME3_SQL = ("case when Rotor_speed < 8.6 then 'low' when Rotor_speed < 15 the
                "when Rotor_speed >= 15 then 'high' end")
 
 
-@query("outlier_exponential", views=("wide",),
+@query("outlier_exponential", views=("wide",), bigint=("n_low_curve", "n_med_curve", "n_tag_curve"),
        sql=f"select {REGIME3_SQL} as regime3, count(*) as n, "
            f"count_if({_exp_sql(sc.EXP_CURVE_LOW)}) as n_low_curve, count_if({_exp_sql(sc.EXP_CURVE_MED)}) as n_med_curve, "
            f"count_if({_exp_sql(sc.EXP_CURVE_TAG)}) as n_tag_curve from wide group by 1")
@@ -334,12 +334,12 @@ def broadcast_fit_stats_q(spark, sf):
     return out.select("ID", "Rotor_speed_std", (F.col("Rotor_speed") - F.col("_min_speed")).alias("speed_shift"))
 
 
-@query("threshold_grid_join", views=("wide",), dbl={"accuracy": 9},
+@query("threshold_grid_join", views=("wide",), dbl={"accuracy": 9}, bigint=("tp", "tn"),
        sql="select g.i / 100 as threshold, "
-           "sum(case when (Pitch_angle + 0.04) * 10 > g.i / 100 and TARGET <= 20000 then 1 else 0 end) as tp, "
-           "sum(case when not ((Pitch_angle + 0.04) * 10 > g.i / 100) and not (TARGET <= 20000) then 1 else 0 end) as tn, "
-           "count(*) as n, (sum(case when (Pitch_angle + 0.04) * 10 > g.i / 100 and TARGET <= 20000 then 1 else 0 end) "
-           "+ sum(case when not ((Pitch_angle + 0.04) * 10 > g.i / 100) and not (TARGET <= 20000) then 1 else 0 end)) "
+           "count_if(coalesce((Pitch_angle + 0.04) * 10 > g.i / 100, false) and TARGET <= 20000) as tp, "
+           "count_if(not coalesce((Pitch_angle + 0.04) * 10 > g.i / 100, false) and not (TARGET <= 20000)) as tn, "
+           "count(*) as n, (count_if(coalesce((Pitch_angle + 0.04) * 10 > g.i / 100, false) and TARGET <= 20000) "
+           "+ count_if(not coalesce((Pitch_angle + 0.04) * 10 > g.i / 100, false) and not (TARGET <= 20000))) "
            "/ count(*) as accuracy from wide, range(10, 96, 5) g(i) group by g.i")
 def threshold_grid_join_q(spark, sf):
     w = V.wide(spark, sf).withColumn("score", (F.col("Pitch_angle") + 0.04) * 10)

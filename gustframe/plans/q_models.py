@@ -338,7 +338,7 @@ def abs_error_q(spark, sf):
     return predicted(spark, sf).select("ID", evaluate.abs_error().alias("abs_error"))
 
 
-@query("mape", views=("direction",), ctes=_EVAL_CTES, dbl={"mape": 9},
+@query("mape", views=("direction",), ctes=_EVAL_CTES, dbl={"mape": 9}, bigint=("n_zero",),
        sql='select "set", avg(abs(TARGET - prediction) / nullif(TARGET, 0)) as mape, '
            'count(abs(TARGET - prediction) / nullif(TARGET, 0)) as n, count_if(TARGET = 0) as n_zero from pred group by "set"')
 def mape_q(spark, sf):

@@ -89,7 +89,7 @@ def slice_group_level_q(spark, sf):
     return profile.slice_level(qs, MAC_CODE="1-URGENT", q=0.5).select("sector", "value")
 
 
-@query("share_where", views=("signed",), dbl={"share": 9},
+@query("share_where", views=("signed",), dbl={"share": 9}, bigint=("n_true",),
        sql="select avg(case when TARGET < 0 then 1.0 else 0.0 end) as share, count_if(TARGET < 0) as n_true, "
            "count(*) as n_rows from signed")
 def share_where_q(spark, sf):
@@ -113,7 +113,7 @@ def _nulls_sql(src: str, cols, where: str = "") -> str:
     return union_sql(f"select '{c}' as \"column\", count_if({c} is null) as n_null from {src}{where}" for c in cols)
 
 
-@query("null_count_by_column", views=("wide",), sql=_nulls_sql("wide", WIDE_ALL))
+@query("null_count_by_column", views=("wide",), bigint=("n_null",), sql=_nulls_sql("wide", WIDE_ALL))
 def null_count_by_column_q(spark, sf):
     return profile.null_count_by_column(V.wide(spark, sf))
 
@@ -128,7 +128,7 @@ def null_count_per_row_q(spark, sf):
     return profile.null_count_per_row(V.wide(spark, sf))
 
 
-@query("null_pattern", views=("wide",), sql=_nulls_sql("wide", WIDE_ALL, f" where {_NPR} = 2"))
+@query("null_pattern", views=("wide",), bigint=("n_null",), sql=_nulls_sql("wide", WIDE_ALL, f" where {_NPR} = 2"))
 def null_pattern_q(spark, sf):
     return profile.null_pattern(V.wide(spark, sf), 2)
 
@@ -140,7 +140,7 @@ def null_rate_by_group_q(spark, sf):
     return profile.null_rate_by_group(V.wide(spark, sf), "Grid_voltage")
 
 
-@query("zero_count", views=("wide",),
+@query("zero_count", views=("wide",), bigint=("n_zero",),
        sql=union_sql(f"select '{c}' as \"column\", count_if({c} = 0) as n_zero from wide" for c in WIDE_NUM))
 def zero_count_q(spark, sf):
     return profile.zero_count(V.wide(spark, sf), WIDE_NUM)
@@ -163,7 +163,7 @@ def _oob_sql(s: str) -> str:
     return f"(coalesce({s} > {s}_max, false) or coalesce({s} < {s}_min, false))"
 
 
-@query("flag_bounds", views=("quads",),
+@query("flag_bounds", views=("quads",), bigint=("n_out",),
        sql=union_sql(f"select '{s}' as sensor, count_if({_oob_sql(s)}) as n_out from quads" for s in QUAD_SENSORS))
 def flag_bounds_q(spark, sf):
     return profile.flag_bounds(V.quads(spark, sf), QUAD_SENSORS)
@@ -176,14 +176,14 @@ def flag_bounds_rows_q(spark, sf):
     return profile.flag_bounds_per_row(V.quads(spark, sf), QUAD_SENSORS)
 
 
-@query("check_max_lt_min", views=("quads",),
+@query("check_max_lt_min", views=("quads",), bigint=("n",),
        sql="select * from (" + union_sql(f"select '{s}' as sensor, count_if({s}_max < {s}_min) as n from quads"
                                           for s in QUAD_SENSORS) + ") t where n > 0")
 def check_max_lt_min_q(spark, sf):
     return profile.check_max_lt_min(V.quads(spark, sf), QUAD_SENSORS)
 
 
-@query("check_constant", views=("quads",),
+@query("check_constant", views=("quads",), bigint=("n_minmax_equal", "n_std_zero"),
        sql=union_sql(f"select '{s}' as sensor, count_if({s}_min = {s}_max) as n_minmax_equal, "
                      f"count_if({s}_std = 0) as n_std_zero from quads" for s in QUAD_SENSORS))
 def check_constant_q(spark, sf):
@@ -287,7 +287,7 @@ def error_correlation_q(spark, sf):
     return corr.error_correlation(_residual_wide(spark, sf), "residual", _ERR_FEATS)
 
 
-@query("crosstab", views=("wide",),
+@query("crosstab", views=("wide",), bigint=("high", "low"),
        sql="select MAC_CODE, count_if(regime = 'high') as high, count_if(regime = 'low') as low from ("
            "select MAC_CODE, case when coalesce(Rotor_speed >= 15, false) then 'high' else 'low' end as regime "
            "from wide) t where MAC_CODE is not null group by MAC_CODE")
@@ -297,7 +297,7 @@ def crosstab_q(spark, sf):
     return corr.crosstab(w, "MAC_CODE", "regime", ["high", "low"])
 
 
-@query("confusion_accuracy", views=("wide",), dbl={"accuracy": 9},
+@query("confusion_accuracy", views=("wide",), dbl={"accuracy": 9}, bigint=("tn", "fp", "fn", "tp"),
        sql="select count_if(not y and not p) as tn, count_if(not y and p) as fp, count_if(y and not p) as fn, "
            "count_if(y and p) as tp, count(*) as n, (count_if(not y and not p) + count_if(y and p)) / count(*) as accuracy "
            "from (select coalesce(TARGET <= 20000, false) as y, coalesce(Pitch_angle > 0, false) as p from wide) t")
@@ -338,7 +338,7 @@ def histogram_overlay_q(spark, sf):
     return bins.histogram_overlay(w, _OV, "subset", 10)
 
 
-@query("box_stats", views=("direction",), dbl=["q1", "median", "q3", "whisker_lo", "whisker_hi"],
+@query("box_stats", views=("direction",), dbl=["q1", "median", "q3", "whisker_lo", "whisker_hi"], bigint=("n_outliers",),
        sql="select q.MAC_CODE, q1, median, q3, min(case when TARGET between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) "
            "then TARGET end) as whisker_lo, max(case when TARGET between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) "
            "then TARGET end) as whisker_hi, count_if(not (TARGET between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))) "
