@@ -40,11 +40,20 @@ def rows_of(columns, rows):
     return [tuple(_norm(r[i]) for i in order) for r in rows], sorted(columns)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     s_rows = [tuple(r) for r in spark_df.collect()]
     s_vals, s_cols = rows_of(spark_df.columns, s_rows)
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
+    s_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in spark_df.dtypes}
+    d_types = {c[0]: str(c[1]) for c in res.description}
+    if s_types != d_types:
+        diff = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                if s_types.get(c) != d_types.get(c)}
+        return False, f"types differ (spark, duckdb): {diff}"
     d_vals, d_cols_sorted = rows_of(d_cols, res.fetchall())
     if s_cols != d_cols_sorted:
         return False, f"columns differ: spark={s_cols} duckdb={d_cols_sorted}"
