@@ -22,7 +22,7 @@ from gustframe.plans.features import ImputeMedian, RegimeColumn
 
 
 def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str = "TARGET") -> RandomForestRegressor:
-    """Random forest; every node considers all features as in the reference."""
+    """Random forest; every node considers all features (no feature subsampling)."""
     return RandomForestRegressor(numTrees=numTrees, maxDepth=maxDepth, featureSubsetStrategy="all", seed=seed,
                                  labelCol=label, featuresCol="features")
 
@@ -30,7 +30,7 @@ def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str =
 def boosted(maxIter: int = 50, maxDepth: int = 4, stepSize: float = 0.1, subsamplingRate: float = 1.0,
             featureSubsetStrategy: str = "all", seed: int = 7, label: str = "TARGET") -> GBTRegressor:
     """Gradient-boosted trees.  Column sampling is per node in Spark (per tree
-    in the reference) and there is no L2 leaf penalty."""
+    in the analysed workload) and there is no L2 leaf penalty."""
     return GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
                         featureSubsetStrategy=featureSubsetStrategy, seed=seed, labelCol=label, featuresCol="features")
 
