@@ -107,3 +107,17 @@ def test_approx_quantiles_close_to_exact(spark):
     approx = {r.q: r.value for r in profile.quantiles(w, "TARGET", [0.1, 0.5, 0.9], approx=True).collect()}
     for q, v in exact.items():
         assert abs(approx[q] - v) <= 0.02 * abs(v)
+
+
+def test_pca_profile_invariants(spark):
+    import numpy as np
+
+    import __spark_entry__ as entry
+    rows = entry.queries()["pca_profile"](spark, SF).collect()
+    var = {r.component: r.explained_variance for r in rows}
+    ratios = [var[k] for k in sorted(var)]
+    assert sum(ratios) <= 1.0 + 1e-9 and all(a >= b - 1e-12 for a, b in zip(ratios, ratios[1:]))
+    cols = sorted({r.column for r in rows})
+    load = np.array([[next(r.loading for r in rows if r.component == k and r.column == c) for k in sorted(var)]
+                     for c in cols])
+    assert np.allclose(load.T @ load, np.eye(len(var)), atol=1e-8)
