@@ -185,14 +185,14 @@ def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(),
 
 
 def row_number_global(df: DataFrame, order_col: str, tie_cols=(), group_cols=(), out: str = "_rn",
-                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
     """Exact ``row_number()`` over a total order, optionally per group.
 
     The order key should spread evenly (a hash or a dense id); groups share the
     bucket bounds of the key, so a hot group is split as finely as the rest.
     """
     return running_position(df, order_col, group_cols=group_cols, tie_cols=tie_cols,
-                            rows_per_bucket=rows_per_bucket, normalize=False, out=out)
+                            rows_per_bucket=rows_per_bucket, normalize=False, out=out, n_rows=n_rows)
 
 
 def hash_order_key(id_col: str, seed: str | int) -> dict[str, Column]:

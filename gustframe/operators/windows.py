@@ -52,7 +52,7 @@ def kfold_blocks(df: DataFrame, k: int = 5, order: str = "ID", out: str = "fold"
     """k contiguous blocks in key order (``ntile(k)``): the first ``n mod k``
     blocks are one row larger.  Fold numbers are 1..k."""
     n = df.count()
-    ranked = pos.row_number_global(df, order, rows_per_bucket=rows_per_bucket)
+    ranked = pos.row_number_global(df, order, rows_per_bucket=rows_per_bucket, n_rows=n)
     return ranked.withColumn(out, pos.ntile_from_rank(F.col("_rn"), F.lit(n), k)).drop("_rn")
 
 
@@ -65,7 +65,7 @@ def kfold_shuffled(df: DataFrame, k: int = 5, id_col: str = "ID", seed=7, out: s
     """k folds in the order of md5('<seed>:<id>'): reproducible on any engine."""
     n = df.count()
     ranked = pos.row_number_global(_hashed(df, id_col, seed), "_hnum", tie_cols=["_h", id_col],
-                                   rows_per_bucket=rows_per_bucket)
+                                   rows_per_bucket=rows_per_bucket, n_rows=n)
     return ranked.withColumn(out, pos.ntile_from_rank(F.col("_rn"), F.lit(n), k)).drop("_rn", "_h", "_hnum")
 
 
@@ -75,7 +75,7 @@ def split_holdout(df: DataFrame, test_size: float = 0.2, id_col: str = "ID", see
     n = df.count()
     n_test = math.ceil(test_size * n)
     ranked = pos.row_number_global(_hashed(df, id_col, seed), "_hnum", tie_cols=["_h", id_col],
-                                   rows_per_bucket=rows_per_bucket)
+                                   rows_per_bucket=rows_per_bucket, n_rows=n)
     return ranked.withColumn(out, F.col("_rn") <= n_test).drop("_rn", "_h", "_hnum")
 
 
