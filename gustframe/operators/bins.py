@@ -34,7 +34,7 @@ def histogram(df: DataFrame, x: str, n: int = 10) -> DataFrame:
               .filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     start, width = edges[0], edges[1] - edges[0]
     all_bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))  # n rows, a parameter
-    return (all_bins.join(counts, "bin", "left")
+    return (all_bins.join(F.broadcast(counts), "bin", "left")  # at most n rows
             .select("bin", (F.lit(start) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(start) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
