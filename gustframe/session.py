@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting wins; a private folder under the system temp dir is
-    created only when nothing is configured (local tests).
+    created only when nothing is configured on a one-process master (local
+    tests); elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="gustframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -59,10 +63,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/gustframe-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}  # by application; kept until the driver ends
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application, so that
+    functions run in tasks can import it wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    kept = _SHIPPED[sc.applicationId] = tempfile.TemporaryDirectory()
+    sc.addPyFile(shutil.make_archive(os.path.join(kept.name, "gustframe"), "zip", os.path.dirname(root), os.path.basename(root)))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
