@@ -66,7 +66,8 @@ def write_tokens(docs: DataFrame, path: str, model_path: str = unigram.MODEL) ->
 
 def scan_blocks(blocks: DataFrame, separator: int, header_ids: int, block: int) -> DataFrame:
     """file, block, start, end (null: further on), head of every document that
-    starts in one of ``blocks(file, length, block)``; places are ids in the file."""
+    starts in one of ``blocks(file, length, block)``, and of the place after the
+    file's last separator; places are ids in the file."""
     def run(batches):
         for b in slices(batches, rows=1):
             name, length, k = (c[0].as_py() for c in b.columns)
@@ -74,13 +75,11 @@ def scan_blocks(blocks: DataFrame, separator: int, header_ids: int, block: int)
             with fs.open_input_file(path) as f:
                 data = f.read_at(min(block + 2 * header_ids, length - k * block), k * block)
             ids = np.frombuffer(data, "<u2", len(data) // 2)
-            first, total = k * block // 2, length // 2
+            first = k * block // 2
             at = np.flatnonzero(ids[:block // 2] == separator)
             starts = np.concatenate(([0], at + 1)) if k == 0 else at + 1
             ends = np.concatenate((at, [-1])) if k == 0 else np.concatenate((at[1:], [-1]))[:len(at)]
-            there = starts + first < total
-            starts, ends = starts[there], ends[there]
-            padded = np.concatenate((ids, np.zeros(header_ids, "<u2")))
+            padded = np.concatenate((ids, np.zeros(header_ids + 1, "<u2")))
             heads = padded[starts[:, None] + np.arange(header_ids)].astype(np.int32).ravel()
             offsets = np.arange(len(starts) + 1, dtype=np.int32) * header_ids
             n = len(starts)
@@ -104,7 +103,7 @@ def separator_scan(spark: SparkSession, path: str, separator: int = SEPARATOR, h
              .withColumn("next", F.min("first").over(later)))
     lengths = files.select("file", F.expr("length div 2").alias("total"))
     open_ = (found.where("end is null").drop("end").join(edges.select("file", "block", "next"), ["file", "block"])
-             .join(lengths, "file").withColumn("end", F.coalesce("next", "total")))
+             .join(lengths, "file").where("start < total").withColumn("end", F.coalesce("next", "total")))
     cols = ["file", "start", "end", "head"]
     return (found.where("end is not null").select(*cols).unionByName(open_.select(*cols))
             .withColumn("n_tokens", F.greatest(F.col("end") - F.col("start") - header_ids, F.lit(0))))
