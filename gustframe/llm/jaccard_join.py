@@ -9,8 +9,9 @@ A run puts all classes into a root bucket and splits buckets recursively: at eac
 bucket two coordinates are chosen by the bucket's path, and a class goes into the
 two child buckets of its values there. Two sets of similarity t share at least one
 child with probability 1 - (1 - t)^2 and more. Buckets of one class go, buckets of
-up to ``LEAF`` are leaves, and so is what is left after ``DEPTH`` levels. Runs use
-coordinates of their own and are repeated until the chance to miss a pair at the
+up to ``LEAF`` are leaves, and so is what is left after ``DEPTH`` levels, or what
+holds ``ALIKE`` of the bucket above: sets that alike would only be copied into
+more buckets by further splits. Runs use coordinates of their own and are repeated until the chance to miss a pair at the
 threshold is below 1 - ``recall`` (``runs_for``).
 
 Leaves are compared by brute force on the sketches; what may be similar (few
@@ -47,6 +48,7 @@ from .common import components, fresh, map_arrow, slices, store
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 COORDS, PER_RUN, CHOSEN = 64, 16, 2
 LEAF, DEPTH, BLOCK, BLOCK_SHINGLES = 48, 4, 1024, 2_000_000
+ALIKE = 0.5
 #: Bits of the text hash by which texts to be read again are sorted out first.
 PREFIX_BITS = 20
 
@@ -126,18 +128,21 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     """path, skey, size: the buckets that are compared."""
     root = F.xxhash64(F.lit("root"), F.col("run"))
     rows = (classes.select("skey", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-            .select("skey", "run", _children(F.col("run"), root).alias("path")))
+            .select("skey", "run", _children(F.col("run"), root).alias("path"))
+            .withColumn("above", F.lit(None).cast("long")))
     out = None
     for level in range(1, DEPTH + 1):
-        rows = store(rows.distinct() if level > 1 else rows, "paths")
+        rows = store(rows, "paths")
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         shared = store(rows.join(sizes, "path"), "buckets")
-        done = shared if level == DEPTH else shared.where(F.col("size") <= LEAF)
+        leaf = (F.col("size") <= LEAF) | F.coalesce(F.col("size") >= ALIKE * F.col("above"), F.lit(False)) | F.lit(level == DEPTH)
+        done = shared.where(leaf)
         out = done if out is None else out.unionByName(done)
-        rows = shared.where(F.col("size") > LEAF)
+        rows = shared.where(~leaf)
         if level == DEPTH or not rows.take(1):
             break
-        rows = rows.join(classes.select("skey", "sketch"), "skey").select("skey", "run", _children(F.col("run"), F.col("path")).alias("path"))
+        rows = (rows.join(classes.select("skey", "sketch"), "skey")
+                .select("skey", "run", _children(F.col("run"), F.col("path")).alias("path"), F.col("size").alias("above")))
     return out.select("path", "skey", "size")
 
 
