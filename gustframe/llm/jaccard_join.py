@@ -171,33 +171,67 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def _linked(pdf: pd.DataFrame, matches, weight: np.ndarray) -> pd.DataFrame:
-    """skey, links, root of the members that ``matches(i)`` links to others; of a
-    pair of different blocks, only pairs across count."""
-    own = pdf["own"].to_numpy()
-    across = pdf["bi"].iat[0] != pdf["bj"].iat[0]
-    union, links = _Union(len(pdf)), np.zeros(len(pdf), np.int64)
-    for i in range(len(pdf)):
-        js = matches(i)  # later members like member i
-        if across:
-            js = js[own[js] != own[i]]
-        if len(js):
-            links[i] += weight[js].sum()
-            links[js] += weight[i]
-            for j in js.tolist():
-                union.join(i, j)
+def _by_group(rows: DataFrame, compare, columns: list[str]) -> DataFrame:
+    """``compare(batch, bounds)`` over the rows of each (key, bi, bj): rows are
+    dealt and sorted by group, and a task takes whole groups out of the sorted
+    stream, many at a time; it holds one batch and the group that crosses it."""
+    keyed = rows.select(F.xxhash64("key").alias("gid"), "bi", "bj", "own", *columns)
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            b = pa.concat_batches([rest, b]) if rest is not None else b
+            if not b.num_rows:
+                continue
+            ids = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+            if len(new):
+                yield compare(b.slice(0, new[-1]), [0, *new.tolist()])
+                b = b.slice(new[-1])
+            rest = b
+        if rest is not None:
+            yield compare(rest, [0, rest.num_rows])
+
+    return map_arrow(keyed.repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj"), run, "skey binary, links long, root binary")
+
+
+def _linked(batch: pa.RecordBatch, bounds: list[int], matcher, weight: np.ndarray) -> pa.RecordBatch:
+    """skey, links, root of the members linked to others; ``matcher(a, b)`` gives
+    for the group a:b the function from a member to its later matches. Of a pair
+    of different blocks, only pairs across count."""
+    own, bi, bj = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("own", "bi", "bj"))
+    keys = batch.column(batch.schema.get_field_index("skey"))
+    links, root = np.zeros(batch.num_rows, np.int64), np.arange(batch.num_rows)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b - a < 2:
+            continue
+        matches, union, w = matcher(a, b), _Union(b - a), weight[a:b]
+        for i in range(b - a - 1):
+            js = matches(i)
+            if bi[a] != bj[a]:
+                js = js[own[a + js] != own[a + i]]
+            if len(js):
+                links[a + i] += w[js].sum()
+                links[a + js] += w[i]
+                for j in js.tolist():
+                    union.join(i, j)
+        root[a:b] = [a + union.find(i) for i in range(b - a)]
     hit = np.flatnonzero(links)
-    keys = pdf["skey"].to_numpy()
-    return pd.DataFrame({"skey": keys[hit], "links": links[hit], "root": [keys[union.find(int(i))] for i in hit]})
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(hit)), pa.array(links[hit]), keys.take(pa.array(root[hit]))], names=["skey", "links", "root"])
 
 
-_LINKS = "skey binary, links long, root binary"
+def _values(batch: pa.RecordBatch, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column as one array of ``dtype``, and its offsets."""
+    col = batch.column(batch.schema.get_field_index(name))
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0]:at[-1]].view(dtype), (at - at[0]) // np.dtype(dtype).itemsize
 
 
 def _compare_sketches(least: int):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.frombuffer(b"".join(pdf["sketch"]), ">u4").reshape(len(pdf), COORDS).astype(np.uint32)
-        return _linked(pdf, lambda i: i + 1 + np.flatnonzero((s[i + 1:] == s[i]).sum(axis=1) >= least), np.ones(len(pdf), np.int64))
+    def compare(batch: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        s = _values(batch, "sketch", np.uint32)[0].reshape(-1, COORDS)
+        return _linked(batch, bounds, lambda a, b: lambda i: i + 1 + np.flatnonzero((s[a + i + 1:b] == s[a + i]).sum(axis=1) >= least),
+                       np.ones(batch.num_rows, np.int64))
 
     return compare
 
@@ -205,23 +239,24 @@ def _compare_sketches(least: int):
 def _compare_sets(threshold: Fraction):
     num, den = threshold.numerator, threshold.denominator
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        sizes = np.array([len(x) for x in sets])
-        starts = np.cumsum([0, *sizes[:-1]])
-        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        flags = np.zeros(len(known), np.int64)
+    def compare(batch: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        flat, at = _values(batch, "shingles", np.uint64)
+        sizes = np.diff(at)
+
+        def matcher(a: int, b: int):
+            known, codes = np.unique(flat[at[a]:at[b]], return_inverse=True)
+            flags, starts, n = np.zeros(len(known), np.int64), at[a:b] - at[a], sizes[a:b]
+
+            def matches(i: int) -> np.ndarray:
+                mine = codes[starts[i]:starts[i] + n[i]]
+                flags[mine] = 1
+                shared = np.add.reduceat(flags[codes[starts[i + 1]:]], starts[i + 1:] - starts[i + 1])
+                flags[mine] = 0
+                return i + 1 + np.flatnonzero(shared * den >= num * (n[i] + n[i + 1:] - shared))
 
-        def matches(i: int) -> np.ndarray:
-            if i + 1 == len(sets):
-                return np.empty(0, np.int64)
-            mine = codes[starts[i]:starts[i] + sizes[i]]
-            flags[mine] = 1
-            shared = np.add.reduceat(flags[codes[starts[i + 1]:]], starts[i + 1:] - starts[i + 1])
-            flags[mine] = 0
-            return i + 1 + np.flatnonzero(shared * den >= num * (sizes[i] + sizes[i + 1:] - shared))
+            return matches
 
-        return _linked(pdf, matches, pdf["copies"].to_numpy())
+        return _linked(batch, bounds, matcher, batch.column(batch.schema.get_field_index("copies")).to_numpy())
 
     return compare
 
@@ -261,7 +296,7 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     met = leaves(classes, runs).join(classes.select("skey", "sketch"), "skey")
     met = _in_blocks(met, "path", F.ceil(F.col("size") / BLOCK))
     least = math.floor(threshold * COORDS - 4.5 * math.sqrt(COORDS * threshold * (1 - threshold)))
-    like = met.groupBy("key", "bi", "bj").applyInPandas(_compare_sketches(least), _LINKS)
+    like = _by_group(met, _compare_sketches(least), ["skey", "sketch"])
     groups = components(like.select(F.col("skey").alias("a"), F.col("root").alias("b")), "jaccard-groups")
 
     members = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
@@ -269,8 +304,7 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sets = _sets_of(docs, members.join(sizes, "label"))
     sets = _in_blocks(sets, "label", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    exact = store(sets.select("key", "bi", "bj", "own", "skey", "copies", "shingles").groupBy("key", "bi", "bj")
-                  .applyInPandas(_compare_sets(Fraction(threshold).limit_denominator(1000)), _LINKS), "jaccard-links")
+    exact = store(_by_group(sets, _compare_sets(Fraction(threshold).limit_denominator(1000)), ["skey", "copies", "shingles"]), "jaccard-links")
     labels = components(exact.select(F.col("skey").alias("a"), F.col("root").alias("b")), "jaccard-classes")
 
     each = (classes.select("skey", "copies", "doc_id", "tkey")
