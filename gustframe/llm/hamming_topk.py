@@ -110,10 +110,10 @@ def every_hundredth(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> x > 0) AS b FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) = 64),
 p AS (SELECT a.id AS query_id, c.id AS neighbour_id,
-        CAST(len(list_filter(range(1, 65), i -> a.b[i] <> c.b[i])) AS INTEGER) AS distance
+        CAST(len(list_filter(range(1, 65), lambda i: a.b[i] <> c.b[i])) AS INTEGER) AS distance
       FROM v a JOIN v c ON a.id <> c.id WHERE a.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance FROM r WHERE rank <= 10

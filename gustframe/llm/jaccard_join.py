@@ -338,3 +338,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     if rows.where("tkey is not null").groupBy("doc_id", "tkey").count().where("count > 1").take(1):  # rows repeated in full
         kept = kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates(["doc_id", key]))
     return kept.select(*docs.columns)
+
+
+#: ``jaccard_classes`` of ``documents`` in DuckDB, by brute force over shared shingles.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+k AS (SELECT a AS rid, min(doc_id) AS least FROM t JOIN d ON t.b = d.rid GROUP BY a),
+c AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, CASE WHEN k.rid IS NULL THEN doc_id ELSE k.least END AS class_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)"""

@@ -163,3 +163,45 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), domain=domain_of) -> DataFra
     times = F.col(f"{copies}.epochs") + F.coalesce((key <= F.col(f"{copies}.last_key")).cast("long"), F.lit(0))
     return (joined.withColumn(copies, times).where(F.col(copies) > 0)
             .withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns))
+
+
+def oracle_sql(spec: MixSpec = MixSpec()) -> str:
+    """``mix_counts`` of ``documents`` in DuckDB: the same shares level by level,
+    and running sums over each leaf's keys."""
+    def weight(level: str) -> str:
+        known = spec.weights.get(level) or {}
+        cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in known.items())
+        return f"(CASE {level}{cases} ELSE 1 END)" if cases else "1"
+
+    num, den = spec.budget_share
+    ctes = [f"""r AS (SELECT doc_id, coalesce('d' || (ascii(right(source, 1)) % 4), '{NONE}') AS domain, coalesce(lang, '{NONE}') AS lang,
+        coalesce(source, '{NONE}') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents)""",
+            "leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens FROM r GROUP BY ALL)",
+            f"b0 AS (SELECT 0 AS root, least(sum(tokens) * {num} // {den}, sum(tokens) * {spec.max_epochs}) AS budget FROM leaves)"]
+    parent = ["root"]
+    for i, level in enumerate(LEVELS):
+        keys = ", ".join(parent)
+        source = "(SELECT *, 0 AS root FROM leaves)" if i == 0 else "leaves"
+        order = f"PARTITION BY {keys} ORDER BY ratio, {level}"
+        ctes += [
+            f"n{i} AS (SELECT *, CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END AS ratio FROM (SELECT {keys}, {level}, "
+            f"sum(tokens)::HUGEINT * {spec.max_epochs} AS cap, {weight(level)}::HUGEINT AS w FROM {source} GROUP BY ALL) JOIN b{i} USING ({keys}))",
+            f"f{i} AS (SELECT *, cap * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= w * (budget - "
+            f"coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_ FROM n{i})",
+            f"g{i} AS (SELECT *, budget - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY {keys}) AS left_, "
+            f"greatest(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY {keys}), 1) AS wo, "
+            f"sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wu FROM f{i})"]
+        kept = [p for p in parent if p != "root"] + [level]
+        ctes.append(f"b{i + 1} AS (SELECT {', '.join(kept)}, CASE WHEN full_ THEN cap ELSE left_ * wu // wo - left_ * (wu - w) // wo END AS budget FROM g{i})")
+        parent = kept
+    ctes += [
+        f"""l AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+        CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM leaves JOIN b{len(LEVELS)} USING (domain, lang, source))""",
+        f"""k AS (SELECT r.*, l.budget, l.epochs, l.rest, CAST('0x' || substr(md5('{spec.seed}:' || l.epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS BIGINT) AS key
+        FROM r JOIN l USING (domain, lang, source))""",
+        """u AS (SELECT domain, lang, source, rest, key, sum(sum(n_tokens)) OVER (PARTITION BY domain, lang, source ORDER BY key) - sum(n_tokens) AS before
+        FROM k GROUP BY domain, lang, source, rest, key)""",
+        "p AS (SELECT domain, lang, source, max(key) AS last_key FROM u WHERE before < rest GROUP BY ALL)"]
+    return ("WITH " + ",\n".join(ctes) + """
+SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS leaf_budget, epochs::BIGINT AS epochs,
+  (epochs + CASE WHEN key <= last_key THEN 1 ELSE 0 END)::BIGINT AS copies FROM k LEFT JOIN p USING (domain, lang, source)""")

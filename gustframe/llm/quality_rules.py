@@ -168,3 +168,36 @@ def keep_good(docs: DataFrame, labels: DataFrame, spec: RuleSpec = RuleSpec(), s
         out += "_"
     good = with_measures(docs, docs.columns, out).where(~base_failed(out) & ~_rejected(levels, spec, stratum, out))
     return good.select(*docs.columns)
+
+
+def oracle_sql(spec: RuleSpec = RuleSpec()) -> str:
+    """``judge`` of ``documents`` with ``labels`` in DuckDB: the measures by lists
+    and windows, the binomial sums by the log-gamma function."""
+    n = len(spec.path)
+    ratios = ("n_symbols / n", "n_dup_lines / ln", "n_repeat_words / n", "word_chars / n", "n_shouts / n")
+    level = "CASE " + " ".join("WHEN " + " OR ".join(f"{r} > {float(c)!r}" for r, c in zip(ratios, row, strict=True)) + f" THEN {i}" for i, row in enumerate(spec.path)) + f" ELSE {n} END"
+    space, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+    fewest = math.log(spec.delta) / math.log1p(-spec.alpha)
+    a, b = math.log(spec.alpha), math.log1p(-spec.alpha)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{word}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+h AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS o(j) WHERE c > 1 GROUP BY rid),
+m AS (SELECT d.rid, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(ws), 1)::DOUBLE AS n, greatest(len(ls), 1)::DOUBLE AS ln,
+        length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts
+      FROM d JOIN w USING (rid) LEFT JOIN h USING (rid)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {level} AS level FROM m),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+c AS (SELECT lang, level, count(*) AS k FROM s JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang, level),
+z AS (SELECT lang, sum(k)::BIGINT AS total FROM c GROUP BY lang HAVING sum(k) >= {fewest!r}),
+r AS (SELECT z.lang, total, v.i, coalesce((SELECT sum(k) FROM c WHERE c.lang IS NOT DISTINCT FROM z.lang AND level <= v.i), 0)::BIGINT AS x
+      FROM z, (SELECT unnest(range({n})) AS i) v),
+q AS (SELECT lang, i, x < {spec.alpha!r} * total AND list_sum(list_transform(range(x + 1), lambda j: exp(lgamma(total + 1) - lgamma(j + 1)
+        - lgamma(total - j + 1) + j * ({a!r}) + (total - j) * ({b!r})))) <= {spec.delta!r} / (SELECT count(*) FROM z) AS ok FROM r),
+p AS (SELECT lang, min(CASE WHEN ok THEN {n} ELSE i END) AS passed FROM q GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT level < coalesce(passed, 0) AS kept
+FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang"""

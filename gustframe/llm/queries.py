@@ -58,4 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_chat_snapshots, op4_sentencepiece, op5_license_scan, op6_secret_scan,
                             op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_hamming_topk)}
 
-ORACLE: dict[str, str] = {"op3_chat_snapshots": chat.ORACLE, "op10_hamming_topk": hamming_topk.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.oracle_sql(), "op2_sharding": sharding.ORACLE, "op3_chat_snapshots": chat.ORACLE,
+    "op8_quality_rules": quality_rules.oracle_sql(), "op9_jaccard_join": jaccard_join.ORACLE, "op10_hamming_topk": hamming_topk.ORACLE}

@@ -54,3 +54,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_part: int = ROWS_
     return placed.join(F.broadcast(firsts), "shard").select(
         *keys, F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: ``shard_by_bytes`` of ``documents`` in DuckDB; the checksum is CRC-32 byte by
+#: byte with a table that is itself made from the polynomial.
+ORACLE = """
+WITH tab AS (SELECT string_agg(lpad(to_hex(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)), 8, '0'), '' ORDER BY i) AS t
+             FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 1 AS size, xor(4294967295, list_reduce(range(len(h) // 2),
+        lambda c, i: xor(c >> 8, ('0x' || substr(t, 8 * xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) + 1, 8))::BIGINT), 4294967295)) AS text_crc32 FROM d, tab),
+o AS (SELECT *, row_number() OVER w AS n, sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER () AS total FROM b
+      WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+s AS (SELECT *, CAST((2 * upto - size) * 16 // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
