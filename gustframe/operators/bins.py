@@ -44,33 +44,36 @@ def histogram_overlay(df: DataFrame, sensors, subset: str, n: int = 10, shared_e
     """Histograms of many sensors for several row subsets in one job:
     (subset, sensor, bin, n).  ``shared_edges=False`` bins each subset over
     its own range."""
-    long = df.select(F.col(subset).alias("subset"), F.explode(F.array(*[
-        F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in sensors])).alias("sv"))
-    long = long.select("subset", "sv.sensor", "sv.v").filter(F.col("v").isNotNull())
-    keys = ["sensor"] if shared_edges else ["subset", "sensor"]
-    stats = long.groupBy(*keys).agg(F.min("v").alias("_min"), F.max("v").alias("_max"))
-    from gustframe.operators.joins import attach_stats
-    # shared edges: one row per sensor (bounded by the schema); otherwise one
-    # row per (subset, sensor), broadcast only after a count check
-    joined = long.join(F.broadcast(stats), keys) if shared_edges else attach_stats(long, stats, keys)
-    return (joined
-            .select("subset", "sensor", sc.hist_bin("v", n, F.col("_min"), F.col("_max")).alias("bin"))
-            .groupBy("subset", "sensor", "bin").agg(F.count(F.lit(1)).alias("n")))
+    from gustframe.operators.joins import scalars, small_table
+    ends = [f(F.col(s).cast("double")).alias(f"{k}{i}") for i, s in enumerate(sensors) for k, f in (("_lo", F.min), ("_hi", F.max))]
+    if shared_edges:  # one aggregate; its numbers become literals
+        st = scalars(df.agg(*ends))
+        rows, edge = df, lambda k, i: F.lit(st[f"{k}{i}"]).cast("double")
+    else:  # one row per subset, broadcast only after a count check
+        stats, small = small_table(df.groupBy(F.col(subset).alias("_subset")).agg(*ends))
+        rows = df.join(F.broadcast(stats) if small else stats, F.col(subset).eqNullSafe(F.col("_subset")), "left")
+        edge = lambda k, i: F.col(f"{k}{i}")
+    binned = rows.select(F.col(subset).alias("subset"), F.explode(F.array(*[
+        F.struct(F.lit(s).alias("sensor"), sc.hist_bin(F.col(s).cast("double"), n, edge("_lo", i), edge("_hi", i)).alias("bin"))
+        for i, s in enumerate(sensors)])).alias("sv")).select("subset", "sv.*").filter(F.col("bin").isNotNull())
+    return binned.groupBy("subset", "sensor", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def density_2d(df: DataFrame, pairs, target: str | None = None, nx: int = 10, ny: int = 10) -> DataFrame:
     """Joint 2-D bin counts (and mean target) for many column pairs at once:
     (x_col, y_col, bx, by, n[, target_mean, target_sum])."""
-    rows = df.select(*([F.col(target).alias("_t")] if target else []), F.explode(F.array(*[
-        F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), F.col(a).cast("double").alias("x"),
-                 F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"))
-    rows = rows.select(*(["_t"] if target else []), "p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    stats = rows.groupBy("x_col", "y_col").agg(F.min("x").alias("_xmin"), F.max("x").alias("_xmax"),
-                                               F.min("y").alias("_ymin"), F.max("y").alias("_ymax"))
-    binned = rows.join(F.broadcast(stats), ["x_col", "y_col"]).select(
-        "x_col", "y_col", *(["_t"] if target else []),
-        sc.hist_bin("x", nx, F.col("_xmin"), F.col("_xmax")).alias("bx"),
-        sc.hist_bin("y", ny, F.col("_ymin"), F.col("_ymax")).alias("by"))
+    from gustframe.operators.joins import scalars
+    pairs = list(pairs)
+    val = lambda c: F.col(c).cast("double")
+    both = [val(a).isNotNull() & val(b).isNotNull() for a, b in pairs]
+    st = scalars(df.agg(*[f(F.when(both[i], val(c))).alias(f"{k}{i}") for i, (a, b) in enumerate(pairs)
+                          for k, f, c in (("x0_", F.min, a), ("x1_", F.max, a), ("y0_", F.min, b), ("y1_", F.max, b))]))
+    lit = lambda k, i: F.lit(st[f"{k}{i}"]).cast("double")
+    binned = df.select(*([F.col(target).alias("_t")] if target else []), F.explode(F.array(*[
+        F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), both[i].alias("ok"),
+                 sc.hist_bin(val(a), nx, lit("x0_", i), lit("x1_", i)).alias("bx"),
+                 sc.hist_bin(val(b), ny, lit("y0_", i), lit("y1_", i)).alias("by")) for i, (a, b) in enumerate(pairs)])).alias("p"))
+    binned = binned.select(*(["_t"] if target else []), "p.*").filter("ok")
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.avg("_t").alias("target_mean"), F.sum("_t").alias("target_sum")]
                                               if target else [])
     return binned.groupBy("x_col", "y_col", "bx", "by").agg(*aggs)
@@ -95,27 +98,26 @@ def kde(df: DataFrame, x: str, group: str | None = None, n_grid: int = 50) -> Da
     """Exact Gaussian kernel density (Scott bandwidth) on an evenly spaced grid
     spanning [min - range/2, max + range/2]: (group, i, g, density).
 
-    Values are pre-aggregated to (group, value, count); each distinct value
-    emits its ``n_grid`` kernel terms (a fixed fan-out, linear in the data) and
-    a partial aggregation sums them per grid point.  Per-group bandwidths come
-    from a small statistics table (size checked, broadcast)."""
+    Each row emits its ``n_grid`` kernel terms (a fixed fan-out, linear in the
+    data), which a map-side aggregation sums per group and grid point, so only
+    groups x grid points are shuffled.  Per-group bandwidths come from a small
+    statistics table (size checked, broadcast)."""
     from gustframe.operators.joins import attach_stats
     gcols = [group] if group else []
     src = df.filter(F.col(x).isNotNull())
     if group:
         src = src.filter(F.col(group).isNotNull())
-    d = src.groupBy(*gcols, x).agg(F.count(F.lit(1)).alias("_c"))
     stats = src.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"),
                                      F.min(x).alias("_min"), F.max(x).alias("_max"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     span = F.col("_max") - F.col("_min")
-    terms = (attach_stats(d, stats, gcols).filter(F.col("_h") > 0)
-             .select(*gcols, x, "_c", "_n", "_h", "_min", "_max",
+    terms = (attach_stats(src.select(*gcols, x), stats, gcols).filter(F.col("_h") > 0)
+             .select(*gcols, x, "_n", "_h", "_min", "_max",
                      F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i")))
     terms = terms.withColumn("g", (F.col("_min") - 0.5 * span) + F.col("i") * (2.0 * span) / F.lit(float(n_grid - 1)))
     u = (F.col("g") - F.col(x)) / F.col("_h")
     return (terms.groupBy(*gcols, "i", "g", "_n", "_h")
-            .agg(F.sum(F.col("_c") * F.exp(-0.5 * u * u)).alias("_s"))
+            .agg(F.sum(F.exp(-0.5 * u * u)).alias("_s"))
             .select(*gcols, F.col("i").cast("int").alias("i"), "g",
                     (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density")))
 

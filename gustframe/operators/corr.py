@@ -14,37 +14,40 @@ def threshold_grid(start: int = 10, stop: int = 95, step: int = 5) -> list[float
     return [i / 100 for i in range(start, stop + 1, step)]
 
 
-def _pair_long(df: DataFrame, pairs) -> DataFrame:
-    """(pair index, x, y) for the rows where both sides are non-NULL; the
-    integer index keeps the shuffled rows narrow."""
-    rows = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(pairs)])).alias("p"))
-    return rows.select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull()
-                                     & ~F.isnan("x") & ~F.isnan("y"))
-
-
 def spearman_pairs(df: DataFrame, pairs, rows_per_bucket: int = pos.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Spearman rho per column pair over the rows where both are non-NULL
     (pairwise complete), average ranks for ties: (col_a, col_b, rho, n).
 
-    Ranks are computed per pair on distinct values (see ``positions``), joined
-    back, and the Pearson correlation of the ranks is a partial aggregate.
+    Each column is aggregated once to its distinct values, with the rows of each
+    value counted under every partner's non-NULL condition (partners without
+    NULLs share one count).  Running sums of these counts are the value's ranks
+    among the rows that each pair keeps; they are joined back by value, once per
+    column, and one aggregation gives the correlation of all pairs.
     """
     pairs = list(pairs)
-    long = _pair_long(df, pairs)
-    # rank both sides of every pair in one pass: (pair, side, value) -> rank
-    sides = long.select("pair", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("x").alias("v")),
-        F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "s.side", "s.v")
-    ranks = pos.average_rank(sides, "v", ["pair", "side"], out="r", rows_per_bucket=rows_per_bucket)
-    rx = ranks.filter(F.col("side") == 0).select("pair", F.col("v").alias("x"), F.col("r").alias("rx"))
-    ry = ranks.filter(F.col("side") == 1).select("pair", F.col("v").alias("y"), F.col("r").alias("ry"))
-    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    out = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    nm = F.element_at(names, F.col("pair") + 1)
-    return out.select(nm["a"].alias("col_a"), nm["b"].alias("col_b"), "rho", "n")
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    base = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    gaps = [c for c in cols if nulls[c]]
+    index = {c: i for i, c in enumerate(cols)}
+    out = base
+    for c in cols:
+        partners = {b if a == c else a for a, b in pairs if c in (a, b)}
+        conditions = ([None] if partners - set(gaps) else []) + [g for g in gaps if g in partners]
+        weights = {f"_w{index[c]}_{'' if g is None else index[g]}": F.count(F.lit(1) if g is None else F.col(g)) for g in conditions}
+        values = base.filter(F.col(c).isNotNull()).groupBy(c).agg(*[w.alias(n) for n, w in weights.items()])
+        placed = pos.running_sums(values, c, {n.replace("_w", "_r"): F.col(n) for n in weights}, rows_per_bucket=rows_per_bucket)
+        ranks = placed.select(c, *[(F.col(n.replace("_w", "_r")) - (F.col(n) - 1) / 2.0).alias(n.replace("_w", "_r")) for n in weights])
+        out = pos.join_by_value(out, ranks, c)
+
+    def rank(c: str, partner: str):
+        return F.col(f"_r{index[c]}_{index[partner] if partner in gaps else ''}")
+
+    row = out.agg(*[F.corr(rank(a, b), rank(b, a)).alias(f"rho{i}") for i, (a, b) in enumerate(pairs)],
+                  *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"rho{i}").alias("rho"), F.col(f"n{i}").alias("n"))
+        for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*").filter(F.col("n") > 0)
 
 
 def spearman_matrix(df: DataFrame, columns, symmetric: bool = False,
@@ -106,4 +109,5 @@ def threshold_sweep(df: DataFrame, score: str, label: Column, grid=None) -> Data
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The cut-off of the best accuracy (the least one of equals)."""
     return sweep.orderBy(F.desc("accuracy"), "threshold").limit(1)

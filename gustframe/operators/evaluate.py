@@ -57,8 +57,8 @@ def error_quantiles(residuals: DataFrame, probs=(0.5, 0.75, 0.9)) -> DataFrame:
 
 def worst_predictions(residuals: DataFrame, original: DataFrame, key: str = "ID", q: float = 0.75) -> DataFrame:
     """Original rows whose error exceeds its q-quantile (semi-join on the key)."""
-    cut = pos.exact_quantiles(residuals, "error", [q]).first()["value"]
-    keys = residuals.filter(F.col("error") > F.lit(cut)).select(key)
+    cut = pos.exact_quantiles(residuals, "error", [q]).first()  # no row: no errors, nothing exceeds it
+    keys = residuals.filter(F.col("error") > F.lit(cut["value"] if cut else None).cast("double")).select(key)
     return original.join(keys, key, "left_semi")
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustframe.session import scratch_table
+
 # Broadcast a per-group statistics table only up to this many groups.
-MAX_BROADCAST_GROUPS = 100_000
+MAX_BROADCAST_GROUPS = 20_000
 
 
 def join_left_key(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
@@ -42,13 +44,11 @@ def with_scalars(df: DataFrame, agg_row_df: DataFrame) -> DataFrame:
 
 
 def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> tuple[DataFrame, bool]:
-    """Materialise a per-group result once when it has at most ``max_rows``
-    rows (returned as a local DataFrame, safe to broadcast); otherwise return
-    it unchanged (lazy, joined by shuffle)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    """A per-group result, written once to the shared folder, and whether it has
+    at most ``max_rows`` rows (then it may be broadcast; larger ones are joined by
+    shuffle).  It never passes through the driver."""
+    table = scratch_table(df, "stats")
+    return table, table.limit(max_rows + 1).count() <= max_rows
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, group_cols=()) -> DataFrame:

@@ -4,32 +4,44 @@
 task, and ``partitionBy(unit)`` moves a hot unit (a third of the rows) into one
 task.  Instead:
 
-1. cut the order key into range buckets whose bounds are approximate
-   quantiles (``percentile_approx``; the number of buckets grows with the
-   row count, ``Bucketizer`` finds the bucket by binary search);
-2. count rows per (group, bucket) -- a table of groups x buckets rows;
+1. count rows per group; every group above ``rows_per_bucket`` is cut at
+   approximate quantiles of its order key (``percentile_approx``), and every
+   piece that is still too large is cut again, until all fit.  The cut points
+   are a small table (one row per oversized piece) that is joined to the rows;
+   nothing is gathered on the driver, and no number of groups or buckets is
+   built in;
+2. count rows per (group, bucket);
 3. prefix-sum those counts per group (a window over the small table);
 4. number rows inside each (group, bucket) with a window partitioned by the
    bucket and add the offset.
 
-Every step is exact; only the bucket bounds are approximate, and they only
-decide how rows are spread over tasks.  Equal keys always fall in the same
-bucket, so ties are never split.
+Every step is exact; only the cut points are approximate, and they only decide
+how rows are spread over tasks.  Equal keys always fall in the same bucket, so
+ties are never split (a piece of one single key value is left whole).  NULL
+groups are groups like any other (all joins are null-safe), and infinite keys
+are ordinary keys, so the rows are the same at any ``rows_per_bucket``.
 
-Exact quantiles and average ranks pre-aggregate to (group, value, count)
-first, so a value repeated on a third of all rows is a single row.
+Average ranks pre-aggregate to (group, value, count) first, so a value repeated
+on a third of all rows is a single row.  Exact quantiles bracket each wanted
+position by two approximate quantiles, count the rows below the bracket and sort
+only the rows inside it.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from gustframe.session import scratch_table
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
+# Pieces that an oversized piece is cut into at a time.
+FAN_OUT = 64
+# Rows up to which a table of cut points, offsets or brackets is broadcast;
+# larger ones are joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def _sort_key(c: Column, dtype: str) -> Column:
@@ -48,122 +60,72 @@ def _dtype(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
-def _apply_splits(df: DataFrame, key: str, bounds, out: str) -> tuple[DataFrame, int]:
-    inner = sorted({float(b) for b in bounds if b is not None and math.isfinite(b)})
-    if not inner:
-        return df.withColumn(out, F.lit(0.0)), 1
-    splits = [float("-inf")] + inner + [float("inf")]
-    bk = Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep")
-    return bk.transform(df), len(splits) - 1
+def _side(table: DataFrame) -> DataFrame:
+    """Broadcast hint for a per-group or per-piece table whose rows are counted."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(table) if few else table
 
 
-# Number of quantile probes taken per group in the statistics pass; a group
-# gets at most this many buckets.
-PROBES = 1024
-# Per-group statistics are gathered on the driver only up to this many groups.
-MAX_STAT_GROUPS = 50_000
+def join_null_safe(df: DataFrame, side: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL matches NULL; no columns are doubled."""
+    keys = list(keys)
+    renamed = side.withColumnsRenamed({k: f"{k}__side" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}__side"))
+    return df.join(renamed, cond, how).drop(*[f"{k}__side" for k in keys])
 
 
-def _probe_index(j: int, m: int) -> int:
-    """Index of the probe closest to the j-th of m equal-count cut points
-    (probes are at i / PROBES, i = 1 .. PROBES - 1)."""
-    return min(PROBES - 2, max(0, round(j * PROBES / m) - 1))
+def join_by_value(df: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """Left join of per-value results.  NULL values match nothing and are dealt
+    over all partitions, instead of meeting in one."""
+    deal = F.when(F.col(value).isNull(), (F.rand(5) * 1024).cast("int")).otherwise(F.lit(0))
+    renamed = side.withColumnRenamed(value, "_value_side").withColumn("_deal_side", F.lit(0))
+    return (df.withColumn("_deal", deal)
+            .join(renamed, (F.col(value) == F.col("_value_side")) & (F.col("_deal") == F.col("_deal_side")), "left")
+            .drop("_value_side", "_deal", "_deal_side"))
 
 
 def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None,
                      max_group_rows: int | None = None):
-    """Bucket index that splits every group into about ``n_group /
-    rows_per_bucket`` key ranges.  A count pass decides whether any group
-    needs more than one bucket; only then a second pass takes approximate
-    quantile probes per group.  Returns (df, needs_buckets)."""
+    """Add ``_bkt``, an index of key ranges of at most about ``rows_per_bucket``
+    rows within each group, in key order.  Returns (df, whether any group was
+    cut); sizes that the caller knows save the count."""
     gcols = list(group_cols)
-    if (n_rows is not None and n_rows <= rows_per_bucket) or \
-            (gcols and max_group_rows is not None and max_group_rows <= rows_per_bucket):
-        return df.withColumn("_bkt", F.lit(0.0)), False
-    sizes = (df.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
-                                    F.max(key).alias("_kmax"))
-             .limit(MAX_STAT_GROUPS + 1).collect())
-    if len(sizes) > MAX_STAT_GROUPS:
-        return _bucket_many_groups(df, key, gcols, rows_per_bucket), True
-    if all(r["_n"] <= rows_per_bucket for r in sizes):
-        return df.withColumn("_bkt", F.lit(0.0)), False
-    # second pass only when some group needs more than one bucket
-    probs = [i / PROBES for i in range(1, PROBES)]
-    accuracy = max(10_000, 4 * max(r["_n"] for r in sizes) // max(1, rows_per_bucket))
-    stats = (df.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
-                                    F.max(key).alias("_kmax"),
-                                    F.percentile_approx(key, probs, accuracy).alias("_q"))
-             .limit(MAX_STAT_GROUPS + 1).collect())
-    if not gcols:
-        r = stats[0]
-        m = max(1, math.ceil(r["_n"] / rows_per_bucket))
-        picks = [r["_q"][_probe_index(j, m)] for j in range(1, m)]
-        out, _ = _apply_splits(df, key, picks, "_bkt")
-        return out, True
-    # Put group i on [i, i + 0.5] (order-preserving inside the group) so that
-    # one sorted split array serves all groups; the per-group table is small
-    # (checked above) and broadcast.
-    rows, bounds = [], []
-    for i, r in enumerate(stats):
-        lo, hi = r["_kmin"], r["_kmax"]
-        finite = lo is not None and hi is not None and math.isfinite(lo) and math.isfinite(hi)
-        span = (hi - lo) if finite and hi > lo else None
-        rows.append(tuple(r[g] for g in gcols) + (float(i), lo, span))
-        bounds.append(i - 0.25)
-        m = max(1, math.ceil(r["_n"] / rows_per_bucket))
-        if m > 1 and span:
-            for j in range(1, min(m, PROBES)):
-                qv = r["_q"][_probe_index(j, m)]
-                bounds.append(i + 0.5 * (qv - lo) / span)
-    schema = df.select(*gcols).schema
-    fields = list(schema.fields) + [T.StructField("_gi", T.DoubleType()), T.StructField("_gmin", T.DoubleType()),
-                                    T.StructField("_gspan", T.DoubleType())]
-    gdf = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    keyed = (df.join(F.broadcast(gdf), gcols, "left")
-             # a NULL group key matches no statistics row: give it its own slot
-             .withColumn("_gkey", F.coalesce(F.col("_gi"), F.lit(-1.0)) +
-                         F.coalesce(0.5 * F.try_divide(F.col(key) - F.col("_gmin"), F.col("_gspan")), F.lit(0.0)))
-             .drop("_gi", "_gmin", "_gspan"))
-    out, _ = _apply_splits(keyed, "_gkey", bounds, "_bkt")
-    return out.drop("_gkey"), True
-
-
-def _bucket_many_groups(df: DataFrame, key: str, gcols, rows_per_bucket: int) -> DataFrame:
-    """Too many groups to gather their statistics on the driver: normalise the
-    key to [0, 1] inside each group (per-group min/max joined back by
-    shuffle) and cut it with one set of global quantile bounds, so a large
-    group is still split into about n_group / rows_per_bucket ranges."""
-    rng = df.groupBy(*gcols).agg(F.min(key).alias("_gmin"), F.max(key).alias("_gmax"),
-                                 F.count(F.lit(1)).alias("_gn"))
-    largest = rng.agg(F.max("_gn")).first()[0] or 0
-    m = min(PROBES, max(1, math.ceil(largest / max(1, rows_per_bucket))))
-    normed = (df.join(rng, gcols, "left")
-              .withColumn("_gkey", F.coalesce(F.try_divide(F.col(key) - F.col("_gmin"),
-                                                           F.col("_gmax") - F.col("_gmin")), F.lit(0.0)))
-              .drop("_gmin", "_gmax", "_gn"))
-    if m == 1:
-        return normed.drop("_gkey").withColumn("_bkt", F.lit(0.0))
-    probs = [j / m for j in range(1, m)]
-    bounds = normed.agg(F.percentile_approx("_gkey", probs, max(10_000, 20 * m))).first()[0] or []
-    out, _ = _apply_splits(normed, "_gkey", bounds, "_bkt")
-    return out.drop("_gkey")
-
-
-def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
-                     out: str = "_pos", n_rows: int | None = None,
-                     max_group_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = inclusive running sum of the weight (1 per row by default)
-    in order of (order_col, *tie_cols) within ``group_cols``.
+    out = df.withColumn("_bkt", F.lit(0).cast("long"))
+    known = n_rows if not gcols else max_group_rows
+    if (n_rows is not None and n_rows <= rows_per_bucket) or (known is not None and known <= rows_per_bucket):
+        return out, False
+    probs = [i / FAN_OUT for i in range(1, FAN_OUT)]
+    cut = False
+    while True:
+        pieces = (out.groupBy(*gcols, "_bkt").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+                  .filter((F.col("_n") > rows_per_bucket) & (F.col("_lo") < F.col("_hi"))).drop("_n", "_lo", "_hi"))
+        pieces = scratch_table(pieces, "oversized")
+        if not pieces.take(1):
+            return out, cut
+        cut = True
+        large = join_null_safe(out, _side(pieces), [*gcols, "_bkt"], "left_semi")
+        # a bound is the least key of the piece above it; the piece's own least key is none
+        bounds = large.groupBy(*gcols, "_bkt").agg(F.percentile_approx(key, probs, 10 * FAN_OUT).alias("_q"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+        bounds = scratch_table(bounds.select(*gcols, "_bkt", F.array_distinct(F.concat(
+            F.filter("_q", lambda b: b > F.col("_lo")), F.array("_hi"))).alias("_cuts")), "cuts")
+        joined = join_null_safe(out, _side(bounds), [*gcols, "_bkt"])
+        sub = F.coalesce(F.size(F.filter("_cuts", lambda b: b <= F.col(key))), F.lit(0))
+        out = joined.withColumn("_bkt", F.col("_bkt") * (FAN_OUT + 1) + sub).drop("_cuts")
+
+
+def running_sums(df: DataFrame, order_col: str, sums: dict, group_cols=(), tie_cols=(),
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
+                 n_rows: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+    """Add inclusive running sums (``sums``: output name -> weight column) in
+    order of (order_col, *tie_cols) within ``group_cols``.
 
-    With a total order and unit weights this is ``row_number()``; with
-    pre-aggregated (value, count) rows it is the last position of the value.
     ``normalize=False`` makes all groups share the bucket bounds of the key
     (right for hash keys, which spread evenly inside every group).
     """
     group_cols = list(group_cols)
     normalize = bool(group_cols) if normalize is None else normalize
-    w = F.col(weight_col) if weight_col else F.lit(1)
     base = df.withColumn("_key", _sort_key(F.col(order_col), _dtype(df, order_col)))
     if normalize and group_cols:
         b, bucketed = _bucket_by_group(base, "_key", group_cols, rows_per_bucket, n_rows, max_group_rows)
@@ -173,15 +135,27 @@ def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(),
             .orderBy(F.col(order_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tie_cols])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if not bucketed:
-        return b.withColumn(out, F.sum(w).over(upto).cast("long")).drop("_key", "_bkt")
-    counts = b.groupBy(*group_cols, "_bkt").agg(F.sum(w).alias("_bw"))
+        return b.withColumns({o: F.sum(w).over(upto).cast("long") for o, w in sums.items()}).drop("_key", "_bkt")
+    counts = b.groupBy(*group_cols, "_bkt").agg(*[F.sum(w).alias(f"_b_{o}") for o, w in sums.items()])
     before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"))
-    # groups x buckets rows; groups are bounded by MAX_STAT_GROUPS, buckets by PROBES
-    offs = F.broadcast(offs) if not group_cols else offs
-    joined = b.join(offs, [*group_cols, "_bkt"], "inner")
-    return (joined.withColumn(out, (F.col("_off") + F.sum(w).over(upto)).cast("long"))
-            .drop("_key", "_bkt", "_off"))
+    offs = scratch_table(counts.select(*group_cols, "_bkt", *[
+        F.coalesce(F.sum(f"_b_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums]), "offsets")
+    joined = join_null_safe(b, _side(offs), [*group_cols, "_bkt"], "inner")
+    return (joined.withColumns({o: (F.col(f"_off_{o}") + F.sum(w).over(upto)).cast("long") for o, w in sums.items()})
+            .drop("_key", "_bkt", *[f"_off_{o}" for o in sums]))
+
+
+def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
+                     out: str = "_pos", n_rows: int | None = None,
+                     max_group_rows: int | None = None) -> DataFrame:
+    """Add ``out`` = inclusive running sum of the weight (1 per row by default).
+
+    With a total order and unit weights this is ``row_number()``; with
+    pre-aggregated (value, count) rows it is the last position of the value.
+    """
+    w = F.col(weight_col) if weight_col else F.lit(1)
+    return running_sums(df, order_col, {out: w}, group_cols, tie_cols, rows_per_bucket, normalize, n_rows, max_group_rows)
 
 
 def row_number_global(df: DataFrame, order_col: str, tie_cols=(), group_cols=(), out: str = "_rn",
@@ -238,84 +212,67 @@ def average_rank(df: DataFrame, value_col: str, group_cols=(), out: str = "_rank
                     (F.col("_pos") - (F.col("_cnt") - 1) / 2.0).alias(out))
 
 
-def _group_sizes(df: DataFrame, group_cols):
-    """Row count per group (map-side aggregation of the source), or None when
-    there are more than MAX_STAT_GROUPS groups."""
-    rows = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-            .limit(MAX_STAT_GROUPS + 1).collect())
-    return None if len(rows) > MAX_STAT_GROUPS else rows
-
-
-def _wanted(n: int, probs) -> list[tuple[int, int, int]]:
-    """(prob index, side, 1-based position) of the values a quantile reads."""
-    out = []
-    for i, q in enumerate(probs):
-        lo = math.floor(q * (n - 1))
-        out += [(i, 0, lo + 1), (i, 1, min(lo + 2, n))]
-    return out
-
-
 def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: str = "value",
-                    prob_col: str = "q", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                    prob_col: str = "q", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+                    accuracy: int = 10_000) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile`` / ``quantile_cont``)
-    per group, long form (group..., q, value).  NULLs are skipped.
-
-    Nothing group-sized is gathered into one task: values are pre-aggregated,
-    positioned with :func:`running_position`, and each quantile is read from
-    the one or two values whose position range covers it.  Group sizes come
-    from one map-side count of the source, so the wanted positions are known
-    on the driver and travel as literals (or a small broadcast table).
+    per group, long form (group..., q, value).  NULLs and NaNs are skipped; a
+    NULL group is a group.
+
+    One ``percentile_approx`` pass brackets every wanted position by the
+    approximate quantiles 2 / ``accuracy`` of the rows to either side (its error
+    is at most 1 / ``accuracy``; small groups are bracketed whole).  A second,
+    map-side pass counts the rows below each bracket and counts the values
+    inside; only these, a few ten-thousandths of a large group, are shuffled and
+    put in order.
     """
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
-    v = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v"))
+    v = (df.select(*group_cols, (F.col(value_col).cast("double") + F.lit(0.0)).alias("_v"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    sizes = _group_sizes(v, group_cols)
-    largest = max((r["_n"] for r in sizes), default=0) if sizes is not None else None
-    d = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    p = running_position(d, "_v", group_cols, weight_col="_cnt", rows_per_bucket=rows_per_bucket,
-                         n_rows=largest if not group_cols else None, max_group_rows=largest)
-    want_t = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("side", T.IntegerType()),
-                                       T.StructField("k", T.LongType())]))
-    if sizes is not None:
-        if not sizes or sizes[0]["_n"] == 0:
-            return df.sparkSession.createDataFrame([], v.select(*group_cols).schema.add(prob_col, T.DoubleType())
-                                                   .add(out, T.DoubleType()))
-        if not group_cols:
-            n = sizes[0]["_n"]
-            lit_want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sd).alias("side"), F.lit(k).cast("long").alias("k"))
-                                 for i, sd, k in _wanted(n, probs)])
-            joined = p.withColumns({"_n": F.lit(n).cast("long"), "_want": lit_want})
-        else:
-            rows = [tuple(r[g] for g in group_cols) + (int(r["_n"]), _wanted(int(r["_n"]), probs)) for r in sizes]
-            schema = d.select(*group_cols).schema.add("_n", T.LongType()).add("_want", want_t)
-            targets = df.sparkSession.createDataFrame(rows, schema)
-            joined = p.join(F.broadcast(targets), group_cols, "inner")  # one row per group, counted
-    else:
-        n = d.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-        wanted = []
-        for i, q in enumerate(probs):
-            lo = F.floor(F.lit(q) * (F.col("_n") - 1))
-            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), (lo + 1).cast("long").alias("k")))
-            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"),
-                                   F.least(lo + 2, F.col("_n")).cast("long").alias("k")))
-        targets = n.select(*group_cols, "_n", F.array(*wanted).alias("_want"))
-        joined = p.join(targets, group_cols, "inner")
-    start = F.col("_pos") - F.col("_cnt") + 1
-    hits = joined.select(
-        *group_cols, "_n", "_v",
-        F.explode(F.filter("_want", lambda s: (s["k"] >= start) & (s["k"] <= F.col("_pos")))).alias("_w"))
-    agg = hits.groupBy(*group_cols, "_n", F.col("_w.i").alias("_i")).agg(
-        F.max(F.when(F.col("_w.side") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_w.side") == 1, F.col("_v"))).alias("_hi"))
-    prob_arr = F.array(*[F.lit(q) for q in probs])
-    qv = F.element_at(prob_arr, F.col("_i") + 1)
+    margin = 2.0 / accuracy
+    near = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    stats = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                       F.percentile_approx("_v", near, accuracy).alias("_b"))
+    k = len(probs)
+    whole = F.col("_n") <= accuracy
+    brackets = F.array(*[F.struct(
+        F.lit(i).alias("i"),
+        F.when(whole | F.lit(near[i] == 0.0), F.col("_min")).otherwise(F.col("_b")[i]).alias("lo"),
+        F.when(whole | F.lit(near[k + i] == 1.0), F.col("_max")).otherwise(F.col("_b")[k + i]).alias("hi"),
+        (F.floor(F.lit(p) * (F.col("_n") - 1)) + 1).alias("first"),
+        F.least(F.floor(F.lit(p) * (F.col("_n") - 1)) + 2, F.col("_n")).alias("second")) for i, p in enumerate(probs)])
+    stats = scratch_table(stats.filter(F.col("_n") > 0).select(*group_cols, "_n", brackets.alias("_want")), "brackets")
+    near_rows = join_null_safe(v, _side(stats.drop("_n")), group_cols, "inner") if group_cols else _with_row(v, stats.drop("_n"))
+
+    # map-side: rows below a bracket count under NULL, values inside under themselves
+    touched = near_rows.select(*group_cols, "_v", F.explode(F.filter("_want", lambda w: F.col("_v") <= w["hi"])).alias("_w"))
+    counts = touched.groupBy(*group_cols, F.col("_w.i").alias("_i"),
+                             F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
+    placed = running_position(counts, "_v", [*group_cols, "_i"], weight_col="_cnt", rows_per_bucket=rows_per_bucket)
+    placed = placed.filter(F.col("_v").isNotNull())  # NULL, the rows below, comes first
+    flat = stats.select(*group_cols, "_n", F.explode("_want").alias("_w")).select(
+        *group_cols, "_n", F.col("_w.i").alias("_i"), F.col("_w.first").alias("_first"), F.col("_w.second").alias("_second"))
+    joined = join_null_safe(placed, _side(flat), [*group_cols, "_i"], "inner")
+    here = lambda c: (F.col(c) > F.col("_pos") - F.col("_cnt")) & (F.col(c) <= F.col("_pos"))
+    agg = joined.groupBy(*group_cols, "_i", "_n").agg(F.max(F.when(here("_first"), F.col("_v"))).alias("_lo"),
+                                                      F.max(F.when(here("_second"), F.col("_v"))).alias("_hi"))
+    qv = F.element_at(F.array(*[F.lit(q) for q in probs]), F.col("_i") + 1)
     h = qv * (F.col("_n") - 1)
     frac = h - F.floor(h)
     value = F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
     return agg.select(*group_cols, qv.alias(prob_col), value.alias(out))
 
 
+def _with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach a one-row table's arrays as literals (no row: no rows)."""
+    row = one.first()
+    if row is None:
+        return df.filter(F.lit(False)).withColumns({c: F.lit(None).cast(t) for c, t in one.dtypes})
+    lits = {c: F.array(*[F.struct(*[F.lit(w[f]).alias(f) for f in w.__fields__]) for w in row[c]]) for c in one.columns}
+    return df.withColumns(lits)
+
+
 def exact_median(df: DataFrame, value_col: str, group_cols=(), out: str = "median",
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     return exact_quantiles(df, value_col, [0.5], group_cols, out=out,

@@ -28,7 +28,9 @@ def row_column_count(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, x: str, group_cols=()) -> DataFrame:
     """count, mean, sample std, min, q25, median, q75, max (exact quantiles)."""
     group_cols = list(group_cols)
-    src = df.filter(F.col(group_cols[0]).isNotNull()) if group_cols else df
+    src = df
+    for g in group_cols:
+        src = src.filter(F.col(g).isNotNull())
     base = src.groupBy(*group_cols).agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"))
@@ -151,13 +153,6 @@ def flag_bounds_per_row(df: DataFrame, sensors) -> DataFrame:
     return value_counts_share(df.select(total.alias("n_out")), "n_out").withColumnRenamed("n", "n_rows")
 
 
-def split_bounds(df: DataFrame, sensors) -> tuple[DataFrame, DataFrame]:
-    """(rows with any bound violated, rows with none) -- named the right way round."""
-    flags = list(bounds_flags(sensors).values())
-    anyf = ns.any_of(*flags)
-    return df.filter(anyf), df.filter(~anyf)
-
-
 def check_max_lt_min(df: DataFrame, sensors) -> DataFrame:
     """(sensor, n) for sensors where some row has max < min."""
     row = df.agg(*[F.count_if(F.col(f"{s}_max") < F.col(f"{s}_min")).alias(s) for s in sensors])
@@ -190,13 +185,19 @@ def global_extrema(df: DataFrame, columns) -> DataFrame:
 
 
 def nunique(df: DataFrame, columns) -> DataFrame:
-    """Exact distinct count per column: unpivot, de-duplicate (column, value),
-    count per column.  A value shared by many rows is collapsed map-side."""
-    columns = list(columns)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("cv"))
-    return (long.select("cv.column", "cv.v").filter(F.col("v").isNotNull()).distinct()
-            .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
+    """Exact distinct count per column: per column type, unpivot, de-duplicate
+    (column, value), count per column.  A value shared by many rows is collapsed
+    map-side; -0.0 is 0.0, and values stay in their own type."""
+    types = dict(df.dtypes)
+    columns, out = list(columns), None
+    for t in dict.fromkeys(types[c] for c in columns):
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns if types[c] == t])).alias("cv"))
+        value = F.col("v") + F.lit(0).cast(t) if t in ("double", "float") else F.col("v")
+        part = (long.select("cv.column", "cv.v").filter(F.col("v").isNotNull()).select("column", value.alias("v")).distinct()
+                .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def group_multi_agg(df: DataFrame, x: str, group: str) -> DataFrame:

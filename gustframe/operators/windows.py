@@ -42,7 +42,8 @@ def lag_diff(df: DataFrame, cols, unit: str = "MAC_CODE", order=("Date_time", "I
             Window.partitionBy(unit).orderBy("_lbkt")).alias("_carry"))
         # carry has units x buckets rows: small, but the unit count is not
         # bounded by construction, so AQE picks the join from its run-time size
-        b = b.join(carry, [unit, "_lbkt"], "left").withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry")
+        b = (pos.join_null_safe(b, carry, [unit, "_lbkt"])
+             .withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry"))
     out = {names[c]: F.when(F.col(unit).isNotNull(), F.col(f"_prev.{c}") - F.col(c)) for c in cols}
     return b.withColumns(out).drop("_prev", "_lkey", "_lbkt")
 
@@ -84,11 +85,11 @@ def split_stratified(df: DataFrame, strata: str = "MAC_CODE", test_size: float =
     """Hold-out keeping stratum proportions: in every stratum the first
     ceil(test_size * n_stratum) rows in hash order.  A hot stratum is split
     over many tasks (the hash buckets are shared by all strata)."""
-    sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_ns"))
+    sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_ns"))  # NULL is a stratum of its own
     ranked = pos.row_number_global(_hashed(df, id_col, seed), "_hnum", tie_cols=["_h", id_col],
                                    group_cols=[strata], rows_per_bucket=rows_per_bucket)
     quota = F.ceil(F.col("_ns") * F.lit(test_size))
-    return (ranked.join(sizes, [strata], "left")
+    return (pos.join_null_safe(ranked, sizes, [strata])
             .withColumn(out, F.col("_rn") <= quota).drop("_rn", "_h", "_hnum", "_ns"))
 
 
@@ -96,4 +97,8 @@ def rank_average(df: DataFrame, x: str, out: str = "rank", group_cols=(),
                  rows_per_bucket: int = pos.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Attach the average rank of ``x`` (ties share the mean position)."""
     r = pos.average_rank(df, x, group_cols, out=out, rows_per_bucket=rows_per_bucket).drop("_cnt")
-    return df.join(r, [*group_cols, x], "left")
+    if not list(group_cols):
+        return pos.join_by_value(df, r, x)
+    present = df.filter(F.col(x).isNotNull())
+    return pos.join_null_safe(present, r, [*group_cols, x], "inner").unionByName(
+        df.filter(F.col(x).isNull()).withColumn(out, F.lit(None).cast("double")))

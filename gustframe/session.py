@@ -63,6 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/gustframe-{name}-{uuid.uuid4().hex}"
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a small derived table to the shared folder and read it back: it is
+    computed once, and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}  # by application; kept until the driver ends
 
 

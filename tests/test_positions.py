@@ -90,16 +90,76 @@ def test_kfold_blocks_matches_ntile(spark):
     assert [f for _, f in got] == sorted(f for _, f in got)
 
 
-def test_many_groups_fallback(skewed, monkeypatch):
-    """More groups than the driver-side statistics limit: the distributed
-    normalisation path gives the same ranks and quantiles."""
-    pdf, df = skewed
-    monkeypatch.setattr(pos, "MAX_STAT_GROUPS", 2)
-    got = {(r.g, r.v): r._rank for r in pos.average_rank(df, "v", ["g"], rows_per_bucket=40).collect()}
-    for g, part in pdf.groupby("g"):
-        for v, rk in zip(part.v, part.v.rank(method="average")):
-            assert got[(g, v)] == pytest.approx(rk)
-    q = {(r.g, round(r.q, 2)): r.value for r in pos.exact_quantiles(df, "v", [0.25, 0.5], ["g"], rows_per_bucket=50).collect()}
-    for g, part in pdf.groupby("g"):
-        for p in (0.25, 0.5):
-            assert q[(g, p)] == pytest.approx(part.v.quantile(p))
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """A NULL unit, infinite values, a hot group, a value on a third of the rows,
+    and enough rows for more buckets than one cut makes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        g = ["hot", "b", None][0 if i % 3 else (1 if i % 2 else 2)]
+        v = 7.5 if i % 3 == 1 else float(rng.normal())
+        rows.append((i, g, float("inf") if i == 10 else float("-inf") if i == 20 else None if i % 50 == 7 else v, i // 3))
+    return spark.createDataFrame(rows, "ID long, g string, v double, ts long").cache()
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_same_rows_at_any_bucket_size(awkward):
+    both = lambda f: (_rows(f(5)), _rows(f(1_000_000)))
+    for f in (
+        lambda n: windows.split_stratified(awkward, "g", 0.2, rows_per_bucket=n),
+        lambda n: windows.rank_average(awkward, "v", rows_per_bucket=n),
+        lambda n: windows.rank_average(awkward, "v", group_cols=["g"], rows_per_bucket=n),
+        lambda n: windows.lag_diff(awkward.withColumn("w", F.col("ID") * 2), "w", unit="g", order=("ts", "ID"), rows_per_bucket=n),
+        lambda n: pos.exact_quantiles(awkward, "v", [0.1, 0.5, 0.9], ["g"], rows_per_bucket=n),
+        lambda n: pos.exact_quantiles(awkward, "v", [0.1, 0.5, 0.9], rows_per_bucket=n),
+        lambda n: windows.kfold_shuffled(awkward, 4, rows_per_bucket=n),
+    ):
+        small, large = both(f)
+        assert small == large and small
+    assert windows.split_stratified(awkward, "g", 0.2, rows_per_bucket=5).count() == 900
+    parts = windows.split_stratified(awkward, "g", 0.2, rows_per_bucket=5).groupBy("g").agg(F.count_if("is_test").alias("t"), F.count("*").alias("n")).collect()
+    assert all(r.t == -(-r.n // 5) for r in parts) and {r.g for r in parts} == {"hot", "b", None}
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_no_bucket_is_far_above_its_target(awkward, groups):
+    for target in (5, 20):
+        b, cut = pos._bucket_by_group(awkward.withColumn("_key", F.col("ID").cast("double")), "_key", groups, target, None)
+        assert cut and b.count() == 900
+        assert max(r["count"] for r in b.groupBy(*groups, "_bkt").count().collect()) <= 3 * target
+
+
+def test_infinite_value_does_not_stop_the_cuts(awkward):
+    src = awkward.filter(F.col("v").isNotNull()).select("g", "v").distinct().withColumn("_key", F.col("v"))
+    b, cut = pos._bucket_by_group(src, "_key", ["g"], 20, None)
+    assert cut and max(r["count"] for r in b.groupBy("g", "_bkt").count().collect()) <= 60
+
+
+def test_quantiles_read_only_brackets(spark):
+    """A large group is bracketed, and the result is still exact."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=40_000)
+    df = spark.createDataFrame([(float(x), "a" if i % 4 else None) for i, x in enumerate(v)], "v double, g string")
+    got = {(r.g, r.q): r.value for r in pos.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], ["g"], accuracy=500).collect()}
+    for g, part in (("a", [x for i, x in enumerate(v) if i % 4]), (None, v[::4])):
+        for q in (0.0, 0.25, 0.5, 1.0):
+            assert got[(g, q)] == pytest.approx(float(np.quantile(part, q)))
+
+
+def test_spearman_wide(spark):
+    from gustframe.operators import corr
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 40)).round(1)
+    pdf = pd.DataFrame(base, columns=[f"c{i}" for i in range(40)])
+    pdf.loc[::7, "c3"] = None
+    pdf.loc[::5, "c9"] = None
+    df = spark.createDataFrame([tuple(None if pd.isna(x) else float(x) for x in r) for r in pdf.to_numpy()], ", ".join(f"c{i} double" for i in range(40)))
+    got = {(r.col_a, r.col_b): r.rho for r in corr.spearman_matrix(df, list(pdf.columns)).collect()}
+    want = lambda a, b: pdf[[a, b]].dropna().rank().corr().iloc[0, 1]
+    assert len(got) == 780
+    for k in [("c0", "c1"), ("c3", "c9"), ("c2", "c3"), ("c9", "c30"), ("c38", "c39")]:
+        assert got[k] == pytest.approx(want(*k))
