@@ -1,7 +1,11 @@
 """Delimited (``;``) readers and the prediction writer.
 
-Schemas are explicit (no inference pass over 100 TB); NaN is turned into NULL
-on ingest so that no NaN reaches an operator.
+Types are explicit (no inference pass over 100 TB) and columns are found by
+header name, in any order and among others; a missing one is an error, and so
+is a file of the same folder with another header.  A cell that does not parse
+fails the read (``mode="PERMISSIVE"`` makes it NULL).  NaN is turned into NULL
+on ingest so that no NaN reaches an operator.  Timestamps are read with any
+fraction of a second and written with microseconds.
 """
 
 from __future__ import annotations
@@ -33,12 +37,19 @@ def labels_schema(key: str = "ID", target: str = "TARGET") -> T.StructType:
     return T.StructType([T.StructField(key, T.LongType()), T.StructField(target, T.DoubleType())])
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = SEP) -> DataFrame:
-    """Header row, explicit schema; a missing file raises Spark's AnalysisException."""
-    df = (spark.read.schema(schema).option("sep", sep).option("header", True)
-          .option("mode", "PERMISSIVE").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-          .csv(path))
-    return nan_to_null(df)
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = SEP,
+                   mode: str = "FAILFAST") -> DataFrame:
+    """The columns of ``schema`` by header name; a missing file raises Spark's
+    AnalysisException, a missing column a ValueError."""
+    header = spark.read.option("sep", sep).option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(header)}")
+    wanted = {f.name: f for f in schema.fields}
+    in_file = T.StructType([wanted.get(h, T.StructField(h, T.StringType())) for h in header])
+    df = (spark.read.schema(in_file).option("sep", sep).option("header", True).option("enforceSchema", False)
+          .option("mode", mode).csv(path))
+    return nan_to_null(df.select(*schema.fieldNames()))
 
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -67,7 +78,7 @@ def read_projection(spark: SparkSession, path: str, key: str = "ID", dims=("dim0
 
 def write_delimited(df: DataFrame, path: str, sep: str = SEP, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("sep", sep).option("header", True)
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 
 
 def write_predictions(pred: DataFrame, path: str, key: str = "ID", target: str = "TARGET",

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.operators.positions import running_position
+# Event types that are units of ``hourly``; the table holds no others.
+UNITS = ("click", "error", "purchase", "signup", "view")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -49,9 +50,12 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.max("value").alias("value_max"), F.stddev_samp("value").alias("value_std"),
                 F.avg("k").alias("k"), F.min("k").alias("k_min"), F.max("k").alias("k_max"),
                 F.stddev_samp("k").alias("k_std"), F.count(F.lit(1)).alias("n")))
-    # dense_rank over (hour, unit): the pairs are unique after the group-by, so
-    # it is an exact row number, computed without a one-task window.
-    with_id = running_position(agg, "Date_time", tie_cols=["MAC_CODE"], out="ID")
+    # the key is hour number x 8 + unit number: no window and no action
+    hours = F.datediff("Date_time", F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour("Date_time")
+    unit = F.lit(0)
+    for i, u in enumerate(UNITS):
+        unit = F.when(F.col("MAC_CODE") == u, i + 1).otherwise(unit)
+    with_id = agg.withColumn("ID", hours * 8 + unit)
     return with_id.select("ID", "Date_time", "MAC_CODE", "value", "value_min", "value_max", "value_std",
                           "k", "k_min", "k_max", "k_std", "n")
 
@@ -127,7 +131,8 @@ BUILDERS = {"sig": sig, "hourly": hourly, "turbine": turbine, "wide": wide, "wid
 SQL_VIEWS = {
     "sig": "select event_id as ID, event_type as MAC_CODE, ts as Date_time, value, "
            "cast(json_extract_string(props, '$.k') as double) as k from events",
-    "hourly": "select dense_rank() over (order by h, MAC_CODE) as ID, h as Date_time, MAC_CODE, "
+    "hourly": "select (datediff('day', date '1970-01-01', h) * 24 + hour(h)) * 8 + case MAC_CODE " +
+              " ".join(f"when '{u}' then {i + 1}" for i, u in enumerate(UNITS)) + " else 0 end as ID, h as Date_time, MAC_CODE, "
               "value, value_min, value_max, value_std, k, k_min, k_max, k_std, n from ("
               "select date_trunc('hour', Date_time) as h, MAC_CODE, avg(value) as value, min(value) as value_min, "
               "max(value) as value_max, stddev_samp(value) as value_std, avg(k) as k, min(k) as k_min, "
@@ -157,14 +162,3 @@ SQL_VIEWS = {
 }
 # Views that other views are built from.
 SQL_DEPENDS = {"hourly": ["sig"], "turbine": ["sig", "hourly"]}
-
-
-def with_views(sql: str, *views: str) -> str:
-    """Prefix ``sql`` with the CTEs it needs (dependencies first)."""
-    order: list[str] = []
-    for v in views:
-        for dep in SQL_DEPENDS.get(v, []) + [v]:
-            if dep not in order:
-                order.append(dep)
-    ctes = ",\n".join(f"{v} as ({SQL_VIEWS[v]})" for v in order)
-    return f"with {ctes}\n{sql}"

@@ -45,3 +45,25 @@ def test_training_join_keeps_unlabelled_rows(spark):
     joined = io.read_training_joined(spark, fp, lp, schema)
     assert joined.count() == docs.count()
     assert joined.filter(F.col("TARGET").isNull()).count() == docs.count() - docs.join(labs, "ID", "left_semi").count()
+
+
+def test_columns_by_header_name_bad_cells_and_fractions(spark, tmp_path):
+    import datetime as dt
+
+    import pytest
+    from pyspark.sql import types as T
+
+    from gustframe.sources import delimited as io
+    (tmp_path / "a.csv").write_text("TARGET;extra;ID\n9.5;x;1\n")
+    assert [tuple(r) for r in io.read_labels(spark, str(tmp_path / "a.csv")).collect()] == [(1, 9.5)]
+    (tmp_path / "b.csv").write_text("ID;TARGET\n2;abc\n")
+    with pytest.raises(Exception, match="abc"):
+        io.read_labels(spark, str(tmp_path / "b.csv")).collect()
+    (tmp_path / "c.csv").write_text("ID;OTHER\n2;1\n")
+    with pytest.raises(ValueError, match="TARGET"):
+        io.read_labels(spark, str(tmp_path / "c.csv"))
+    schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("Date_time", T.TimestampNTZType())])
+    when = [dt.datetime(2024, 1, 2, 3, 4, 5, 750000), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 1), None]
+    df = spark.createDataFrame(list(enumerate(when)), schema)
+    io.write_delimited(df, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in io.read_delimited(spark, str(tmp_path / "t"), schema).collect()) == list(enumerate(when))
