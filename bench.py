@@ -44,13 +44,13 @@ def model_input(spark, sf_dir):
     w = V.wide(spark, sf_dir, spread=True)
     filled = fx.ImputeMedian(inputCols=FEATS3).fit(w).transform(w)
     va = VectorAssembler(inputCols=FEATS3, outputCol="features")
-    from gustframe.plans.models import fit_input
-    return fit_input(va.transform(filled).select("features", "TARGET", "MAC_CODE")).cache()
+    return va.transform(filled).select("features", "TARGET", "MAC_CODE").cache()
 
 
 def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
     wide = lambda: V.wide(spark, sf_dir)
     sig = lambda: V.sig(spark, sf_dir)
+    wide_keyed = lambda: V.wide_keyed(spark, sf_dir)
 
     def q_null_profile():
         w = wide()
@@ -78,6 +78,12 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
         sink(windows.kfold_shuffled(sig(), 5))
         sink(windows.split_stratified(sig(), "MAC_CODE"))
 
+    def q_bucketed():
+        """The bucketed paths, as large tables take them (no more than 20,000 rows in a window)."""
+        sink(windows.kfold_shuffled(wide_keyed(), 5, id_col="okey", rows_per_bucket=20_000))
+        sink(windows.rank_average(wide(), "TARGET", rows_per_bucket=20_000))
+        pos.exact_median(wide(), "TARGET", ["MAC_CODE"], rows_per_bucket=20_000).collect()
+
     def q_bins():
         w = V.wide(spark, sf_dir, spread=True).withColumn("subset", ns.regime3("Rotor_speed"))
         bins.histogram_overlay(w, ["Rotor_speed", "Pitch_angle", "Rotor_speed_std", "TARGET"], "subset", 20).collect()
@@ -105,7 +111,7 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
 
     plan = [("null_profile", q_null_profile), ("describe_quantiles", q_describe_quantiles),
             ("regime_flagship", q_regime_flagship), ("spearman", q_spearman), ("lag_diff", q_lag_diff),
-            ("folds_splits", q_folds_splits), ("bins", q_bins), ("outliers", q_outliers),
+            ("folds_splits", q_folds_splits), ("bucketed_paths", q_bucketed), ("bins", q_bins), ("outliers", q_outliers),
             ("model_input", lambda: data.__setitem__("m", model_input(spark, sf_dir)) or data["m"].count()),
             ("boosted_fit", q_boosted_fit), ("kmeans_fit", q_kmeans_fit), ("linear_fit", q_linear_fit),
             ("logit_fit", q_logit_fit)]

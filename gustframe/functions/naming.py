@@ -25,12 +25,6 @@ def base_sensors(columns, stop_list=None) -> list[str]:
     return sorted(c for c in columns if not c.endswith(DERIVED_SUFFIXES) and c not in stop)
 
 
-def quadruple_sensors(df: DataFrame, stop_list=None) -> list[str]:
-    """Base sensors that have all of ``_min``, ``_max`` and ``_std`` columns."""
-    cols = set(df.columns)
-    return [c for c in base_sensors(df.columns, stop_list)
-            if {c + "_min", c + "_max", c + "_std"} <= cols]
-
 
 def columns_of_type(df: DataFrame, family: str) -> list[str]:
     """Columns of one type family: 'numeric', 'string', 'boolean', 'timestamp'."""

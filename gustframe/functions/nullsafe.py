@@ -50,12 +50,6 @@ def any_of(*conds: Column) -> Column:
     return out
 
 
-def all_of(*conds: Column) -> Column:
-    out = F.lit(True)
-    for c in conds:
-        out = out & keep(c)
-    return out
-
 
 def high_condition(speed="Rotor_speed", cut: float = HIGH_CUT, by_cube: bool = True) -> Column:
     """Raw (three-valued) high-regime predicate.

@@ -199,14 +199,3 @@ def zscore(x, mean, std) -> Column:
 
 def log1p10(x) -> Column:
     return safe_log10(col(x) + F.lit(1.0))
-
-
-def grid_points(n: int, lo: float, hi: float) -> list[float]:
-    """n evenly spaced points lo..hi inclusive, built from integers."""
-    if n == 1:
-        return [lo]
-    return [lo + i * (hi - lo) / (n - 1) for i in range(n)]
-
-
-def gaussian_kernel(u) -> Column:
-    return F.exp(-0.5 * col(u) * col(u)) / F.lit(math.sqrt(2.0 * math.pi))

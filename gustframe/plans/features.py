@@ -20,9 +20,6 @@ from gustframe.functions import scalars as sc
 from gustframe.operators import positions as pos
 from gustframe.operators import windows
 
-# Largest number of categories a one-hot fit accepts.
-MAX_CATEGORIES = 10_000
-
 
 def _p(name: str, doc: str, conv=None) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=conv) if conv else Param(Params._dummy(), name, doc)
@@ -169,21 +166,25 @@ class AddFeaturesModel(Model, _Stage):
 
 
 class OneHot(Estimator, _Stage):
-    """0/1 INT column per category in sorted order, named ``<col>_<value>``."""
+    """0/1 INT column per category in sorted order, named ``<col>_<value>``.
+    A column with more than ``maxCategories`` values is an error: every category
+    becomes a column."""
     inputCols = _p("inputCols", "categorical columns", TypeConverters.toListString)
+    maxCategories = _p("maxCategories", "most categories of a column", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, maxCategories=10_000):
         super().__init__()
+        self._setDefault(maxCategories=10_000)
         self._init(self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "OneHotModel":
-        cats = {}
+        cats, most = {}, self.get("maxCategories")
         for col in self.get("inputCols"):
             vals = (df.select(col).filter(F.col(col).isNotNull()).distinct()
-                    .orderBy(col).limit(MAX_CATEGORIES + 1).collect())
-            if len(vals) > MAX_CATEGORIES:
-                raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories")
+                    .orderBy(col).limit(most + 1).collect())
+            if len(vals) > most:
+                raise ValueError(f"{col}: more than {most} categories")
             cats[col] = [r[0] for r in vals]
         return OneHotModel(categories=cats)
 

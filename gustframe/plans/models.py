@@ -11,14 +11,20 @@ from __future__ import annotations
 import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import TypeConverters
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustframe.functions import naming
 from gustframe.operators import windows
-from gustframe.plans.features import ImputeMedian, RegimeColumn
+from gustframe.plans.features import ImputeMedian, RegimeColumn, _p, _Stage
+
+# Share of the published number of trees in the registered queries; see ``rounds``.
+QUERY_SHARE = 0.02
 
 
 def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str = "TARGET") -> RandomForestRegressor:
@@ -27,19 +33,23 @@ def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str =
                                  labelCol=label, featuresCol="features")
 
 
-def boosted(maxIter: int = 50, maxDepth: int = 4, stepSize: float = 0.1, subsamplingRate: float = 1.0,
-            featureSubsetStrategy: str = "all", seed: int = 7, label: str = "TARGET") -> GBTRegressor:
-    """Gradient-boosted trees.  Column sampling is per node in Spark (per tree
-    in the analysed workload) and there is no L2 leaf penalty."""
+def boosted(maxIter: int = 1500, maxDepth: int = 4, stepSize: float = 0.1, subsamplingRate: float = 1.0,
+            featureSubsetStrategy: str = "all", seed: int = 7, label: str = "TARGET",
+            checkpointInterval: int = 25) -> GBTRegressor:
+    """Gradient-boosted trees; lineage is cut every ``checkpointInterval`` trees
+    in the shared folder.  Column sampling is per node in Spark (per tree in the
+    analysed workload) and there is no L2 leaf penalty."""
     return GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
-                        featureSubsetStrategy=featureSubsetStrategy, seed=seed, labelCol=label, featuresCol="features")
+                        featureSubsetStrategy=featureSubsetStrategy, seed=seed, labelCol=label, featuresCol="features",
+                        checkpointInterval=checkpointInterval)
 
 
-def fit_input(df: DataFrame) -> DataFrame:
-    """Training input as given: sources are spread over the cores when read
-    (``session.spread``); no partition check here, because on a plan with
-    shuffles that check would run them."""
-    return df
+def rounds(spark: SparkSession, published: int) -> int:
+    """Trees that a registered query fits: the published number times the session
+    setting ``spark.gustframe.model.share`` (QUERY_SHARE where it is unset).  The
+    library's own defaults are the published numbers."""
+    share = float(spark.conf.get("spark.gustframe.model.share", str(QUERY_SHARE)))
+    return max(1, round(published * share))
 
 
 def regression_pipeline(features, estimator, impute: bool = True) -> Pipeline:
@@ -49,45 +59,83 @@ def regression_pipeline(features, estimator, impute: bool = True) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-class RegimeModel:
+class AssembleNullFree(Estimator, _Stage):
+    """Fit: the numeric columns without a NULL, but for ``stop`` and the label.
+    The model is the ``VectorAssembler`` of these columns."""
+    stop = _p("stop", "columns never taken", TypeConverters.toListString)
+    labelCol = _p("labelCol", "label column", TypeConverters.toString)
+    outputCol = _p("outputCol", "vector column", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, stop=None, labelCol="TARGET", outputCol="features"):
+        super().__init__()
+        self._setDefault(stop=[], labelCol="TARGET", outputCol="features")
+        self._init(self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> VectorAssembler:
+        out = {*self.get("stop"), self.get("labelCol")}
+        cols = [c for c in naming.columns_of_type(df, "numeric") if c not in out]
+        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        return VectorAssembler(inputCols=[c for c in cols if row[c] == 0], outputCol=self.get("outputCol"), handleInvalid="keep")
+
+
+class RegimeRegressor(Estimator, _Stage):
     """One pipeline per regime (speed cube >= cut^3, NULL speed -> low), each
-    with its own imputation medians and feature list; predictions of the
-    regimes are stacked with ``unionByName``."""
-
-    def __init__(self, features: dict[str, list[str]], estimators: dict, speed: str = "Rotor_speed",
-                 cut: float = 15.0, key: str = "ID"):
-        self.features, self.estimators, self.speed, self.cut, self.key = features, estimators, speed, cut, key
-        self.models: dict[str, PipelineModel] = {}
-
-    def _split(self, df: DataFrame) -> DataFrame:
-        return RegimeColumn(speedCol=self.speed, cut=self.cut).transform(df)
-
-    def fit(self, df: DataFrame) -> "RegimeModel":
-        tagged = self._split(df)
-        for regime, feats in self.features.items():
-            part = fit_input(tagged.filter(F.col("regime") == regime)).cache()
-            self.models[regime] = regression_pipeline(feats, self.estimators[regime]).fit(part)
+    with its own imputation medians and feature list.
+
+    ``features``: regime -> columns; ``estimators``: regime -> regressor."""
+    features = _p("features", "feature columns per regime")
+    speedCol = _p("speedCol", "speed column", TypeConverters.toString)
+    cut = _p("cut", "speed cut", TypeConverters.toFloat)
+    regimeCol = _p("regimeCol", "regime column", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, features=None, estimators=None, speedCol="Rotor_speed", cut=15.0, regimeCol="regime"):
+        super().__init__()
+        kwargs = dict(self._input_kwargs)
+        self.estimators = kwargs.pop("estimators", None) or {}
+        self._setDefault(speedCol="Rotor_speed", cut=15.0, regimeCol="regime")
+        self._init(kwargs)
+
+    def _fit(self, df: DataFrame) -> "RegimeRegressorModel":
+        regime = RegimeColumn(speedCol=self.get("speedCol"), cut=self.get("cut"), outputCol=self.get("regimeCol"))
+        tagged = regime.transform(df)
+        models = {}
+        for name, cols in self.get("features").items():
+            part = tagged.filter(F.col(self.get("regimeCol")) == name).cache()
+            models[name] = regression_pipeline(cols, self.estimators[name]).fit(part)
             part.unpersist()
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        tagged = self._split(df)
-        out = None
-        for regime, model in self.models.items():
-            pred = model.transform(tagged.filter(F.col("regime") == regime)) \
-                .select(self.key, "regime", *([c for c in ("TARGET",) if c in df.columns]), "prediction")
-            out = pred if out is None else out.unionByName(pred)
+        return RegimeRegressorModel(models, regime)
+
+
+class RegimeRegressorModel(Model):
+    """All input columns, the regime and ``prediction``; regimes are stacked with
+    ``unionByName``."""
+
+    def __init__(self, models: dict[str, PipelineModel], regime: RegimeColumn):
+        super().__init__()
+        self.models, self.regime = models, regime
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        col = self.regime.get("outputCol")
+        tagged = self.regime.transform(df)
+        tagged = tagged.withColumn("_row", F.struct(*tagged.columns))  # imputation leaves the given columns as they are
+        parts = [m.transform(tagged.filter(F.col(col) == name)).select("_row.*", "prediction") for name, m in self.models.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
         return out
 
     def save(self, path: str) -> None:
-        for regime, model in self.models.items():
-            model.write().overwrite().save(f"{path.rstrip('/')}/{regime}")
+        root = path.rstrip("/")
+        self.regime.write().overwrite().save(f"{root}/regime-stage")
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{root}/models/{name}")
 
     @classmethod
-    def load(cls, path: str, features: dict[str, list[str]], **kw) -> "RegimeModel":
-        m = cls(features, {}, **kw)
-        m.models = {r: PipelineModel.load(f"{path.rstrip('/')}/{r}") for r in features}
-        return m
+    def load(cls, path: str, regimes=("low", "high")) -> "RegimeRegressorModel":
+        root = path.rstrip("/")
+        return cls({r: PipelineModel.load(f"{root}/models/{r}") for r in regimes}, RegimeColumn.load(f"{root}/regime-stage"))
 
 
 def mae_of(pred: DataFrame, label: str = "TARGET") -> float:
@@ -99,7 +147,7 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
     """k-fold MAE, train and test, one row per fold.  Folds come from the hash
     order of the key (reproducible); fits run in parallel driver threads, each
     a distributed job."""
-    folded = fit_input(windows.kfold_shuffled(df, k, key, seed)).cache()
+    folded = windows.kfold_shuffled(df, k, key, seed).cache()
 
     def one(fold: int):
         train = folded.filter(F.col("fold") != fold)
@@ -119,12 +167,10 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
 def search_params(pipeline: Pipeline, estimator, df: DataFrame, bounds: dict, given: list[dict],
                   n_random: int = 3, seed: int = 11, k: int = 2, key: str = "ID", label: str = "TARGET",
                   integer_params=("maxIter", "maxDepth"), parallelism: int = 2) -> DataFrame:
-    """Evaluate the given points plus seeded random draws inside the bounds
-    with Spark's ``CrossValidator`` (hash folds as ``foldCol``, fits in
-    parallel); returns the trials table, best (lowest MAE) first."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
+    """Mean k-fold MAE of the given points plus seeded random draws inside the
+    bounds (hash folds, fits in parallel driver threads, each a distributed job);
+    the trials table, best (lowest MAE) first.  Nothing is fitted again after
+    the search."""
     rng = random.Random(seed)
     points = [dict(p) for p in given]
     for _ in range(n_random):
@@ -132,15 +178,19 @@ def search_params(pipeline: Pipeline, estimator, df: DataFrame, bounds: dict, gi
         for name, (lo, hi) in bounds.items():
             p[name] = rng.randint(int(lo), int(hi)) if name in integer_params else rng.uniform(lo, hi)
         points.append(p)
-    maps = [{getattr(estimator, name): (int(v) if name in integer_params else float(v)) for name, v in p.items()}
-            for p in points]
-    folded = fit_input(windows.kfold_shuffled(df, k, key, seed)).withColumn("fold", F.col("fold") - 1).cache()
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=k, foldCol="fold",
-                        evaluator=RegressionEvaluator(metricName="mae", labelCol=label), parallelism=parallelism,
-                        seed=seed)
-    metrics = cv.fit(folded).avgMetrics
+    cast = lambda name, v: int(v) if name in integer_params else str(v) if name == "featureSubsetStrategy" else float(v)
+    maps = [{getattr(estimator, name): cast(name, v) for name, v in p.items()} for p in points]
+    folded = windows.kfold_shuffled(df, k, key, seed).cache()
+
+    def one(task):
+        i, fold = task
+        model = pipeline.copy(maps[i]).fit(folded.filter(F.col("fold") != fold))
+        return i, mae_of(model.transform(folded.filter(F.col("fold") == fold)), label)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        scores = list(pool.map(one, [(i, f) for i in range(len(points)) for f in range(1, k + 1)]))
     folded.unpersist()
-    trials = [(i, str(sorted(p.items())), float(m)) for i, (p, m) in enumerate(zip(points, metrics))]
+    trials = [(i, str(sorted(p.items())), float(sum(m for j, m in scores if j == i) / k)) for i, p in enumerate(points)]
     return df.sparkSession.createDataFrame(trials, "trial int, params string, cv_mae double").orderBy("cv_mae", "trial")
 
 

@@ -369,7 +369,7 @@ def first_n_q(spark, sf):
 @query("union_regimes", views=("sig",), dbl=["TARGET"],
        sql="select r.ID, m.med as TARGET from (select ID, MAC_CODE, k, case when value >= 75 then 'high' else 'low' end "
            "as regime from sig) r join (select MAC_CODE, case when value >= 75 then 'high' else 'low' end as regime, "
-           "median(k) as med from sig group by all) m on r.MAC_CODE = m.MAC_CODE and r.regime = m.regime order by r.ID")
+           "median(k) as med from sig group by all) m on r.MAC_CODE is not distinct from m.MAC_CODE and r.regime = m.regime order by r.ID")
 def union_regimes_q(spark, sf):
     """Per-regime predictions (regime median of k per unit) stacked and sorted by key."""
     s = V.sig(spark, sf)
@@ -377,5 +377,5 @@ def union_regimes_q(spark, sf):
     parts = []
     for part in (hi, lo):
         med = pos.exact_median(part, "k", ["MAC_CODE"], out="TARGET")
-        parts.append(part.join(med, "MAC_CODE").select("ID", "TARGET"))
+        parts.append(pos.join_null_safe(part, med, ["MAC_CODE"]).select("ID", "TARGET"))
     return parts[0].unionByName(parts[1]).orderBy("ID")

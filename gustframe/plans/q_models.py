@@ -99,8 +99,11 @@ def minmax_to_q(spark, sf):
 # ---------------------------------------------------------------- 2.11 models (rows-only checks)
 
 BASE_FEATS = ["Rotor_speed", "Rotor_speed_std", "Pitch_angle", "Pitch_angle_std", "Generator_stator_temperature_min"]
+# The published feature lists, as far as the table has the sensors
+# (Generator_stator_temperature_min stands for the bearing temperature).
 LOW_FEATS = ["Generator_stator_temperature_min", "Rotor_speed_max", "Pitch_angle_x_Rotor_speedStd",
-             "Pitch_angleStd_x_Rotor_speed", "Pitch_angle", "Pitch_angle_max", "Rotor_speed3"]
+             "Pitch_angleStd_x_Rotor_speed", "Generator_stator_temperatureMin_x_Pitch_angleStd", "Pitch_angle",
+             "Pitch_angle_max", "Rotor_speed3"]
 HIGH_FEATS = ["Rotor_speed_std", "Turbulence", "Pitch_angle_x_Rotor_speedStd", "Pitch_angleMax_x_Pitch_angleMin",
               "Pitch_angle_max", "Pitch_angle_std", "Rotor_speed3", "Pitch_angleStd_x_Rotor_speed"]
 
@@ -116,12 +119,12 @@ def _featured_imputed(spark, sf, cols=None):
     validated)."""
     f = _featured(spark, sf)
     cols = cols or sorted(set(LOW_FEATS) | set(HIGH_FEATS) | set(BASE_FEATS))
-    return M.fit_input(fx.ImputeMedian(inputCols=cols).fit(f).transform(f))
+    return fx.ImputeMedian(inputCols=cols).fit(f).transform(f)
 
 
 def _split(df, seed=345):
-    s = windows.split_holdout(df, 0.2, "ID", seed=seed)
-    return M.fit_input(s.filter(~F.col("is_test"))), s.filter(F.col("is_test"))
+    s = windows.split_holdout(df, 0.2, "ID", seed=seed).cache()  # imputation, fit and scoring read it
+    return s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
 
 
 def _scored(model, train, test):
@@ -141,29 +144,48 @@ def forest_regressor_q(spark, sf):
 @query("boosted_regressor")
 def boosted_regressor_q(spark, sf):
     train, test = _split(V.turbine(spark, sf))
-    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=30, maxDepth=4, stepSize=0.1)).fit(train)
+    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=M.rounds(spark, 1500))).fit(train)
     return _scored(model, train, test)
 
 
-@query("linear_error_model", views=("wide",), dbl=["coefficient"],
-       sql="select 'Rotor_speed' as feature, regr_slope(TARGET, Rotor_speed) as coefficient from wide "
-           "where Rotor_speed is not null union all select 'intercept', regr_intercept(TARGET, Rotor_speed) from wide "
-           "where Rotor_speed is not null")
+_ERR_X = ["Rotor_speed", "Pitch_angle"]
+_ERR_MODEL_SRC = ("(select w.Rotor_speed as x, w.Pitch_angle as z, w.TARGET - m.med as y from wide w join (select MAC_CODE, "
+                  "median(TARGET) as med from wide group by MAC_CODE) m on w.MAC_CODE is not distinct from m.MAC_CODE "
+                  "where w.Rotor_speed is not null)")
+
+
+@query("linear_error_model", views=("wide",), dbl={"coefficient": 4},
+       ctes=[("e", "select * from " + _ERR_MODEL_SRC + " t"),
+             ("s", "select covar_pop(x, y) as xy, covar_pop(z, y) as zy, covar_pop(x, z) as xz, var_pop(x) as xx, var_pop(z) as zz, "
+                   "avg(x) as mx, avg(z) as mz, avg(y) as my from e"),
+             ("b", "select (xy * zz - zy * xz) / (xx * zz - xz * xz) as bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) as bz, mx, mz, my from s")],
+       sql="select 'Rotor_speed' as feature, bx as coefficient from b union all select 'Pitch_angle', bz from b "
+           "union all select 'intercept', my - bx * mx - bz * mz from b")
 def linear_error_model_q(spark, sf):
-    """Least squares of the target on one feature; coefficients as a table."""
-    w = V.wide(spark, sf).filter(F.col("Rotor_speed").isNotNull())
-    va = VectorAssembler(inputCols=["Rotor_speed"], outputCol="features")
-    lr = LinearRegression(labelCol="TARGET", regParam=0.0, solver="normal").fit(va.transform(w))
-    return spark.createDataFrame([("Rotor_speed", float(lr.coefficients[0])), ("intercept", float(lr.intercept))],
-                                 "feature string, coefficient double")
+    """Least squares of the error of a median model on all features; coefficients
+    as a table, sorted."""
+    w = V.wide(spark, sf)
+    med = pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med")
+    e = pos.join_null_safe(w, med, ["MAC_CODE"]).withColumn("error", F.col("TARGET") - F.col("_med"))
+    e = e.filter(F.col("Rotor_speed").isNotNull())
+    va = VectorAssembler(inputCols=_ERR_X, outputCol="features")
+    lr = LinearRegression(labelCol="error", regParam=0.0, solver="normal").fit(va.transform(e))
+    rows = [*zip(_ERR_X, map(float, lr.coefficients), strict=True), ("intercept", float(lr.intercept))]
+    return spark.createDataFrame(rows, "feature string, coefficient double").orderBy("coefficient", "feature")
 
 
 _LOGIT_FEATS = ["Rotor_speed", "Pitch_angle", "Generator_stator_temperature_min", "Rotor_speed_max"]
 
 
-def _logit_scores(spark, sf):
+def _logit_input(spark, sf):
+    """All rows; NULL features are filled with the column's median."""
     t = V.turbine(spark, sf).withColumn("label", (F.col("TARGET") <= 60).cast("double"))
-    va = VectorAssembler(inputCols=_LOGIT_FEATS, outputCol="features", handleInvalid="skip")
+    return fx.ImputeMedian(inputCols=_LOGIT_FEATS).fit(t).transform(t).cache()
+
+
+def _logit_scores(spark, sf):
+    t = _logit_input(spark, sf)
+    va = VectorAssembler(inputCols=_LOGIT_FEATS, outputCol="features")
     lr = LogisticRegression(fitIntercept=False, regParam=0.0, maxIter=100, labelCol="label")
     model = Pipeline(stages=[va, lr]).fit(t)
     return model.transform(t).select("ID", "label", vector_to_array("probability")[1].alias("score"))
@@ -174,16 +196,35 @@ def logit_no_intercept_q(spark, sf):
     return _logit_scores(spark, sf)
 
 
-@query("threshold_sweep")
+_SWEEP_SCORE = "1 - least(greatest((Rotor_speed - 5) / 15, 0), 1)"
+
+
+@query("threshold_sweep", views=("turbine",), dbl={"threshold": 4, "accuracy": 9}, bigint=("tp", "tn"),
+       sql="with s as (select " + _SWEEP_SCORE + " as score, coalesce(TARGET <= 60, false) as y from turbine) "
+           "select i / 100.0 as threshold, count_if(coalesce(score > i / 100.0, false) and y) as tp, "
+           "count_if(not coalesce(score > i / 100.0, false) and not y) as tn, count(*) as n, "
+           "(count_if(coalesce(score > i / 100.0, false) and y) + count_if(not coalesce(score > i / 100.0, false) and not y)) "
+           "/ count(*) as accuracy from s, range(10, 96, 5) g(i) group by i")
 def threshold_sweep_q(spark, sf):
-    s = _logit_scores(spark, sf)
-    return corr.threshold_sweep(s, "score", F.col("label") == 1.0)
+    """Accuracy at every cut-off of a speed score (slow units rarely produce)."""
+    t = V.turbine(spark, sf).withColumn("score", F.expr(_SWEEP_SCORE))
+    return corr.threshold_sweep(t, "score", F.col("TARGET") <= 60)
+
+
+@query("best_threshold", views=("turbine",), dbl={"threshold": 4, "accuracy": 9}, bigint=("tp", "tn"),
+       sql="with s as (select " + _SWEEP_SCORE + " as score, coalesce(TARGET <= 60, false) as y from turbine), "
+           "t as (select i / 100.0 as threshold, count_if(coalesce(score > i / 100.0, false) and y) as tp, "
+           "count_if(not coalesce(score > i / 100.0, false) and not y) as tn, count(*) as n from s, range(10, 96, 5) g(i) group by i) "
+           "select threshold, tp, tn, n, (tp + tn) / n as accuracy from t order by tp + tn desc, threshold limit 1")
+def best_threshold_q(spark, sf):
+    """The cut-off of the best accuracy."""
+    return corr.best_threshold(threshold_sweep_q(spark, sf))
 
 
 @query("tree_classifier")
 def tree_classifier_q(spark, sf):
-    t = V.turbine(spark, sf).withColumn("label", (F.col("TARGET") <= 60).cast("double"))
-    va = VectorAssembler(inputCols=_LOGIT_FEATS, outputCol="features", handleInvalid="skip")
+    t = _logit_input(spark, sf)
+    va = VectorAssembler(inputCols=_LOGIT_FEATS, outputCol="features")
     model = DecisionTreeClassifier(maxDepth=9, labelCol="label", seed=7).fit(va.transform(t))
     return spark.createDataFrame(M.tree_nodes(model), "line int, indent int, node string")
 
@@ -192,110 +233,213 @@ _PCA_COLS = ["Rotor_speed", "Rotor_speed_min", "Rotor_speed_max", "Pitch_angle",
              "Pitch_angle_max", "Generator_stator_temperature_min", "Rotor_speed_std"]
 
 
-@query("pca_profile")
-def pca_profile_q(spark, sf):
-    """Min-max scale, centre, PCA: explained variance and loadings per column."""
-    t = V.turbine(spark, sf).select(*_PCA_COLS).na.fill(0.0)
+def _pca(spark, sf):
+    """Min-max scaled, centred, 8 components; NULL readings are 0."""
+    t = V.turbine(spark, sf).select("ID", *_PCA_COLS).na.fill(0.0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=_PCA_COLS, outputCol="raw"),
                             MinMaxScaler(inputCol="raw", outputCol="scaled"),
                             StandardScaler(inputCol="scaled", outputCol="centred", withMean=True, withStd=False),
-                            PCA(k=4, inputCol="centred", outputCol="scores")])
-    model = pipe.fit(t)
-    pca = model.stages[-1]
-    var = pca.explainedVariance.toArray().tolist()
-    pc = pca.pc.toArray()
+                            PCA(k=8, inputCol="centred", outputCol="scores")])
+    return pipe.fit(t), t
+
+
+_PCA_SCALED = {c: f"coalesce((coalesce({c}, 0) - min(coalesce({c}, 0)) over ()) / nullif(max(coalesce({c}, 0)) over () - "
+                  f"min(coalesce({c}, 0)) over (), 0), 0.5)" for c in _PCA_COLS}
+
+
+@query("pca_profile", views=("turbine",), dbl={"covariance": 9},
+       ctes=[("z", "select " + ", ".join(f"{e} as {c}" for c, e in _PCA_SCALED.items()) + " from turbine")],
+       sql=" union all ".join(f"select '{a}' as col_a, '{b}' as col_b, covar_samp({a}, {b}) as covariance from z"
+                              for i, a in enumerate(_PCA_COLS) for b in _PCA_COLS[i:]))
+def pca_profile_q(spark, sf):
+    """The covariance of the scaled columns as the components give it: loadings
+    times the variance of each component's scores (all 8 components are kept, so
+    it is the full matrix)."""
+    model, t = _pca(spark, sf)
+    pc = model.stages[-1].pc.toArray()
+    scores = model.transform(t).select(vector_to_array("scores").alias("s"))
+    var = scores.agg(*[F.var_samp(F.col("s")[j]).alias(f"v{j}") for j in range(pc.shape[1])]).first()
+    rows = [(a, b, float(sum(pc[i, m] * pc[j, m] * var[m] for m in range(pc.shape[1]))))
+            for i, a in enumerate(_PCA_COLS) for j, b in enumerate(_PCA_COLS) if j >= i]
+    return spark.createDataFrame(rows, "col_a string, col_b string, covariance double")
+
+
+@query("pca_loadings")
+def pca_loadings_q(spark, sf):
+    """Explained variance (share) and loadings of each component."""
+    pca = _pca(spark, sf)[0].stages[-1]
+    var, pc = pca.explainedVariance.toArray().tolist(), pca.pc.toArray()
     rows = [(j, float(var[j]), c, float(pc[i, j])) for j in range(pc.shape[1]) for i, c in enumerate(_PCA_COLS)]
     return spark.createDataFrame(rows, "component int, explained_variance double, column string, loading double")
 
 
-@query("kmeans_groups")
-def kmeans_groups_q(spark, sf):
-    """35 clusters of 2-D coordinates, then target statistics per cluster."""
+@query("pca_scores")
+def pca_scores_q(spark, sf):
+    """The 8 component scores of every row."""
+    model, t = _pca(spark, sf)
+    return model.transform(t).select("ID", *[vector_to_array("scores")[j].alias(f"pc{j}") for j in range(8)])
+
+
+def _clustered(spark, sf):
     e = V.table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding")[0].cast("double").alias("dim0"),
         F.col("embedding")[1].cast("double").alias("dim1"), F.col("label").cast("double").alias("TARGET"))
     va = VectorAssembler(inputCols=["dim0", "dim1"], outputCol="features")
-    km = KMeans(k=35, seed=7, featuresCol="features", predictionCol="cluster")
-    labelled = km.fit(va.transform(e)).transform(va.transform(e))
-    return profile.group_multi_agg(labelled, "TARGET", "cluster")
+    model = KMeans(k=35, seed=7, featuresCol="features", predictionCol="cluster").fit(va.transform(e))
+    return model, model.transform(va.transform(e)).drop("features")
+
 
+@query("kmeans_groups")
+def kmeans_groups_q(spark, sf):
+    """35 clusters of 2-D coordinates: target statistics and centre per cluster."""
+    model, labelled = _clustered(spark, sf)
+    centres = spark.createDataFrame([(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())],
+                                    "cluster int, centre0 double, centre1 double")
+    return profile.group_multi_agg(labelled, "TARGET", "cluster").join(F.broadcast(centres), "cluster", "left")  # 35 rows
 
-def _regime_model():
-    return M.RegimeModel({"low": LOW_FEATS, "high": HIGH_FEATS},
-                         {"low": M.boosted(maxIter=30, maxDepth=4), "high": M.boosted(maxIter=30, maxDepth=4,
-                                                                                      subsamplingRate=0.75)})
 
+@query("kmeans_labels")
+def kmeans_labels_q(spark, sf):
+    """The cluster of every row."""
+    return _clustered(spark, sf)[1].select("vec_id", "cluster")
 
-@query("regime_model")
-def regime_model_q(spark, sf):
-    """Features -> regime split -> per-regime imputation and model -> stacked by key."""
-    train, test = _split(_featured(spark, sf))
-    model = _regime_model().fit(train)
+
+@query("cluster_profile_correlation")
+def cluster_profile_correlation_q(spark, sf):
+    """Profile of the columns by cluster, then its rank correlation."""
+    _, labelled = _clustered(spark, sf)
+    wide = profile.group_profile_wide(labelled, "TARGET", ["dim0", "dim1"], "cluster")
+    return corr.spearman_matrix(wide, ["TargetMean", "TargetStd", "dim0Mean", "dim1Mean"], symmetric=True)
+
+
+def _regime_model(spark):
+    n = M.rounds(spark, 1500)
+    return M.RegimeRegressor(features={"low": LOW_FEATS, "high": HIGH_FEATS},
+                             estimators={"low": M.boosted(maxIter=n), "high": M.boosted(maxIter=n, subsamplingRate=0.75)})
+
+
+@query("regime_pipeline")
+def regime_pipeline_q(spark, sf):
+    """Features -> regime split -> per-regime imputation and model, as one
+    pipeline; predictions of train and test by key."""
+    train, test = _split(V.turbine(spark, sf))
+    model = Pipeline(stages=[fx.AddFeatures(), _regime_model(spark)]).fit(train)
     return (model.transform(train).withColumn("set", F.lit("train"))
-            .unionByName(model.transform(test).withColumn("set", F.lit("test"))).orderBy("ID"))
+            .unionByName(model.transform(test).withColumn("set", F.lit("test")))
+            .select("ID", "regime", "TARGET", "prediction", "set").orderBy("ID"))
 
 
-_SINGLE_FEATS = BASE_FEATS + ["Rotor_speed3", "Turbulence", "Pitch_Before", "RotorS3_Before"]
+# Columns that the single model never takes, as far as they exist.
+_SINGLE_STOP = ["ID", "Nacelle_angle", "Generator_speed", "Generator_converter_speed", "Outdoor_temperature_max",
+                "Outdoor_temperature_min", "Outdoor_temperature", "Absolute_wind_direction_c"]
 
 
-@query("single_model")
-def single_model_q(spark, sf):
+@query("single_pipeline")
+def single_pipeline_q(spark, sf):
+    """Imputation, all null-free columns but the stop list, one boosted model."""
     train, test = _split(_featured(spark, sf))
-    model = M.regression_pipeline(_SINGLE_FEATS, M.boosted(maxIter=30, maxDepth=3, stepSize=0.5)).fit(train)
-    return _scored(model, train, test)
+    pipe = Pipeline(stages=[fx.ImputeMedian(), M.AssembleNullFree(stop=[*_SINGLE_STOP, "is_test"]),
+                            M.boosted(maxIter=M.rounds(spark, 1200), maxDepth=3, stepSize=0.5)])
+    return _scored(pipe.fit(train), train, test)
+
 
+_CHAIN_FEATS = BASE_FEATS + ["Rotor_speed3", "Turbulence", "Pitch_Before", "RotorS3_Before"]
 
-@query("chain_of_stages")
-def chain_of_stages_q(spark, sf):
+
+@query("PipelineOf")
+def pipeline_of_q(spark, sf):
     """A ``Pipeline`` of feature stages and a model, fitted and applied as one."""
     train, test = _split(V.turbine(spark, sf))
-    pipe = Pipeline(stages=[fx.AddFeatures(), fx.ImputeMedian(inputCols=_SINGLE_FEATS),
-                            VectorAssembler(inputCols=_SINGLE_FEATS, outputCol="features"),
-                            M.boosted(maxIter=20, maxDepth=3)])
+    pipe = Pipeline(stages=[fx.AddFeatures(), fx.ImputeMedian(inputCols=_CHAIN_FEATS),
+                            VectorAssembler(inputCols=_CHAIN_FEATS, outputCol="features"),
+                            M.boosted(maxIter=M.rounds(spark, 1500), maxDepth=3)])
     return _scored(pipe.fit(train), train, test)
 
 
+@query("interaction_pipeline")
+def interaction_pipeline_q(spark, sf):
+    """Products of distinct columns -> scaled to (-10, 10) -> boosted trees as one
+    pipeline; importances by product name."""
+    train, _ = _split(V.turbine(spark, sf))
+    pipe = Pipeline(stages=[fx.ImputeMedian(inputCols=_IF), fx.InteractionFeatures(inputCols=_IF),
+                            fx.MinMaxTo(inputCols=_IF_NAMES, low=-10.0, high=10.0),
+                            VectorAssembler(inputCols=_IF_NAMES, outputCol="features", handleInvalid="keep"),
+                            M.boosted(maxIter=M.rounds(spark, 100), maxDepth=3, stepSize=0.3, subsamplingRate=0.75)])
+    return M.importance_table(spark, _IF_NAMES, pipe.fit(train))
+
+
 @query("cross_validate")
 def cross_validate_q(spark, sf):
     df = _featured_imputed(spark, sf)
-    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=20, maxDepth=3), impute=False),
+    n = M.rounds(spark, 500)
+    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=n, maxDepth=3), impute=False),
                             df, k=5, parallelism=4)
 
 
+@query("cross_validate_regimes")
+def cross_validate_regimes_q(spark, sf):
+    """5-fold MAE of a forest (100 trees of depth 12) in each regime."""
+    df = fx.RegimeColumn().transform(_featured_imputed(spark, sf)).cache()
+    parts = []
+    for name, cols in (("low", LOW_FEATS), ("high", HIGH_FEATS)):
+        scores = M.cross_validate(lambda c=cols: M.regression_pipeline(c, M.forest(M.rounds(spark, 100), 12), impute=False),
+                                  df.filter(F.col("regime") == name), k=5, parallelism=4)
+        parts.append(scores.withColumn("regime", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("search_params")
 def search_params_q(spark, sf):
     df = _featured_imputed(spark, sf)
-    gbt = M.boosted(maxIter=10, maxDepth=3)
+    gbt = M.boosted(maxIter=M.rounds(spark, 100), maxDepth=3)
     pipe = M.regression_pipeline(LOW_FEATS, gbt, impute=False)
-    bounds = {"maxIter": (5, 15), "maxDepth": (3, 6), "subsamplingRate": (0.75, 1.0)}
-    given = [{"maxIter": 10, "maxDepth": 6, "subsamplingRate": 0.75}, {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 0.75}]
-    return M.search_params(pipe, gbt, df, bounds, given, n_random=2, k=2, parallelism=4)
+    n = lambda k: M.rounds(spark, k)
+    bounds = {"maxIter": (n(300), n(1000)), "maxDepth": (3, 6), "featureSubsetStrategy": (0.5, 1.0), "subsamplingRate": (0.75, 1.0)}
+    given = [{"maxIter": n(500), "maxDepth": 6, "featureSubsetStrategy": 0.75, "subsamplingRate": 0.75},
+             {"maxIter": n(300), "maxDepth": 3, "featureSubsetStrategy": 0.5, "subsamplingRate": 0.75},
+             {"maxIter": n(400), "maxDepth": 6, "featureSubsetStrategy": 1.0, "subsamplingRate": 1.0}]
+    return M.search_params(pipe, gbt, df, bounds, given, n_random=3, k=2, parallelism=4)
 
 
-@query("compare_models")
-def compare_models_q(spark, sf):
-    """Two variants side by side with their residuals (no join: both models
-    score the same rows in one plan)."""
+def _compared(spark, sf):
+    """Two variants side by side on train and test rows, with their residuals (no
+    join: both models score the same rows in one plan)."""
     train, test = _split(_featured_imputed(spark, sf))
-    a = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=10, maxDepth=3), impute=False).fit(train)
-    b = M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=30, maxDepth=3), impute=False).fit(train)
-    pa = a.transform(test).withColumnRenamed("prediction", "pred_a").drop("features")
+    fit = lambda n: M.regression_pipeline(HIGH_FEATS, M.boosted(maxIter=M.rounds(spark, n), maxDepth=3, subsamplingRate=0.75), impute=False).fit(train)
+    a, b = fit(200), fit(600)
+    rows = train.withColumn("set", F.lit("train")).unionByName(test.withColumn("set", F.lit("test")))
+    pa = a.transform(rows).withColumnRenamed("prediction", "pred_a").drop("features")
     both = b.transform(pa).withColumnRenamed("prediction", "pred_b")
-    return both.select("ID", "TARGET", "pred_a", "pred_b", (F.col("TARGET") - F.col("pred_a")).alias("residual_a"),
+    return both.select("ID", "set", "TARGET", "pred_a", "pred_b", (F.col("TARGET") - F.col("pred_a")).alias("residual_a"),
                        (F.col("TARGET") - F.col("pred_b")).alias("residual_b"))
 
 
+@query("compare_models")
+def compare_models_q(spark, sf):
+    return _compared(spark, sf)
+
+
+@query("compare_residual_trend")
+def compare_residual_trend_q(spark, sf):
+    """Rank correlation of each variant's residual with the target, per set."""
+    both = _compared(spark, sf).cache()
+    parts = [corr.spearman_pairs(both.filter(F.col("set") == s), [("residual_a", "TARGET"), ("residual_b", "TARGET")]).withColumn("set", F.lit(s))
+             for s in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("importance_over_splits")
 def importance_over_splits_q(spark, sf):
     df = _featured_imputed(spark, sf)
+    n = M.rounds(spark, 500)
     return M.importance_over_splits(
-        lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=15, maxDepth=3), impute=False), df, LOW_FEATS)
+        lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=n, maxDepth=3), impute=False), df, LOW_FEATS)
 
 
 @query("rank_importance")
 def rank_importance_q(spark, sf):
     train, _ = _split(_featured_imputed(spark, sf))
-    model = M.regression_pipeline(LOW_FEATS, M.forest(30, 8), impute=False).fit(train)
+    model = M.regression_pipeline(LOW_FEATS, M.forest(100, 12), impute=False).fit(train)
     return M.importance_table(spark, LOW_FEATS, model)
 
 
@@ -308,15 +452,19 @@ _T_SQL = (f"select ID, MAC_CODE, Nacelle_angle, TARGET, {SECTOR_SQL} as sector,
           "as is_test from direction")
 _M_SQL = "select MAC_CODE, sector, median(TARGET) as med from t where not is_test group by MAC_CODE, sector"
 _P_SQL = ("select t.ID, t.MAC_CODE, t.Nacelle_angle, t.TARGET, t.sector, case when t.is_test then 'test' else 'train' "
-          "end as \"set\", m.med as prediction from t join m on t.MAC_CODE = m.MAC_CODE and t.sector = m.sector")
+          "end as \"set\", coalesce(m.med, (select median(TARGET) from t where not is_test)) as prediction from t left join m "
+          "on t.MAC_CODE is not distinct from m.MAC_CODE and t.sector is not distinct from m.sector")
 _EVAL_CTES = [("t", _T_SQL), ("m", _M_SQL), ("pred", _P_SQL)]
 
 
 def predicted(spark, sf):
     d = V.direction(spark, sf).withColumn("sector", sc.cut_edges("Nacelle_angle"))
     s = windows.split_holdout(d, 0.2, "ID", seed=345)
-    med = pos.exact_median(s.filter(~F.col("is_test")), "TARGET", ["MAC_CODE", "sector"], out="prediction")
-    return (s.join(med, ["MAC_CODE", "sector"])
+    train = s.filter(~F.col("is_test"))
+    med = pos.exact_median(train, "TARGET", ["MAC_CODE", "sector"], out="prediction")
+    overall = pos.exact_median(train, "TARGET").first()  # for groups without a training row
+    return (pos.join_null_safe(s, med, ["MAC_CODE", "sector"])
+            .withColumn("prediction", F.coalesce("prediction", F.lit(overall["median"] if overall else None).cast("double")))
             .withColumn("set", F.when(F.col("is_test"), "test").otherwise("train")).drop("is_test"))
 
 
@@ -326,6 +474,12 @@ def mae_q(spark, sf):
     return evaluate.mae(predicted(spark, sf), group_cols=["set"])
 
 
+@query("mae_by_set", views=("direction",), ctes=_EVAL_CTES, dbl={"mae": 2},
+       sql='select "set", round(avg(abs(TARGET - prediction)), 2) as mae, count(*) as n from pred group by "set"')
+def mae_by_set_q(spark, sf):
+    return evaluate.mae_by_set(evaluate.residual_table(predicted(spark, sf), set_col="set"))
+
+
 @query("signed_error", views=("direction",), ctes=_EVAL_CTES, dbl={"error": 4},
        sql="select ID, prediction - TARGET as error from pred")
 def signed_error_q(spark, sf):
@@ -408,13 +562,11 @@ def regime_unit_medians(t):
     filled = fx.ImputeMedian(inputCols=["Pitch_Before", "Rotor_speed_std"], groupCol="regime").fit(lagged) \
         .transform(lagged)
     keys = ["regime", "MAC_CODE"]
-    meds = [pos.exact_median(filled, c, keys, out=o) for c, o in
-            (("Pitch_Before", "pitch_before_median"), ("Rotor_speed_std", "speed_std_median"),
-             ("TARGET", "target_median"))]
-    out = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    for m in meds:
-        out = out.join(m, keys, "left")
-    return out
+    names = {"Pitch_Before": "pitch_before_median", "Rotor_speed_std": "speed_std_median", "TARGET": "target_median"}
+    filled = filled.cache()
+    long = pos.column_medians(filled, list(names), keys)
+    meds = long.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(o) for c, o in names.items()])
+    return pos.join_null_safe(filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), meds, keys)
 
 
 @query("regime_unit_medians", views=("turbine",), ctes=_FLAG_CTES,

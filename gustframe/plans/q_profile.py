@@ -269,13 +269,13 @@ def spearman_matrix_q(spark, sf):
 
 
 _RES_SRC = ("(select w.*, w.TARGET - m.med as residual from wide w join "
-            "(select MAC_CODE, median(TARGET) as med from wide group by MAC_CODE) m on w.MAC_CODE = m.MAC_CODE) r")
+            "(select MAC_CODE, median(TARGET) as med from wide group by MAC_CODE) m on w.MAC_CODE is not distinct from m.MAC_CODE) r")
 
 
 def _residual_wide(spark, sf):
     w = V.wide(spark, sf, spread=True)
     med = pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med")
-    return w.join(med, "MAC_CODE").withColumn("residual", F.col("TARGET") - F.col("_med"))
+    return pos.join_null_safe(w, med, ["MAC_CODE"]).withColumn("residual", F.col("TARGET") - F.col("_med"))
 
 
 _ERR_FEATS = ["Rotor_speed", "Rotor_speed_std", "Grid_voltage", "Pitch_angle"]

@@ -113,11 +113,15 @@ def test_pca_profile_invariants(spark):
     import numpy as np
 
     import __spark_entry__ as entry
-    rows = entry.queries()["pca_profile"](spark, SF).collect()
+    rows = entry.queries()["pca_loadings"](spark, SF).collect()
     var = {r.component: r.explained_variance for r in rows}
     ratios = [var[k] for k in sorted(var)]
     assert sum(ratios) <= 1.0 + 1e-9 and all(a >= b - 1e-12 for a, b in zip(ratios, ratios[1:]))
     cols = sorted({r.column for r in rows})
     load = np.array([[next(r.loading for r in rows if r.component == k and r.column == c) for k in sorted(var)]
                      for c in cols])
-    assert np.allclose(load.T @ load, np.eye(len(var)), atol=1e-8)
+    assert len(var) == 8 and np.allclose(load.T @ load, np.eye(len(var)), atol=1e-8)
+    scores = entry.queries()["pca_scores"](spark, SF)
+    v = np.cov(np.array([r[1:] for r in scores.collect()]).T)
+    assert np.allclose(v, np.diag(np.diag(v)), atol=1e-8)  # scores are uncorrelated
+    assert np.allclose(np.diag(v) / np.trace(v), ratios, atol=1e-8)

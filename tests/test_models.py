@@ -64,9 +64,9 @@ def test_regime_model_not_worse_than_single(spark, signal, tmp_path):
     train, test = s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
     cols = ["Rotor_speed3", "Pitch_angle", "Rotor_speed_std"]
     single = M.regression_pipeline(cols, M.boosted(maxIter=15, maxDepth=4, stepSize=0.3)).fit(train)
-    reg = M.RegimeModel({"low": cols, "high": cols},
-                        {"low": M.boosted(maxIter=15, maxDepth=4, stepSize=0.3),
-                         "high": M.boosted(maxIter=15, maxDepth=4, stepSize=0.3)}).fit(train)
+    reg = M.RegimeRegressor(features={"low": cols, "high": cols},
+                            estimators={"low": M.boosted(maxIter=15, maxDepth=4, stepSize=0.3),
+                                        "high": M.boosted(maxIter=15, maxDepth=4, stepSize=0.3)}).fit(train)
     m_single = M.mae_of(single.transform(test))
     pred = reg.transform(test)
     assert pred.count() == test.count()
@@ -74,7 +74,8 @@ def test_regime_model_not_worse_than_single(spark, signal, tmp_path):
     assert m_reg <= m_single * 1.1
     path = str(tmp_path / "regime")
     reg.save(path)
-    back = M.RegimeModel.load(path, {"low": cols, "high": cols})
+    back = M.RegimeRegressorModel.load(path)
+    assert [c for c in pred.columns if c not in test.columns] == ["regime", "prediction"]
     assert M.mae_of(back.transform(test)) == pytest.approx(m_reg)
 
 
@@ -96,3 +97,34 @@ def test_search_params_with_cross_validator(spark, signal):
                              [{"maxIter": 3, "maxDepth": 2}], n_random=1, k=2).collect()
     assert len(trials) == 2
     assert trials[0].cv_mae <= trials[1].cv_mae and all(t.cv_mae > 0 for t in trials)
+
+
+def test_null_free_columns(spark):
+    df = spark.createDataFrame([(1, 1.0, None, 5.0, 2.0), (2, 2.0, 3.0, 6.0, 4.0)], "ID long, a double, b double, c double, TARGET double")
+    va = M.AssembleNullFree(stop=["ID", "c"]).fit(df)
+    assert va.getInputCols() == ["a"]
+
+
+def test_published_sizes_are_the_defaults(spark):
+    assert M.boosted().getMaxIter() == 1500 and M.forest().getNumTrees() == 100 and M.forest().getMaxDepth() == 12
+    spark.conf.set("spark.gustframe.model.share", "1")
+    assert M.rounds(spark, 1500) == 1500
+    spark.conf.unset("spark.gustframe.model.share")
+
+
+def test_registered_models_keep_every_row(spark):
+    """Model queries return each row once, in the set of the exact split, and beat
+    the median predictor."""
+    import __spark_entry__ as entry
+    from gustframe.operators import windows
+    from gustframe.sources import driver_views as V
+    sf = "/root/testdata/sf0.001"
+    split = {r.ID: ("test" if r.is_test else "train", r.TARGET) for r in windows.split_holdout(V.turbine(spark, sf), 0.2, "ID", seed=345).collect()}
+    for name in ("forest_regressor", "regime_pipeline", "single_pipeline"):
+        rows = entry.queries()[name](spark, sf).collect()
+        assert {r.ID: (r.set, r.TARGET) for r in rows} == split and len(rows) == len(split)
+        med = sorted(t for s, t in split.values() if s == "train")[len([1 for s, _ in split.values() if s == "train"]) // 2]
+        err = sum(abs(r.TARGET - r.prediction) for r in rows) / len(rows)
+        assert err < sum(abs(r.TARGET - med) for r in rows) / len(rows)
+    labels = entry.queries()["kmeans_labels"](spark, sf)
+    assert labels.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
