@@ -382,7 +382,7 @@ def cross_validate_regimes_q(spark, sf):
     df = fx.RegimeColumn().transform(_featured_imputed(spark, sf)).cache()
     parts = []
     for name, cols in (("low", LOW_FEATS), ("high", HIGH_FEATS)):
-        scores = M.cross_validate(lambda c=cols: M.regression_pipeline(c, M.forest(M.rounds(spark, 100), 12), impute=False),
+        scores = M.cross_validate(lambda c=cols: M.regression_pipeline(c, M.forest(100, 12), impute=False),
                                   df.filter(F.col("regime") == name), k=5, parallelism=4)
         parts.append(scores.withColumn("regime", F.lit(name)))
     return parts[0].unionByName(parts[1])
