@@ -78,21 +78,22 @@ def _shares(nodes: DataFrame, parent: list[str], level: str, spec: MixSpec) -> D
         "w_open": F.sum(open_w).over(whole), "w_upto": F.sum(open_w).over(rest.rowsBetween(Window.unboundedPreceding, 0))}))
     cut = lambda w: F.expr(f"cast(left as decimal(20,0)) * cast({w} as decimal(18,0)) div greatest(w_open, 1)")
     share = F.when(F.col("full"), F.col("cap")).otherwise(cut("w_upto") - cut("(w_upto - w)"))
-    return parts.select(*[p for p in parent if p != "root"], level, share.cast("long").alias("budget"))
+    return parts.select(*parent, level, share.cast("long").alias("budget"))
 
 
 def leaf_budgets(leaves: DataFrame, spec: MixSpec) -> DataFrame:
     """``leaves(domain, lang, source, tokens)`` -> with budget, epochs (full ones)
     and rest (tokens of the prefix in one more epoch)."""
-    caps = leaves.withColumn("cap", F.col("tokens") * spec.max_epochs).withColumn("root", F.lit(0))
+    caps = leaves.withColumn("cap", F.col("tokens") * spec.max_epochs)
     num, den = spec.budget_share
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    out = caps.select("root").distinct().withColumn("budget", F.least(F.lit(total * num // den), F.lit(total * spec.max_epochs)))
-    parent = ["root"]
+    root = min(total * num // den, total * spec.max_epochs)
+    parent, out = [], None
     for level in LEVELS:
-        nodes = caps.groupBy(*parent, level).agg(F.sum("cap").alias("cap")).join(out, parent)
+        nodes = caps.groupBy(*parent, level).agg(F.sum("cap").alias("cap"))
+        nodes = nodes.withColumn("budget", F.lit(root).cast("long")) if out is None else nodes.join(out, parent)
         out = _shares(nodes, parent, level, spec)
-        parent = [p for p in parent if p != "root"] + [level]
+        parent.append(level)
     got = leaves.join(out, list(LEVELS))
     epochs = F.expr("case when tokens > 0 then budget div tokens else 0 end")
     return got.withColumn("epochs", epochs).withColumn("rest", F.expr("case when tokens > 0 then budget % tokens else 0 end"))
