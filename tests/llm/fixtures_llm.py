@@ -6,7 +6,8 @@ import random
 import re
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, `key` string, label string"
+EXTRA = ("shard", "key", "label", "tkey", "skey", "mix_leaf", "mix_copies", "MIX_NTH", "jaccard_key", "quality_n_words", "copies", "domain")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
 def prose(seed: int, n: int) -> str:
@@ -40,7 +41,8 @@ def documents(spark, n: int = 60):
     rows += [(100, None, "en", "src1"), (101, "", "de", "src2"), (102, "  \n ", None, None), (None, prose(50, 70), "en", "src0"),
              (None, None, None, None), (103, "one two", "en", "src1"), (104, "One, two!", "en", "src1"), (105, prose(77, 9000), "en", "src3"),
              (0, rows[0][1], "en", "src0"), (0, rows[0][1], "en", "src0"), (-7, "x" * 5000, "en", "src3"), (2**62, "é漢🙂 \t tab", "es", "src2")]
-    return spark.createDataFrame([(a, b, c, d, len(b) if b is not None else None, i % 3, "k", None) for i, (a, b, c, d) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(a, b, c, d, len(b) if b is not None and i % 11 else None, *[(c_, None, "")[i % 3] for c_ in EXTRA])
+                                  for i, (a, b, c, d) in enumerate(rows)], SCHEMA)
 
 
 def empty(df):

@@ -6,7 +6,7 @@ from collections import Counter
 
 import oracle
 import pytest
-from fixtures_llm import shingles
+from fixtures_llm import documents, empty, shingles
 
 import corpus_pipeline
 from gustframe.llm import quality_rules, queries, secret_scan, unigram
@@ -41,3 +41,33 @@ def test_pipeline_stages(spark):
     codec = unigram.Codec(unigram.load_model())
     want = Counter((r.doc_id, tuple(codec.encode(r.text).tolist())) for r in mixed.select("doc_id", "text").collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in ids.select("doc_id", "ids").collect()) == want
+
+
+def test_pipeline_stages_on_edge_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing extra
+    columns; and a table without rows."""
+    edge = documents(spark)
+    for docs in (edge, empty(edge)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF).cache()
+            if name == "sentencepiece":
+                assert out.where("not round_trip").count() == 0
+            else:
+                assert out.columns == edge.columns and dict(out.dtypes) == dict(edge.dtypes)
+                given = {tuple(r) for r in edge.collect()}
+                assert name == "secret_scan" or {tuple(r) for r in out.collect()} <= given
+            docs = out
+        assert n or docs.count() == 0
+
+
+def test_pipeline_run(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip"] and got.where("not round_trip").count() == 0 and got.count() > 50
+
+
+def test_entry_has_all_queries():
+    import __spark_entry__ as entry
+    names = entry.queries()
+    assert {*queries.QUERIES, "pipeline"} <= set(names) and set(entry.oracle_sql()) <= set(names)
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
