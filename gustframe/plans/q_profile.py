@@ -426,6 +426,24 @@ def split_stratified_q(spark, sf):
     return windows.split_stratified(V.sig(spark, sf), "MAC_CODE", 0.2, seed=345).select("ID", "is_test")
 
 
+@query("split_stratified_null_units", views=("sig",),
+       sql="select ID, row_number() over (partition by u order by md5('345:' || cast(ID as varchar)), ID) "
+           "<= ceil(0.2 * count(*) over (partition by u)) as is_test from (select *, nullif(MAC_CODE, 'click') as u from sig) s")
+def split_stratified_null_units_q(spark, sf):
+    """Rows without a unit are a stratum of their own; small buckets, so that the
+    bucketed path runs on every table."""
+    s = V.sig(spark, sf).withColumn("u", F.expr("nullif(MAC_CODE, 'click')"))
+    return windows.split_stratified(s, "u", 0.2, seed=345, rows_per_bucket=500).select("ID", "is_test")
+
+
+@query("quantiles_null_units", views=("sig",), dbl=["value"],
+       sql=" union all ".join(f"select u, cast({q} as double) as q, quantile_cont(value, {q}) as value from "
+                              "(select nullif(MAC_CODE, 'click') as u, value from sig) s group by u" for q in (0.1, 0.5, 0.9)))
+def quantiles_null_units_q(spark, sf):
+    s = V.sig(spark, sf).withColumn("u", F.expr("nullif(MAC_CODE, 'click')"))
+    return pos.exact_quantiles(s, "value", [0.1, 0.5, 0.9], ["u"], rows_per_bucket=500)
+
+
 @query("rank_average", views=("wide_keyed",), dbl={"rank": 3},
        sql="select okey, line, Rotor_speed, case when Rotor_speed is not null then rank() over (order by Rotor_speed) + "
            "(count(*) over (partition by Rotor_speed) - 1) / 2.0 end as rank from wide_keyed")
