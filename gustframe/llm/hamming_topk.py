@@ -1,13 +1,16 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has a bit per dimension (1 where the value is above 0). Codes are
-cut into m segments of about log2(number of codes) bits, and every segment value
-is an index key. Round s looks up, for each query and segment, all values that
-differ from the query's segment in exactly s bits. After round s every code within
-distance m * (s + 1) - 1 has been met (else all m segments would differ in more
-than s bits), so a query whose k-th verified distance is within that radius is
-done; the others go on with s + 1. A pair is verified once, in the first segment
-of its least segment distance, and only if it can still enter the top k.
+cut into m segments of about log2(number of codes) - 3 bits (a few codes share a
+segment value), and every segment value is an index key. Round s looks up, for
+each query and segment, all values that differ from the query's segment in exactly
+s bits. When j segments have been looked up so, every code within distance
+m * s + j - 1 has been met (else j segments would differ in more than s bits and
+the others in s or more). A query whose k-th verified distance is within that
+radius is done; one with k candidates looks up no more segments than its radius
+needs to reach the k-th of them; the others go on with s + 1. A pair is verified
+once, in the first segment of its least segment distance, and only if it can still
+enter the top k.
 
 Equal codes are one index entry with their k + 1 least ids (no other can enter a
 top k ordered by distance and id), and queries with equal codes are one search,
@@ -56,14 +59,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str
            .groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     ids = store(ids, "mih-ids")
     n = ids.count()
-    m = max(1, round(dims / min(24, max(8, math.log2(max(n, 2))))))
+    m = max(1, round(dims / min(24, max(8, math.log2(max(n, 2)) - 3))))
     bits = [dims // m + (j < dims % m) for j in range(m)]
     at = [sum(bits[:j]) for j in range(m)]
     segments = F.array(*(F.struct(F.lit(j).alias("j"), _segment(F.col("code"), at[j], bits[j]).alias("value")) for j in range(m)))
     index = store(ids.select("code", "ids", F.explode(segments).alias("s")).select("s.*", "code", "ids"), "mih-index")
 
     asked = store(binary_codes(queries, id_col, vec_col, dims).distinct(), "mih-queries")
-    active = asked.select("code").distinct().withColumn("worst", F.lit(dims))
+    active = asked.select("code").distinct().withColumns({"worst": F.lit(dims), "full": F.lit(False)})
     pool = None
     words = range(-(-dims // 64))
     dist = sum((F.bit_count(F.col("q")[w].bitwiseXOR(F.col("code")[w])) for w in words), F.lit(0))
@@ -81,7 +84,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str
         masks = F.lit(None)
         for j in range(m):
             masks = F.when(F.col("p.j") == j, flips[bits[j]].cast("array<long>")).otherwise(masks)
-        looked = (active.withColumnRenamed("code", "q").withColumn("p", F.explode(probes))
+        reach = F.when(F.col("full"), F.least(F.lit(m), F.col("worst") - (m * s - 1))).otherwise(F.lit(m))
+        active = active.withColumn("segments", reach)
+        looked = (active.withColumnRenamed("code", "q").withColumn("p", F.explode(F.slice(probes, F.lit(1), F.col("segments"))))
                   .select("q", "worst", "p.j", "p.own", F.explode(masks).alias("mask"))
                   .select("q", "worst", F.col("j").alias("pj"), F.col("own").bitwiseXOR(F.col("mask")).alias("pv")))
         hits = (index.join(looked, (F.col("j") == F.col("pj")) & (F.col("value") == F.col("pv")) & (dist <= F.col("worst")) & first)
@@ -91,10 +96,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str
         pool = store(new.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).drop("nth"), "mih-pool")
         kth = pool.groupBy("q").agg(F.count("*").alias("found"), F.max("distance").alias("last"))
         state = active.join(kth, F.col("code") == F.col("q"), "left").select(
-            "code", F.when(F.col("found") > k, F.col("last")).otherwise(F.lit(dims)).alias("worst"), (F.coalesce("found", F.lit(0)) > k).alias("full"))
-        covered = m * (s + 1) - 1
-        active = store(state.where(~(F.col("full") & (F.col("worst") <= covered))).drop("full"), "mih-active")
-        if covered >= dims or not active.take(1):
+            "code", "segments", F.when(F.col("found") > k, F.col("last")).otherwise(F.lit(dims)).cast("int").alias("worst"),
+            (F.coalesce("found", F.lit(0)) > k).alias("full"))
+        active = store(state.where(~(F.col("full") & (F.col("worst") <= m * s - 1 + F.col("segments")))).drop("segments"), "mih-active")
+        if m * (s + 1) - 1 >= dims or not active.take(1):
             break
     rank = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return (asked.select(F.col("id").alias("query_id"), "code").join(pool, F.col("code") == F.col("q"))
