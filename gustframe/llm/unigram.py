@@ -10,9 +10,10 @@ handed to the tasks with the function.
 A text is escaped (space to U+2581, one more in front) and cut before each run of
 markers and around characters that no piece holds next to others; no piece
 crosses such a cut, so the best path of the text is the best paths of the parts
-one after the other. Parts repeat a lot: a task remembers up to ``CACHE`` of them.
-Within a part, Viterbi looks up all pieces that start at a character. A character
-without a piece costs the least score minus 10 and becomes its bytes' pieces.
+one after the other. Parts repeat a lot: a task remembers about ``CACHE`` of them.
+Within a part, Viterbi looks up all pieces that start at a character; short parts
+go through it thousands at a time. A character without a piece costs the least
+score minus 10 and becomes its bytes' pieces.
 
 Decoding joins pieces and bytes and turns the marker back into a space, so every
 text but one holding U+2581 itself (which the encoding can't tell from a space)
@@ -160,6 +161,7 @@ class Codec:
         self.pieces = model.pieces
         self.base, self.check, self.value = model.base.tolist(), model.check.tolist(), model.value.tolist()
         self.scores = model.scores.tolist()
+        self.arrays = model.base, model.check, model.value, np.append(model.scores, -np.inf)  # no piece (-1): the last
         self.bytes = {p[0]: i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         normal = model.kinds == NORMAL
@@ -210,23 +212,74 @@ class Codec:
             at = start
         return np.array(out[::-1], np.int32).tobytes()
 
-    def _get(self, part: str) -> bytes:
-        got = self.known.get(part)
-        if got is None:
-            got = self._best(part)
-            if len(part) <= LONGEST:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[part] = got
-        return got
+    def _best_of_many(self, parts: list[str]) -> list[bytes]:
+        """``_best`` of many short parts at once: a matrix of their bytes, and one
+        step of the trie and of the lattice for all of them at a time."""
+        texts = [p.replace(" ", MARK).encode() for p in parts]
+        n = np.array([len(t) for t in texts])
+        width, all_rows = int(n.max()), np.arange(len(texts))
+        text = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(len(texts), width)
+        base, check, value, scores = self.arrays
+        begins = (text & 0xC0) != 0x80
+        step = 1 + (text >= 0xC0).astype(np.int64) + (text >= 0xE0) + (text >= 0xF0)
+        best = np.full((len(texts), width + 1), -np.inf)
+        best[:, 0] = 0.0
+        start, piece = np.zeros((len(texts), width + 1), np.int32), np.full((len(texts), width + 1), -1, np.int32)
+        for at in range(width):
+            rows = np.flatnonzero((n > at) & begins[:, at])
+            here, end = best[rows, at], at + step[rows, at]
+            single, nth, node = np.zeros(len(rows), bool), np.arange(len(rows)), np.zeros(len(rows), np.int32)
+            for j in range(at, width):
+                kid = base[node] + text[rows[nth], j]
+                on = (check[kid] == node) & (n[rows[nth]] > j)
+                nth, node = nth[on], kid[on]
+                if not len(nth):
+                    break
+                v = value[node]
+                hit = v >= 0
+                single[nth[hit & (end[nth] == j + 1)]] = True
+                s, r = here[nth] + scores[v], rows[nth]
+                better = hit & (s > best[r, j + 1])
+                r = r[better]
+                best[r, j + 1], start[r, j + 1], piece[r, j + 1] = s[better], at, v[better]
+            r, e, s = rows[~single], end[~single], here[~single] + self.cost
+            better = s > best[r, e]
+            best[r[better], e[better]], start[r[better], e[better]], piece[r[better], e[better]] = s[better], at, -1
+        at, back, odd = n.copy(), [], np.zeros(len(texts), bool)
+        while at.any():
+            v = np.where(at > 0, piece[all_rows, at], -2)
+            odd |= v == -1
+            back.append(v)
+            at = np.where(at > 0, start[all_rows, at], 0)
+        ids = np.stack(back[::-1], axis=1).astype(np.int32)
+        there = ids >= 0
+        flat, ends = ids[there].tobytes(), np.cumsum(there.sum(axis=1) * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for i in np.flatnonzero(odd).tolist():  # characters without a piece become bytes
+            out[i] = self._best(parts[i])
+        return out
+
+    def encode_all(self, texts: list) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = self.cut.findall if self.cut else lambda t: [t]
+        parts = [cut(" " + t) if t else [] for t in texts]
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        known = self.known
+        new = {p for ps in parts for p in ps if p not in known}
+        short = sorted((p for p in new if len(p) <= LONGEST), key=len)
+        for i in range(0, len(short), 4096):
+            known.update(zip(short[i:i + 4096], self._best_of_many(short[i:i + 4096]), strict=True))
+        for p in (long := [p for p in new if len(p) > LONGEST]):
+            known[p] = self._best(p)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.int32) for ps in parts]
+        for p in long:
+            del known[p]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text."""
-        if not text:
-            return np.empty(0, np.int32)
-        text = " " + text
-        parts = self.cut.findall(text) if self.cut else [text]
-        return np.frombuffer(b"".join(map(self._get, parts)), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids."""
@@ -264,7 +317,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         is_byte = model.kinds == BYTE
         for b in slices(batches):
             texts = b.column(1).to_pylist()
-            ids = [own.encode(t) for t in texts]
+            ids = own.encode_all(texts)
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate([np.empty(0, np.int32), *ids])
             yield pa.RecordBatch.from_arrays(
