@@ -56,8 +56,8 @@ def write_tokens(docs: DataFrame, path: str, model_path: str = unigram.MODEL) ->
     def run(batches):
         own = unigram.codec(model)
         for b in slices(batches):
-            rows = [np.array(header(i), "<u2").tobytes() + own.encode(t).astype("<u2").tobytes()
-                    for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [np.array(header(i), "<u2").tobytes() + ids.astype("<u2").tobytes()
+                    for i, ids in zip(b.column(0).to_pylist(), own.encode_all(b.column(1).to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     lines = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "ids binary")
