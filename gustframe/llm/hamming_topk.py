@@ -89,7 +89,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str
         looked = (active.withColumnRenamed("code", "q").withColumn("p", F.explode(F.slice(probes, F.lit(1), F.col("segments"))))
                   .select("q", "worst", "p.j", "p.own", F.explode(masks).alias("mask"))
                   .select("q", "worst", F.col("j").alias("pj"), F.col("own").bitwiseXOR(F.col("mask")).alias("pv")))
-        hits = (index.join(looked, (F.col("j") == F.col("pj")) & (F.col("value") == F.col("pv")) & (dist <= F.col("worst")) & first)
+        # lookups grow with the queries and have no size known beforehand: never broadcast
+        hits = (index.join(looked.hint("merge"), (F.col("j") == F.col("pj")) & (F.col("value") == F.col("pv")) & (dist <= F.col("worst")) & first)
                 .select("q", dist.alias("distance"), F.explode("ids").alias("id")))
         ranked = Window.partitionBy("q").orderBy("distance", "id")
         new = hits if pool is None else hits.unionByName(pool)
