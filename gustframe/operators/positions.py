@@ -243,13 +243,17 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: st
         (F.floor(F.lit(p) * (F.col("_n") - 1)) + 1).alias("first"),
         F.least(F.floor(F.lit(p) * (F.col("_n") - 1)) + 2, F.col("_n")).alias("second")) for i, p in enumerate(probs)])
     stats = scratch_table(stats.filter(F.col("_n") > 0).select(*group_cols, "_n", brackets.alias("_want")), "brackets")
+    # a bracket spans at most 6 / accuracy of a group's ranks (margins and errors)
+    largest = stats.agg(F.max("_n")).first()[0] or 0
+    most = max(accuracy, -(-6 * largest // accuracy)) + 2
     near_rows = join_null_safe(v, _side(stats.drop("_n")), group_cols, "inner") if group_cols else _with_row(v, stats.drop("_n"))
 
     # map-side: rows below a bracket count under NULL, values inside under themselves
     touched = near_rows.select(*group_cols, "_v", F.explode(F.filter("_want", lambda w: F.col("_v") <= w["hi"])).alias("_w"))
     counts = touched.groupBy(*group_cols, F.col("_w.i").alias("_i"),
                              F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
-    placed = running_position(counts, "_v", [*group_cols, "_i"], weight_col="_cnt", rows_per_bucket=rows_per_bucket)
+    placed = running_position(counts, "_v", [*group_cols, "_i"], weight_col="_cnt", rows_per_bucket=rows_per_bucket,
+                              max_group_rows=most)
     placed = placed.filter(F.col("_v").isNotNull())  # NULL, the rows below, comes first
     flat = stats.select(*group_cols, "_n", F.explode("_want").alias("_w")).select(
         *group_cols, "_n", F.col("_w.i").alias("_i"), F.col("_w.first").alias("_first"), F.col("_w.second").alias("_second"))
