@@ -11,10 +11,10 @@ is the bar; below it a licence-like paragraph is ``unknown``. Above it, the
 paragraph is compared with the family's templates, and the prediction stands only
 if ``CONFIRM`` of some template's 2-grams are there; else it is ``unknown`` too.
 
-Only n-grams with a word that is rare in prose are features. Of these words, the
-most frequent one of each template that prose hardly holds even as part of a word
-is its anchor. A paragraph without any anchor is ``none``; the others, a small part
-of the corpus, are cut into words and scored. All steps are DataFrame functions and
+Only n-grams with a word that is rare in prose are features. A paragraph without
+any of these rare words has no feature and is ``none``; all others are cut into
+words and scored. One regular expression finds the rare words, so most of the
+corpus is read once and cut into nothing. All steps are DataFrame functions and
 Spark ML stages.
 
 Defined results: a null or empty text has no paragraphs; documents without a
@@ -83,12 +83,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _holds_any(line: Column, found: list[str]) -> Column:
-    """A line holds one of ``found`` as a substring: true for every line that has
-    one as a word, and far cheaper than cutting it into words."""
-    out = F.lit(False)
+    """A lower-case line holds one of ``found`` as a word: one search, in which the
+    words are a tree by their letters, instead of one search a word."""
+    return line.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{_tree(found)})(?![\p{{L}}\p{{N}}])") if found else F.lit(False)
+
+
+def _tree(found: list[str]) -> str:
+    """Pattern of ``found`` with common beginnings taken out."""
+    by: dict[str, list[str]] = {}
     for w in found:
-        out = out | line.contains(w)
-    return out
+        by.setdefault(w[:1], []).append(w[1:])
+    rest = {c: _tree(ws) for c, ws in sorted(by.items()) if c}
+    parts = [("" if c.isalnum() else "\\") + c + (t if len(by[c]) == 1 else f"(?:{t})") for c, t in rest.items()]
+    return "|".join([*parts, ""] if "" in by else parts)
 
 
 def _template_of(text: Column) -> Column:
@@ -118,7 +125,8 @@ def training_rows(docs: DataFrame, per_class: int = TRAIN_ROWS) -> DataFrame:
 
 
 def choose_features(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(anchors, features) from the fitting half of the sample."""
+    """(rare words, features) from the fitting half of the sample: the most frequent
+    n-grams with a rare word, and all rare words in them."""
     fit = sample.where(~F.col("holdout"))
     is_none = F.col("family") == NONE
     n_none = max(1, fit.where(is_none).count())
@@ -126,23 +134,16 @@ def choose_features(sample: DataFrame) -> tuple[list[str], list[str]]:
     counts = each.groupBy("gram").agg(F.sum(F.col("prose").cast("int")).alias("prose"), F.sum((~F.col("prose")).cast("int")).alias("licence")).where("licence > 0")
     # licence paragraphs are few texts over and over: their n-grams are a small table
     rows = [(r["gram"], r["licence"]) for r in counts.where(F.col("prose") <= COMMON * n_none).orderBy(F.desc("licence"), "gram").limit(20 * FEATURES).collect()]
-    rare = {g: n for g, n in rows if " " not in g}
+    rare = {g for g, _ in rows if " " not in g}
     feats = [g for g, _ in rows if any(w in rare for w in g.split())][:FEATURES]
-    line, known = F.array_join("words", " "), sorted(rare)
-    held = fit.where(is_none).agg(*[F.sum(line.contains(w).cast("int")).alias(f"w{i}") for i, w in enumerate(known)]).first()
-    share = {w: (held[f"w{i}"] or 0) / n_none for i, w in enumerate(known)}
-    anchors = set()
-    for t in (t for ts in TEMPLATES.values() for t in ts):
-        found = [w for w in _plain(t).split() if w in rare]
-        anchors.add(min(found or [max(_plain(t).split(), key=len)], key=lambda w: (share.get(w, 0) > COMMON, -rare.get(w, 0), w)))
-    return sorted(anchors), feats
+    return sorted({w for g in feats for w in g.split() if w in rare}), feats
 
 
 class LicenceModel:
     """Features, fitted regression, classes and the calibrated bar."""
 
-    def __init__(self, anchors: list[str], vectors: CountVectorizerModel, regression, classes: list[str], bar: float):
-        self.anchors, self.vectors, self.regression, self.classes, self.bar = anchors, vectors, regression, classes, bar
+    def __init__(self, rare: list[str], vectors: CountVectorizerModel, regression, classes: list[str], bar: float):
+        self.rare, self.vectors, self.regression, self.classes, self.bar = rare, vectors, regression, classes, bar
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with words) and family, probability of the best class."""
@@ -156,7 +157,7 @@ class LicenceModel:
 
 def train(docs: DataFrame, per_class: int = TRAIN_ROWS) -> LicenceModel:
     sample = training_rows(docs, per_class)
-    anchors, feats = choose_features(sample)
+    rare, feats = choose_features(sample)
     vectors = CountVectorizerModel.from_vocabulary(feats, inputCol="grams", outputCol="features", binary=True)
     classes = [NONE, *TEMPLATES]
     index = F.lit(0.0)
@@ -166,7 +167,7 @@ def train(docs: DataFrame, per_class: int = TRAIN_ROWS) -> LicenceModel:
     empty = docs.sparkSession.createDataFrame([(NONE, ["-"], False)], "family string, words array<string>, holdout boolean")
     fit = fit.unionByName(vectors.transform(empty.withColumns({"grams": grams(F.col("words")), "label": index})))
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(fit)
-    model = LicenceModel(anchors, vectors, regression, classes, 0.5)
+    model = LicenceModel(rare, vectors, regression, classes, 0.5)
 
     # the least bar with few wrong predictions above it, over a grid of 0.5 to 0.99
     held = model.score(sample.where("holdout")).where(F.col("best") != NONE)
@@ -194,8 +195,7 @@ def _confirmed(w: Column, family: Column) -> Column:
 
 def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, family, probability of every licence-like paragraph."""
-    near = (lines_of(docs).where(_holds_any(F.col("line"), model.anchors)).select("doc_id", words(F.col("line")).alias("words"))
-            .where(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors)))))
+    near = lines_of(docs).where(_holds_any(F.col("line"), model.rare)).select("doc_id", words(F.col("line")).alias("words"))
     scored = model.score(near).where(F.col("best") != NONE)
     sure = (F.col("p") >= model.bar) & _confirmed(F.col("words"), F.col("best"))
     return scored.select("doc_id", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), F.col("p").alias("probability"))

@@ -282,6 +282,28 @@ def test_licences(spark):
     assert rows_of(licences.scan(empty(df))) == []
 
 
+def test_licence_gate_changes_no_result(spark, monkeypatch):
+    rows = [(i, prose(7000 + i, 25).replace("\n", " ")) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts for _ in range(20))]
+    # parts of notices, told apart from prose by words of which none is needed
+    parts = ["Permission is hereby granted, free of charge, to any person obtaining a copy",
+             "Redistribution, use in binary forms, with or without modification, are permitted provided that the following conditions are true"]
+    model = licences.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), per_class=100)
+    df = spark.createDataFrame(rows[::40] + [(5000 + i, t) for i, t in enumerate(parts)], "doc_id long, text string").repartition(2)
+    got = sorted(rows_of(licences.scan_paragraphs(df, model)))
+    assert {(5000 + i, licences.UNKNOWN) for i in range(len(parts))} <= {r[:2] for r in got}
+    monkeypatch.setattr(licences, "_holds_any", lambda line, found: F.lit(True))
+    assert got == sorted(rows_of(licences.scan_paragraphs(df, model)))
+
+
+def test_licence_words_in_one_search(spark):
+    found = ["a", "any", "and", "4", "work", "works", "é", "license"]
+    texts = ["many", "any", "an any.", "work's", "workshop", "licenses", "x4 44", "4.0", "éa", "(é)", "", "a-b", "license"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    got = {r.line for r in df.where(licences._holds_any(F.col("line"), found)).collect()}
+    assert got == {t for t in texts if set(re.split(r"[^\w]+", t)) & set(found)}
+
+
 # ------------------------------------------------------------------ secrets
 def brute_base(text: str):
     out = []
