@@ -1,6 +1,10 @@
 """License scans by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over sparse
+Paragraphs are runs of lines between blank lines, their lines joined, so that a
+wrapped notice is one paragraph. A line that holds a family's notice by itself is a
+paragraph of its own and parts the run, unless the run as a whole holds another
+notice of that family that no single line holds (the line begins a wrapped one).
+A multinomial logistic regression over sparse
 word 1- and 2-grams tells licence families from ordinary prose. It is trained on a
 bounded sample of the corpus itself (``TRAIN_ROWS`` paragraphs a class): those that
 hold the words of a family's template are its examples, the others are class
@@ -19,8 +23,7 @@ Spark ML stages.
 
 Defined results: a null or empty text has no paragraphs; documents without a
 licence paragraph give no row; a repeated row, or rows with one doc_id (null is
-one, too), are counted together; texts of any length are read whole, a line being
-the unit; if no prose is sampled the templates alone fit the model; an empty table
+one, too), are counted together; texts of any length are read whole; if no prose is sampled the templates alone fit the model; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -40,6 +43,8 @@ TRAIN_ROWS = 1_000
 FEATURES, COMMON = 400, 0.002
 ERROR, CONFIRM = 0.01, 0.8
 NONE, UNKNOWN = "none", "unknown"
+#: Marks the ends of single-line notices; no word holds it, so one in a text only parts a run.
+CUT = "\x01"
 
 # Notice lines of public licences.
 TEMPLATES = {
@@ -77,15 +82,52 @@ def grams(w: Column) -> Column:
     return F.concat(w, pairs)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line of every line, in lower case."""
-    return docs.select("doc_id", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-
-
-def _holds_any(line: Column, found: list[str]) -> Column:
-    """A lower-case line holds one of ``found`` as a word: one search, in which the
+def runs_of(docs: DataFrame) -> DataFrame:
+    """doc_id, run of every run of lines without a blank one, in lower case."""
+    return docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\n\s*\n")).alias("run"))
+
+
+def _shares(have: Column, template: str) -> Column:
+    """Enough of a template's 2-grams are in ``have``."""
+    ws = _plain(template).split()
+    pairs = sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)})
+    return F.size(F.array_intersect(have, F.array(*map(F.lit, pairs)))) >= CONFIRM * len(pairs)
+
+
+def paragraphs_of(runs: DataFrame) -> DataFrame:
+    """``runs`` cut into paragraphs: the words of each instead of the run."""
+    texts = [t for ts in TEMPLATES.values() for t in ts]
+    shared = lambda have: F.array(*(_shares(have, t) for t in texts))
+    cut = (runs.withColumn("lines", F.split("run", "\n"))
+           .withColumn("whole", shared(grams(words(F.col("run")))))
+           .withColumn("each", F.when(F.exists("whole", lambda x: x), F.transform("lines", lambda x: shared(grams(words(x)))))))
+    # notices that the run holds and no line of it does
+    no_line = lambda i: ~F.exists("each", lambda x: x[i])
+    wrapped = F.array(*(F.col("whole")[i] & no_line(i) for i in range(len(texts))))
+    cut = cut.withColumn("wrapped", F.when(F.col("each").isNotNull(), wrapped))
+    spans, at = [], 0
+    for ts in TEMPLATES.values():
+        spans.append(range(at, at := at + len(ts)))
+
+    def stands(x: Column) -> Column:
+        out = F.lit(False)
+        for span in spans:
+            holds, open_ = F.lit(False), F.lit(False)
+            for i in span:
+                holds, open_ = holds | x["each"][i], open_ | F.col("wrapped")[i]
+            out = out | (holds & ~open_)
+        return out
+
+    marked = F.transform(F.arrays_zip("lines", "each"), lambda x: F.when(stands(x), F.concat(F.lit(CUT), x["lines"], F.lit(CUT))).otherwise(x["lines"]))
+    text = F.when(F.col("each").isNull(), F.col("run")).otherwise(F.array_join(marked, "\n"))
+    kept = [c for c in runs.columns if c != "run"]
+    return cut.select(*kept, F.explode(F.split(text, CUT)).alias("text")).select(*kept, words(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
+def _holds_any(text: Column, found: list[str]) -> Column:
+    """A lower-case text holds one of ``found`` as a word: one search, in which the
     words are a tree by their letters, instead of one search a word."""
-    return line.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{_tree(found)})(?![\p{{L}}\p{{N}}])") if found else F.lit(False)
+    return text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{_tree(found)})(?![\p{{L}}\p{{N}}])") if found else F.lit(False)
 
 
 def _tree(found: list[str]) -> str:
@@ -110,14 +152,16 @@ def _template_of(text: Column) -> Column:
 
 def training_rows(docs: DataFrame, per_class: int = TRAIN_ROWS) -> DataFrame:
     """family, words, holdout: the bounded sample, by the order of a hash. Every
-    template's longest word shows which lines may hold it."""
+    template's longest word shows which runs may hold it."""
     longest = sorted({max(_plain(t).split(), key=len) for ts in TEMPLATES.values() for t in ts})
-    lines = lines_of(docs).withColumn("order", F.xxhash64(F.lit(11), "line", "doc_id"))
-    near = _holds_any(F.col("line"), longest)
-    holding = (lines.where(near).withColumn("words", words(F.col("line")))
+    runs = runs_of(docs)
+    near = _holds_any(F.col("run"), longest)
+    order = lambda what: F.xxhash64(F.lit(11), what, "doc_id")
+    holding = (paragraphs_of(runs.where(near)).withColumn("order", order("words"))
                .withColumn("family", _template_of(F.array_join("words", " "))).where("family is not null")
                .withColumn("nth", F.row_number().over(Window.partitionBy("family").orderBy("order"))).where(F.col("nth") <= per_class))
-    prose = lines.where(~near).orderBy("order").limit(per_class).withColumns({"words": words(F.col("line")), "family": F.lit(NONE)})
+    prose = (runs.where(~near).withColumn("order", order("run")).orderBy("order").limit(per_class)
+             .withColumns({"words": words(F.col("run")), "family": F.lit(NONE)}))
     rows = holding.select("family", "words", "order").unionByName(prose.select("family", "words", "order")).where(F.size("words") > 0)
     known = docs.sparkSession.createDataFrame([(f, _plain(t).split(), False) for f, ts in TEMPLATES.items() for t in ts],
                                               "family string, words array<string>, holdout boolean")
@@ -186,16 +230,14 @@ def _confirmed(w: Column, family: Column) -> Column:
     for name, texts in TEMPLATES.items():
         hit = F.lit(False)
         for t in texts:
-            ws = _plain(t).split()
-            pairs = sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)})
-            hit = hit | (F.size(F.array_intersect(have, F.array(*map(F.lit, pairs)))) >= CONFIRM * len(pairs))
+            hit = hit | _shares(have, t)
         out = F.when(family == name, hit).otherwise(out)
     return out
 
 
 def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, family, probability of every licence-like paragraph."""
-    near = lines_of(docs).where(_holds_any(F.col("line"), model.rare)).select("doc_id", words(F.col("line")).alias("words"))
+    near = paragraphs_of(runs_of(docs).where(_holds_any(F.col("run"), model.rare)))
     scored = model.score(near).where(F.col("best") != NONE)
     sure = (F.col("p") >= model.bar) & _confirmed(F.col("words"), F.col("best"))
     return scored.select("doc_id", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), F.col("p").alias("probability"))

@@ -296,6 +296,26 @@ def test_licence_gate_changes_no_result(spark, monkeypatch):
     assert got == sorted(rows_of(licences.scan_paragraphs(df, model)))
 
 
+def test_licence_wrapped_notices(spark):
+    rows = [(i, prose(8000 + i, 25)) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts for _ in range(20))]
+    model = licences.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), per_class=100)
+    wrapped = {
+        "mit": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+               "of this software and associated documentation files (the \"Software\"), to deal",
+        "bsd": "Redistribution and use in source and binary forms, with or without\n"
+               "modification, are permitted provided that the following conditions are met:",
+        "gpl": "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."}
+    texts = [(i, f"{prose(9000 + i, 20)}\n \n{t}\n\n{prose(9100 + i, 20)}") for i, t in enumerate(wrapped.values())]
+    # single-line notices between lines of prose, two families in one run
+    texts.append((90, f"{prose(9200, 20)}\nReleased under the MIT License.\nAll rights reserved.\n{prose(9201, 20)}\nReleased under the MIT License."))
+    got = Counter((r.doc_id, r.family) for r in licences.scan_paragraphs(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), model).collect())
+    sure = {k: n for k, n in got.items() if k[1] != licences.UNKNOWN}
+    assert sure == {**{(i, f): 1 for i, f in enumerate(wrapped)}, (90, "mit"): 2, (90, "reserved"): 1}
+
+
 def test_licence_words_in_one_search(spark):
     found = ["a", "any", "and", "4", "work", "works", "é", "license"]
     texts = ["many", "any", "an any.", "work's", "workshop", "licenses", "x4 44", "4.0", "éa", "(é)", "", "a-b", "license"]
