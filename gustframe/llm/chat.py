@@ -8,7 +8,10 @@ of equal conversations the least conv_id stays. The rest is rendered.
 The rolling hash is the running sum of two 64-bit hashes of (position, role,
 text): a running sum can be split, so a conversation that holds a third of all
 turns is worked on in pieces of ``PIECE`` turns, whose totals are summed up per
-conversation. Hashes of inner turns are made distinct before the anti-join and
+conversation. Pieces are cut by position, not by turn number, so many rows with one
+turn number (or none) make many pieces: a range shuffle by (conv_id, turn, role,
+text) deals the distinct rows out, and the counts of a conversation's earlier
+partitions place each row. Hashes of inner turns are made distinct before the anti-join and
 equal conversations grouped, so a first turn or a whole conversation that is very
 common is one row on either side. Rendered text comes in segments of ``PIECE``
 turns as well (nearly always one), to be joined in order.
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import store
 
-#: Turn numbers that are worked on together.
-PIECE = 1024
+#: Turns that are worked on together, and rows of a range partition.
+PIECE, ROWS_PER_PART = 1024, 2_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -36,14 +39,20 @@ def collapse_and_render(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     maximal conversation."""
     keys = ["conv_id", "piece"]
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = (turns.select("conv_id", "turn", "role", "text").distinct()
-            .withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(2**62)))))
-    rows = store(rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))), "chat-turns")
-
-    # positions: turns in earlier pieces, one row per piece
+    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // ROWS_PER_PART))
+    rows = store(turns.select("conv_id", "turn", "role", "text").distinct()
+                 .repartitionByRange(parts, F.col("conv_id").asc_nulls_first(), *order)
+                 .withColumn("part", F.spark_partition_id()), "chat-turns")
+
+    # positions: turns in earlier partitions, one row per conversation and partition
+    dealt = ["conv_id", "part"]
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*dealt).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rows = rows.withColumn("in_part", F.row_number().over(Window.partitionBy(*dealt).orderBy(*order)))
+    placed = _with(rows, counts.select(*dealt, "first"), dealt).withColumn("pos", F.col("first") + F.col("in_part"))
+    placed = store(placed.select("conv_id", "role", "text", "pos", F.expr(f"(pos - 1) div {piece}").alias("piece"),
+                                 F.expr(f"(pos - 1) % {piece}").alias("nth")), "chat-places")
     before = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys).agg(F.max("nth").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = _with(rows, counts.select(*keys, "first"), keys).withColumn("pos", F.col("first") + F.col("nth"))
     tag = lambda seed: F.xxhash64(F.lit(seed), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text").cast("decimal(20,0)")
     upto = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     inner = store(placed.select(*keys, "nth", "pos", tag(1).alias("x"), tag(2).alias("y"))
@@ -66,12 +75,11 @@ def collapse_and_render(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     parts = shown.groupBy("conv_id", "n_turns", "n_copies", "piece").agg(
         F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
-    segment = F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1
-    return parts.select("conv_id", "n_turns", "n_copies", segment.cast("int").alias("segment"), text.alias("text"))
+    return parts.select("conv_id", "n_turns", "n_copies", F.col("piece").cast("int").alias("segment"), text.alias("text"))
 
 
 def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Null-safe join of per-piece values."""
+    """Null-safe join of values by two keys."""
     s = small.select(*(F.col(k).alias(f"{k}_") for k in keys), *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     return rows.join(s, on[0] & on[1]).drop(*(f"{k}_" for k in keys))

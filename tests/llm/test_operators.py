@@ -190,6 +190,16 @@ def test_chat_snapshots(spark, piece):
     assert rows_of(chat.collapse_and_render(empty(df))) == []
 
 
+@pytest.mark.parametrize("turn", [0, None])
+def test_chat_pieces_hold_rows_not_turn_numbers(spark, turn):
+    turns = [(None, turn, "user", f"text {i}") for i in range(5000)] + [(1, 0, "user", "text 0")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    got = sorted((r for r in chat.collapse_and_render(df, 100).collect()), key=lambda r: r.segment)
+    assert [(r.conv_id, r.n_turns, r.n_copies, r.segment) for r in got] == [(None, 5000, 1, i) for i in range(50)]
+    assert {r.text.count(chat.START) for r in got} == {100}
+    assert {(r.conv_id, r.n_turns, r.n_copies, "".join(g.text for g in got)) for r in got} == brute_chat(turns)
+
+
 # ------------------------------------------------------------- SentencePiece
 def brute_best(model, part: str) -> float:
     """Best score of a part by dynamic programming over all pieces."""
