@@ -23,8 +23,8 @@ from gustframe.functions import naming
 from gustframe.operators import windows
 from gustframe.plans.features import ImputeMedian, RegimeColumn, _p, _Stage
 
-# Share of the published number of trees in the registered queries; see ``rounds``.
-QUERY_SHARE = 0.05
+# Share of the published number of trees in the registered queries: all; see ``rounds``.
+QUERY_SHARE = 1.0
 
 
 def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str = "TARGET") -> RandomForestRegressor:

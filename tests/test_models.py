@@ -112,6 +112,11 @@ def test_published_sizes_are_the_defaults(spark):
     spark.conf.unset("spark.gustframe.model.share")
 
 
+def test_registered_queries_fit_the_published_trees(spark):
+    spark.conf.unset("spark.gustframe.model.share")
+    assert [M.rounds(spark, n) for n in (1500, 1200, 500, 200, 600, 100, 300)] == [1500, 1200, 500, 200, 600, 100, 300]
+
+
 def test_registered_models_keep_every_row(spark):
     """Model queries return each row once, in the set of the exact split, and beat
     the median predictor."""
