@@ -286,7 +286,9 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def join_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, tkey, class_id, class_tkey (that document's text), n_links."""
-    runs = min(COORDS // PER_RUN, runs_for(threshold, recall))
+    runs = runs_for(threshold, recall)
+    if runs > COORDS // PER_RUN:
+        raise ValueError(f"threshold {threshold} with recall {recall} takes {runs} runs; a sketch of {COORDS} coordinates has {COORDS // PER_RUN}")
     rows = store(text_rows(docs), "shingle-rows")
     classes = (rows.where("skey is not null").groupBy("skey")
                .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "n", "sketch")).alias("m"), F.count("*").alias("copies"))

@@ -547,6 +547,11 @@ def test_jaccard_runs():
     assert jaccard_join.runs_for(0.8, 0.9) < 4
 
 
+def test_jaccard_recall_out_of_reach(docs):
+    with pytest.raises(ValueError, match="takes 6 runs"):
+        jaccard_join.join_rows(docs, threshold=0.7)
+
+
 # -------------------------------------------------------------- Hamming top-k
 @pytest.mark.parametrize(("dims", "k"), [(64, 3), (40, 5), (100, 2)])
 def test_hamming_top_k(spark, dims, k):
