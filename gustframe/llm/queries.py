@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat, hamming_topk, jaccard_join, licences, mixing, quality_rules, secret_scan, sharding,
-               token_counts, unigram)
+from . import (chat, hamming_topk, hard_negatives, jaccard_join, language_id, licences, mixing, quality_rules, secret_scan, sharding,
+               token_alignment, token_counts, unigram)
 from .common import table
 
 
@@ -54,10 +54,24 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbour_id", "distance")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_shifted(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_chat_snapshots, op4_sentencepiece, op5_license_scan, op6_secret_scan,
-                            op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_hamming_topk)}
+                            op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_hamming_topk, op11_hard_negatives, op12_language_id,
+                            op13_token_alignment)}
 
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.oracle_sql(), "op2_sharding": sharding.ORACLE, "op3_chat_snapshots": chat.ORACLE,
-    "op8_quality_rules": quality_rules.oracle_sql(), "op9_jaccard_join": jaccard_join.ORACLE, "op10_hamming_topk": hamming_topk.ORACLE}
+    "op8_quality_rules": quality_rules.oracle_sql(), "op9_jaccard_join": jaccard_join.ORACLE, "op10_hamming_topk": hamming_topk.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE}

@@ -70,4 +70,4 @@ def test_entry_has_all_queries():
     import __spark_entry__ as entry
     names = entry.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 14))
