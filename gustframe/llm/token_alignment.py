@@ -11,6 +11,13 @@ bytes of the tokens are counted on from the last cut. Byte offsets at which toke
 of both end cut the tokens into groups and are the links: an A and a B token that
 end together.
 
+Both encoders never look past a place where a space follows a character that is no
+white space (A cuts words there first; no piece of B has its space mark after
+another character, which is checked when the model is read). So a text is cut into
+parts at these places, each distinct part of a batch is encoded and aligned once,
+and short ones are remembered; a part's end is an end of both, so the alignment of
+a text is that of its parts in a row.
+
 Links are counted over the corpus by id pair. A task hands on one row per document
 and distinct pair. A pair's total is looked up again for every document that holds
 it: pairs that make up at least 1 / ``HOT`` of all links, hence at most ``HOT`` of
@@ -26,8 +33,10 @@ not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -40,6 +49,11 @@ from .common import map_arrow, slices, store
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs that may be broadcast: those with at least 1 / HOT of all links.
 HOT = 200_000
+#: Aligned parts that a task remembers, and their longest one in characters.
+KEPT, SHORT = 400_000, 40
+
+_ODD = re.compile(r"\A |\s | \Z")
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -97,41 +111,80 @@ class Aligner:
         self.side_b = _Side([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                              for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))], ",", ";")
 
+        words = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
+        self.cut = words and all(b" " not in e.lstrip(b" ") for e in self.side_b.bytes)
+        self.known = {}
+
     @property
     def size_b(self) -> int:
         return len(self.side_b.bytes)
 
-    def align_all(self, texts: list) -> list:
-        """For each text (A ids, B ids, index of each cut's A and B token), or None
-        without tokens."""
-        some = [i for i, t in enumerate(texts) if t]
-        out = [None] * len(texts)
-        if not some:
-            return out
-        found_a = self.a.encode_batch([" " + texts[i] for i in some], add_special_tokens=False)
-        found_b = self.b.encode([texts[i] for i in some], return_type="offset_mapping", return_bytes=False, num_threads=1)
-        for i, a, b in zip(some, found_a, found_b, strict=True):
-            out[i] = self._align(" " + texts[i], a.ids, a.offsets, b["ids"], b["offsets"])
+    def parts(self, text: str) -> list[str]:
+        """The parts of a space and the text; each begins with a space."""
+        if not self.cut:
+            return [" " + text]
+        if not _ODD.search(text):
+            return [" " + p for p in text.split(" ")]
+        out = _CUT.split(" " + text)
+        if out[-1] == " ":  # B would see an empty text
+            out[-2:] = ["".join(out[-2:])]
         return out
 
-    def _align(self, text: str, list_a: list, spans_a: list, list_b: list, spans_b: list):
-        data = text.encode()
-        if (b"".join(map(self.side_a.bytes.__getitem__, list_a)) != data
-                or b"".join(map(self.side_b.bytes.__getitem__, list_b)) != data):
-            return None
-        at_byte, ids_a, ids_b = char_bytes(text, data), np.array(list_a), np.array(list_b)
-        begin, end = _spans(spans_a)
+    def align_parts(self, parts: list[str]) -> list[tuple | None]:
+        """For each part (number of A and of B tokens, groups as text, id pairs of
+        the links as bytes), all aligned as one text, or None where bytes differ."""
+        found_a = self.a.encode_batch(parts, add_special_tokens=False)
+        found_b = self.b.encode([p[1:] for p in parts], return_type="offset_mapping", return_bytes=False, num_threads=1)
+        right = [True] * len(parts)
+        data = "".join(parts).encode()
+        for side, found in ((self.side_a, [a.ids for a in found_a]), (self.side_b, [b["ids"] for b in found_b])):
+            if b"".join(map(side.bytes.__getitem__, chain.from_iterable(found))) != data:
+                right = [ok and b"".join(map(side.bytes.__getitem__, ids)) == p.encode() for ok, ids, p in zip(right, found, parts, strict=True)]
+        if not all(right):
+            some = iter(self.align_parts([p for p, ok in zip(parts, right, strict=True) if ok]) if any(right) else ())
+            return [next(some) if ok else None for ok in right]
+        text = "".join(parts)
+        first = np.cumsum([0, *map(len, parts)])[:-1]
+        at_byte = char_bytes(text, data)
+        ids_a, n_a, begin, end = _tokens([a.ids for a in found_a], [a.offsets for a in found_a], first)
         ends_a = token_ends(begin, end, self.side_a.size[ids_a], at_byte)
-        begin, end = _spans(spans_b)
-        begin, end = begin + 1, end + 1  # B's spans are those of the text without the space
-        begin[0] = 0
+        ids_b, n_b, begin, end = _tokens([b["ids"] for b in found_b], [b["offsets"] for b in found_b], first + 1)
+        begin[np.cumsum(n_b) - n_b] -= 1  # B's spans are those of the text without the space
         ends_b = token_ends(begin, end, self.side_b.size[ids_b], at_byte)
-        place = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        place = np.searchsorted(ends_b, ends_a)
         cuts_a = np.flatnonzero(ends_b[place] == ends_a)
-        return ids_a, ids_b, cuts_a, place[cuts_a]
+        cuts_b = place[cuts_a]
+        shown = self.groups(ids_a, ids_b, cuts_a, cuts_b)
+        pairs = (ids_a[cuts_a] * self.size_b + ids_b[cuts_b]).tobytes()
+        stop = np.cumsum(n_a + n_b).tolist()
+        links = (8 * np.searchsorted(cuts_a, np.cumsum(n_a))).tolist()  # a part ends with a cut
+        return [(a, b, "".join(shown[lo:hi])[:-1], pairs[i:j]) for a, b, lo, hi, i, j in
+                zip(n_a.tolist(), n_b.tolist(), [0, *stop], stop, [0, *links], links, strict=False)]
+
+    def align_all(self, texts: list) -> list:
+        """For each text (number of A and of B tokens, groups as text, id pairs of
+        the links), or None without tokens."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        cut = [self.parts(t) if t else [] for t in texts]
+        missing = list({p for ps in cut for p in ps}.difference(self.known))
+        self.known.update(zip(missing, self.align_parts(missing) if missing else (), strict=True))
+        out, known = [], self.known
+        for ps in cut:
+            entries = [known[p] for p in ps]
+            if not ps or None in entries:
+                out.append(None)
+                continue
+            n_a, n_b, groups, pairs = zip(*entries, strict=True)
+            out.append((sum(n_a), sum(n_b), ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)))
+        for p in missing:
+            if len(p) > SHORT:
+                del self.known[p]
+        return out
 
-    def groups_text(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the groups between cuts, in order."""
+    def groups(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> list[str]:
+        """``a1,`` ``a2|`` ``b1;``: the ids of the groups between cuts, in order,
+        with the mark that follows each."""
         n_a, n_b = np.arange(len(ids_a)), np.arange(len(ids_b))
         group_a, group_b = np.searchsorted(cuts_a, n_a), np.searchsorted(cuts_b, n_b)
         out = np.empty(len(ids_a) + len(ids_b), object)
@@ -141,12 +194,15 @@ class Aligner:
         own = self.side_b.within[ids_b]
         own[cuts_b] = self.side_b.last[ids_b[cuts_b]]
         out[n_b + (cuts_a + 1)[group_b]] = own
-        return "".join(out.tolist())[:-1]
+        return out.tolist()
 
 
-def _spans(spans: list) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans))
-    return flat[::2], flat[1::2]
+def _tokens(ids: list, spans: list, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all parts in a row, their number per part, and the spans' begins and
+    ends, moved to where each part begins."""
+    n = np.array([len(x) for x in ids])
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * n.sum()).reshape(-1, 2) + np.repeat(first, n)[:, None]
+    return np.fromiter(chain.from_iterable(ids), np.int64, n.sum()), n, flat[:, 0].copy(), flat[:, 1].copy()
 
 
 def aligned_rows(docs: DataFrame, path_a: str = BYTE_BPE, path_b: str = PIECES) -> DataFrame:
@@ -156,16 +212,17 @@ def aligned_rows(docs: DataFrame, path_a: str = BYTE_BPE, path_b: str = PIECES)
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
     def run(batches):
+        gc.disable()  # millions of small tuples and no cycles
         own, row = Aligner(path_a, path_b), TaskContext.get().partitionId() << 33
         for b in slices(batches, rows=256, mb=2):
             counts, digests, pairs, times = np.zeros((3, b.num_rows), np.int64), [], [], []
             for i, found in enumerate(own.align_all(b.column(1).to_pylist())):
-                digest, pair, n = "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+                digest, links = "", np.zeros(0, np.int64)
                 if found:
-                    ids_a, ids_b, cuts_a, cuts_b = found
-                    counts[:, i] = len(ids_a), len(ids_b), len(cuts_a)
-                    digest = hashlib.sha256(own.groups_text(*found).encode()).hexdigest()
-                    pair, n = np.unique(ids_a[cuts_a] * own.size_b + ids_b[cuts_b], return_counts=True)
+                    n_a, n_b, groups, links = found
+                    counts[:, i] = n_a, n_b, len(links)
+                    digest = hashlib.sha256(groups.encode()).hexdigest()
+                pair, n = np.unique(links, return_counts=True)
                 digests.append(digest)
                 pairs.append(pair)
                 times.append(n)
