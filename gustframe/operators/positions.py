@@ -4,22 +4,20 @@
 task, and ``partitionBy(unit)`` moves a hot unit (a third of the rows) into one
 task.  Instead:
 
-1. count rows per group; every group above ``rows_per_bucket`` is cut at
-   approximate quantiles of its order key (``percentile_approx``), and every
-   piece that is still too large is cut again, until all fit.  The cut points
-   are a small table (one row per oversized piece) that is joined to the rows;
-   nothing is gathered on the driver, and no number of groups or buckets is
-   built in;
-2. count rows per (group, bucket);
+1. deal the rows to ranges of about ``rows_per_bucket`` rows of the composite key
+   (group, order key, tie columns, hash of the row, row number).  Spark samples
+   the range bounds; a hot group, one order key on a third of the rows or rows
+   repeated in full are cut as well, since the last part of the key is unique.
+   The ranges are written with their number, so that they are the same in all
+   later steps;
+2. count rows per (group, range);
 3. prefix-sum those counts per group (a window over the small table);
-4. number rows inside each (group, bucket) with a window partitioned by the
-   bucket and add the offset.
+4. number rows inside each (group, range) with a window and add the offset.
 
-Every step is exact; only the cut points are approximate, and they only decide
-how rows are spread over tasks.  Equal keys always fall in the same bucket, so
-ties are never split (a piece of one single key value is left whole).  NULL
-groups are groups like any other (all joins are null-safe), and infinite keys
-are ordinary keys, so the rows are the same at any ``rows_per_bucket``.
+Every step is exact; the bounds only decide how rows are spread over tasks, so the
+rows are the same at any ``rows_per_bucket``.  Rows that agree in the order key and
+all tie columns are put in order by a hash of the row.  NULL groups are groups like
+any other (all joins are null-safe).
 
 Average ranks pre-aggregate to (group, value, count) first, so a value repeated
 on a third of all rows is a single row.  Exact quantiles bracket each wanted
@@ -37,27 +35,14 @@ from pyspark.sql import functions as F
 from gustframe.session import scratch_table
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
-# Pieces that an oversized piece is cut into at a time.
-FAN_OUT = 64
 # Rows up to which a table of cut points, offsets or brackets is broadcast;
 # larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
 
-def _sort_key(c: Column, dtype: str) -> Column:
-    """A DOUBLE that is non-decreasing in the order of ``c`` (NULL first)."""
-    if dtype.startswith("timestamp"):
-        secs = (F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double") * 86400.0
-                + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c))
-        return F.coalesce(secs, F.lit(float("-inf")))
-    if dtype == "date":
-        return F.coalesce(F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double"),
-                          F.lit(float("-inf")))
-    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
-
-
-def _dtype(df: DataFrame, name: str) -> str:
-    return dict(df.dtypes)[name]
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: the order of rows whose keys tie."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and t != "variant"])
 
 
 def _side(table: DataFrame) -> DataFrame:
@@ -86,87 +71,64 @@ def join_by_value(df: DataFrame, side: DataFrame, value: str) -> DataFrame:
             .drop("_value_side", "_deal", "_deal_side"))
 
 
-def _bucket_by_group(df: DataFrame, key: str, group_cols, rows_per_bucket: int, n_rows: int | None,
-                     max_group_rows: int | None = None):
-    """Add ``_bkt``, an index of key ranges of at most about ``rows_per_bucket``
-    rows within each group, in key order.  Returns (df, whether any group was
-    cut); sizes that the caller knows save the count."""
-    gcols = list(group_cols)
-    out = df.withColumn("_bkt", F.lit(0).cast("long"))
-    known = n_rows if not gcols else max_group_rows
-    if (n_rows is not None and n_rows <= rows_per_bucket) or (known is not None and known <= rows_per_bucket):
-        return out, False
-    probs = [i / FAN_OUT for i in range(1, FAN_OUT)]
-    cut = False
-    while True:
-        pieces = (out.groupBy(*gcols, "_bkt").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-                  .filter((F.col("_n") > rows_per_bucket) & (F.col("_lo") < F.col("_hi"))).drop("_n", "_lo", "_hi"))
-        pieces = scratch_table(pieces, "oversized")
-        if not pieces.take(1):
-            return out, cut
-        cut = True
-        large = join_null_safe(out, _side(pieces), [*gcols, "_bkt"], "left_semi")
-        # a bound is the least key of the piece above it; the piece's own least key is none
-        bounds = large.groupBy(*gcols, "_bkt").agg(F.percentile_approx(key, probs, 10 * FAN_OUT).alias("_q"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-        bounds = scratch_table(bounds.select(*gcols, "_bkt", F.array_distinct(F.concat(
-            F.filter("_q", lambda b: b > F.col("_lo")), F.array("_hi"))).alias("_cuts")), "cuts")
-        joined = join_null_safe(out, _side(bounds), [*gcols, "_bkt"])
-        sub = F.coalesce(F.size(F.filter("_cuts", lambda b: b <= F.col(key))), F.lit(0))
-        out = joined.withColumn("_bkt", F.col("_bkt") * (FAN_OUT + 1) + sub).drop("_cuts")
+def in_ranges(df: DataFrame, keys, rows_per_bucket: int, n_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_bkt``, the number of a range of the composite key ``keys`` (NULLs
+    first) of about ``rows_per_bucket`` rows; ranges ascend in the key.  Returns
+    (df, whether there is more than one); a known row count saves the count.
+
+    The rows are written twice: with a number of their own, which makes the key
+    unique and the ranges the same if a task is run again, and by range."""
+    n = df.count() if n_rows is None else n_rows
+    if n <= rows_per_bucket:
+        return df.withColumn("_bkt", F.lit(0).cast("long")), False
+    numbered = scratch_table(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    dealt = numbered.repartitionByRange(-(-n // rows_per_bucket), *[F.col(f"`{k}`") for k in keys], row_hash(df), F.col("_row"))
+    return scratch_table(dealt.drop("_row").withColumn("_bkt", F.spark_partition_id().cast("long")), "ranges"), True
 
 
 def running_sums(df: DataFrame, order_col: str, sums: dict, group_cols=(), tie_cols=(),
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
-                 n_rows: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None,
+                 max_group_rows: int | None = None, unique: bool = True) -> DataFrame:
     """Add inclusive running sums (``sums``: output name -> weight column) in
-    order of (order_col, *tie_cols) within ``group_cols``.
-
-    ``normalize=False`` makes all groups share the bucket bounds of the key
-    (right for hash keys, which spread evenly inside every group).
-    """
-    group_cols = list(group_cols)
-    normalize = bool(group_cols) if normalize is None else normalize
-    base = df.withColumn("_key", _sort_key(F.col(order_col), _dtype(df, order_col)))
-    if normalize and group_cols:
-        b, bucketed = _bucket_by_group(base, "_key", group_cols, rows_per_bucket, n_rows, max_group_rows)
+    order of (order_col, *tie_cols) within ``group_cols``; unless that order is
+    ``unique``, a hash of the row comes last."""
+    group_cols, order = list(group_cols), [order_col, *tie_cols]
+    if max_group_rows is not None and max_group_rows <= rows_per_bucket:
+        b, cut = df.withColumn("_bkt", F.lit(0).cast("long")), False
     else:
-        b, bucketed = _bucket_by_group(base, "_key", [], rows_per_bucket, n_rows)
-    upto = (Window.partitionBy(*group_cols, "_bkt")
-            .orderBy(F.col(order_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tie_cols])
+        b, cut = in_ranges(df, [*group_cols, *order], rows_per_bucket, n_rows)
+    last = [] if unique else [row_hash(df)]
+    upto = (Window.partitionBy(*group_cols, "_bkt").orderBy(*[F.col(c).asc_nulls_first() for c in order], *last)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if not bucketed:
-        return b.withColumns({o: F.sum(w).over(upto).cast("long") for o, w in sums.items()}).drop("_key", "_bkt")
+    if not cut:
+        return b.withColumns({o: F.sum(w).over(upto).cast("long") for o, w in sums.items()}).drop("_bkt")
     counts = b.groupBy(*group_cols, "_bkt").agg(*[F.sum(w).alias(f"_b_{o}") for o, w in sums.items()])
     before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = scratch_table(counts.select(*group_cols, "_bkt", *[
         F.coalesce(F.sum(f"_b_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums]), "offsets")
     joined = join_null_safe(b, _side(offs), [*group_cols, "_bkt"], "inner")
     return (joined.withColumns({o: (F.col(f"_off_{o}") + F.sum(w).over(upto)).cast("long") for o, w in sums.items()})
-            .drop("_key", "_bkt", *[f"_off_{o}" for o in sums]))
+            .drop("_bkt", *[f"_off_{o}" for o in sums]))
 
 
 def running_position(df: DataFrame, order_col: str, group_cols=(), tie_cols=(), weight_col: str | None = None,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, normalize: bool | None = None,
-                     out: str = "_pos", n_rows: int | None = None,
-                     max_group_rows: int | None = None) -> DataFrame:
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, out: str = "_pos", n_rows: int | None = None,
+                     max_group_rows: int | None = None, unique: bool = True) -> DataFrame:
     """Add ``out`` = inclusive running sum of the weight (1 per row by default).
 
     With a total order and unit weights this is ``row_number()``; with
     pre-aggregated (value, count) rows it is the last position of the value.
     """
     w = F.col(weight_col) if weight_col else F.lit(1)
-    return running_sums(df, order_col, {out: w}, group_cols, tie_cols, rows_per_bucket, normalize, n_rows, max_group_rows)
+    return running_sums(df, order_col, {out: w}, group_cols, tie_cols, rows_per_bucket, n_rows, max_group_rows, unique)
 
 
 def row_number_global(df: DataFrame, order_col: str, tie_cols=(), group_cols=(), out: str = "_rn",
                       rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
-    """Exact ``row_number()`` over a total order, optionally per group.
-
-    The order key should spread evenly (a hash or a dense id); groups share the
-    bucket bounds of the key, so a hot group is split as finely as the rest.
-    """
+    """Exact ``row_number()``, optionally per group; rows that tie in all keys are
+    numbered in order of a hash of the row."""
     return running_position(df, order_col, group_cols=group_cols, tie_cols=tie_cols,
-                            rows_per_bucket=rows_per_bucket, normalize=False, out=out, n_rows=n_rows)
+                            rows_per_bucket=rows_per_bucket, out=out, n_rows=n_rows, unique=False)
 
 
 def hash_order_key(id_col: str, seed: str | int) -> dict[str, Column]:

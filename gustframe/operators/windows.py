@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(unit)`` puts each unit in one task; with four or
 five units (one of which may hold a third of the rows) that caps parallelism
-at the unit count.  ``lag_diff`` cuts each unit's timeline into range buckets,
+at the unit count.  ``lag_diff`` cuts each unit's timeline into ranges,
 lags inside the (unit, bucket) windows and carries the last row of the
 previous non-empty bucket across the boundary.
 """
@@ -21,23 +21,22 @@ def lag_diff(df: DataFrame, cols, unit: str = "MAC_CODE", order=("Date_time", "I
              names: dict | None = None, rows_per_bucket: int = pos.DEFAULT_ROWS_PER_BUCKET,
              n_rows: int | None = None) -> DataFrame:
     """Add ``previous - current`` of each column in ``cols`` per unit, in the
-    order of ``order`` (the last entries break ties).  The first row of a unit
+    order of ``order`` (the last entries break ties, then a hash of the row).  The first row of a unit
     and rows without a unit get NULL."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     names = names or {c: f"{c}{suffix}" for c in cols}
     order = list(order)
-    key = pos._sort_key(F.col(order[0]), pos._dtype(df, order[0]))
-    base = df.withColumn("_lkey", key)
-    b, bucketed = pos._bucket_by_group(base, "_lkey", [], rows_per_bucket, n_rows)
+    b, bucketed = pos.in_ranges(df, [unit, *order], rows_per_bucket, n_rows)
     b = b.withColumnRenamed("_bkt", "_lbkt")
+    row = pos.row_hash(df)
     ordering = [F.col(c).asc_nulls_first() for c in order]
-    inside = Window.partitionBy(unit, "_lbkt").orderBy(*ordering)
+    inside = Window.partitionBy(unit, "_lbkt").orderBy(*ordering, row)
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
     b = b.withColumn("_prev", F.lag(payload).over(inside))
     if bucketed:
         # last row of every (unit, bucket): max of a struct ordered like the window
         last = b.groupBy(unit, "_lbkt").agg(
-            F.max(F.struct(*[F.col(c) for c in order], payload.alias("_p"))).alias("_last"))
+            F.max(F.struct(*[F.col(c) for c in order], row.alias("_h"), payload.alias("_p"))).alias("_last"))
         carry = last.select(unit, "_lbkt", F.lag("_last._p").over(
             Window.partitionBy(unit).orderBy("_lbkt")).alias("_carry"))
         # carry has units x buckets rows: small, but the unit count is not
@@ -45,7 +44,7 @@ def lag_diff(df: DataFrame, cols, unit: str = "MAC_CODE", order=("Date_time", "I
         b = (pos.join_null_safe(b, carry, [unit, "_lbkt"])
              .withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry"))
     out = {names[c]: F.when(F.col(unit).isNotNull(), F.col(f"_prev.{c}") - F.col(c)) for c in cols}
-    return b.withColumns(out).drop("_prev", "_lkey", "_lbkt")
+    return b.withColumns(out).drop("_prev", "_lbkt")
 
 
 def kfold_blocks(df: DataFrame, k: int = 5, order: str = "ID", out: str = "fold",
@@ -84,7 +83,7 @@ def split_stratified(df: DataFrame, strata: str = "MAC_CODE", test_size: float =
                      out: str = "is_test", rows_per_bucket: int = pos.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Hold-out keeping stratum proportions: in every stratum the first
     ceil(test_size * n_stratum) rows in hash order.  A hot stratum is split
-    over many tasks (the hash buckets are shared by all strata)."""
+    over many tasks."""
     sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_ns"))  # NULL is a stratum of its own
     ranked = pos.row_number_global(_hashed(df, id_col, seed), "_hnum", tie_cols=["_h", id_col],
                                    group_cols=[strata], rows_per_bucket=rows_per_bucket)

@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gustframe.operators import positions as pos
@@ -108,7 +109,7 @@ def _rows(df):
 
 
 def test_same_rows_at_any_bucket_size(awkward):
-    both = lambda f: (_rows(f(5)), _rows(f(1_000_000)))
+    both = lambda f: (_rows(f(60)), _rows(f(1_000_000)))
     for f in (
         lambda n: windows.split_stratified(awkward, "g", 0.2, rows_per_bucket=n),
         lambda n: windows.rank_average(awkward, "v", rows_per_bucket=n),
@@ -125,18 +126,53 @@ def test_same_rows_at_any_bucket_size(awkward):
     assert all(r.t == -(-r.n // 5) for r in parts) and {r.g for r in parts} == {"hot", "b", None}
 
 
-@pytest.mark.parametrize("groups", [[], ["g"]])
-def test_no_bucket_is_far_above_its_target(awkward, groups):
-    for target in (5, 20):
-        b, cut = pos._bucket_by_group(awkward.withColumn("_key", F.col("ID").cast("double")), "_key", groups, target, None)
-        assert cut and b.count() == 900
-        assert max(r["count"] for r in b.groupBy(*groups, "_bkt").count().collect()) <= 3 * target
-
-
-def test_infinite_value_does_not_stop_the_cuts(awkward):
-    src = awkward.filter(F.col("v").isNotNull()).select("g", "v").distinct().withColumn("_key", F.col("v"))
-    b, cut = pos._bucket_by_group(src, "_key", ["g"], 20, None)
-    assert cut and max(r["count"] for r in b.groupBy("g", "_bkt").count().collect()) <= 60
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One order key on a third of the rows, a third of the ids null, and rows
+    repeated in full."""
+    rows = [(None if i % 3 == 0 else i, ["a", "b"][i % 10 == 0], 50 if i % 3 == 1 else i, float(i % 7)) for i in range(1200)]
+    rows += [(None, "a", 50, 1.0)] * 400
+    return spark.createDataFrame(rows, "ID long, g string, ts long, v double").cache()
+
+
+@pytest.mark.parametrize("keys", [["ID"], ["g", "ID"], ["v"], ["g", "ts", "ID"]])
+def test_no_range_is_far_above_its_target(awkward, hot, keys):
+    for df in (awkward, hot):
+        if not set(keys) <= set(df.columns):
+            continue
+        n = df.count()
+        for target in (30, 100):
+            b, cut = pos.in_ranges(df, keys, target)
+            sizes = [r["count"] for r in b.groupBy("_bkt").count().collect()]
+            assert cut and sum(sizes) == n and max(sizes) <= 2 * target
+            place = F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_bkt"))
+            falls = b.withColumn("p", place).withColumn("d", F.col("_bkt") - F.lag("_bkt").over(Window.orderBy("p")))
+            assert falls.where("d < 0").count() == 0
+
+
+def test_hot_keys_give_the_same_rows(hot):
+    for f in (
+        lambda n: windows.kfold_shuffled(hot, 5, rows_per_bucket=n),
+        lambda n: windows.kfold_blocks(hot, 5, rows_per_bucket=n),
+        lambda n: windows.split_holdout(hot, 0.2, rows_per_bucket=n),
+        lambda n: windows.split_stratified(hot, "g", 0.2, rows_per_bucket=n),
+        lambda n: windows.lag_diff(hot, "v", unit="g", order=("ts", "ID"), rows_per_bucket=n),
+        lambda n: windows.lag_diff(hot.withColumn("ts", F.lit(1)), "v", unit="g", order=("ts", "ID"), rows_per_bucket=n),
+        lambda n: pos.row_number_global(hot.withColumn("k", F.lit("one")), "k", rows_per_bucket=n),
+    ):
+        small, mid, large = (_rows(f(n)) for n in (90, 400, 1_000_000))
+        assert small == mid == large and len(small) == 1600
+    numbers = pos.row_number_global(hot.withColumn("k", F.lit(1)), "k", rows_per_bucket=70).select("_rn").collect()
+    assert sorted(r._rn for r in numbers) == list(range(1, 1601))
+
+
+def test_order_keys_of_any_type(spark):
+    """Strings and fractions of seconds are ordered as they are."""
+    rows = [(i, f"k{i % 37:02d}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "ID long, s string, us long").withColumn("t", F.timestamp_micros("us"))
+    for key, want in (("s", sorted(rows, key=lambda r: (r[1], r[0]))), ("t", rows)):
+        got = pos.row_number_global(df, key, tie_cols=["ID"], rows_per_bucket=31).orderBy("_rn").collect()
+        assert [r.ID for r in got] == [r[0] for r in want]
 
 
 def test_quantiles_read_only_brackets(spark):
