@@ -1,31 +1,31 @@
 """Distributed model training, validation, tuning and reporting.
 
-Trees, linear models, PCA and k-means are Spark ML estimators: every level of
+Forests, linear models, PCA and k-means are Spark ML estimators: every level of
 a tree, every iteration of a solver is a distributed aggregation.  What lives
 here is the composition: per-regime models stacked by key, fold loops with
-train and test scores, a seeded parameter search, importance tables.
+train and test scores, a model-guided parameter search, importance tables.
+Boosted trees are grown from histograms (``plans/boosting.py``).
 """
 
 from __future__ import annotations
 
-import random
+import math
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import TypeConverters
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gustframe.functions import naming
 from gustframe.operators import windows
+from gustframe.plans.boosting import HistBoostedRegressor
 from gustframe.plans.features import ImputeMedian, RegimeColumn, _p, _Stage
-
-# Share of the published number of trees in the registered queries: all; see ``rounds``.
-QUERY_SHARE = 1.0
-
+from gustframe.session import scratch_path
 
 def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str = "TARGET") -> RandomForestRegressor:
     """Random forest; every node considers all features (no feature subsampling)."""
@@ -34,22 +34,10 @@ def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str =
 
 
 def boosted(maxIter: int = 1500, maxDepth: int = 4, stepSize: float = 0.1, subsamplingRate: float = 1.0,
-            featureSubsetStrategy: str = "all", seed: int = 7, label: str = "TARGET",
-            checkpointInterval: int = 25) -> GBTRegressor:
-    """Gradient-boosted trees; lineage is cut every ``checkpointInterval`` trees
-    in the shared folder.  Column sampling is per node in Spark (per tree in the
-    analysed workload) and there is no L2 leaf penalty."""
-    return GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
-                        featureSubsetStrategy=featureSubsetStrategy, seed=seed, labelCol=label, featuresCol="features",
-                        checkpointInterval=checkpointInterval)
-
-
-def rounds(spark: SparkSession, published: int) -> int:
-    """Trees that a registered query fits: the published number times the session
-    setting ``spark.gustframe.model.share`` (QUERY_SHARE where it is unset).  The
-    library's own defaults are the published numbers."""
-    share = float(spark.conf.get("spark.gustframe.model.share", str(QUERY_SHARE)))
-    return max(1, round(published * share))
+            columnShare: float = 1.0, l2: float = 1.0, seed: int = 7, label: str = "TARGET") -> HistBoostedRegressor:
+    """Gradient-boosted trees; the defaults are the published numbers."""
+    return HistBoostedRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
+                                columnShare=columnShare, l2=l2, seed=seed, labelCol=label)
 
 
 def regression_pipeline(features, estimator, impute: bool = True) -> Pipeline:
@@ -100,11 +88,16 @@ class RegimeRegressor(Estimator, _Stage):
     def _fit(self, df: DataFrame) -> "RegimeRegressorModel":
         regime = RegimeColumn(speedCol=self.get("speedCol"), cut=self.get("cut"), outputCol=self.get("regimeCol"))
         tagged = regime.transform(df)
-        models = {}
-        for name, cols in self.get("features").items():
+
+        def one(item):
+            name, cols = item
             part = tagged.filter(F.col(self.get("regimeCol")) == name).cache()
-            models[name] = regression_pipeline(cols, self.estimators[name]).fit(part)
+            model = regression_pipeline(cols, self.estimators[name]).fit(part)
             part.unpersist()
+            return name, model
+
+        with ThreadPoolExecutor(max_workers=4) as pool:  # each fit is a chain of distributed jobs
+            models = dict(pool.map(one, self.get("features").items()))
         return RegimeRegressorModel(models, regime)
 
 
@@ -164,34 +157,77 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
     return spark.createDataFrame(rows, "fold int, train_mae double, test_mae double")
 
 
+def propose(points: np.ndarray, scores: np.ndarray, rng: np.random.Generator, candidates: int = 2000) -> np.ndarray:
+    """The next point of the unit cube to try for a lower score: the largest
+    expected improvement under a Gaussian process (RBF kernel, scaled scores, the
+    length scale of the highest likelihood) over random candidates."""
+    spread = scores.std() or 1.0
+    y = (scores - scores.mean()) / spread
+    dist = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    best = None
+    for length in (0.1, 0.2, 0.4, 0.8, 1.6):
+        k = np.exp(-dist / (2 * length * length)) + 1e-4 * np.eye(len(y))
+        low = np.linalg.cholesky(k)
+        a = np.linalg.solve(low.T, np.linalg.solve(low, y))
+        fit = -0.5 * y @ a - np.log(np.diag(low)).sum()
+        if best is None or fit > best[0]:
+            best = fit, length, low, a
+    _, length, low, a = best
+    near = points[scores.argmin()] + rng.normal(0, 0.1, (candidates // 4, points.shape[1]))
+    x = np.concatenate((rng.random((candidates, points.shape[1])), np.clip(near, 0, 1)))
+    cross = np.exp(-((x[:, None] - points[None]) ** 2).sum(axis=2) / (2 * length * length))
+    mean = cross @ a
+    sd = np.sqrt(np.maximum(1 - (np.linalg.solve(low, cross.T) ** 2).sum(axis=0), 1e-12))
+    z = (y.min() - mean) / sd
+    erf = np.array([math.erf(v / math.sqrt(2)) for v in z])
+    gain = (y.min() - mean) * 0.5 * (1 + erf) + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return x[gain.argmax()]
+
+
+def search(score, bounds: dict, given: list[dict], n_random: int, n_guided: int, seed: int, integer_params=()) -> list[tuple[str, dict, float]]:
+    """(kind, point, score) of the given points, of seeded random ones and of those
+    that a surrogate of all scores so far proposes, one after the other.  Every
+    call of ``score(points)`` takes a list of points and returns their scores."""
+    names = list(bounds)
+    low, high = (np.array([float(bounds[n][i]) for n in names]) for i in (0, 1))
+    span = np.where(high > low, high - low, 1.0)
+    point = lambda u: {n: round(v) if n in integer_params else float(v) for n, v in zip(names, low + u * (high - low), strict=True)}
+    rng = np.random.default_rng(seed)
+    points = [dict(p) for p in given] + [point(rng.random(len(names))) for _ in range(n_random)]
+    kinds = ["given"] * len(given) + ["random"] * n_random
+    scores = list(score(points)) if points else []
+    for _ in range(n_guided):
+        unit = np.array([(np.array([float(p[n]) for n in names]) - low) / span for p in points]).reshape(-1, len(names))
+        new = point(propose(unit, np.array(scores), rng) if scores else rng.random(len(names)))
+        points, kinds, scores = [*points, new], [*kinds, "guided"], [*scores, *score([new])]
+    return list(zip(kinds, points, scores, strict=True))
+
+
 def search_params(pipeline: Pipeline, estimator, df: DataFrame, bounds: dict, given: list[dict],
-                  n_random: int = 3, seed: int = 11, k: int = 2, key: str = "ID", label: str = "TARGET",
-                  integer_params=("maxIter", "maxDepth"), parallelism: int = 2) -> DataFrame:
-    """Mean k-fold MAE of the given points plus seeded random draws inside the
-    bounds (hash folds, fits in parallel driver threads, each a distributed job);
-    the trials table, best (lowest MAE) first.  Nothing is fitted again after
-    the search."""
-    rng = random.Random(seed)
-    points = [dict(p) for p in given]
-    for _ in range(n_random):
-        p = {}
-        for name, (lo, hi) in bounds.items():
-            p[name] = rng.randint(int(lo), int(hi)) if name in integer_params else rng.uniform(lo, hi)
-        points.append(p)
-    cast = lambda name, v: int(v) if name in integer_params else str(v) if name == "featureSubsetStrategy" else float(v)
-    maps = [{getattr(estimator, name): cast(name, v) for name, v in p.items()} for p in points]
+                  n_random: int = 3, n_guided: int = 5, seed: int = 11, k: int = 2, key: str = "ID", label: str = "TARGET",
+                  integer_params=("maxIter", "maxDepth"), parallelism: int = 4) -> DataFrame:
+    """Mean k-fold MAE of the given points, of seeded random draws inside the bounds
+    and of ``n_guided`` points chosen one after the other by a surrogate model of
+    all trials so far (``propose``); the trials table, best (lowest MAE) first.
+    Folds come from the hash order of the key; fits run in parallel driver threads,
+    each a chain of distributed jobs."""
     folded = windows.kfold_shuffled(df, k, key, seed).cache()
 
     def one(task):
-        i, fold = task
-        model = pipeline.copy(maps[i]).fit(folded.filter(F.col("fold") != fold))
-        return i, mae_of(model.transform(folded.filter(F.col("fold") == fold)), label)
+        p, fold = task
+        params = {getattr(estimator, name): int(v) if name in integer_params else float(v) for name, v in p.items()}
+        model = pipeline.copy(params).fit(folded.filter(F.col("fold") != fold))
+        return mae_of(model.transform(folded.filter(F.col("fold") == fold)), label)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        scores = list(pool.map(one, [(i, f) for i in range(len(points)) for f in range(1, k + 1)]))
+    def score(points):
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            maes = list(pool.map(one, [(p, f) for p in points for f in range(1, k + 1)]))
+        return [sum(maes[i * k:(i + 1) * k]) / k for i in range(len(points))]
+
+    trials = search(score, bounds, given, n_random, n_guided, seed, integer_params)
     folded.unpersist()
-    trials = [(i, str(sorted(p.items())), float(sum(m for j, m in scores if j == i) / k)) for i, p in enumerate(points)]
-    return df.sparkSession.createDataFrame(trials, "trial int, params string, cv_mae double").orderBy("cv_mae", "trial")
+    rows = [(i, kind, str(sorted(p.items())), float(s)) for i, (kind, p, s) in enumerate(trials)]
+    return df.sparkSession.createDataFrame(rows, "trial int, kind string, params string, cv_mae double").orderBy("cv_mae", "trial")
 
 
 def importance_table(spark: SparkSession, names, model) -> DataFrame:
@@ -217,10 +253,36 @@ def importance_over_splits(make_pipeline, df: DataFrame, names, seeds=(1, 2, 3),
     return out.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
-def tree_nodes(model) -> list[tuple[int, int, str]]:
-    """Node table of a fitted tree: (line, depth, text) from its description."""
-    out = []
-    for i, line in enumerate(model.toDebugString.splitlines()[1:]):
-        stripped = line.lstrip(" ")
-        out.append((i, (len(line) - len(stripped)) // 1, stripped))
-    return out
+def node_table(spark: SparkSession, model) -> DataFrame:
+    """Nodes of a fitted tree model: tree, node, left, right, feature, threshold
+    (a value up to it goes left), value, gain, n_rows.  Leaves have no children.
+    Spark's trees are read from the node data that the model's writer saves."""
+    if isinstance(model, PipelineModel):
+        model = model.stages[-1]
+    if hasattr(model, "node_table"):
+        return model.node_table(spark)
+    path = scratch_path(spark, "tree-model")
+    model.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    data = data.select(F.col("treeID").alias("tree"), "nodeData.*") if "treeID" in data.columns else data.withColumn("tree", F.lit(0))
+    inner = F.col("leftChild") >= 0
+    return data.select("tree", F.col("id").alias("node"), F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"),
+                       F.when(inner, F.col("split.featureIndex")).alias("feature"), F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+                       F.col("prediction").alias("value"), F.when(inner, F.col("gain")).alias("gain"), F.col("rawCount").alias("n_rows"))
+
+
+def importance_from_nodes(nodes: DataFrame, names) -> DataFrame:
+    """(feature, importance) of a forest from its node table: gains weighted by
+    rows, as shares within each tree, then of all trees."""
+    share = F.sum("w") / F.sum(F.sum("w")).over(Window.partitionBy("tree"))
+    per_tree = (nodes.where("left is not null").withColumn("w", F.col("gain") * F.col("n_rows"))
+                .groupBy("tree", "feature").agg(share.alias("share")))
+    total = per_tree.agg(F.sum("share")).first()[0]
+    names = spark_names(nodes.sparkSession, names)
+    return (names.join(per_tree.groupBy("feature").agg((F.sum("share") / F.lit(total)).alias("importance")), names["i"] == F.col("feature"), "left")
+            .select("name", F.coalesce("importance", F.lit(0.0)).alias("importance")).withColumnRenamed("name", "feature")
+            .orderBy(F.desc("importance"), "feature"))
+
+
+def spark_names(spark: SparkSession, names) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(names)), "i int, name string")

@@ -144,10 +144,37 @@ def forest_regressor_q(spark, sf):
 @query("boosted_regressor")
 def boosted_regressor_q(spark, sf):
     train, test = _split(V.turbine(spark, sf))
-    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=M.rounds(spark, 1500))).fit(train)
+    model = M.regression_pipeline(BASE_FEATS, M.boosted(maxIter=1500)).fit(train)
     return _scored(model, train, test)
 
 
+_STUMP_X = {"speed": "floor(Rotor_speed)", "hour": "hour(Date_time)"}
+_STUMP_L2, _STUMP_RATE = 0.05, 0.1
+
+
+@query("boosted_stump", views=("turbine",), dbl={"threshold": 6, "gain": 3, "left_value": 6, "right_value": 6}, bigint=("n_left", "n_right"),
+       ctes=[("u", "select " + ", ".join(f"cast({e} as double) as {n}" for n, e in _STUMP_X.items()) + ", TARGET from turbine where TARGET is not null"),
+             ("l", " union all ".join(f"select {i} as f, {n} as x, (select cast(avg(TARGET) as float) from u) - TARGET as g from u" for i, n in enumerate(_STUMP_X))),
+             ("v", "select f, x, sum(g) as g, count(*) as n from l group by f, x"),
+             ("s", "select f, x, sum(g) over w as gl, sum(n) over w as nl, sum(g) over (partition by f) as g, sum(n) over (partition by f) as n "
+                   "from v window w as (partition by f order by x nulls last)"),
+             ("b", f"select *, gl * gl / (nl + {_STUMP_L2}) + (g - gl) * (g - gl) / (n - nl + {_STUMP_L2}) - g * g / (n + {_STUMP_L2}) as worth from s where nl < n "
+                   "order by worth desc, f, x limit 1")],
+       sql="select case f " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(_STUMP_X)) + " end as feature, x as threshold, worth / 2 as gain, "
+           f"nl as n_left, n - nl as n_right, -{_STUMP_RATE} * gl / (nl + {_STUMP_L2}) as left_value, -{_STUMP_RATE} * (g - gl) / (n - nl + {_STUMP_L2}) as right_value from b")
+def boosted_stump_q(spark, sf):
+    """The first split of the boosted trees over columns of few values."""
+    t = V.turbine(spark, sf).select("TARGET", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_X.items()])
+    va = VectorAssembler(inputCols=list(_STUMP_X), outputCol="features", handleInvalid="keep")
+    model = M.boosted(maxIter=1, maxDepth=1, stepSize=_STUMP_RATE, l2=_STUMP_L2).fit(va.transform(t))
+    n = model.node_table(spark)
+    child = lambda i: n.where(F.col("node") == i).select(F.col("value").alias("lr"[i - 1] + "v"), F.col("n_rows").alias("lr"[i - 1] + "n"), F.col("tree").alias("lr"[i - 1] + "t"))
+    root = n.where("node = 0")
+    return (root.join(child(1), F.col("tree") == F.col("lt")).join(child(2), F.col("tree") == F.col("rt"))
+            .select(F.element_at(F.array(*[F.lit(c) for c in _STUMP_X]), F.col("feature") + 1).alias("feature"), "threshold", "gain",
+                    F.col("ln").alias("n_left"), F.col("rn").alias("n_right"), F.col("lv").alias("left_value"), F.col("rv").alias("right_value")))
+
+
 _ERR_X = ["Rotor_speed", "Pitch_angle"]
 _ERR_MODEL_SRC = ("(select w.Rotor_speed as x, w.Pitch_angle as z, w.TARGET - m.med as y from wide w join (select MAC_CODE, "
                   "median(TARGET) as med from wide group by MAC_CODE) m on w.MAC_CODE is not distinct from m.MAC_CODE "
@@ -223,10 +250,11 @@ def best_threshold_q(spark, sf):
 
 @query("tree_classifier")
 def tree_classifier_q(spark, sf):
+    """The nodes of a classification tree of depth 9."""
     t = _logit_input(spark, sf)
     va = VectorAssembler(inputCols=_LOGIT_FEATS, outputCol="features")
     model = DecisionTreeClassifier(maxDepth=9, labelCol="label", seed=7).fit(va.transform(t))
-    return spark.createDataFrame(M.tree_nodes(model), "line int, indent int, node string")
+    return M.node_table(spark, model).drop("tree")
 
 
 _PCA_COLS = ["Rotor_speed", "Rotor_speed_min", "Rotor_speed_max", "Pitch_angle", "Pitch_angle_min",
@@ -312,10 +340,9 @@ def cluster_profile_correlation_q(spark, sf):
     return corr.spearman_matrix(wide, ["TargetMean", "TargetStd", "dim0Mean", "dim1Mean"], symmetric=True)
 
 
-def _regime_model(spark):
-    n = M.rounds(spark, 1500)
+def _regime_model():
     return M.RegimeRegressor(features={"low": LOW_FEATS, "high": HIGH_FEATS},
-                             estimators={"low": M.boosted(maxIter=n), "high": M.boosted(maxIter=n, subsamplingRate=0.75)})
+                             estimators={"low": M.boosted(columnShare=0.75, l2=0.05), "high": M.boosted(columnShare=0.5, subsamplingRate=0.75)})
 
 
 @query("regime_pipeline")
@@ -323,7 +350,7 @@ def regime_pipeline_q(spark, sf):
     """Features -> regime split -> per-regime imputation and model, as one
     pipeline; predictions of train and test by key."""
     train, test = _split(V.turbine(spark, sf))
-    model = Pipeline(stages=[fx.AddFeatures(), _regime_model(spark)]).fit(train)
+    model = Pipeline(stages=[fx.AddFeatures(), _regime_model()]).fit(train)
     return (model.transform(train).withColumn("set", F.lit("train"))
             .unionByName(model.transform(test).withColumn("set", F.lit("test")))
             .select("ID", "regime", "TARGET", "prediction", "set").orderBy("ID"))
@@ -339,7 +366,7 @@ def single_pipeline_q(spark, sf):
     """Imputation, all null-free columns but the stop list, one boosted model."""
     train, test = _split(_featured(spark, sf))
     pipe = Pipeline(stages=[fx.ImputeMedian(), M.AssembleNullFree(stop=[*_SINGLE_STOP, "is_test"]),
-                            M.boosted(maxIter=M.rounds(spark, 1200), maxDepth=3, stepSize=0.5)])
+                            M.boosted(maxIter=1200, maxDepth=3, stepSize=0.5)])
     return _scored(pipe.fit(train), train, test)
 
 
@@ -352,7 +379,7 @@ def pipeline_of_q(spark, sf):
     train, test = _split(V.turbine(spark, sf))
     pipe = Pipeline(stages=[fx.AddFeatures(), fx.ImputeMedian(inputCols=_CHAIN_FEATS),
                             VectorAssembler(inputCols=_CHAIN_FEATS, outputCol="features"),
-                            M.boosted(maxIter=M.rounds(spark, 1500), maxDepth=3)])
+                            M.boosted(maxIter=1500, maxDepth=3)])
     return _scored(pipe.fit(train), train, test)
 
 
@@ -364,15 +391,14 @@ def interaction_pipeline_q(spark, sf):
     pipe = Pipeline(stages=[fx.ImputeMedian(inputCols=_IF), fx.InteractionFeatures(inputCols=_IF),
                             fx.MinMaxTo(inputCols=_IF_NAMES, low=-10.0, high=10.0),
                             VectorAssembler(inputCols=_IF_NAMES, outputCol="features", handleInvalid="keep"),
-                            M.boosted(maxIter=M.rounds(spark, 100), maxDepth=3, stepSize=0.3, subsamplingRate=0.75)])
+                            M.boosted(maxIter=100, maxDepth=3, stepSize=0.3, subsamplingRate=0.75)])
     return M.importance_table(spark, _IF_NAMES, pipe.fit(train))
 
 
 @query("cross_validate")
 def cross_validate_q(spark, sf):
     df = _featured_imputed(spark, sf)
-    n = M.rounds(spark, 500)
-    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=n, maxDepth=3), impute=False),
+    return M.cross_validate(lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=500, maxDepth=3, columnShare=0.75, l2=0.05), impute=False),
                             df, k=5, parallelism=4)
 
 
@@ -391,21 +417,20 @@ def cross_validate_regimes_q(spark, sf):
 @query("search_params")
 def search_params_q(spark, sf):
     df = _featured_imputed(spark, sf)
-    gbt = M.boosted(maxIter=M.rounds(spark, 100), maxDepth=3)
+    gbt = M.boosted(maxIter=100, maxDepth=3)
     pipe = M.regression_pipeline(LOW_FEATS, gbt, impute=False)
-    n = lambda k: M.rounds(spark, k)
-    bounds = {"maxIter": (n(300), n(1000)), "maxDepth": (3, 6), "featureSubsetStrategy": (0.5, 1.0), "subsamplingRate": (0.75, 1.0)}
-    given = [{"maxIter": n(500), "maxDepth": 6, "featureSubsetStrategy": 0.75, "subsamplingRate": 0.75},
-             {"maxIter": n(300), "maxDepth": 3, "featureSubsetStrategy": 0.5, "subsamplingRate": 0.75},
-             {"maxIter": n(400), "maxDepth": 6, "featureSubsetStrategy": 1.0, "subsamplingRate": 1.0}]
-    return M.search_params(pipe, gbt, df, bounds, given, n_random=3, k=2, parallelism=4)
+    bounds = {"maxIter": (300, 1000), "maxDepth": (3, 6), "columnShare": (0.5, 1.0), "subsamplingRate": (0.75, 1.0)}
+    given = [{"maxIter": 500, "maxDepth": 6, "columnShare": 0.75, "subsamplingRate": 0.75},
+             {"maxIter": 300, "maxDepth": 3, "columnShare": 0.5, "subsamplingRate": 0.75},
+             {"maxIter": 400, "maxDepth": 6, "columnShare": 1.0, "subsamplingRate": 1.0}]
+    return M.search_params(pipe, gbt, df, bounds, given, n_random=3, n_guided=5, k=2, parallelism=4)
 
 
 def _compared(spark, sf):
     """Two variants side by side on train and test rows, with their residuals (no
     join: both models score the same rows in one plan)."""
     train, test = _split(_featured_imputed(spark, sf))
-    fit = lambda n: M.regression_pipeline(HIGH_FEATS, M.boosted(maxIter=M.rounds(spark, n), maxDepth=3, subsamplingRate=0.75), impute=False).fit(train)
+    fit = lambda n: M.regression_pipeline(HIGH_FEATS, M.boosted(maxIter=n, maxDepth=3, subsamplingRate=0.75), impute=False).fit(train)
     a, b = fit(200), fit(600)
     rows = train.withColumn("set", F.lit("train")).unionByName(test.withColumn("set", F.lit("test")))
     pa = a.transform(rows).withColumnRenamed("prediction", "pred_a").drop("features")
@@ -431,9 +456,8 @@ def compare_residual_trend_q(spark, sf):
 @query("importance_over_splits")
 def importance_over_splits_q(spark, sf):
     df = _featured_imputed(spark, sf)
-    n = M.rounds(spark, 500)
     return M.importance_over_splits(
-        lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=n, maxDepth=3), impute=False), df, LOW_FEATS)
+        lambda: M.regression_pipeline(LOW_FEATS, M.boosted(maxIter=500, maxDepth=3, columnShare=0.75, l2=0.05), impute=False), df, LOW_FEATS)
 
 
 @query("rank_importance")

@@ -90,12 +90,12 @@ def test_cross_validate_and_feature_stage_persistence(spark, signal, tmp_path):
     assert back.getOrDefault(back.medians) == model.getOrDefault(model.medians)
 
 
-def test_search_params_with_cross_validator(spark, signal):
+def test_search_params(spark, signal):
     gbt = M.boosted(maxIter=3, maxDepth=2)
     pipe = M.regression_pipeline(["Rotor_speed", "Pitch_angle"], gbt, impute=False)
     trials = M.search_params(pipe, gbt, signal.limit(3000), {"maxIter": (2, 6), "maxDepth": (2, 4)},
-                             [{"maxIter": 3, "maxDepth": 2}], n_random=1, k=2).collect()
-    assert len(trials) == 2
+                             [{"maxIter": 3, "maxDepth": 2}], n_random=1, n_guided=1, k=2).collect()
+    assert len(trials) == 3 and {t.kind for t in trials} == {"given", "random", "guided"}
     assert trials[0].cv_mae <= trials[1].cv_mae and all(t.cv_mae > 0 for t in trials)
 
 
@@ -105,16 +105,10 @@ def test_null_free_columns(spark):
     assert va.getInputCols() == ["a"]
 
 
-def test_published_sizes_are_the_defaults(spark):
-    assert M.boosted().getMaxIter() == 1500 and M.forest().getNumTrees() == 100 and M.forest().getMaxDepth() == 12
-    spark.conf.set("spark.gustframe.model.share", "1")
-    assert M.rounds(spark, 1500) == 1500
-    spark.conf.unset("spark.gustframe.model.share")
-
-
-def test_registered_queries_fit_the_published_trees(spark):
-    spark.conf.unset("spark.gustframe.model.share")
-    assert [M.rounds(spark, n) for n in (1500, 1200, 500, 200, 600, 100, 300)] == [1500, 1200, 500, 200, 600, 100, 300]
+def test_published_sizes_are_the_defaults():
+    gbt = M.boosted()
+    assert (gbt.getOrDefault("maxIter"), gbt.getOrDefault("maxDepth"), gbt.getOrDefault("stepSize")) == (1500, 4, 0.1)
+    assert M.forest().getNumTrees() == 100 and M.forest().getMaxDepth() == 12
 
 
 def test_registered_models_keep_every_row(spark):
