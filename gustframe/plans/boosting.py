@@ -287,13 +287,12 @@ class HistBoostedRegressorModel(Model, _Stage):
 
     @property
     def featureImportances(self):
-        """Mean gain of a feature's splits, as shares of their sum."""
-        total, n = np.zeros(self.get("features")), np.zeros(self.get("features"))
+        """Gain of a feature's splits, as shares of all gains."""
+        total = np.zeros(self.get("features"))
         for _, _, f, _, _, gain, _ in self.rows():
             if f >= 0:
-                total[f], n[f] = total[f] + gain, n[f] + 1
-        mean = total / np.maximum(n, 1)
-        return Vectors.dense(mean / mean.sum() if mean.sum() else mean)
+                total[f] += gain
+        return Vectors.dense(total / total.sum() if total.sum() else total)
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         """tree, node, left, right, feature, threshold, value, gain, n_rows; leaves
