@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gustframe.session import scratch_path, ship_package
@@ -45,24 +47,34 @@ def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return out
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of ``edges(a, b)`` as rows (node, label), where the
-    label is the component's least node; a label's own row is left out.
+#: Edges up to which one task finds the components (16 MB of numbers), and the
+#: number of nodes whose edges may be looked up by broadcast.
+EDGES, CENTRES = 1 << 20, 20_000
+
 
-    Alternating large-star and small-star rounds: each round is two aggregations
-    and two joins over the edges, and the edges of a component shrink to a star.
-    Every round is a written table, so a lost executor repeats one round at most.
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of ``edges(a, b)``, whose nodes are longs, as rows (node,
+    label), where the label is the component's least node; a label's own row is
+    left out.
+
+    Up to ``EDGES`` distinct edges are labelled in one task. Larger graphs take
+    alternating large-star and small-star rounds: the edges of a component shrink
+    to a star. Every round is a written table, so a lost executor repeats one round
+    at most. A round looks up the least neighbour of each edge's node; those of
+    nodes with at least 1 / ``CENTRES`` of all edge ends, hence of at most that
+    many nodes, are broadcast, so that the centre of a star is no key of a join.
     """
-    spark = edges.sparkSession
     now = store(edges.where("a is not null and b is not null and a <> b")
                 .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = _mark(now)
-    while mark[0]:
+    if mark[0] <= EDGES:
+        return store(map_arrow(now.coalesce(1), _labels, "node long, label long"), name) if mark[0] else now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, 2 * mark[0], name).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = store(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, mark[0], name).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
         before, mark = mark, _mark(now)
         if mark == before:
@@ -70,6 +82,37 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _with_least(edges: DataFrame, ends: int, name: str) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least ``v`` of ``u``."""
+    least = store(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), name)
+    bar = max(2, -(-ends // CENTRES))
+    centre = F.broadcast(least.where(F.col("degree") >= bar).drop("degree"))
+    rest = edges.join(centre, "u", "left_anti").join(least.where(F.col("degree") < bar).drop("degree"), "u")
+    return edges.join(centre, "u").unionByName(rest)
+
+
+def _labels(batches):
+    """The least node of each node's component, all edges in one task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+    nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[:len(u)], place[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    for at in range(0, len(other), 1 << 16):
+        part = other[at:at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["node", "label"])
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of an edge table."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

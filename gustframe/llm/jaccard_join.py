@@ -125,10 +125,10 @@ def _children(run: Column, path: Column) -> Column:
 
 
 def leaves(classes: DataFrame, runs: int) -> DataFrame:
-    """path, skey, size: the buckets that are compared."""
+    """path, cid, size: the buckets that are compared."""
     root = F.xxhash64(F.lit("root"), F.col("run"))
-    rows = (classes.select("skey", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-            .select("skey", "run", _children(F.col("run"), root).alias("path"))
+    rows = (classes.select("cid", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+            .select("cid", "run", _children(F.col("run"), root).alias("path"))
             .withColumn("above", F.lit(None).cast("long")))
     out = None
     for level in range(1, DEPTH + 1):
@@ -141,15 +141,15 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
         rows = shared.where(~leaf)
         if level == DEPTH or not rows.take(1):
             break
-        rows = (rows.join(classes.select("skey", "sketch"), "skey")
-                .select("skey", "run", _children(F.col("run"), F.col("path")).alias("path"), F.col("size").alias("above")))
-    return out.select("path", "skey", "size")
+        rows = (rows.join(classes.select("cid", "sketch"), "cid")
+                .select("cid", "run", _children(F.col("run"), F.col("path")).alias("path"), F.col("size").alias("above")))
+    return out.select("path", "cid", "size")
 
 
 def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     """Deal the members of ``key`` to pairs of blocks: a row for each pair that a
     member's block is in, with the pair (``bi`` <= ``bj``) and own block ``own``."""
-    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("skey"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (rows.withColumn("other", other).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
             .drop("other", "blocks").withColumnRenamed(key, "key"))
@@ -192,15 +192,15 @@ def _by_group(rows: DataFrame, compare, columns: list[str]) -> DataFrame:
         if rest is not None:
             yield compare(rest, [0, rest.num_rows])
 
-    return map_arrow(keyed.repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj"), run, "skey binary, links long, root binary")
+    return map_arrow(keyed.repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj"), run, "cid long, links long, root long")
 
 
 def _linked(batch: pa.RecordBatch, bounds: list[int], matcher, weight: np.ndarray) -> pa.RecordBatch:
-    """skey, links, root of the members linked to others; ``matcher(a, b)`` gives
+    """cid, links, root of the members linked to others; ``matcher(a, b)`` gives
     for the group a:b the function from a member to its later matches. Of a pair
     of different blocks, only pairs across count."""
     own, bi, bj = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("own", "bi", "bj"))
-    keys = batch.column(batch.schema.get_field_index("skey"))
+    keys = batch.column(batch.schema.get_field_index("cid"))
     links, root = np.zeros(batch.num_rows, np.int64), np.arange(batch.num_rows)
     for a, b in zip(bounds, bounds[1:], strict=False):
         if b - a < 2:
@@ -217,7 +217,7 @@ def _linked(batch: pa.RecordBatch, bounds: list[int], matcher, weight: np.ndarra
                     union.join(i, j)
         root[a:b] = [a + union.find(i) for i in range(b - a)]
     hit = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(hit)), pa.array(links[hit]), keys.take(pa.array(root[hit]))], names=["skey", "links", "root"])
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(hit)), pa.array(links[hit]), keys.take(pa.array(root[hit]))], names=["cid", "links", "root"])
 
 
 def _values(batch: pa.RecordBatch, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
             cols = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*rest, "shingles"])
 
-    return map_arrow(found.select(*rest, "text"), run, schema).dropDuplicates(["skey"])
+    return map_arrow(found.select(*rest, "text"), run, schema).dropDuplicates(["cid"])
 
 
 def join_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -292,27 +292,28 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     rows = store(text_rows(docs), "shingle-rows")
     classes = (rows.where("skey is not null").groupBy("skey")
                .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "n", "sketch")).alias("m"), F.count("*").alias("copies"))
-               .select("skey", "copies", "m.doc_id", "m.tkey", "m.n", "m.sketch"))
+               .select("skey", "copies", "m.doc_id", "m.tkey", "m.n", "m.sketch")
+               .withColumn("cid", F.monotonically_increasing_id()))  # a short name, kept by the written table
     classes = store(classes, "shingle-classes")
 
-    met = leaves(classes, runs).join(classes.select("skey", "sketch"), "skey")
+    met = leaves(classes, runs).join(classes.select("cid", "sketch"), "cid")
     met = _in_blocks(met, "path", F.ceil(F.col("size") / BLOCK))
     least = math.floor(threshold * COORDS - 4.5 * math.sqrt(COORDS * threshold * (1 - threshold)))
-    like = _by_group(met, _compare_sketches(least), ["skey", "sketch"])
-    groups = components(like.select(F.col("skey").alias("a"), F.col("root").alias("b")), "jaccard-groups")
+    like = _by_group(met, _compare_sketches(least), ["cid", "sketch"])
+    groups = components(like.select(F.col("cid").alias("a"), F.col("root").alias("b")), "jaccard-groups")
 
     members = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    members = store(members.withColumnRenamed("node", "skey").join(classes.drop("sketch"), "skey"), "jaccard-members")
+    members = store(members.withColumnRenamed("node", "cid").join(classes.drop("sketch", "skey"), "cid"), "jaccard-members")
     sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sets = _sets_of(docs, members.join(sizes, "label"))
     sets = _in_blocks(sets, "label", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    exact = store(_by_group(sets, _compare_sets(Fraction(threshold).limit_denominator(1000)), ["skey", "copies", "shingles"]), "jaccard-links")
-    labels = components(exact.select(F.col("skey").alias("a"), F.col("root").alias("b")), "jaccard-classes")
+    exact = store(_by_group(sets, _compare_sets(Fraction(threshold).limit_denominator(1000)), ["cid", "copies", "shingles"]), "jaccard-links")
+    labels = components(exact.select(F.col("cid").alias("a"), F.col("root").alias("b")), "jaccard-classes")
 
-    each = (classes.select("skey", "copies", "doc_id", "tkey")
-            .join(exact.groupBy("skey").agg(F.sum("links").alias("links")), "skey", "left")
-            .join(labels.withColumnRenamed("node", "skey"), "skey", "left")
-            .withColumn("label", F.coalesce("label", "skey")))
+    each = (classes.select("cid", "skey", "copies", "doc_id", "tkey")
+            .join(exact.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+            .join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+            .withColumn("label", F.coalesce("label", "cid")))
     each = store(each, "jaccard-each")
     heads = (each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("m"))
              .select("label", F.col("m.doc_id").alias("class_id"), F.col("m.tkey").alias("class_tkey")))

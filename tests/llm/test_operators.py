@@ -29,9 +29,12 @@ def rows_of(df):
 
 
 # ---------------------------------------------------------------- components
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task,centres", [(1 << 20, 20_000), (0, 20_000), (0, 3)])
+def test_components_against_union_find(spark, monkeypatch, one_task, centres):
+    monkeypatch.setattr(common, "EDGES", one_task)
+    monkeypatch.setattr(common, "CENTRES", centres)
     rng = random.Random(5)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(90)] + [(7, 7), (None, 3)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(300)] + [(7, 7), (None, 3)]
     got = dict(rows_of(common.components(spark.createDataFrame(edges, "a long, b long"))))
     up = {}
 
