@@ -5,19 +5,23 @@ wrapped notice is one paragraph. A line that holds a family's notice by itself i
 paragraph of its own and parts the run, unless the run as a whole holds another
 notice of that family that no single line holds (the line begins a wrapped one).
 A multinomial logistic regression over sparse
-word 1- and 2-grams tells licence families from ordinary prose. It is trained on a
-bounded sample of the corpus itself (``TRAIN_ROWS`` paragraphs a class): those that
-hold the words of a family's template are its examples, the others are class
-``none``; the templates are examples too, so that a family the sample lacks is
-known. Half of the sample fits the model, the other half calibrates it: the least
-probability at which accepted predictions are wrong at most ``ERROR`` of the time
-is the bar; below it a licence-like paragraph is ``unknown``. Above it, the
-paragraph is compared with the family's templates, and the prediction stands only
-if ``CONFIRM`` of some template's 2-grams are there; else it is ``unknown`` too.
-
-Only n-grams with a word that is rare in prose are features. A paragraph without
-any of these rare words has no feature and is ``none``; all others are cut into
-words and scored. One regular expression finds the rare words, so most of the
+word 1- and 2-grams tells licence families, other licence talk (``unknown``) and
+ordinary prose (``none``) apart. It is trained on a bounded sample of the corpus
+itself (about ``TRAIN_ROWS`` paragraphs a class): those that hold the words of a
+family's template are its examples, others that speak of licences (``TALK``) are
+``unknown``, and the rest, with or without words of a template, is ``none``; the
+templates and the notices of families without one (``OTHERS``) are examples too, so
+that a family the sample lacks is known. Half of the sample fits the model, the
+other half and every third of ``OTHERS`` calibrate it: the least probability at
+which accepted predictions are wrong at most ``ERROR`` of the time is the bar; below
+it a licence-like paragraph is ``unknown``. Above it, the paragraph is compared with
+all families' templates: the family whose template shares the most of its 2-grams
+wins, if that is ``CONFIRM`` of them; else the paragraph is ``unknown`` too.
+
+Features are the n-grams of the templates and of ``OTHERS`` and the ``FEATURES`` most
+frequent others of licence paragraphs, as far as they hold a word that is rare in
+prose. A paragraph without any of these rare words has no feature and is ``none``;
+all others are cut into words and scored. One regular expression finds the rare words, so most of the
 corpus is read once and cut into nothing. All steps are DataFrame functions and
 Spark ML stages.
 
@@ -36,10 +40,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import store
 
-#: Paragraphs of each class that the model is fitted and calibrated on, at most.
-#: (Spark drops all but the first rows of a class before the shuffle up to 1,000.)
+#: Paragraphs of each class that the model is fitted and calibrated on, about.
 TRAIN_ROWS = 1_000
-#: Features, and the share of prose paragraphs above which a word is common.
+#: Features besides those of the templates, and the share of prose paragraphs above which a word is common.
 FEATURES, COMMON = 400, 0.002
 ERROR, CONFIRM = 0.01, 0.8
 NONE, UNKNOWN = "none", "unknown"
@@ -54,7 +57,8 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.",
             "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "lgpl": ["licensed under the GNU Lesser General Public License, version 3."],
+    "lgpl": ["licensed under the GNU Lesser General Public License, version 3.",
+             "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Released under the BSD License."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -64,6 +68,13 @@ TEMPLATES = {
     "cc0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "reserved": ["All rights reserved."],
 }
+# Notices of licences without a template, and words that speak of licences.
+OTHERS = ["Distributed under the Boost Software License, Version 1.0.", "Made available under the terms of the Eclipse Public License 2.0.",
+          "This software is governed by the CeCILL license under French law.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: ISC",
+          "Licensed under the European Union Public Licence.", "This file is subject to the terms of the Common Development and Distribution License.",
+          "Use of this source code is governed by a license that can be found in the LICENSE file.", "Distributed under the Artistic License 2.0.",
+          "The contents of this file are governed by the foo license.", "Copyright the authors. See the license file for details.", "SPDX-License-Identifier: MIT"]
+TALK = "license licensed licenses licence licences licensing spdx copyleft".split()
 
 
 def words(text: Column) -> Column:
@@ -88,19 +99,20 @@ def runs_of(docs: DataFrame) -> DataFrame:
 
 
 def _shares(have: Column, template: str) -> Column:
-    """Enough of a template's 2-grams are in ``have``."""
+    """The share of a template's 2-grams that are in ``have``."""
     ws = _plain(template).split()
     pairs = sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)})
-    return F.size(F.array_intersect(have, F.array(*map(F.lit, pairs)))) >= CONFIRM * len(pairs)
+    return F.size(F.array_intersect(have, F.array(*map(F.lit, pairs)))) / len(pairs)
 
 
 def paragraphs_of(runs: DataFrame) -> DataFrame:
     """``runs`` cut into paragraphs: the words of each instead of the run."""
     texts = [t for ts in TEMPLATES.values() for t in ts]
-    shared = lambda have: F.array(*(_shares(have, t) for t in texts))
+    # one step after the other: within a step, nothing that is used often would be shared
+    flags = lambda c: F.transform(F.transform(F.transform(c, words), grams), lambda have: F.array(*(_shares(have, t) >= CONFIRM for t in texts)))
     cut = (runs.withColumn("lines", F.split("run", "\n"))
-           .withColumn("whole", shared(grams(words(F.col("run")))))
-           .withColumn("each", F.when(F.exists("whole", lambda x: x), F.transform("lines", lambda x: shared(grams(words(x)))))))
+           .withColumn("whole", flags(F.array("run"))[0])
+           .withColumn("each", F.when(F.exists("whole", lambda x: x), flags(F.col("lines")))))
     # notices that the run holds and no line of it does
     no_line = lambda i: ~F.exists("each", lambda x: x[i])
     wrapped = F.array(*(F.col("whole")[i] & no_line(i) for i in range(len(texts))))
@@ -150,36 +162,55 @@ def _template_of(text: Column) -> Column:
     return out
 
 
+def _drawn(rows: DataFrame, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each ``key``, by the column ``order`` (a hash)."""
+    share = F.least(F.lit(1.0), F.lit(float(per_class)) / F.count("*"))
+    shares = rows.groupBy(key).agg(share.alias("share"))  # a row per class
+    return rows.join(F.broadcast(shares), key).where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")
+
+
 def training_rows(docs: DataFrame, per_class: int = TRAIN_ROWS) -> DataFrame:
-    """family, words, holdout: the bounded sample, by the order of a hash. Every
-    template's longest word shows which runs may hold it."""
-    longest = sorted({max(_plain(t).split(), key=len) for ts in TEMPLATES.values() for t in ts})
+    """family, words, holdout: the bounded sample, by a hash. Every template's
+    longest word shows which runs may hold it."""
+    spark = docs.sparkSession
+    longest = sorted({max(_plain(t).split(), key=len) for ts in TEMPLATES.values() for t in ts} | set(TALK))
+    order = lambda *what: F.xxhash64(F.lit(11), *what)
+    n = docs.count()
     runs = runs_of(docs)
-    near = _holds_any(F.col("run"), longest)
-    order = lambda what: F.xxhash64(F.lit(11), what, "doc_id")
-    holding = (paragraphs_of(runs.where(near)).withColumn("order", order("words"))
-               .withColumn("family", _template_of(F.array_join("words", " "))).where("family is not null")
-               .withColumn("nth", F.row_number().over(Window.partitionBy("family").orderBy("order"))).where(F.col("nth") <= per_class))
-    prose = (runs.where(~near).withColumn("order", order("run")).orderBy("order").limit(per_class)
-             .withColumns({"words": words(F.col("run")), "family": F.lit(NONE)}))
-    rows = holding.select("family", "words", "order").unionByName(prose.select("family", "words", "order")).where(F.size("words") > 0)
-    known = docs.sparkSession.createDataFrame([(f, _plain(t).split(), False) for f, ts in TEMPLATES.items() for t in ts],
-                                              "family string, words array<string>, holdout boolean")
-    return store(rows.select("family", "words", (F.pmod("order", F.lit(2)) == 1).alias("holdout")).unionByName(known), "licence-sample")
+    found = paragraphs_of(runs.where(_holds_any(F.col("run"), longest)))
+    talk = F.arrays_overlap("words", F.array(*map(F.lit, TALK)))
+    found = found.withColumn("family", F.coalesce(_template_of(F.array_join("words", " ")), F.when(talk, UNKNOWN)))
+    # paragraphs with a notice or talk of licences: few; the others come with the prose
+    found = store(found.where("family is not null").select("family", "words", order("words", "doc_id").alias("order")), "licence-found")
+    # prose, whatever words it holds: all runs of about 2 * per_class documents
+    some = docs.where(F.pmod(order("doc_id"), F.lit(1 << 30)) < min(1.0, 2 * per_class / max(n, 1)) * (1 << 30))
+    prose = paragraphs_of(runs_of(some)).where(_template_of(F.array_join("words", " ")).isNull() & ~talk)
+    prose = store(prose.select(F.lit(NONE).alias("family"), "words", order("words").alias("order")), "licence-prose")
+    rows = _drawn(found, "family", per_class).unionByName(_drawn(prose, "family", per_class))
+    known = [(f, _plain(t).split(), False) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, _plain(t).split(), i % 3 == 2) for i, t in enumerate(OTHERS)]
+    known = spark.createDataFrame(known, "family string, words array<string>, holdout boolean")
+    return store(rows.select("family", "words", (F.pmod(F.shiftright("order", 31), F.lit(2)) == 1).alias("holdout")).unionByName(known), "licence-sample")
 
 
 def choose_features(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(rare words, features) from the fitting half of the sample: the most frequent
-    n-grams with a rare word, and all rare words in them."""
+    """(rare words, features): n-grams of all given notices and the most frequent
+    others of the fitting half, as far as they hold a rare word; and those words."""
     fit = sample.where(~F.col("holdout"))
     is_none = F.col("family") == NONE
     n_none = max(1, fit.where(is_none).count())
     each = fit.select(is_none.alias("prose"), F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
-    counts = each.groupBy("gram").agg(F.sum(F.col("prose").cast("int")).alias("prose"), F.sum((~F.col("prose")).cast("int")).alias("licence")).where("licence > 0")
-    # licence paragraphs are few texts over and over: their n-grams are a small table
-    rows = [(r["gram"], r["licence"]) for r in counts.where(F.col("prose") <= COMMON * n_none).orderBy(F.desc("licence"), "gram").limit(20 * FEATURES).collect()]
-    rare = {g for g, _ in rows if " " not in g}
-    feats = [g for g, _ in rows if any(w in rare for w in g.split())][:FEATURES]
+    counts = store(each.groupBy("gram").agg(F.sum(F.col("prose").cast("int")).alias("prose"), F.sum((~F.col("prose")).cast("int")).alias("licence"))
+                   .where("licence > 0"), "licence-grams")
+    given = set()
+    for t in [t for ts in TEMPLATES.values() for t in ts] + OTHERS:
+        ws = _plain(t).split()
+        given |= {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}
+    common = {r["gram"] for r in counts.where(F.col("gram").isin(sorted(given)) & (F.col("prose") > COMMON * n_none)).collect()}  # of the given ones
+    more = [r["gram"] for r in counts.where((F.col("prose") <= COMMON * n_none) & ~F.col("gram").isin(sorted(given)))
+            .orderBy(F.desc("licence"), "gram").limit(FEATURES).collect()]
+    grams_ = sorted(given - common) + more
+    rare = {g for g in grams_ if " " not in g}
+    feats = [g for g in grams_ if any(w in rare for w in g.split())]
     return sorted({w for g in feats for w in g.split() if w in rare}), feats
 
 
@@ -196,21 +227,25 @@ class LicenceModel:
         names = F.array(*map(F.lit, self.classes))
         out = self.regression.transform(self.vectors.transform(rows.withColumn("grams", grams(F.col("words")))))
         return (out.withColumns({"p": best, "best": names[(F.array_position(p, best) - 1).cast("int")]})
-                .drop("grams", "features", "rawPrediction", "probability", "prediction"))
+                .drop("features", "rawPrediction", "probability", "prediction"))
 
 
 def train(docs: DataFrame, per_class: int = TRAIN_ROWS) -> LicenceModel:
     sample = training_rows(docs, per_class)
     rare, feats = choose_features(sample)
     vectors = CountVectorizerModel.from_vocabulary(feats, inputCol="grams", outputCol="features", binary=True)
-    classes = [NONE, *TEMPLATES]
+    classes = [NONE, UNKNOWN, *TEMPLATES]
     index = F.lit(0.0)
     for i, c in enumerate(classes):
         index = F.when(F.col("family") == c, float(i)).otherwise(index)
     fit = vectors.transform(sample.where(~F.col("holdout")).withColumns({"grams": grams(F.col("words")), "label": index}))
     empty = docs.sparkSession.createDataFrame([(NONE, ["-"], False)], "family string, words array<string>, holdout boolean")
     fit = fit.unionByName(vectors.transform(empty.withColumns({"grams": grams(F.col("words")), "label": index})))
-    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(fit)
+    sizes = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per class
+    weight = F.lit(1.0)
+    for label, n in sizes.items():  # classes count alike, however many examples the corpus has
+        weight = F.when(F.col("label") == label, sum(sizes.values()) / (len(sizes) * n)).otherwise(weight)
+    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False, weightCol="weight").fit(fit.withColumn("weight", weight))
     model = LicenceModel(rare, vectors, regression, classes, 0.5)
 
     # the least bar with few wrong predictions above it, over a grid of 0.5 to 0.99
@@ -223,24 +258,20 @@ def train(docs: DataFrame, per_class: int = TRAIN_ROWS) -> LicenceModel:
     return model
 
 
-def _confirmed(w: Column, family: Column) -> Column:
-    """A family's template shares enough of its 2-grams with the paragraph."""
-    have = grams(w)
-    out = F.lit(False)
-    for name, texts in TEMPLATES.items():
-        hit = F.lit(False)
-        for t in texts:
-            hit = hit | _shares(have, t)
-        out = F.when(family == name, hit).otherwise(out)
-    return out
+def _nearest(have: Column) -> Column:
+    """The family whose template shares most of its 2-grams with ``have``, if that
+    is ``CONFIRM`` of them (the longer of templates that share as much)."""
+    by_length = sorted(((t, f) for f, ts in TEMPLATES.items() for t in ts), key=lambda x: len(_plain(x[0]).split()))
+    best = F.array_max(F.array(*(F.struct(_shares(have, t).alias("share"), F.lit(i).alias("i"), F.lit(f).alias("family")) for i, (t, f) in enumerate(by_length))))
+    return F.when(best["share"] >= CONFIRM, best["family"])
 
 
 def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, family, probability of every licence-like paragraph."""
     near = paragraphs_of(runs_of(docs).where(_holds_any(F.col("run"), model.rare)))
-    scored = model.score(near).where(F.col("best") != NONE)
-    sure = (F.col("p") >= model.bar) & _confirmed(F.col("words"), F.col("best"))
-    return scored.select("doc_id", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), F.col("p").alias("probability"))
+    scored = model.score(near).where(F.col("best") != NONE).withColumn("nearest", F.transform(F.array("grams"), _nearest)[0])
+    sure = (F.col("p") >= model.bar) & (F.col("best") != UNKNOWN) & F.col("nearest").isNotNull()
+    return scored.select("doc_id", F.when(sure, F.col("nearest")).otherwise(UNKNOWN).alias("family"), F.col("p").alias("probability"))
 
 
 def scan(docs: DataFrame, per_class: int = TRAIN_ROWS) -> DataFrame:

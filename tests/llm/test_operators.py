@@ -329,6 +329,45 @@ def test_licence_wrapped_notices(spark):
     assert sure == {**{(i, f): 1 for i, f in enumerate(wrapped)}, (90, "mit"): 2, (90, "reserved"): 1}
 
 
+def test_licences_that_are_close_or_unlisted(spark):
+    """LGPL is not GPL, licences without a template and SPDX lines are unknown, prose
+    with words of a template is none; and the scores by hand."""
+    rows = [(i, prose(7000 + i, 25).replace("\n", " ")) for i in range(300)]
+    rows += [(3000 + i, f"{prose(i, 9)} the documentation was released and the person subject to modification {prose(i + 1, 9)}".replace("\n", " ")) for i in range(60)]
+    rows += [(1000 + i, t) for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts for _ in range(12))]
+    model = licences.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), per_class=150)
+    want = {"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+            "as published by the Free Software Foundation; either version 3": "lgpl",
+            "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+            "Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "unknown",
+            "Use is governed by the Foo license": "unknown", "SPDX-License-Identifier: Unlicense": "unknown",
+            "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Licensed under CC BY 4.0.": "cc-by",
+            "the documentation was subject to a person of many words and more": None, prose(99, 30).replace("\n", " "): None}
+    texts = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.family for r in licences.scan_paragraphs(texts, model).collect()}
+    assert [got.get(i) for i in range(len(want))] == list(want.values())
+    assert all(g in model.vectors.vocabulary for ts in licences.TEMPLATES.values() for t in ts for g in licences._plain(t).split() if g in model.rare)
+    # the regression by hand
+    weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    place = {g: i for i, g in enumerate(model.vectors.vocabulary)}
+    scored = model.score(licences.paragraphs_of(licences.runs_of(texts))).collect()
+    for r in scored:
+        ws = list(r.words)
+        have = {place[g] for g in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))] if g in place}
+        z = [b + sum(w[i] for i in have) for w, b in zip(weights, bias)]
+        e = [2.718281828459045 ** (x - max(z)) for x in z]
+        assert r.best == model.classes[max(range(len(z)), key=z.__getitem__)] and abs(r.p - max(e) / sum(e)) < 1e-6
+    assert len(scored) == len(want)
+
+
+def test_licence_long_texts_and_ties(spark):
+    """Very long texts are read whole; a text with two families gives both rows."""
+    rows = [(i, prose(7000 + i, 25).replace("\n", " ")) for i in range(100)] + [(1000 + i, t) for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
+    rows += [(1, prose(5, 30000) + "\n\nReleased under the MIT License.\n" + prose(6, 30000)), (2, "Released under the MIT License.\nReleased under CC0 1.0.")]
+    got = Counter({(r.doc_id, r.family): r.n_paragraphs for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), per_class=50).collect()})
+    assert got[(1, "mit")] == 1 and got[(2, "mit")] == got[(2, "cc0")] == 1
+
+
 def test_licence_words_in_one_search(spark):
     found = ["a", "any", "and", "4", "work", "works", "é", "license"]
     texts = ["many", "any", "an any.", "work's", "workshop", "licenses", "x4 44", "4.0", "éa", "(é)", "", "a-b", "license"]
