@@ -50,7 +50,7 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 #: Pairs that may be broadcast: those with at least 1 / HOT of all links.
 HOT = 200_000
 #: Aligned parts that a task remembers, and their longest one in characters.
-KEPT, SHORT = 400_000, 40
+KEPT, SHORT = 700_000, 40
 
 _ODD = re.compile(r"\A |\s | \Z")
 _CUT = re.compile(r"(?<=\S)(?= )")
