@@ -21,13 +21,14 @@ sys.path.insert(0, ROOT)
 from pyspark.ml.classification import LogisticRegression  # noqa: E402
 from pyspark.ml.clustering import KMeans  # noqa: E402
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
-from pyspark.ml.regression import GBTRegressor, LinearRegression  # noqa: E402
+from pyspark.ml.regression import LinearRegression  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from gustframe.functions import nullsafe as ns  # noqa: E402
 from gustframe.operators import bins, corr, profile, windows  # noqa: E402
 from gustframe.operators import positions as pos  # noqa: E402
 from gustframe.plans import features as fx  # noqa: E402
+from gustframe.plans import models  # noqa: E402
 from gustframe.session import get_session  # noqa: E402
 from gustframe.sources import driver_views as V  # noqa: E402
 
@@ -97,7 +98,7 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
     data = {}
 
     def q_boosted_fit():
-        GBTRegressor(maxIter=20, maxDepth=3, labelCol="TARGET", seed=7).fit(data["m"])
+        models.boosted(maxIter=20, maxDepth=3).fit(data["m"])
 
     def q_kmeans_fit():
         KMeans(k=35, seed=7).fit(data["m"])
@@ -129,7 +130,7 @@ def run(spark, sf_dir: str, verbose: bool = True) -> dict[str, float]:
 def baseline_fits(spark, sf_dir: str) -> dict[str, float]:
     m = model_input(spark, sf_dir)
     m.count()
-    fits = {"boosted_fit": lambda: GBTRegressor(maxIter=20, maxDepth=3, labelCol="TARGET", seed=7).fit(m),
+    fits = {"boosted_fit": lambda: models.boosted(maxIter=20, maxDepth=3).fit(m),
             "kmeans_fit": lambda: KMeans(k=35, seed=7).fit(m),
             "linear_fit": lambda: LinearRegression(labelCol="TARGET", regParam=0.0).fit(m),
             "logit_fit": lambda: LogisticRegression(fitIntercept=False, regParam=0.0).fit(

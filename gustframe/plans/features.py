@@ -260,6 +260,10 @@ class MinMaxToModel(Model, _Stage):
                                for c, (mn, mx) in self.get("ranges").items() if mn is not None})
 
 
+#: Key of the NULL group among fitted medians.
+NULL_GROUP = "\0null"
+
+
 class ImputeMedian(Estimator, _Stage):
     """Fill NULLs with the exact (interpolated) median of each numeric column,
     optionally per regime (``groupCol``): the scoring rows use the medians of
@@ -279,7 +283,7 @@ class ImputeMedian(Estimator, _Stage):
         meds = pos.column_medians(df, cols, gcols).collect()  # columns x groups rows
         table: dict = {}
         for r in meds:
-            key = str(r[group]) if group else "*"
+            key = "*" if not group else NULL_GROUP if r[group] is None else str(r[group])
             table.setdefault(key, {})[r["column"]] = r["median"]
         return ImputeMedianModel(medians=table, groupCol=group or "")
 
@@ -304,7 +308,7 @@ class ImputeMedianModel(Model, _Stage):
             else:
                 fill = None
                 for g, m in table.items():
-                    branch = F.col(group) == F.lit(g)
+                    branch = F.col(group).isNull() if g == NULL_GROUP else F.col(group).cast("string") == F.lit(g)
                     fill = F.when(branch, F.lit(m.get(c))) if fill is None else fill.when(branch, F.lit(m.get(c)))
             out[c] = F.coalesce(F.col(c), fill.cast(dict(df.dtypes)[c]) if fill is not None else F.col(c))
         return df.withColumns(out)

@@ -57,3 +57,11 @@ def test_keep_high_regime_null_safe(edge):
     hi = fx.KeepHighRegime(keepHigh=True).transform(edge).count()
     lo = fx.KeepHighRegime(keepHigh=False).transform(edge).count()
     assert (hi, lo) == (4, 20)
+
+
+def test_null_group_is_filled_with_its_own_median(spark):
+    from gustframe.plans import features as fx
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, None, None), (4, "a", 10.0), (5, "a", None), (6, "None", 7.0), (7, "None", None)],
+                               "ID long, g string, v double")
+    got = {r.ID: r.v for r in fx.ImputeMedian(inputCols=["v"], groupCol="g").fit(df).transform(df).collect()}
+    assert got[3] == 2.0 and got[5] == 10.0 and got[7] == 7.0
