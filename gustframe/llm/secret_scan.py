@@ -6,12 +6,17 @@ Base kinds, each leftmost and non-overlapping over the whole text: ``assign``
 decoding before they are reported:
 
 * ``jwt``: three base64url parts whose first decodes to a JSON header with an
-  ``alg``, and whose second to a JSON object;
+  ``alg``, and whose second to a JSON object. Every part between dots is tried, so
+  ``credential.`` before a token hides nothing;
 * ``der``: base64 (bare, or the body of a PEM block) or hex whose bytes are a DER
   private key: a SEQUENCE whose nested lengths all fit, exactly, and which begins
-  with a version INTEGER followed by a key's fields;
+  with a version INTEGER followed by a key's fields. A bare key may be wrapped in
+  lines (also with escaped line ends) and stand between other base64 or hex digits:
+  its own length says where it ends, and its first line has 16 digits at least;
 * ``ssh``: base64 whose bytes are an OpenSSH private key container, read through
-  its length-prefixed fields.
+  its length-prefixed fields, wrapped or not;
+* ``pem``: a PEM private key that its headers declare encrypted, whose body is of
+  whole blocks of the stated cipher's initial vector.
 
 Spans are code points, end exclusive, by start, then kind in the order above.
 
@@ -35,15 +40,24 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, slices
 
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "jwt", "der", "ssh")
+KINDS = (*BASE, "jwt", "der", "ssh", "pem")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{60,}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
+_HEADER = re.compile(r"^e[w-z0-9_-]|(?<=[_-])eyJ")  # a brace in base64
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+_LINE_END = re.compile(r"\r\n|\r|\n|\\r\\n|\\r|\\n")
+_DEK = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$")
+# a SEQUENCE, or the magic of SSH, in base64 and in hex
+_DER64 = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})")
+_SSH64 = "b3BlbnNzaC1rZXktdjE"
+_DER16 = re.compile(r"30(?=[0-9A-Fa-f]{14})")
+_RUN64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_RUN16 = re.compile(r"[0-9A-Fa-f]+")
+_WRAP = re.compile(r"[\x20\t]*(?:\r\n|\r|\n|\\r\\n|\\n)[\x20\t]*")
+LEAST_KEY = 30  # bytes
 
 
 def _bytes_of(text: str) -> bytes | None:
@@ -103,27 +117,123 @@ def is_der_key(data: bytes | None) -> bool:
             or tags[:3] == [2, 0x30, 4] or tags == [0x30, 4])
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """An OpenSSH private key container: magic, cipher, kdf, options, key count,
-    and a public key whose type is an SSH name."""
+def der_size(head: bytes | None) -> int | None:
+    """Bytes of the key whose first bytes are ``head``; None if no key begins so: a
+    SEQUENCE, and in it an INTEGER of one byte (the version) or a SEQUENCE."""
+    if not head or len(head) < 8 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80:
+        return None
+    size = 2 + k + (int.from_bytes(head[2:2 + k], "big") if k else head[1])
+    first = head[2 + k:4 + k]
+    return size if size >= LEAST_KEY and (first == b"\2\1" or first[:1] == b"\x30") else None
+
+
+def ssh_size(data: bytes) -> tuple[int, bool]:
+    """(bytes, whole): the size of the OpenSSH container that ``data`` begins with
+    (whole), or the bytes that must be read to know more; (0, True) if it is none:
+    magic, cipher, kdf, options, key count, a public key whose type is an SSH name
+    for each, and the private part."""
     magic = b"openssh-key-v1\0"
-    if not data or not data.startswith(magic):
-        return False
-    at, fields = len(magic), []
-    for i in range(5):
+    if not data.startswith(magic[:len(data)]):
+        return 0, True
+    at, keys, field = len(magic), 1, 0
+    while field < 4 + keys + 1:
         if at + 4 > len(data):
-            return False
+            return at + 4, False
         n = int.from_bytes(data[at:at + 4], "big")
         at += 4
-        if i == 3:  # the number of keys
-            fields.append(n)
-            continue
-        if at + n > len(data):
-            return False
-        fields.append(data[at:at + n])
-        at += n
-    n = int.from_bytes(fields[4][:4], "big")
-    return fields[3] >= 1 and re.match(rb"(ssh|ecdsa|sk)-", fields[4][4:4 + n]) is not None
+        if field == 3:  # the number of keys
+            keys = n
+            if not 1 <= keys <= 16:
+                return 0, True
+        else:
+            if 4 <= field < 4 + keys:
+                if at + n > len(data):
+                    return at + n, False
+                size = int.from_bytes(data[at:at + 4], "big")
+                if not re.match(rb"(ssh|ecdsa|sk)-", data[at + 4:at + 4 + size]):
+                    return 0, True
+            at += n
+        field += 1
+    return at, at <= len(data)
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    """A whole OpenSSH private key container, and nothing behind it."""
+    return bool(data) and ssh_size(data) == (len(data), True)
+
+
+def _gather(text: str, at: int, run: re.Pattern, need: int) -> tuple[str, int] | None:
+    """The next ``need`` digits of ``run`` from ``at`` on, over line ends, and the
+    position behind them; None if there are fewer."""
+    parts = []
+    while need <= len(text) - at:
+        m = run.match(text, at, at + need)
+        if m is None:
+            return None
+        parts.append(m[0])
+        need -= len(parts[-1])
+        if need == 0:
+            return "".join(parts), at + len(parts[-1])
+        gap = _WRAP.match(text, m.end())
+        if gap is None:
+            return None
+        at = gap.end()
+    return None
+
+
+def _digits64(size: int) -> int:
+    return -(-size * 4 // 3)
+
+
+def _padded(text: str, end: int) -> int:
+    """The end behind at most two signs of padding."""
+    return end + len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+
+
+def _starts_key(text: str, at: int) -> bool:
+    """Whether base64 may begin here: no letter or digit before, but for that of an
+    escaped line end."""
+    return at == 0 or not (text[at - 1].isascii() and text[at - 1].isalnum()) or text[max(at - 2, 0):at] in ("\\n", "\\r")
+
+
+def _der_at(text: str, at: int, run: re.Pattern) -> int | None:
+    """The end of the DER key in digits of ``run`` that begins here."""
+    decode, digits = (_bytes_of, _digits64) if run is _RUN64 else (bytes.fromhex, lambda n: 2 * n)
+    size = der_size(decode(text[at:at + 16]))
+    got = size and _gather(text, at, run, digits(size))
+    # base64 that goes on is longer than the key says
+    if not got or run is _RUN64 and run.match(text, got[1], got[1] + 1):
+        return None
+    return got[1] if is_der_key(decode(got[0])) else None
+
+
+def _ssh_at(text: str, at: int) -> int | None:
+    """The end of the OpenSSH container in base64 that begins here."""
+    size, whole = 12, False
+    while not whole:
+        got = _gather(text, at, _RUN64, _digits64(size))
+        data = got and _bytes_of(got[0])
+        if not data:
+            return None
+        size, whole = ssh_size(data)
+    return got[1] if size == len(data) else None
+
+
+def _pem_kind(body: str) -> str | None:
+    """The kind of the key in a PEM block's body."""
+    lines = [x.strip() for x in _LINE_END.split(body)]
+    heads = [x for x in lines if ":" in x]
+    data = _bytes_of("".join(x for x in lines if ":" not in x).replace("\\/", "/"))
+    if is_der_key(data):
+        return "der"
+    if is_ssh_key(data):
+        return "ssh"
+    iv = next((len(m[1]) // 2 for m in map(_DEK.match, heads) if m), 0)
+    sealed = any(re.match(r"Proc-Type:\s*4,\s*ENCRYPTED\s*$", x) for x in heads)
+    return "pem" if sealed and iv and data and len(data) >= LEAST_KEY and len(data) % iv == 0 else None
 
 
 def _json_object(part: str) -> dict | None:
@@ -135,32 +245,67 @@ def _json_object(part: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens: each part between dots is tried as a header."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            end = at + len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+            start = next((h.start() for h in _HEADER.finditer(parts[i]) if len(parts[i]) - h.start() >= 8 and len(parts[i + 1]) >= 4
+                          and "alg" in (_json_object(parts[i][h.start():]) or ())), None)
+            if start is not None and _json_object(parts[i + 1]) is not None:
+                found.append(("jwt", at + start, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return found
+
+
+def _starts(text: str, what: re.Pattern | str):
+    """Positions of a pattern or a string, ascending."""
+    if isinstance(what, re.Pattern):
+        yield from (m.start() for m in what.finditer(text))
+    else:
+        at = text.find(what)
+        while at >= 0:
+            yield at
+            at = text.find(what, at + 1)
+
+
+def _bare_keys(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Keys in base64 and hex that don't begin within the spans ``taken``; the spans
+    of each form are leftmost and don't overlap."""
+    found = []
+    for kind, what in (("der", _DER64), ("ssh", _SSH64), ("der", _DER16)):
+        free, t = 0, 0
+        for at in _starts(text, what):
+            while t < len(taken) and taken[t][1] <= at:
+                t += 1
+            if at < free or t < len(taken) and taken[t][0] <= at or what is not _DER16 and not _starts_key(text, at):
+                continue
+            end = _ssh_at(text, at) if kind == "ssh" else _der_at(text, at, _RUN16 if what is _DER16 else _RUN64)
+            if end is not None:
+                free = end if what is _DER16 else _padded(text, end)
+                found.append((kind, at, free))
+    return found
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and kind."""
     text = text or ""
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "." in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if "alg" in (_json_object(m[1]) or ()) and _json_object(m[2]) is not None]
+    found += _tokens(text)
     taken = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _bytes_of(m[2])
-            kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+            kind = _pem_kind(m[2])
             if kind:
                 found.append((kind, *m.span()))
                 taken.append(m.span())
-    free = lambda m: not any(a <= m.start() and m.end() <= b for a, b in taken)
-    for m in _B64.finditer(text):
-        # a key's first bytes in base64: a SEQUENCE (0x30) or the magic of SSH
-        if m[0][0] == "M" and is_der_key(_bytes_of(m[0])) and free(m):
-            found.append(("der", *m.span()))
-        elif m[0].startswith("b3BlbnNzaC") and is_ssh_key(_bytes_of(m[0])) and free(m):
-            found.append(("ssh", *m.span()))
-    for m in _LONG_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append(("der", *m.span()))
+    found += _bare_keys(text, taken)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
