@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustframe.functions import nullsafe as ns
 from gustframe.operators import positions as pos
+from gustframe.session import scratch_table
 
 
 def threshold_grid(start: int = 10, stop: int = 95, step: int = 5) -> list[float]:
@@ -18,33 +19,64 @@ def spearman_pairs(df: DataFrame, pairs, rows_per_bucket: int = pos.DEFAULT_ROWS
     """Spearman rho per column pair over the rows where both are non-NULL
     (pairwise complete), average ranks for ties: (col_a, col_b, rho, n).
 
-    Each column is aggregated once to its distinct values, with the rows of each
-    value counted under every partner's non-NULL condition (partners without
-    NULLs share one count).  Running sums of these counts are the value's ranks
-    among the rows that each pair keeps; they are joined back by value, once per
-    column, and one aggregation gives the correlation of all pairs.
+    All columns go through the same few steps, so that the number of shuffles does
+    not grow with the columns.  Cells (row, column, value) are aggregated to the
+    distinct values of each column, with the rows of a value counted under every
+    partner's non-NULL condition (partners without NULLs share one count).  Running
+    sums of these counts are the value's ranks among the rows that each pair keeps.
+    Values that hold at least 1 / ``BROADCAST_ROWS`` of all cells (there are no more
+    than that many) are looked up by broadcast, the others by a join on (column,
+    value); the ranks are put together by row number, and one aggregation gives the
+    correlation of all pairs.
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    base = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    gaps = [c for c in cols if nulls[c]]
     index = {c: i for i, c in enumerate(cols)}
-    out = base
-    for c in cols:
-        partners = {b if a == c else a for a, b in pairs if c in (a, b)}
-        conditions = ([None] if partners - set(gaps) else []) + [g for g in gaps if g in partners]
-        weights = {f"_w{index[c]}_{'' if g is None else index[g]}": F.count(F.lit(1) if g is None else F.col(g)) for g in conditions}
-        values = base.filter(F.col(c).isNotNull()).groupBy(c).agg(*[w.alias(n) for n, w in weights.items()])
-        placed = pos.running_sums(values, c, {n.replace("_w", "_r"): F.col(n) for n in weights}, rows_per_bucket=rows_per_bucket)
-        ranks = placed.select(c, *[(F.col(n.replace("_w", "_r")) - (F.col(n) - 1) / 2.0).alias(n.replace("_w", "_r")) for n in weights])
-        out = pos.join_by_value(out, ranks, c)
-
-    def rank(c: str, partner: str):
-        return F.col(f"_r{index[c]}_{index[partner] if partner in gaps else ''}")
-
-    row = out.agg(*[F.corr(rank(a, b), rank(b, a)).alias(f"rho{i}") for i, (a, b) in enumerate(pairs)],
-                  *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
+    cast = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
+    # written, so that a row has the same number if a task is run again
+    rows = scratch_table(df.select(F.monotonically_increasing_id().alias("_row"), *[cast[c].alias(f"x{i}") for c, i in index.items()]), "rows")
+    filled = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"x{i}").alias(f"x{i}") for i in index.values()]).first()
+    n_cells = sum(filled[f"x{i}"] for i in index.values())
+    gaps = {c for c, i in index.items() if filled[f"x{i}"] < filled["n"]}
+    # the conditions under which a column is ranked: none, or a partner with NULLs
+    slots = {c: {} for c in cols}
+    for a, b in pairs:
+        for c, partner in ((a, b), (b, a)):
+            slots[c].setdefault(partner if partner in gaps else None, len(slots[c]))
+    width = max((len(s) for s in slots.values()), default=0)
+
+    def weight(c: str, j: int):
+        g = next((g for g, k in slots[c].items() if k == j), "")
+        return F.lit(1) if g is None else F.lit(0) if g == "" else F.col(f"x{index[g]}").isNotNull().cast("int")
+
+    weights = [f"_w{j}" for j in range(width)]
+    cells = rows.select("_row", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(f"x{i}").alias("_v"), *[weight(c, j).alias(w) for j, w in enumerate(weights)])
+        for c, i in index.items()])).alias("_cell")).select("_row", "_cell.*").filter(F.col("_v").isNotNull())
+    values = cells.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(w).alias(w) for w in weights])
+    small = n_cells <= rows_per_bucket
+    placed = pos.running_sums(values if small else scratch_table(values, "values"), "_v", {w.replace("w", "r"): F.col(w) for w in weights}, ["_c"],
+                              rows_per_bucket=rows_per_bucket, n_rows=n_cells if small else None)
+    ranks = scratch_table(placed.select("_c", "_v", "_n", *[
+        (F.col(w.replace("w", "r")) - (F.col(w) - 1) / 2.0).alias(w.replace("w", "r")) for w in weights]), "ranks")
+    hot = F.col("_n") >= max(2.0, n_cells / pos.BROADCAST_ROWS)
+    found, bare = ranks.drop("_n"), cells.select("_row", "_c", "_v")
+    often, seldom = F.broadcast(found.filter(hot)), found.filter(~hot)
+    ranked = bare.join(often, ["_c", "_v"]).unionByName(bare.join(often, ["_c", "_v"], "left_anti").join(seldom, ["_c", "_v"]))
+
+    def rank(c: str, partner: str) -> str:
+        return f"_r{index[c]}_{slots[c][partner if partner in gaps else None]}"
+
+    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == i, F.col(f"_r{j}"))).alias(f"_r{i}_{j}")
+                                        for c, i in index.items() for j in range(len(slots[c]))])
+    def rho(a: str, b: str):
+        """Correlation of two ranks; NULL if one is the same in all rows (``corr`` divides by zero there)."""
+        x, y = F.col(rank(a, b)), F.col(rank(b, a))
+        spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+    row = wide.agg(*[rho(a, b).alias(f"rho{i}") for i, (a, b) in enumerate(pairs)],
+                   *[F.count_if(F.col(rank(a, b)).isNotNull() & F.col(rank(b, a)).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"rho{i}").alias("rho"), F.col(f"n{i}").alias("n"))
         for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*").filter(F.col("n") > 0)

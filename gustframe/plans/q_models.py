@@ -14,6 +14,7 @@ from gustframe.functions import scalars as sc
 from gustframe.operators import corr, evaluate, profile, windows
 from gustframe.operators import positions as pos
 from gustframe.plans import features as fx
+from gustframe.plans import glm
 from gustframe.plans import models as M
 from gustframe.plans.catalog import query
 from gustframe.plans.q_profile import SECTOR_SQL, spearman_sql
@@ -223,6 +224,44 @@ def logit_no_intercept_q(spark, sf):
     return _logit_scores(spark, sf)
 
 
+_PAIR = _LOGIT_FEATS[:2]
+_PAIR_SQL = """
+with recursive t as materialized (
+  select coalesce({0}, (select median({0}) from turbine)) as a, coalesce({1}, (select median({1}) from turbine)) as b,
+         case when TARGET <= 60 then 1.0 else 0.0 end as y from turbine where TARGET is not null),
+steps as (
+  select 0 as k, cast(0 as double) as p, cast(0 as double) as q
+  union all
+  select k + 1, p + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), q + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  from (select k, p, q, sum((y - m) * a) as ga, sum((y - m) * b) as gb, sum(m * (1 - m) * a * a) as haa,
+               sum(m * (1 - m) * a * b) as hab, sum(m * (1 - m) * b * b) as hbb
+        from (select *, 1 / (1 + exp(-(p * a + q * b))) as m from steps, t where k < 20) u group by k, p, q) s),
+fit as (
+  select p, q, sum(m * (1 - m) * a * a) as haa, sum(m * (1 - m) * a * b) as hab, sum(m * (1 - m) * b * b) as hbb,
+         sum(case when y = 1 then ln(m) else ln(1 - m) end) as ll, count(*) as n
+  from (select *, 1 / (1 + exp(-(p * a + q * b))) as m from steps, t where k = 20) u group by p, q),
+est as (
+  select '{0}' as feature, p as coefficient, sqrt(hbb / (haa * hbb - hab * hab)) as std_error, ll as log_likelihood, n from fit
+  union all
+  select '{1}', q, sqrt(haa / (haa * hbb - hab * hab)), ll, n from fit)
+select *, coefficient / std_error as z from est""".format(*_PAIR)
+
+
+@query("logit_summary_pair", views=("turbine",), dbl={"coefficient": 6, "std_error": 6, "z": 3, "log_likelihood": 3},
+       sql="select * from (" + _PAIR_SQL + ") f")
+def logit_summary_pair_q(spark, sf):
+    """The fit on two features, with standard errors (Newton's steps in SQL)."""
+    fit = glm.fit_logit(_logit_input(spark, sf), "label", _PAIR)
+    one = F.lit(fit.log_likelihood), F.lit(fit.n).cast("long")
+    return fit.summary(spark).select("feature", "coefficient", "std_error", one[0].alias("log_likelihood"), one[1].alias("n"), "z")
+
+
+@query("logit_summary")
+def logit_summary_q(spark, sf):
+    """Coefficients of the fit on all features, with standard errors, z, p and 95 % limits."""
+    return glm.fit_logit(_logit_input(spark, sf), "label", _LOGIT_FEATS).summary(spark)
+
+
 _SWEEP_SCORE = "1 - least(greatest((Rotor_speed - 5) / 15, 0), 1)"
 
 

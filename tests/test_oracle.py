@@ -35,7 +35,7 @@ def test_every_query_has_oracle_or_is_a_model():
     are tested in test_models.py."""
     from gustframe.plans import catalog
     catalog.load_all()
-    models = {"forest_regressor", "boosted_regressor", "logit_no_intercept", "tree_classifier", "pca_loadings", "pca_scores", "kmeans_groups",
+    models = {"forest_regressor", "boosted_regressor", "logit_no_intercept", "logit_summary", "tree_classifier", "pca_loadings", "pca_scores", "kmeans_groups",
               "kmeans_labels", "cluster_profile_correlation", "regime_pipeline", "single_pipeline", "PipelineOf",
               "interaction_pipeline", "cross_validate", "cross_validate_regimes", "search_params", "compare_models",
               "compare_residual_trend", "importance_over_splits", "rank_importance"}
