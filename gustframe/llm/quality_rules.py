@@ -121,10 +121,13 @@ def tail(k: int, n: int, p: float) -> float:
 
 def certified_levels(measured: DataFrame, labels: DataFrame, spec: RuleSpec = RuleSpec(), stratum: str = "lang") -> dict:
     """Stratum -> number of levels certified. ``measured``: doc_id, the stratum and
-    the measures of every document."""
+    the measures of every document. A labelled doc_id is one trial of a stratum
+    however many rows carry it, as the binomial bound counts independent documents;
+    if its rows differ, the first level that rejects any of them counts."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1")
-    first = (measured.where(~base_failed()).join(good.select("doc_id"), "doc_id")
-             .groupBy(F.col(stratum).alias("stratum"), strictness(spec).alias("level")).agg(F.count("*").alias("n")))
+    trials = (measured.where(~base_failed() & F.col("doc_id").isNotNull()).groupBy("doc_id", F.col(stratum).alias("stratum"))
+              .agg(F.min(strictness(spec)).alias("level")))
+    first = trials.join(good.select("doc_id"), "doc_id").groupBy("stratum", "level").agg(F.count("*").alias("n"))
     fewest = math.log(spec.delta) / math.log1p(-spec.alpha)  # labels without which no level can pass
     per = first.groupBy("stratum").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))
     rows = per.where(F.col("n") >= fewest).collect()
@@ -191,7 +194,8 @@ m AS (SELECT d.rid, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '
       FROM d JOIN w USING (rid) LEFT JOIN h USING (rid)),
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {level} AS level FROM m),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-c AS (SELECT lang, level, count(*) AS k FROM s JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang, level),
+u AS (SELECT doc_id, lang, min(level) AS level FROM s JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY doc_id, lang),
+c AS (SELECT lang, level, count(*) AS k FROM u GROUP BY lang, level),
 z AS (SELECT lang, sum(k)::BIGINT AS total FROM c GROUP BY lang HAVING sum(k) >= {fewest!r}),
 r AS (SELECT z.lang, total, v.i, coalesce((SELECT sum(k) FROM c WHERE c.lang IS NOT DISTINCT FROM z.lang AND level <= v.i), 0)::BIGINT AS x
       FROM z, (SELECT unnest(range({n})) AS i) v),

@@ -288,6 +288,17 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decode_any(self, ids) -> str:
+        """The text of ids of any origin: null ones and those outside the vocabulary
+        give the replacement character."""
+        n = len(self.pieces)
+        if all(i is not None and 0 <= i < n for i in ids):
+            return self.decode(ids)
+        foreign = "\ufffd".encode()
+        text = b"".join([self.pieces[i] if i is not None and 0 <= i < n else foreign for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+
 _CODECS: dict = {}
 
 
@@ -330,13 +341,14 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and text of ``encoded(doc_id, ids)``; null ids decode to the empty text."""
+    """doc_id and text of ``encoded(doc_id, ids)``; a null list decodes
+    to the empty text, a null id or one outside the vocabulary to U+FFFD."""
     model = load_model(path)
     schema = encoded.select("doc_id").schema.add("text", "string")
 
     def run(batches):
         own = codec(model)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode_any(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, schema)
