@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gustframe.functions import nullsafe as ns
 from gustframe.operators import positions as pos
+from gustframe.operators import sketches
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 DEFAULT_QUANTILES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -184,10 +185,13 @@ def global_extrema(df: DataFrame, columns) -> DataFrame:
     return df.agg(*aggs)
 
 
-def nunique(df: DataFrame, columns) -> DataFrame:
+def nunique(df: DataFrame, columns, approx: bool = False) -> DataFrame:
     """Exact distinct count per column: per column type, unpivot, de-duplicate
     (column, value), count per column.  A value shared by many rows is collapsed
-    map-side; -0.0 is 0.0, and values stay in their own type."""
+    map-side; -0.0 is 0.0, and values stay in their own type.  ``approx=True`` counts
+    by sketches in one pass without a shuffle of the values (``operators/sketches.py``)."""
+    if approx:
+        return sketches.distinct_counts(sketches.distinct_sketches(df, columns))
     types = dict(df.dtypes)
     columns, out = list(columns), None
     for t in dict.fromkeys(types[c] for c in columns):

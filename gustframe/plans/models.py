@@ -13,9 +13,10 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.param import TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -131,6 +132,37 @@ class RegimeRegressorModel(Model):
         return cls({r: PipelineModel.load(f"{root}/models/{r}") for r in regimes}, RegimeColumn.load(f"{root}/regime-stage"))
 
 
+def best_kmeans(rows: DataFrame, k: int, starts: int = 10, seed: int = 7, tol: float = 1e-9, max_iter: int = 300,
+                features: str = "features", out: str = "cluster", parallelism: int = 4) -> KMeansModel:
+    """k-means from several weighted seedings (k-means||); the fit of the least inertia
+    (``summary.trainingCost``) is kept, of equal ones the first seed.  Iterations go on
+    until no centre moves by more than ``tol``, so a centre is the mean of its rows."""
+    rows = rows.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, tol=tol, maxIter=max_iter, initSteps=5, featuresCol=features, predictionCol=out).fit(rows)
+
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:  # each fit is a chain of distributed jobs
+            return min(pool.map(one, range(starts)), key=lambda m: m.summary.trainingCost)
+    finally:
+        rows.unpersist()
+
+
+def fit_pca(df: DataFrame, columns, k: int, nulls: str = "zero") -> tuple[PipelineModel, DataFrame]:
+    """Min-max scaling, centring, ``k`` components; the fitted pipeline and the rows it was
+    fitted on.  ``nulls``: "zero" reads NULL as 0, "drop" leaves out rows with a NULL."""
+    if nulls not in ("zero", "drop"):
+        raise ValueError(f"nulls is zero or drop, not {nulls}")
+    columns = list(columns)
+    rows = df.na.fill(0.0, columns) if nulls == "zero" else df.na.drop(subset=columns)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"),
+                            MinMaxScaler(inputCol="raw", outputCol="scaled"),
+                            StandardScaler(inputCol="scaled", outputCol="centred", withMean=True, withStd=False),
+                            PCA(k=k, inputCol="centred", outputCol="scores")])
+    return pipe.fit(rows), rows
+
+
 def mae_of(pred: DataFrame, label: str = "TARGET") -> float:
     return pred.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
 

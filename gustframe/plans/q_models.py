@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gustframe.functions import scalars as sc
@@ -16,6 +14,7 @@ from gustframe.operators import positions as pos
 from gustframe.plans import features as fx
 from gustframe.plans import glm
 from gustframe.plans import models as M
+from gustframe.plans import tsqr
 from gustframe.plans.catalog import query
 from gustframe.plans.q_profile import SECTOR_SQL, spearman_sql
 from gustframe.sources import driver_views as V
@@ -196,10 +195,7 @@ def linear_error_model_q(spark, sf):
     med = pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med")
     e = pos.join_null_safe(w, med, ["MAC_CODE"]).withColumn("error", F.col("TARGET") - F.col("_med"))
     e = e.filter(F.col("Rotor_speed").isNotNull())
-    va = VectorAssembler(inputCols=_ERR_X, outputCol="features")
-    lr = LinearRegression(labelCol="error", regParam=0.0, solver="normal").fit(va.transform(e))
-    rows = [*zip(_ERR_X, map(float, lr.coefficients), strict=True), ("intercept", float(lr.intercept))]
-    return spark.createDataFrame(rows, "feature string, coefficient double").orderBy("coefficient", "feature")
+    return tsqr.fit_linear(e, "error", _ERR_X).table(spark)
 
 
 _LOGIT_FEATS = ["Rotor_speed", "Pitch_angle", "Generator_stator_temperature_min", "Rotor_speed_max"]
@@ -300,14 +296,9 @@ _PCA_COLS = ["Rotor_speed", "Rotor_speed_min", "Rotor_speed_max", "Pitch_angle",
              "Pitch_angle_max", "Generator_stator_temperature_min", "Rotor_speed_std"]
 
 
-def _pca(spark, sf):
-    """Min-max scaled, centred, 8 components; NULL readings are 0."""
-    t = V.turbine(spark, sf).select("ID", *_PCA_COLS).na.fill(0.0)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=_PCA_COLS, outputCol="raw"),
-                            MinMaxScaler(inputCol="raw", outputCol="scaled"),
-                            StandardScaler(inputCol="scaled", outputCol="centred", withMean=True, withStd=False),
-                            PCA(k=8, inputCol="centred", outputCol="scores")])
-    return pipe.fit(t), t
+def _pca(spark, sf, nulls="zero"):
+    """Min-max scaled, centred, 8 components."""
+    return M.fit_pca(V.turbine(spark, sf).select("ID", *_PCA_COLS), _PCA_COLS, 8, nulls)
 
 
 _PCA_SCALED = {c: f"coalesce((coalesce({c}, 0) - min(coalesce({c}, 0)) over ()) / nullif(max(coalesce({c}, 0)) over () - "
@@ -322,7 +313,20 @@ def pca_profile_q(spark, sf):
     """The covariance of the scaled columns as the components give it: loadings
     times the variance of each component's scores (all 8 components are kept, so
     it is the full matrix)."""
-    model, t = _pca(spark, sf)
+    return _pca_covariance(spark, *_pca(spark, sf))
+
+
+@query("pca_profile_drop", views=("turbine",), dbl={"covariance": 9},
+       ctes=[("z", "select " + ", ".join(f"coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0.5) as {c}" for c in _PCA_COLS)
+                   + " from turbine where " + " and ".join(f"{c} is not null" for c in _PCA_COLS))],
+       sql=" union all ".join(f"select '{a}' as col_a, '{b}' as col_b, covar_samp({a}, {b}) as covariance from z"
+                              for i, a in enumerate(_PCA_COLS) for b in _PCA_COLS[i:]))
+def pca_profile_drop_q(spark, sf):
+    """The same over the rows without a NULL reading."""
+    return _pca_covariance(spark, *_pca(spark, sf, "drop"))
+
+
+def _pca_covariance(spark, model, t):
     pc = model.stages[-1].pc.toArray()
     scores = model.transform(t).select(vector_to_array("scores").alias("s"))
     var = scores.agg(*[F.var_samp(F.col("s")[j]).alias(f"v{j}") for j in range(pc.shape[1])]).first()
@@ -352,8 +356,9 @@ def _clustered(spark, sf):
         "vec_id", F.col("embedding")[0].cast("double").alias("dim0"),
         F.col("embedding")[1].cast("double").alias("dim1"), F.col("label").cast("double").alias("TARGET"))
     va = VectorAssembler(inputCols=["dim0", "dim1"], outputCol="features")
-    model = KMeans(k=35, seed=7, featuresCol="features", predictionCol="cluster").fit(va.transform(e))
-    return model, model.transform(va.transform(e)).drop("features")
+    rows = va.transform(e)
+    model = M.best_kmeans(rows, k=35)
+    return model, model.transform(rows).drop("features")
 
 
 @query("kmeans_groups")
@@ -365,6 +370,22 @@ def kmeans_groups_q(spark, sf):
     return profile.group_multi_agg(labelled, "TARGET", "cluster").join(F.broadcast(centres), "cluster", "left")  # 35 rows
 
 
+@query("kmeans_check", sql="select count(*) as n_rows, count(*) as n_nearest, 35 as n_centres, 35 as n_means from embeddings")
+def kmeans_check_q(spark, sf):
+    """Rows, rows whose centre is the nearest of all, centres, and centres that
+    are the mean of their rows (to 1e-6)."""
+    model, labelled = _clustered(spark, sf)
+    centres = [tuple(map(float, c)) for c in model.clusterCenters()]
+    far = F.array(*[F.hypot(F.col("dim0") - F.lit(a), F.col("dim1") - F.lit(b)) for a, b in centres])
+    rows = labelled.withColumns({"own": far[F.col("cluster")], "least": F.array_min(far)})
+    c = F.col("cluster") + 1
+    at = [F.element_at(F.array(*[F.lit(x[i]) for x in centres]), c) for i in range(2)]
+    parts = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("own") <= F.col("least") + 1e-6).alias("near"),
+                                        F.avg(F.col("dim0") - at[0]).alias("d0"), F.avg(F.col("dim1") - at[1]).alias("d1"))
+    return parts.agg(F.sum("n").alias("n_rows"), F.sum("near").alias("n_nearest"), F.count("*").cast("int").alias("n_centres"),
+                     F.count_if((F.abs("d0") < 1e-6) & (F.abs("d1") < 1e-6)).cast("int").alias("n_means"))
+
+
 @query("kmeans_labels")
 def kmeans_labels_q(spark, sf):
     """The cluster of every row."""

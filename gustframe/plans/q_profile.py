@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gustframe.functions import scalars as sc
-from gustframe.operators import bins, corr, profile, windows
+from gustframe.operators import bins, corr, profile, sketches, windows
 from gustframe.operators import positions as pos
 from gustframe.plans.catalog import query
 from gustframe.plans.q_frames import d
+from gustframe.session import scratch_table
 from gustframe.sources import driver_views as V
 
 WIDE_NUM = ["Rotor_speed", "Rotor_speed_std", "Grid_voltage", "Pitch_angle", "TARGET"]
@@ -211,6 +212,36 @@ def nunique_q(spark, sf):
     return profile.nunique(V.wide(spark, sf), WIDE_ALL)
 
 
+@query("nunique_sketch", views=("wide",),
+       sql=union_sql(f"select '{c}' as \"column\", count(distinct {c}) as n_distinct, true as within_bound from wide" for c in WIDE_ALL))
+def nunique_sketch_q(spark, sf):
+    """Exact distinct counts, and whether the estimate from stored sketches per unit,
+    merged, keeps within three standard errors."""
+    w = V.wide(spark, sf)
+    units = scratch_table(sketches.distinct_sketches(w, WIDE_ALL, ["MAC_CODE"]), "hll")
+    est = sketches.distinct_counts(units).withColumnRenamed("n_distinct", "estimate")
+    off = F.abs(F.col("estimate") - F.col("n_distinct"))
+    return (profile.nunique(w, WIDE_ALL).join(est, "column")
+            .select("column", "n_distinct", (off <= 3 * sketches.distinct_error() * F.col("n_distinct")).alias("within_bound")))
+
+
+_SKETCH_Q = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query("quantile_sketch", views=("wide",), sql=union_sql(f"select {d(p)} as q, count(TARGET) as n, true as within_bound from wide" for p in _SKETCH_Q), dbl={"q": 6})
+def quantile_sketch_q(spark, sf):
+    """Quantiles from stored sketches per unit, merged: the rows behind each and
+    whether its true rank keeps within twice the rank error."""
+    w = V.wide(spark, sf)
+    units = scratch_table(sketches.quantile_sketches(w, "TARGET", ["MAC_CODE"]), "kll")
+    got = sketches.sketched_quantiles(units, _SKETCH_Q).collect()  # a row a probability
+    below = w.agg(*[F.count_if(F.col("TARGET") < r.value).alias(f"lo{i}") for i, r in enumerate(got)],
+                  *[F.count_if(F.col("TARGET") <= r.value).alias(f"hi{i}") for i, r in enumerate(got)]).first()
+    slack = 2 * sketches.rank_error()
+    rows = [(r.q, r.n, below[f"lo{i}"] / r.n - slack <= r.q <= below[f"hi{i}"] / r.n + slack) for i, r in enumerate(got)]
+    return spark.createDataFrame(rows, "q double, n long, within_bound boolean")
+
+
 _PIV_BINS = 5
 
 

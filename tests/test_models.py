@@ -127,3 +127,32 @@ def test_registered_models_keep_every_row(spark):
         assert err < sum(abs(r.TARGET - med) for r in rows) / len(rows)
     labels = entry.queries()["kmeans_labels"](spark, sf)
     assert labels.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_best_kmeans_keeps_the_least_inertia(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(2)
+    at = np.array([(10 * i, 10 * j) for i in range(4) for j in range(3)], dtype=float)
+    xy = np.concatenate([c + rng.normal(size=(40, 2)) * 0.3 for c in at])
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(xy.tolist(), "a double, b double"))
+    model = M.best_kmeans(rows, k=12, starts=6)
+    costs = [KMeans(k=12, seed=7 + i, tol=1e-9, maxIter=300, initSteps=5).fit(rows).summary.trainingCost for i in range(6)]
+    assert model.summary.trainingCost == pytest.approx(min(costs))
+    centres = np.array(model.clusterCenters())
+    own = ((xy[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert [r.cluster for r in model.transform(rows).collect()] == own.tolist()
+    assert np.allclose(centres, [xy[own == i].mean(0) for i in range(12)])
+    assert all(np.abs(centres - c).sum(1).min() < 0.5 for c in at)  # every planted group has its centre
+
+
+def test_pca_drop_leaves_out_rows_with_nulls(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, None), (3, 3.0, 1.0), (4, None, 9.0), (5, 0.0, 0.5)], "ID int, a double, b double")
+    model, rows = M.fit_pca(df, ["a", "b"], 2, "drop")
+    assert [r.ID for r in rows.orderBy("ID").collect()] == [1, 3, 5]
+    same, _ = M.fit_pca(rows, ["a", "b"], 2)
+    assert model.stages[-1].pc.toArray().tolist() == same.stages[-1].pc.toArray().tolist()
+    assert M.fit_pca(df, ["a", "b"], 2)[1].count() == 5
+    with pytest.raises(ValueError, match="zero or drop"):
+        M.fit_pca(df, ["a", "b"], 2, "other")
