@@ -595,8 +595,12 @@ def test_jaccard_recall_out_of_reach(docs):
 
 
 # -------------------------------------------------------------- Hamming top-k
+@pytest.mark.parametrize("share,block", [(float("inf"), 4096), (1.0, 4096), (0.0, 4), (0.05, 3)])
 @pytest.mark.parametrize(("dims", "k"), [(64, 3), (40, 5), (100, 2)])
-def test_hamming_top_k(spark, dims, k):
+def test_hamming_top_k(spark, monkeypatch, dims, k, share, block):
+    monkeypatch.setattr(hamming_topk, "SCAN_SHARE", share)  # never, sometimes or always scan
+    monkeypatch.setattr(hamming_topk, "SCAN_QUERIES", block)
+    monkeypatch.setattr(hamming_topk, "SCAN_CODES", 40)
     rng = np.random.default_rng(dims)
     vecs = rng.normal(size=(150, dims))
     vecs[10:60] = vecs[3]  # one very common vector
