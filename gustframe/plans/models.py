@@ -70,7 +70,8 @@ class AssembleNullFree(Estimator, _Stage):
 
 class RegimeRegressor(Estimator, _Stage):
     """One pipeline per regime (speed cube >= cut^3, NULL speed -> low), each
-    with its own imputation medians and feature list.
+    with its own imputation medians and feature list.  A regime without a labelled
+    row gets a pipeline of no stages, and its rows the prediction NULL.
 
     ``features``: regime -> columns; ``estimators``: regime -> regressor."""
     features = _p("features", "feature columns per regime")
@@ -93,7 +94,9 @@ class RegimeRegressor(Estimator, _Stage):
         def one(item):
             name, cols = item
             part = tagged.filter(F.col(self.get("regimeCol")) == name).cache()
-            model = regression_pipeline(cols, self.estimators[name]).fit(part)
+            estimator = self.estimators[name]
+            known = has_label(part, estimator.getOrDefault("labelCol"))
+            model = regression_pipeline(cols, estimator).fit(part) if known else PipelineModel([])
             part.unpersist()
             return name, model
 
@@ -114,7 +117,9 @@ class RegimeRegressorModel(Model):
         col = self.regime.get("outputCol")
         tagged = self.regime.transform(df)
         tagged = tagged.withColumn("_row", F.struct(*tagged.columns))  # imputation leaves the given columns as they are
-        parts = [m.transform(tagged.filter(F.col(col) == name)).select("_row.*", "prediction") for name, m in self.models.items()]
+        unknown = F.lit(None).cast("double").alias("prediction")
+        parts = [m.transform(tagged.filter(F.col(col) == name)).select("_row.*", "prediction" if m.stages else unknown)
+                 for name, m in self.models.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -163,6 +168,12 @@ def fit_pca(df: DataFrame, columns, k: int, nulls: str = "zero") -> tuple[Pipeli
     return pipe.fit(rows), rows
 
 
+def has_label(df: DataFrame, label: str) -> bool:
+    """Whether a model can be fitted: a row has a label."""
+    y = F.col(label).cast("double")
+    return not df.filter(y.isNotNull() & ~F.isnan(y)).isEmpty()
+
+
 def mae_of(pred: DataFrame, label: str = "TARGET") -> float:
     return pred.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
 
