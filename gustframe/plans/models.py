@@ -182,11 +182,14 @@ def cross_validate(make_pipeline, df: DataFrame, k: int = 5, key: str = "ID", se
                    label: str = "TARGET", parallelism: int = 2, train_scores: bool = True) -> DataFrame:
     """k-fold MAE, train and test, one row per fold.  Folds come from the hash
     order of the key (reproducible); fits run in parallel driver threads, each
-    a distributed job."""
+    a distributed job.  A fold whose training rows have no label has no model: its
+    scores are NULL."""
     folded = windows.kfold_shuffled(df, k, key, seed).cache()
 
     def one(fold: int):
         train = folded.filter(F.col("fold") != fold)
+        if not has_label(train, label):
+            return fold, None, None
         test = folded.filter(F.col("fold") == fold)
         model = make_pipeline().fit(train)
         te = mae_of(model.transform(test), label)

@@ -156,3 +156,23 @@ def test_pca_drop_leaves_out_rows_with_nulls(spark):
     assert M.fit_pca(df, ["a", "b"], 2)[1].count() == 5
     with pytest.raises(ValueError, match="zero or drop"):
         M.fit_pca(df, ["a", "b"], 2, "other")
+
+
+def test_regime_without_rows_keeps_its_folds_and_rows(spark, tmp_path):
+    """Hourly means of many events are all below the cut: the high regime has no row to learn from."""
+    rows = [(i, 5.0 + i % 7, float(i % 11), 3.0 * (i % 7)) for i in range(60)]
+    slow = spark.createDataFrame(rows, "ID long, Rotor_speed double, Pitch_angle double, TARGET double")
+    cols = ["Rotor_speed", "Pitch_angle"]
+    small = lambda: M.boosted(maxIter=3, maxDepth=2)
+    model = M.RegimeRegressor(features={"low": cols, "high": cols}, estimators={"low": small(), "high": small()}).fit(slow)
+    fast = spark.createDataFrame([(100, 16.0, 1.0, 9.0)], slow.schema)
+    model.save(str(tmp_path / "regime"))
+    for m in (model, M.RegimeRegressorModel.load(str(tmp_path / "regime"))):
+        got = {r.ID: r for r in m.transform(slow.unionByName(fast)).collect()}
+        assert len(got) == 61 and got[100].regime == "high" and got[100].prediction is None
+        assert all(got[i].regime == "low" and got[i].prediction is not None for i in range(60))
+    for make in (lambda: M.regression_pipeline(cols, M.forest(2, 3), impute=False), lambda: M.regression_pipeline(cols, small(), impute=False)):
+        none = M.cross_validate(make, slow.filter("Rotor_speed >= 15"), k=5).orderBy("fold").collect()
+        assert [tuple(r) for r in none] == [(f, None, None) for f in range(1, 6)]
+        one = M.cross_validate(make, fast, k=3).orderBy("fold").collect()
+        assert [(r.train_mae is None, r.test_mae is None) for r in one] == [(True, True), (False, True), (False, True)]
