@@ -38,6 +38,10 @@ DEFAULT_ROWS_PER_BUCKET = 1_000_000
 # Rows up to which a table of cut points, offsets or brackets is broadcast;
 # larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
+# Ranges that one shuffle is cut into, as long as they hold no more than
+# ``DEFAULT_ROWS_PER_BUCKET`` rows each: Spark sends a sample of about 300 rows per
+# range to the driver to find the bounds.
+MOST_RANGES = 256
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -73,8 +77,9 @@ def join_by_value(df: DataFrame, side: DataFrame, value: str) -> DataFrame:
 
 def in_ranges(df: DataFrame, keys, rows_per_bucket: int, n_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Add ``_bkt``, the number of a range of the composite key ``keys`` (NULLs
-    first) of about ``rows_per_bucket`` rows; ranges ascend in the key.  Returns
-    (df, whether there is more than one); a known row count saves the count.
+    first) of about ``rows_per_bucket`` rows, or more if that makes more than
+    ``MOST_RANGES`` of them; ranges ascend in the key.  Returns (df, whether there
+    is more than one); a known row count saves the count.
 
     The rows are written twice: with a number of their own, which makes the key
     unique and the ranges the same if a task is run again, and by range."""
@@ -82,7 +87,8 @@ def in_ranges(df: DataFrame, keys, rows_per_bucket: int, n_rows: int | None = No
     if n <= rows_per_bucket:
         return df.withColumn("_bkt", F.lit(0).cast("long")), False
     numbered = scratch_table(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    dealt = numbered.repartitionByRange(-(-n // rows_per_bucket), *[F.col(f"`{k}`") for k in keys], row_hash(df), F.col("_row"))
+    n_ranges = min(-(-n // rows_per_bucket), max(MOST_RANGES, -(-n // DEFAULT_ROWS_PER_BUCKET)))
+    dealt = numbered.repartitionByRange(n_ranges, *[F.col(f"`{k}`") for k in keys], row_hash(df), F.col("_row"))
     return scratch_table(dealt.drop("_row").withColumn("_bkt", F.spark_partition_id().cast("long")), "ranges"), True
 
 

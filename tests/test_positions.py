@@ -199,3 +199,13 @@ def test_spearman_wide(spark):
     assert len(got) == 780
     for k in [("c0", "c1"), ("c3", "c9"), ("c2", "c3"), ("c9", "c30"), ("c38", "c39")]:
         assert got[k] == pytest.approx(want(*k))
+
+
+def test_ranges_are_bounded_whatever_the_bucket(spark):
+    """The driver samples rows per range: small buckets on many rows must not make many ranges."""
+    df = spark.range(60_000).selectExpr("id as ID", "if(id % 3 = 0, null, concat('u', id % 4)) as u")
+    ranged, cut = pos.in_ranges(df, ["ID"], 20)
+    n = ranged.select("_bkt").distinct().count()
+    assert cut and 200 <= n <= pos.MOST_RANGES and ranged.count() == 60_000
+    small, large = (windows.split_stratified(df, "u", 0.2, rows_per_bucket=b).where("is_test").select("ID").collect() for b in (20, 1_000_000))
+    assert {r.ID for r in small} == {r.ID for r in large} and len(small) == len(large)
