@@ -1,7 +1,7 @@
 """Distributed model training, validation, tuning and reporting.
 
-Forests, linear models, PCA and k-means are Spark ML estimators: every level of
-a tree, every iteration of a solver is a distributed aggregation.  What lives
+Forests, linear models, PCA and the seedings of k-means are Spark ML estimators:
+every level of a tree, every iteration of a solver is a distributed aggregation.  What lives
 here is the composition: per-regime models stacked by key, fold loops with
 train and test scores, a model-guided parameter search, importance tables.
 Boosted trees are grown from histograms (``plans/boosting.py``).
@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 
 from gustframe.functions import naming
 from gustframe.operators import windows
-from gustframe.plans.boosting import HistBoostedRegressor
+from gustframe.plans.boosting import BLOCK_ROWS, HistBoostedRegressor
 from gustframe.plans.features import ImputeMedian, RegimeColumn, _p, _Stage
-from gustframe.session import scratch_path
+from gustframe.session import scratch_path, scratch_table, ship_package
 
 def forest(numTrees: int = 100, maxDepth: int = 12, seed: int = 7, label: str = "TARGET") -> RandomForestRegressor:
     """Random forest; every node considers all features (no feature subsampling)."""
@@ -137,21 +141,122 @@ class RegimeRegressorModel(Model):
         return cls({r: PipelineModel.load(f"{root}/models/{r}") for r in regimes}, RegimeColumn.load(f"{root}/regime-stage"))
 
 
+class CentresModel(Model, _Stage):
+    """Rows to their nearest centre (squared distance; of equal ones the first)."""
+    centres = _p("centres", "centre vectors")
+    inertia = _p("inertia", "sum of the squared distances to the own centres", TypeConverters.toFloat)
+    featuresCol = _p("featuresCol", "vector column", TypeConverters.toString)
+    predictionCol = _p("predictionCol", "centre number", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, centres=None, inertia=0.0, featuresCol="features", predictionCol="cluster"):
+        super().__init__()
+        self._init(self._input_kwargs)
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return [np.array(c) for c in self.get("centres")]
+
+    @property
+    def summary(self) -> SimpleNamespace:
+        return SimpleNamespace(trainingCost=self.get("inertia"), k=len(self.get("centres")))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        centres = np.array(self.get("centres"))
+
+        def nearest(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="int32")
+            return pd.Series(_nearest(np.stack(x.to_numpy()), centres)[0].astype(np.int32))
+
+        ship_package(df.sparkSession)
+        return df.withColumn(self.get("predictionCol"), F.pandas_udf(nearest, "int")(vector_to_array(self.get("featuresCol"))))
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and squared distance of each row's nearest centre."""
+    far = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        far += (x[:, d, None] - centres[None, :, d]) ** 2
+    own = far.argmin(axis=1)
+    return own, far[np.arange(len(x)), own]
+
+
+def _means_of_nearest(blocks: DataFrame, starts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """One step of k-means for all ``starts`` in one job: the means of the rows that
+    have a centre as their nearest (a centre without rows stays), and the inertia of
+    the given centres.  Tasks send sums of their blocks, one row per (start, centre)."""
+    d = next(iter(starts.values())).shape[1]
+
+    def run(batches):
+        total = {i: np.zeros((len(c), d + 2)) for i, c in starts.items()}
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                whole = np.frombuffer(raw).reshape(-1, d)
+                for lo in range(0, len(whole), 2048):  # distances that fit a core's cache
+                    x = whole[lo:lo + 2048]
+                    for i, c in starts.items():
+                        own, far = _nearest(x, c)
+                        for j, w in enumerate((None, far, *x.T)):
+                            total[i][:, j] += np.bincount(own, w, len(c))
+        for i, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i)), pa.array(np.arange(len(t))), *[pa.array(t[:, j]) for j in range(d + 2)]],
+                                             names=["start", "centre", *[f"s{j}" for j in range(d + 2)]])
+
+    sums = [f"s{j}" for j in range(d + 2)]
+    parts = blocks.mapInArrow(run, "start long, centre long, " + ", ".join(f"{s} double" for s in sums))
+    # few rows: a handful of tasks adds them up, whatever the number of shuffle partitions
+    rows = parts.repartition(4, "start", "centre").groupBy("start", "centre").agg(*[F.sum(s).alias(s) for s in sums]).collect()
+    out = {i: (c.copy(), 0.0) for i, c in starts.items()}
+    for r in sorted(rows):
+        means, cost = out[r.start]
+        if r.s0:
+            means[r.centre] = np.array([r[s] for s in sums[2:]]) / r.s0
+        out[r.start] = means, cost + r.s1
+    return out
+
+
 def best_kmeans(rows: DataFrame, k: int, starts: int = 10, seed: int = 7, tol: float = 1e-9, max_iter: int = 300,
-                features: str = "features", out: str = "cluster", parallelism: int = 4) -> KMeansModel:
+                features: str = "features", out: str = "cluster", parallelism: int = 4) -> CentresModel:
     """k-means from several weighted seedings (k-means||); the fit of the least inertia
-    (``summary.trainingCost``) is kept, of equal ones the first seed.  Iterations go on
-    until no centre moves by more than ``tol``, so a centre is the mean of its rows."""
+    is kept, of equal ones the first seed.  Iterations go on until no centre moves by
+    more than ``tol``, so a centre is the mean of its rows.
+
+    Spark ML draws the seedings.  The iterations of all of them share their jobs: the
+    rows are packed once into blocks of numbers, and each job goes over the blocks for
+    every seeding whose centres still move, so that there are at most ``max_iter`` jobs."""
     rows = rows.select(features).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, tol=tol, maxIter=max_iter, initSteps=5, featuresCol=features, predictionCol=out).fit(rows)
+    def seeded(i: int) -> np.ndarray:
+        return np.array(KMeans(k=k, seed=seed + i, tol=tol, maxIter=0, initSteps=5, featuresCol=features, predictionCol=out).fit(rows).clusterCenters())
+
+    def pack(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                x = b.column(0).slice(lo, BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([x.flatten().to_numpy(zero_copy_only=False).tobytes()])], names=["x"])
 
     try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:  # each fit is a chain of distributed jobs
-            return min(pool.map(one, range(starts)), key=lambda m: m.summary.trainingCost)
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:  # each seeding is a chain of distributed jobs
+            moving = dict(enumerate(pool.map(seeded, range(starts))))
+        blocks = scratch_table(rows.select(vector_to_array(features).alias("x")).mapInArrow(pack, "x binary"), "kmeans-blocks")
     finally:
         rows.unpersist()
+    ship_package(rows.sparkSession)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits: dict[int, tuple[np.ndarray, float]] = {}
+        for step in range(max_iter):
+            for i, (means, cost) in _means_of_nearest(blocks, moving).items():
+                moved = ((means - moving[i]) ** 2).sum(axis=1).max() > tol * tol
+                moving[i] = means
+                if not moved or step == max_iter - 1:
+                    fits[i] = moving.pop(i), cost
+            if not moving:
+                break
+    finally:
+        blocks.unpersist()
+    best = min(fits, key=lambda i: (fits[i][1], i))
+    return CentresModel(centres=fits[best][0].tolist(), inertia=fits[best][1], featuresCol=features, predictionCol=out)
 
 
 def fit_pca(df: DataFrame, columns, k: int, nulls: str = "zero") -> tuple[PipelineModel, DataFrame]:

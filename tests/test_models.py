@@ -4,6 +4,7 @@ with ``spark.range`` and hash-based noise; plus determinism and save/load."""
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gustframe.plans import features as fx
@@ -176,3 +177,21 @@ def test_regime_without_rows_keeps_its_folds_and_rows(spark, tmp_path):
         assert [tuple(r) for r in none] == [(f, None, None) for f in range(1, 6)]
         one = M.cross_validate(make, fast, k=3).orderBy("fold").collect()
         assert [(r.train_mae is None, r.test_mae is None) for r in one] == [(True, True), (False, True), (False, True)]
+
+
+def test_kmeans_jobs_do_not_grow_with_the_seedings_iterations(spark):
+    """The iterations of all seedings share their jobs: far fewer than seedings x iterations."""
+    import numpy as np
+    xy = np.random.default_rng(5).random((3000, 2))
+    rows = spark.createDataFrame([(Vectors.dense(x),) for x in xy.tolist()], ["features"]).repartition(3)
+    sc = spark.sparkContext
+    tracker, group = sc.statusTracker(), "kmeans-jobs"
+    sc.setJobGroup(group, "k-means")
+    model = M.best_kmeans(rows, k=10, starts=8)
+    alone = len(tracker.getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < alone < 8 * 60
+    centres = np.array(model.clusterCenters())
+    own = ((xy[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(centres, [xy[own == i].mean(0) for i in range(10)])
+    assert model.summary.trainingCost == pytest.approx(((xy - centres[own]) ** 2).sum())
