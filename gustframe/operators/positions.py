@@ -49,7 +49,7 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and t != "variant"])
 
 
-def _side(table: DataFrame) -> DataFrame:
+def counted_side(table: DataFrame) -> DataFrame:
     """Broadcast hint for a per-group or per-piece table whose rows are counted."""
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(table) if few else table
@@ -112,7 +112,7 @@ def running_sums(df: DataFrame, order_col: str, sums: dict, group_cols=(), tie_c
     before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = scratch_table(counts.select(*group_cols, "_bkt", *[
         F.coalesce(F.sum(f"_b_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums]), "offsets")
-    joined = join_null_safe(b, _side(offs), [*group_cols, "_bkt"], "inner")
+    joined = join_null_safe(b, counted_side(offs), [*group_cols, "_bkt"], "inner")
     return (joined.withColumns({o: (F.col(f"_off_{o}") + F.sum(w).over(upto)).cast("long") for o, w in sums.items()})
             .drop("_bkt", *[f"_off_{o}" for o in sums]))
 
@@ -214,7 +214,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: st
     # a bracket spans at most 6 / accuracy of a group's ranks (margins and errors)
     largest = stats.agg(F.max("_n")).first()[0] or 0
     most = max(accuracy, -(-6 * largest // accuracy)) + 2
-    near_rows = join_null_safe(v, _side(stats.drop("_n")), group_cols, "inner") if group_cols else _with_row(v, stats.drop("_n"))
+    near_rows = join_null_safe(v, counted_side(stats.drop("_n")), group_cols, "inner") if group_cols else _with_row(v, stats.drop("_n"))
 
     # map-side: rows below a bracket count under NULL, values inside under themselves
     touched = near_rows.select(*group_cols, "_v", F.explode(F.filter("_want", lambda w: F.col("_v") <= w["hi"])).alias("_w"))
@@ -225,7 +225,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(), out: st
     placed = placed.filter(F.col("_v").isNotNull())  # NULL, the rows below, comes first
     flat = stats.select(*group_cols, "_n", F.explode("_want").alias("_w")).select(
         *group_cols, "_n", F.col("_w.i").alias("_i"), F.col("_w.first").alias("_first"), F.col("_w.second").alias("_second"))
-    joined = join_null_safe(placed, _side(flat), [*group_cols, "_i"], "inner")
+    joined = join_null_safe(placed, counted_side(flat), [*group_cols, "_i"], "inner")
     here = lambda c: (F.col(c) > F.col("_pos") - F.col("_cnt")) & (F.col(c) <= F.col("_pos"))
     agg = joined.groupBy(*group_cols, "_i", "_n").agg(F.max(F.when(here("_first"), F.col("_v"))).alias("_lo"),
                                                       F.max(F.when(here("_second"), F.col("_v"))).alias("_hi"))

@@ -305,8 +305,8 @@ _RES_SRC = ("(select w.*, w.TARGET - m.med as residual from wide w join "
 
 def _residual_wide(spark, sf):
     w = V.wide(spark, sf, spread=True)
-    med = pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med")
-    return pos.join_null_safe(w, med, ["MAC_CODE"]).withColumn("residual", F.col("TARGET") - F.col("_med"))
+    med = scratch_table(pos.exact_median(w, "TARGET", ["MAC_CODE"], out="_med"), "medians")
+    return pos.join_null_safe(w, pos.counted_side(med), ["MAC_CODE"]).withColumn("residual", F.col("TARGET") - F.col("_med"))
 
 
 _ERR_FEATS = ["Rotor_speed", "Rotor_speed_std", "Grid_voltage", "Pitch_angle"]

@@ -45,3 +45,20 @@ def test_shuffles_do_not_grow_with_columns(spark):
         got = corr.spearman_matrix(df, [f"c{i}" for i in range(1, k + 1)])
         plans.append(got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
     assert plans[0] == plans[1]
+
+
+@pytest.mark.parametrize("most", [20_000, 60, 2])
+def test_few_and_many_values(spark, monkeypatch, most):
+    """A column of many values, columns of few: looked up, mixed, or put together by row; the same rho."""
+    monkeypatch.setattr(corr.pos, "BROADCAST_ROWS", most)
+    rng = random.Random(4)
+    data = pd.DataFrame([(rng.random(), None if i % 6 == 0 else float(rng.randrange(9)), float(i % 5), None if i % 7 == 0 else rng.choice([0.0, 1.0])) for i in range(500)],
+                        columns=[*"rabc"])
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in data.itertuples(index=False)], ", ".join(f"{c} double" for c in data))
+    made = corr.error_correlation(df, "r", [*"abc"])
+    got = {r.feature: (r.rho, r.n) for r in made.collect()}
+    for c in "abc":
+        both = data[["r", c]].dropna()
+        assert got[c][1] == len(both) and math.isclose(got[c][0], both.rank().corr().iloc[0, 1], abs_tol=1e-12)
+    by_row = "Aggregate [_row#" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert by_row == (most == 2)
